@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality, secrets, warc
+from . import bpe, chat, classify, decontaminate, html, quality, secrets, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_html_text": html.op7_html_text,
     "op8_bpe": bpe.op8_bpe,
+    "op9_quality_classifier": classify.op9_quality_classifier,
 }
 ORACLE_SQL = {"op3_warc": warc.SQL, "op6_chat_format": chat.SQL}
