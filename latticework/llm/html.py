@@ -58,7 +58,9 @@ WORDS = """nav navbar navigation menu menubar header masthead topbar footer foot
     comment comments commentlist disqus respond replies share sharing social related recommended breadcrumb breadcrumbs pagination pager
     widget widgets toolbar skip login search banner"""
 NOISE = re.compile(rf"(?:[a-z0-9]+[-_]+)*?(?:{'|'.join(WORDS.split())})(?:[-_]+[a-z0-9]+)*", re.I)
-HAS = re.compile(r"(?:with|has|no|is|js|hide|without|main|page|post|entry|article|story|content)[-_]|(?:article|content|post|entry|story|main)\b", re.I)
+#: Names that speak of something else's boilerplate, and those of an article's own head.
+HAS = re.compile(r"(?:with|has|no|is|js|without)[-_]", re.I)
+OWN_HEAD = re.compile(r"(?:(?:article|post|entry|story|content)[-_])?(?:header|side)", re.I)
 NEVER = frozenset("html body main article".split())
 
 
@@ -89,7 +91,7 @@ def is_noise(tag: str, attributes: str, article: bool) -> tuple[bool, str]:
     if re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
         return True, classes
     names = [*classes.split(), *given.get("id", "").split()]
-    return any(NOISE.fullmatch(n) and not HAS.match(n) and not (article and n.lower() in ("header", "side")) for n in names), classes
+    return any(NOISE.fullmatch(n) and not HAS.match(n) and not (OWN_HEAD.fullmatch(n) and (article or "-" in n or "_" in n)) for n in names), classes
 
 
 def parse(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, classify, decontaminate, html, quality, secrets, warc
+from . import bpe, chat, classify, decontaminate, html, quality, secrets, similar, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_html_text": html.op7_html_text,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_classifier": classify.op9_quality_classifier,
+    "op10_jaccard_join": similar.op10_jaccard_join,
 }
 ORACLE_SQL = {"op3_warc": warc.SQL, "op6_chat_format": chat.SQL}
