@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, classify, decontaminate, html, quality, secrets, similar, warc
+from . import bpe, chat, classify, decontaminate, html, quality, secrets, similar, substrings, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_suffix_dedup": substrings.op5_suffix_dedup,
     "op6_chat_format": chat.op6_chat_format,
     "op7_html_text": html.op7_html_text,
     "op8_bpe": bpe.op8_bpe,
