@@ -1,6 +1,751 @@
-"""All queries of the library, by name, and their SQL."""
+"""Every operator as a query over the adapter views, with its SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import minhash as M
+from .functions import text as T
+from .operators import graph as G
+from .operators import resolve as R
+from .operators import scope as SC
+from .operators import search as SE
+from .operators import store as ST
+from .operators import tables as TB
+from .plans.views import Views, duckdb_with
+from .sources import vault
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Views], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- common table expressions of the SQL side ----
+BASE = duckdb_with("brains", "folders", "papers", "folder_papers", "brain_papers", "concepts", "entities", "concept_mentions", "entity_mentions", "relations_raw", "relation_types")
+NODES = f"""{BASE},
+nodes as (select 'concept' as node_type, slug, display_label from concepts union all select 'entity', slug, display_label from entities),
+mentions as (select 'concept' as node_type, node_slug, paper_slug, null::varchar as concept_slug from concept_mentions
+  union all select 'entity', node_slug, paper_slug, concept_slug from entity_mentions)"""
+GRAPH_NODES = f"""{NODES},
+gn as (select slug as id, title as label, 'note' as type, false as orphan from papers
+  union all select distinct 'tag:' || tag, tag, 'tag', false from papers where tag is not null
+  union all select node_type || ':' || display_label, display_label, node_type,
+    not exists (select 1 from mentions m where m.node_type = n.node_type and m.node_slug = n.slug) from nodes n)"""
+EDGES = f"""{GRAPH_NODES},
+es as (select m.*, coalesce('concept:' || c.display_label, p.slug) as source, c.slug is not null as on_concept from entity_mentions m
+  left join concepts c on c.slug = m.concept_slug left join papers p on p.slug = m.paper_slug
+  where c.slug is not null or p.slug is not null),
+pe as (select m.paper_slug as source, 'concept:' || c.display_label as target, 'link' as type from concept_mentions m
+    join concepts c on c.slug = m.node_slug join papers p on p.slug = m.paper_slug
+  union all select es.source, 'entity:' || e.display_label, 'link' from es join entities e on e.slug = es.node_slug),
+te as (select slug as source, 'tag:' || tag as target, 'tag' as type from papers where tag is not null),
+se as (select f.node_type || ':' || f.display_label as source, t.node_type || ':' || t.display_label as target, 'semantic' as type,
+    r.rel_type as relation, coalesce(y."symmetric", false) as "symmetric"
+  from relations_raw r join nodes f on f.node_type = r.from_type and f.slug = r.from_slug
+  join nodes t on t.node_type = r.to_type and t.slug = r.to_slug left join relation_types y on y.rel_type = r.rel_type),
+mirror as (select distinct 'paper' as src_type, m.paper_slug as src_slug, 'concept' as dst_type, m.node_slug as dst_slug
+    from concept_mentions m join concepts c on c.slug = m.node_slug join papers p on p.slug = m.paper_slug
+  union select case when on_concept then 'concept' else 'paper' end, case when on_concept then concept_slug else paper_slug end, 'entity', es.node_slug
+    from es join entities e on e.slug = es.node_slug)"""
+FOCUS = "focus as (select distinct paper_slug as id from concept_mentions order by 1 limit 5)"
+
+
+def pruned(edges: str) -> str:
+    return f"""{EDGES}, {FOCUS}, e as ({edges}),
+k1 as (select id from focus union select target from e where source in (select id from focus)
+  union select source from e where target in (select id from focus) and source not in (select id from focus)
+  union select id from gn where orphan),
+k2 as (select id from k1 union select e.target from e where e.source in (select id from k1 join gn using (id) where gn.type = 'concept')
+  and e.target in (select id from gn where type = 'entity'))"""
+
+
+PROVENANCE = "select source, target, type from pe union all select source, target, type from te"
+ALL_EDGES = PROVENANCE + " union all select source, target, type from se"
+
+
+def provenance(v: Views) -> DataFrame:
+    return G.provenance_edges(v.papers, v.concepts, v.entities, v.concept_mentions, v.entity_mentions)
+
+
+def semantic(v: Views) -> DataFrame:
+    return G.semantic_edges(v.relations_raw, v.nodes, v.relation_types)
+
+
+def plain_edges(v: Views, with_semantic: bool = False) -> DataFrame:
+    e = provenance(v).unionByName(G.tag_edges(v.papers))
+    return e.unionByName(semantic(v).select("source", "target", "type")) if with_semantic else e
+
+
+def all_nodes(v: Views) -> DataFrame:
+    return G.graph_nodes(v.papers, v.nodes, v.mentions)
+
+
+def focus(v: Views) -> DataFrame:
+    return v.concept_mentions.select(F.col("paper_slug").alias("id")).distinct().orderBy("id").limit(5)
+
+
+# ---- graph views ----
+@query(f"{GRAPH_NODES} select * from gn")
+def graph_nodes(v):
+    return all_nodes(v)
+
+
+@query(f"{EDGES} select * from pe")
+def graph_edges_provenance(v):
+    return provenance(v)
+
+
+@query(f"{EDGES} select * from se")
+def graph_edges_semantic(v):
+    return semantic(v)
+
+
+@query(f"{EDGES} select * from mirror")
+def graph_edges_mirror_set(v):
+    return G.mirror_edges(v.papers, v.concepts, v.entities, v.concept_mentions, v.entity_mentions)
+
+
+@query(f"{EDGES} select * from te")
+def tag_edges(v):
+    return G.tag_edges(v.papers)
+
+
+@query(f"{pruned(PROVENANCE)} select * from gn where id in (select id from k2)")
+def focus_subgraph_nodes(v):
+    return G.focus_subgraph(all_nodes(v), plain_edges(v), focus(v))[0]
+
+
+@query(f"{pruned(PROVENANCE)} select * from e where source in (select id from k2) and target in (select id from k2)")
+def focus_subgraph_edges(v):
+    return G.focus_subgraph(all_nodes(v), plain_edges(v), focus(v))[1]
+
+
+@query(f"{pruned(ALL_EDGES)} select * from e where source in (select id from k2) and target in (select id from k2)")
+def focus_semantic(v):
+    return G.focus_subgraph(all_nodes(v), plain_edges(v, True), focus(v))[1]
+
+
+@query(f"{GRAPH_NODES} select id, label, type from gn where orphan")
+def orphan_nodes(v):
+    return all_nodes(v).filter("orphan").select("id", "label", "type")
+
+
+@query(f"{EDGES} select * from ({ALL_EDGES}) where source in (select id from gn where type not in ('tag', 'entity')) and target in (select id from gn where type not in ('tag', 'entity'))")
+def visible_edges(v):
+    return G.visible(all_nodes(v), plain_edges(v, True), ("tag", "entity"))[1]
+
+
+@query(f"{GRAPH_NODES} select id, label, type from gn where contains(lower(label), 'anvil') and type not in ('tag') order by label, id limit 12")
+def node_label_search(v):
+    return TB.label_search(all_nodes(v), " Anvil ", ("tag",)).select("id", "label", "type")
+
+
+@query(f"{EDGES} select distinct id from (select unnest([source, target]) as id from ({ALL_EDGES}) where source = 'tag:1-URGENT' or target = 'tag:1-URGENT' union all select 'tag:1-URGENT')")
+def hover_neighbourhood(v):
+    return G.neighbourhood(plain_edges(v, True), "tag:1-URGENT")
+
+
+@query("select concat('p', vec_id) as id, round(sqrt((x - 0.1) ** 2 + (y + 0.2) ** 2), 9) as distance from (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings) order by sqrt((x - 0.1) ** 2 + (y + 0.2) ** 2), id limit 1")
+def nearest_node(v):
+    points = v.embeddings.select(F.concat(F.lit("p"), "vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return TB.nearest(points, 0.1, -0.2).select("id", F.round("distance", 9).alias("distance"))
+
+
+@query(f"{GRAPH_NODES} select count(*) filter (type = 'note')::bigint as papers, count(*) filter (type in ('concept', 'entity'))::bigint as nodes from gn")
+def graph_stats(v):
+    return G.stats(all_nodes(v))
+
+
+@query(f"{pruned(PROVENANCE)} select type, count(*)::bigint as n, string_agg(label, '|' order by label) as labels from gn where id in (select id from k2) and type in ('concept', 'entity') group by type")
+def node_summary(v):
+    n = G.focus_subgraph(all_nodes(v), plain_edges(v), focus(v))[0].filter(F.col("type").isin("concept", "entity"))
+    return n.groupBy("type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("label")), "|").alias("labels"))
+
+
+@query(f"{NODES} select n.node_type, count(*)::bigint as nodes, count(distinct m.paper_slug)::bigint as papers from nodes n left join mentions m on m.node_type = n.node_type and m.node_slug = n.slug group by n.node_type")
+def mirror_counts(v):
+    j = v.nodes.select("node_type", F.col("slug").alias("node_slug")).join(v.mentions, ["node_type", "node_slug"], "left")
+    counted = j.groupBy("node_type").agg(F.count_distinct("paper_slug").alias("papers"))
+    return v.nodes.groupBy("node_type").agg(F.count("*").alias("nodes")).join(counted, "node_type")
+
+
+ORACLE_SQL["mirror_counts"] = f"{NODES} select node_type, (select count(*) from nodes x where x.node_type = n.node_type)::bigint as nodes, (select count(distinct paper_slug) from mentions m join nodes x on x.node_type = m.node_type and x.slug = m.node_slug where m.node_type = n.node_type)::bigint as papers from (select distinct node_type from nodes) n"
+
+# ---- scope ----
+PB = f"""{NODES},
+pf as (select paper_slug, min(folder_id) as folder_id from folder_papers join folders f on f.id = folder_id group by paper_slug),
+pd as (select paper_slug, min(brain_id) as direct from brain_papers group by paper_slug),
+pb as (select p.slug as paper_slug, case when pf.folder_id is not null then f.brain_id else pd.direct end as brain_id
+  from papers p left join pf on pf.paper_slug = p.slug left join folders f on f.id = pf.folder_id left join pd on pd.paper_slug = p.slug),
+nb as (select m.node_type, m.node_slug, list_sort(list_distinct(list(pb.brain_id) filter (pb.brain_id is not null))) as ids
+  from mentions m left join pb on pb.paper_slug = m.paper_slug group by all)"""
+
+
+def brains_of(v: Views) -> DataFrame:
+    return SC.paper_brain(v.papers, v.folders, v.folder_papers, v.brain_papers)
+
+
+@query(f"{PB} select * from pb")
+def paper_brain(v):
+    return brains_of(v)
+
+
+@query(f"{PB} select node_type, node_slug, coalesce(array_to_string(ids, ','), '') as brain_ids from nb")
+def node_brain_ids(v):
+    return SC.node_brain_ids(v.mentions, brains_of(v)).withColumn("brain_ids", F.array_join("brain_ids", ","))
+
+
+@query(f"""{PB} select coalesce(brain_id, 'none') as bucket, 'folder' as kind, id as item from folders
+  union all select coalesce(pd.direct, 'none'), 'paper', p.slug from papers p left join pd on pd.paper_slug = p.slug where p.slug not in (select paper_slug from folder_papers)""")
+def brain_contents(v):
+    return SC.brain_contents(v.papers, v.folders, v.folder_papers, v.brain_papers)
+
+
+@query(f"""{BASE} select 'folder' as kind, id as item, case when brain_id = 'b1' then 'b0' else brain_id end as brain_id from folders
+  union all select distinct 'paper', paper_slug, case when brain_id = 'b1' then 'b0' else brain_id end from brain_papers""")
+def merge_brains(v):
+    f, b = SC.merge_brains(v.folders, v.brain_papers, "b0", "b1")
+    return f.select(F.lit("folder").alias("kind"), F.col("id").alias("item"), "brain_id").unionByName(b.select(F.lit("paper").alias("kind"), F.col("paper_slug").alias("item"), "brain_id"))
+
+
+@query(f"{BASE} select 'folder' as kind, id as item from folders where brain_id = 'b2' union all select 'paper', paper_slug from brain_papers where brain_id = 'b2'")
+def delete_brain_effects(v):
+    return SC.delete_brain_effects(v.folders, v.brain_papers, "b2")
+
+
+@query(f"{BASE} select id, name, nullif(brain_id, 'b2') as brain_id from folders")
+def delete_brain_folders(v):
+    return SC.delete_brain(v.brains, v.folders, v.brain_papers, "b2")[1].select("id", "name", "brain_id")
+
+
+@query(f"{BASE} select id, name from folders where lower(trim(name)) = lower(trim(' FRANCE '))")
+def folder_name_taken(v):
+    return SC.name_taken(v.folders, F.lit(" FRANCE ")).select("id", "name")
+
+
+@query(f"{BASE} select folder_id, paper_slug from folder_papers where paper_slug <> 'o1' union all select 'f3', 'o1'")
+def set_paper_folder(v):
+    return SC.move_paper(v.folder_papers, "o1", "f3")
+
+
+@query(f"{BASE} select distinct paper_slug from folder_papers where folder_id in ('f1', 'f2')")
+def resync_papers(v):
+    return SC.affected_papers(v.folder_papers, ["f1", "f2"])
+
+
+@query(f"{BASE} select folder_id from folder_papers left join (select slug from papers where tag in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')) s on s.slug = paper_slug group by folder_id having bool_and(s.slug is not null)")
+def active_folders(v):
+    chosen = v.papers.filter(F.col("tag").isin("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")).select(F.col("slug").alias("paper_slug"))
+    return SC.active_folders(v.folder_papers, chosen)
+
+
+@query(f"{BASE} select id, name from brains order by id")
+def list_brains(v):
+    return SC.ordered(v.brains.withColumn("created_at", F.lit(None).cast("string"))).select("id", "name")
+
+
+# ---- point lookups and joins ----
+@query(f"{NODES} select distinct m.paper_slug, n.slug, n.display_label from mentions m join nodes n on n.node_type = m.node_type and n.slug = m.node_slug where m.node_type = 'concept'")
+def paper_concepts(v):
+    m = v.mentions.filter("node_type = 'concept'").select("paper_slug", F.col("node_slug").alias("slug")).distinct()
+    return m.join(v.concepts.select("slug", "display_label"), "slug").select("paper_slug", "slug", "display_label")
+
+
+@query(f"{NODES} select distinct concept_slug, node_slug from mentions where node_type = 'entity' and concept_slug in (select slug from concepts)")
+def entities_by_concept(v):
+    m = v.mentions.filter("node_type = 'entity'").join(v.concepts.select(F.col("slug").alias("concept_slug")), "concept_slug", "left_semi")
+    return m.select("concept_slug", "node_slug").distinct()
+
+
+@query(f"{NODES} select distinct node_type, node_slug from mentions where paper_slug = 'o7'")
+def nodes_by_paper(v):
+    return TB.nodes_of_paper(v.mentions, F.lit("o7"))
+
+
+@query(f"{BASE} select slug, coalesce(nullif(title, ''), slug) as title from papers union all select 'missing', 'missing'")
+def paper_titles(v):
+    listed = v.papers.select("slug").union(v.spark.sql("select 'missing' as slug"))
+    return TB.paper_titles(v.papers, listed)
+
+
+@query(f"{BASE} select rel_type, case rel_type when 'USES' then 'A uses B' else rel_type end as description from relation_types")
+def describe_relation_types(v):
+    return TB.described(v.relation_types, v.spark.sql("select 'USES' as rel_type, 'A uses B' as description"))
+
+
+@query(f"{BASE} select rel_type, count(*)::bigint as n from relations_raw where rel_type in (select rel_type from relation_types where rel_type <> 'RELATED') group by rel_type")
+def known_relation_counts(v):
+    return TB.known_relations(v.relations_raw, v.relation_types.filter("rel_type <> 'RELATED'")).groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@query("""select sum(round((c_custkey * 2.0 + c_nationkey * 10.0 + c_custkey * 2.0 * 1.25) / 1000000, 9)) as cost_usd from customer""")
+def ingest_cost(v):
+    usage = v.customer.select(F.lit("m").alias("model"), F.col("c_custkey").alias("input_tokens"), F.col("c_nationkey").alias("output_tokens"), F.col("c_custkey").alias("cache_write_tokens"), F.lit(None).cast("long").alias("cache_read_tokens"))
+    prices = v.spark.sql("select 'm' as model, 2.0d as input_price, 10.0d as output_price")
+    return TB.cost(usage, prices).agg(F.round(F.sum(F.round("cost", 9)), 4).alias("cost_usd"))
+
+
+ORACLE_SQL["ingest_cost"] = "select round(sum(round((c_custkey * 2.0::double + c_nationkey * 10.0::double + c_custkey * 2.5::double) / 1000000, 9)), 4) as cost_usd from customer"
+
+# ---- labels ----
+NORM = "lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9_]+', ' ', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), ' +', ' ', 'g')))"
+PART_KEYS = f"pk as (select distinct {NORM.format('p_name')} as key from part)"
+SHINGLES = "case when length(key) = 0 then []::varchar[] else list_distinct(list_transform(range(1, greatest(length(key) - 2, 1) + 1), lambda i: substr(key, i, 3))) end"
+CRC = """crc as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i::bigint, range(8)::bigint[]),
+  lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from range(256) r(i)))"""
+PERMS = ", ".join(f"({i}, {a}::hugeint, {b}::hugeint)" for i, (a, b) in enumerate(M.permutations()))
+SIGNATURES = f"""{CRC}, perms as (select * from (values {PERMS}) as t(i, a, b)),
+sh as (select key, unnest({SHINGLES}) as s from pk),
+hs as (select key, s, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(encode(s))), lambda i: ('0x' || substr(hex(encode(s)), (2 * i + 1)::int, 2))::bigint)),
+  lambda c, b: xor(c // 256, t[(xor(c % 256, b) + 1)::int])), 4294967295)::hugeint as h from sh, crc),
+sg as (select key, i, min((a * h + b) % 2305843009213693951) as m from hs, perms group by key, i)"""
+MATCHES = """num as (select key, regexp_extract_all(key, '[0-9]+') as n from pk),
+eq as (select x.key as a, y.key as b, count(*) as k from sg x join sg y on x.i = y.i and x.m = y.m and x.key < y.key group by all having count(*) >= 47),
+suf as (select x.key as a, y.key as b from pk x join pk y on x.key <> '' and starts_with(y.key, x.key) and length(y.key) = length(x.key) + 1),
+mp as (select a, b from (select a, b from eq union select a, b from suf) p join num x on x.key = p.a join num y on y.key = p.b where x.n = y.n)"""
+
+
+@query(f"select distinct p_name as label, {NORM.format('p_name')} as key from part union select s_name, {NORM.format('s_name')} from supplier")
+def normalize_labels(v):
+    labels = v.part.select(F.col("p_name").alias("label")).union(v.supplier.select(F.col("s_name").alias("label"))).distinct()
+    return labels.withColumn("key", T.normalize_label(F.col("label")))
+
+
+@query(f"with {PART_KEYS} select key, array_to_string(list_sort({SHINGLES}), '|') as shingles, len({SHINGLES})::bigint as n from pk")
+def label_shingles(v):
+    k = v.part.select(T.normalize_ascii(F.col("p_name")).alias("key")).distinct()
+    s = M.shingles(F.col("key"))
+    return k.select("key", F.array_join(F.array_sort(s), "|").alias("shingles"), F.size(s).cast("long").alias("n"))
+
+
+def part_labels(v: Views) -> DataFrame:
+    return v.part.select(F.col("p_name").alias("label")).distinct()
+
+
+@query(f"with {PART_KEYS}, {SIGNATURES} select key, string_agg(m::varchar, ',' order by i) as signature from sg group by key")
+def label_minhash(v):
+    return R.signed(part_labels(v)).select("key", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("signature"))
+
+
+@query(f"with {PART_KEYS}, {SIGNATURES}, {MATCHES} select a, b from mp")
+def label_match_pairs(v):
+    return R.match_pairs(R.signed(part_labels(v)))
+
+
+CANON = """labels as (select distinct p_name as label, {norm} as key from part),
+e2 as ({edges}),
+edges as (select a, b from e2 union select b, a from e2),
+cc as (with recursive r(v, c) as (select key, key from pk union select e.b, r.c from r join edges e on e.a = r.v) select v, min(c) as c from r group by v),
+best as (select c, min(struct_pack(n := length(label), l := label)) as m from labels join cc on v = key group by c)
+select label, m.l as canonical from labels join cc on v = key join best using (c)"""
+
+
+@query(f"with recursive {PART_KEYS}, {SIGNATURES}, {MATCHES}, {CANON.format(norm=NORM.format('p_name'), edges='select a, b from mp')}")
+def label_canonical(v):
+    return R.canonical_labels(part_labels(v))
+
+
+@query(f"""with recursive {PART_KEYS}, {SIGNATURES}, {MATCHES}, al as (select distinct {NORM.format('p_name')} as key, lower(p_brand) as alias from part where p_partkey % 40 = 1),
+  {CANON.format(norm=NORM.format('p_name'), edges='select a, b from mp union select x.key, y.key from al x join al y on x.alias = y.alias and x.key < y.key')}""")
+def alias_canonical(v):
+    aliases = v.part.filter("p_partkey % 40 = 1").groupBy(F.col("p_name").alias("label")).agg(F.collect_set("p_brand").alias("aliases"))
+    return R.canonical_labels(part_labels(v).join(aliases, "label", "left"))
+
+
+ORACLE_SQL["alias_canonical"] = ORACLE_SQL["alias_canonical"].replace("lower(p_brand)", NORM.format("p_brand"))
+
+
+@query(f"select {NORM.format('p_name')} as key, min('p' || p_partkey) as slug from part group by 1")
+def name_index(v):
+    return R.name_index(v.part.select(F.concat(F.lit("p"), "p_partkey").alias("slug"), F.col("p_name").alias("display_label")))
+
+
+def named_parts(v: Views) -> DataFrame:
+    return v.part.select(F.concat(F.lit("p"), "p_partkey").alias("slug"), F.col("p_name").alias("display_label"))
+
+
+@query(f"""with ix as (select {NORM.format('p_name')} as key, min('p' || p_partkey) as slug from part group by 1),
+  pr as (select distinct upper(replace(p_name, ' ', '--')) as name from part) select name, slug from pr join ix on ix.key = {NORM.format('name')}""")
+def exact_lookup(v):
+    return R.exact_lookup(v.part.select(F.upper(F.replace("p_name", F.lit(" "), F.lit("--"))).alias("name")).distinct(), named_parts(v))
+
+
+@query(f"""with ix as (select {NORM.format('p_name')} as key, min('p' || p_partkey) as slug from part group by 1),
+  pr as (select distinct p_name || 's' as name from part union select 'quite another thing'),
+  hit as (select name, {NORM.format('name')} as k, ix.slug from pr left join ix on ix.key = {NORM.format('name')})
+  select name, coalesce(slug, (select min(slug) from ix where ix.key || 's' = k)) as slug from hit""")
+def fuzzy_lookup_plural(v):
+    """Plural names; their only matches are the singular and names similar enough."""
+    probes = v.part.select(F.concat("p_name", F.lit("s")).alias("name")).distinct().union(v.spark.sql("select 'quite another thing' as name"))
+    return R.fuzzy_lookup(probes, named_parts(v))
+
+
+ORACLE_SQL["fuzzy_lookup_plural"] = f"""with ix as (select {NORM.format('p_name')} as key, min('p' || p_partkey) as slug from part group by 1),
+  pr as (select distinct p_name || 's' as name from part union select 'quite another thing'), pp as (select name, {NORM.format('name')} as key from pr),
+  pk as (select distinct key from (select key from ix union select key from pp)), {SIGNATURES}, {MATCHES},
+  near as (select p.name, min(ix.slug) as slug from pp p join mp on mp.a = p.key or mp.b = p.key join ix on ix.key = case when mp.a = p.key then mp.b else mp.a end group by p.name)
+  select p.name, coalesce(ix.slug, near.slug) as slug from pp p left join ix on ix.key = p.key left join near on near.name = p.name"""
+
+
+@query(f"""with k as (select distinct {NORM.format('s_name')} as key from supplier), s as (select key, regexp_replace(key, '[0-9]+', '#', 'g') as stem, array_to_string(regexp_extract_all(key, '[0-9]+'), ',') as n from k)
+  select x.stem, (select count(*) from s where stem = x.stem)::bigint as keys, count(y.key)::bigint as pairs from s x left join s y on y.stem = x.stem and y.key > x.key and y.n <> x.n group by x.stem""")
+def numeric_guard_blocked(v):
+    return R.numeric_blocked(v.supplier.select(T.normalize_label(F.col("s_name")).alias("key")).distinct())
+
+
+@query(f"""with k as (select distinct {NORM.format('p_name')} as key from part union select distinct {NORM.format("p_name || 's'")} from part where p_partkey % 3 = 0)
+  select x.key as short, y.key as long from k x join k y on x.key = substr(y.key, 1, length(y.key) - 1) and x.key <> '' where regexp_extract_all(x.key, '[0-9]+') = regexp_extract_all(y.key, '[0-9]+')""")
+def suffix_variants(v):
+    k = v.part.select("p_name").union(v.part.filter("p_partkey % 3 = 0").select(F.concat("p_name", F.lit("s"))))
+    return R.suffix_pairs(k.select(T.normalize_label(F.col("p_name")).alias("key")).distinct())
+
+
+@query("""with q as (select 'concept' as type, 'p' || p_partkey as a, 'p' || (p_partkey + 1) as b from part), old as (select a, b from q where substr(a, 2)::int % 5 = 0)
+  select type, a as slug_a, b as slug_b, 'pending' as status from q where not exists (select 1 from old where old.a = q.a and old.b = q.b)""")
+def merge_candidates(v):
+    found = v.part.select(F.lit("concept").alias("type"), F.concat(F.lit("p"), "p_partkey").alias("slug_a"), F.concat(F.lit("p"), F.col("p_partkey") + 1).alias("slug_b"))
+    back = found.select("type", F.col("slug_b").alias("slug_a"), F.col("slug_a").alias("slug_b"))
+    queue = back.filter(F.substring("slug_b", 2, 20).cast("int") % 5 == 0).withColumn("status", F.lit("rejected"))
+    return R.new_candidates(found.unionByName(found), queue)
+
+
+PAIRS = "select 's' || s_suppkey as survivor, 's' || (s_suppkey + 1) as loser from supplier where s_suppkey % 2 = 1 and s_suppkey + 1 in (select s_suppkey from supplier)"
+
+
+@query(f"""{NODES}, mg as ({PAIRS}), em as (select * from mentions where node_type = 'entity'),
+  own as (select distinct node_slug, paper_slug from em)
+  select node_slug, paper_slug, concept_slug from em where node_slug not in (select loser from mg)
+  union all select mg.survivor, em.paper_slug, em.concept_slug from em join mg on em.node_slug = mg.loser
+    where not exists (select 1 from own where own.node_slug = mg.survivor and own.paper_slug is not distinct from em.paper_slug)""")
+def execute_merge_sources(v):
+    s = v.supplier.select("s_suppkey")
+    merges = s.filter("s_suppkey % 2 = 1").select((F.col("s_suppkey") + 1).alias("next"), F.concat(F.lit("s"), "s_suppkey").alias("survivor"))
+    merges = merges.join(s.select(F.col("s_suppkey").alias("next")), "next", "left_semi").select("survivor", F.concat(F.lit("s"), "next").alias("loser"))
+    m = v.mentions.filter("node_type = 'entity'").withColumn("ord", F.lit(0))
+    return R.merge_sources(m, merges).select("node_slug", "paper_slug", "concept_slug")
+
+
+@query(f"""with mg as ({PAIRS}), n as (select 's' || s_suppkey as slug, s_name as label, 'x' || (s_suppkey % 7) as alias from supplier)
+  select n.slug, case when l.slug is null then n.alias else array_to_string(list_sort(list_distinct([n.alias, l.label, l.alias])), '|') end as aliases, r.survivor as redirect_to, l.slug as merged_from
+  from n left join mg on mg.survivor = n.slug left join n l on l.slug = mg.loser left join mg r on r.loser = n.slug""")
+def execute_merge_aliases(v):
+    s = v.supplier
+    n = s.select(F.concat(F.lit("s"), "s_suppkey").alias("slug"), F.col("s_name").alias("display_label"), F.array(F.concat(F.lit("x"), F.col("s_suppkey") % 7)).alias("aliases"), F.lit(None).cast("array<string>").alias("merged_from"), F.lit("").alias("user_notes"), F.lit(None).cast("string").alias("redirect_to"))
+    k = s.select("s_suppkey")
+    merges = k.filter("s_suppkey % 2 = 1").select((F.col("s_suppkey") + 1).alias("next"), F.concat(F.lit("s"), "s_suppkey").alias("survivor"))
+    merges = merges.join(k.select(F.col("s_suppkey").alias("next")), "next", "left_semi").select("survivor", F.concat(F.lit("s"), "next").alias("loser"))
+    out = R.merge_nodes(n, merges, "2024-01-01")
+    return out.select("slug", F.array_join("aliases", "|").alias("aliases"), "redirect_to", F.col("merged_from")[0].alias("merged_from"))
+
+
+# ---- store ----
+@query(f"""{BASE} select from_type, from_slug, rel_type, to_type, to_slug,
+  coalesce(first(nullif(rationale, '') order by paper_slug, rationale) filter (rationale <> ''), '') as rationale,
+  array_to_string(list_sort(list_distinct(list(paper_slug))), '|') as sources from relations_raw group by all""")
+def relation_upsert(v):
+    return ST.upsert_relations(v.relations_raw).withColumn("sources", F.array_join("sources", "|"))
+
+
+ORACLE_SQL["relation_upsert"] = ORACLE_SQL["relation_upsert"].replace("group by all", "group by from_type, from_slug, rel_type, to_type, to_slug")
+
+
+@query(f"""{BASE}, r as (select *, rel_type in (select rel_type from relation_types where "symmetric") and (from_type > to_type or (from_type = to_type and from_slug > to_slug)) as swap from relations_raw)
+  select case when swap then to_type else from_type end as from_type, case when swap then to_slug else from_slug end as from_slug, rel_type,
+  case when swap then from_type else to_type end as to_type, case when swap then from_slug else to_slug end as to_slug, rationale, paper_slug from r""")
+def relation_symmetric(v):
+    return ST.symmetric(v.relations_raw, v.relation_types)
+
+
+@query(f"{BASE} select * from relations_raw where not (from_type = 'concept' and from_slug like 'p1%') and not (to_type = 'concept' and to_slug like 'p1%')")
+def remove_relations_targeting(v):
+    gone = v.nodes.filter("node_type = 'concept' and slug like 'p1%'")
+    return ST.delete_nodes(v.nodes, v.mentions, v.relations_raw, gone)[2]
+
+
+MENTIONS = "mm as (select distinct node_type, node_slug, paper_slug, null::varchar as paper_title, concept_slug from mentions)"
+
+
+def all_mentions(v: Views) -> DataFrame:
+    return v.mentions.distinct().select("node_type", "node_slug", "paper_slug", F.lit(None).cast("string").alias("paper_title"), "concept_slug")
+
+
+@query(f"""{NODES}, {MENTIONS}, rq as (select 'concept' as node_type, slug as node_slug, 'o1' as paper_slug, 'one' as paper_title from concepts where slug like 'p2%'),
+  up as (select node_type, node_slug, paper_slug, paper_title, case when node_type = 'concept' and node_slug like 'p2%' and paper_slug = 'o1' then null else concept_slug end as concept_slug from mm
+    union all select node_type, node_slug, paper_slug, paper_title, null from rq where not exists (select 1 from mm where mm.node_type = 'concept' and mm.node_slug = rq.node_slug and mm.paper_slug = 'o1'))
+  select node_type, node_slug, case when node_type = 'entity' and paper_slug is null and concept_slug in (select node_slug from rq) then 'o1' else paper_slug end as paper_slug,
+    case when node_type = 'entity' and paper_slug is null and concept_slug in (select node_slug from rq) then 'one' else paper_title end as paper_title, concept_slug from up""")
+def link_node(v):
+    rq = v.concepts.filter("slug like 'p2%'").select(F.lit("concept").alias("node_type"), F.col("slug").alias("node_slug"), F.lit("o1").alias("paper_slug"), F.lit("one").alias("paper_title"), F.lit(None).cast("string").alias("concept_slug"))
+    return ST.link(all_mentions(v), rq)
+
+
+@query(f"""{NODES}, {MENTIONS} select node_type, node_slug, case when node_type = 'entity' and paper_slug is null and concept_slug like 'p3%' then 'o5' else paper_slug end as paper_slug,
+  case when node_type = 'entity' and paper_slug is null and concept_slug like 'p3%' then 'five' else paper_title end as paper_title, concept_slug from mm""")
+def propagate_paper(v):
+    links = all_mentions(v).filter("concept_slug like 'p3%'").select(F.col("concept_slug").alias("node_slug"), F.lit("o5").alias("paper_slug"), F.lit("five").alias("paper_title")).distinct()
+    return ST.propagate(all_mentions(v), links)
+
+
+@query(f"""{NODES}, mm as (select distinct * from mentions), rq as (select distinct node_slug, paper_slug from concept_mentions where node_slug like '%3'
+    union select distinct concept_slug, paper_slug from entity_mentions where concept_slug like 'p%3' and paper_slug is not null),
+  l as (select * from mm where not (node_type = 'concept' and exists (select 1 from rq where rq.node_slug = mm.node_slug and rq.paper_slug = mm.paper_slug))),
+  j as (select l.*, node_type = 'entity' and exists (select 1 from rq where rq.node_slug = l.concept_slug and rq.paper_slug = l.paper_slug) as cut from l)
+  select distinct node_type, node_slug, case when not cut then paper_slug end as paper_slug, concept_slug from j
+  where not (cut and exists (select 1 from j o where not o.cut and o.node_type = j.node_type and o.node_slug = j.node_slug and o.concept_slug = j.concept_slug))""")
+def unlink_paper(v):
+    a = v.concept_mentions.filter("node_slug like '%3'").select("node_slug", "paper_slug")
+    b = v.entity_mentions.filter("concept_slug like 'p%3' and paper_slug is not null").select(F.col("concept_slug").alias("node_slug"), "paper_slug")
+    return ST.unlink_paper(v.mentions.distinct(), a.union(b).distinct().withColumn("node_type", F.lit("concept")))
+
+
+@query(f"{NODES} select * from mentions where not (node_type = 'entity' and concept_slug is not null and concept_slug like 'p1%')")
+def unlink_concept(v):
+    rq = v.entity_mentions.filter("concept_slug like 'p1%'").select("node_slug", "concept_slug").distinct()
+    return ST.unlink_concept(v.mentions, rq)
+
+
+@query(f"""{NODES}, l as (select * from mentions where paper_slug is null or paper_slug not like 'o1%')
+  select distinct node_type, node_slug, not exists (select 1 from l where l.node_type = m.node_type and l.node_slug = m.node_slug) as deleted from mentions m where paper_slug like 'o1%'""")
+def remove_source(v):
+    return ST.remove_paper(v.mentions, v.papers.filter("slug like 'o1%'").select(F.col("slug").alias("paper_slug")))[1]
+
+
+@query(f"""{NODES}, g as (select 'concept' as node_type, slug from concepts where slug like 'p5%' union select 'entity', node_slug from entity_mentions where concept_slug in (select slug from concepts where slug like 'p5%'))
+  select node_type, slug, display_label from nodes n where not exists (select 1 from g where g.node_type = n.node_type and g.slug = n.slug)""")
+def delete_cascade(v):
+    gone = v.nodes.filter("node_type = 'concept' and slug like 'p5%'")
+    return ST.delete_nodes(v.nodes, v.mentions, v.relations_raw, gone, cascade=True)[0]
+
+
+@query("select conv_id, string_agg(text, chr(10) order by turn) as notes, rtrim(string_agg(text, chr(10) order by turn)) || chr(10) || chr(10) || 'added' as new_notes from conversations group by conv_id")
+def user_notes_append(v):
+    c = v.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("notes"))
+    return c.withColumn("new_notes", ST.append_note(F.col("notes"), F.lit("added")))
+
+
+# ---- text ----
+@query(r"select o_orderkey, coalesce(nullif(trim(substr(trim(regexp_replace(regexp_replace(o_orderpriority || ': a/b – ' || o_orderstatus, '[^A-Za-z0-9 \-_.,()'']', ' ', 'g'), ' +', ' ', 'g')), 1, 70)), ''), 'untitled') as slug from orders")
+def slugify_titles(v):
+    return v.orders.select("o_orderkey", T.slugify(F.concat("o_orderpriority", F.lit(": a/b – "), "o_orderstatus")).alias("slug"))
+
+
+@query("select doc_id, first_id from (select doc_id, min(doc_id) over (partition by text) as first_id from documents) where doc_id <> first_id")
+def text_hash_duplicates(v):
+    h = v.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    first = h.groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    return h.join(first, "h").filter("doc_id <> first_id").select("doc_id", "first_id")
+
+
+@query('''select page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::bigint as n_links, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))), '|') as links from pages''')
+def html_links(v):
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    return v.pages.select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(F.array_sort(F.array_distinct(links)), "|").alias("links"))
+
+
+BODIES = "(select 1 as id, 'see [[a]] [[a|b]] [[ c ]] [[d.excalidraw]] ![[e.png]] ![alt](img/y.png) ![](z.jpg)' as body union all select 2, 'none' union all select 3, '[[x#h]] [[a]]')"
+
+
+@query(f"select id, t as target from (select id, unnest(list_distinct(list_transform(regexp_extract_all(body, '!?\\[\\[([^\\]|#]+)(?:\\|[^\\]]+)?\\]\\]', 1), lambda x: trim(x)))) as t from {BODIES}) order by id")
+def wikilinks(v):
+    return v.spark.sql(f"select * from {BODIES}").select("id", F.explode(T.wikilinks(F.col("body"))).alias("target"))
+
+
+@query(f"select id, unnest(regexp_extract_all(body, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) as path from {BODIES}")
+def md_images(v):
+    return v.spark.sql(f"select * from {BODIES}").select("id", F.explode(T.md_images(F.col("body"))).alias("path"))
+
+
+@query("select doc_id, trim(replace(replace(text, '|', '\\|'), chr(10), ' ')) as cell from documents")
+def table_cells(v):
+    return v.documents.select("doc_id", T.table_cell(F.col("text")).alias("cell"))
+
+
+@query(f"""{NODES}, s as (select node_slug, count(paper_slug)::bigint as n, string_agg('- [[' || paper_slug || '|' || paper_slug || ']]', chr(10) order by paper_slug) as l from concept_mentions group by node_slug)
+  select slug, '# ' || display_label || chr(10) || chr(10) || '**Other names**: none' || chr(10) || chr(10) || '**Categories**: ' || category || chr(10) || chr(10) || '**Papers**: ' || coalesce(n, 0) || coalesce(chr(10) || l, '') as content
+  from concepts left join s on s.node_slug = slug""")
+def render_node_md(v):
+    src = v.concept_mentions.groupBy(F.col("node_slug").alias("slug")).agg(F.array_sort(F.collect_list(F.struct(F.col("paper_slug").alias("slug"), F.lit(None).cast("string").alias("title")))).alias("sources"))
+    c = v.concepts.join(src, "slug", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<struct<slug: string, title: string>>")))
+    none = F.array().cast("array<string>")
+    return c.select("slug", vault.render_node(F.col("display_label"), F.lit("concept"), none, F.array("category"), F.col("sources"), F.lit(None), F.lit(None)).alias("content"))
+
+
+@query()
+def strip_references(v):
+    rows = "\n".join(f"line {i} of the text" for i in range(8))
+    late, early = f"{rows}\nmore\n 7. References:\n[1] a\n[2] b", f"References\n{rows}\n{rows}"
+    return v.spark.createDataFrame([(1, late), (2, early), (3, rows)], "id int, text string").select("id", T.strip_references(F.col("text")).alias("text"))
+
+
+# ---- retrieval ----
+VEC = """vec as (select case when vec_id % 2 = 0 then 'concept' else 'entity' end as node_type, 'v' || vec_id as node_slug, embedding::double[] as e from embeddings),
+qq as (select embedding::double[] as q from embeddings where vec_id = (select min(vec_id) from embeddings)),
+sc as (select node_type, node_slug, round(list_cosine_similarity(e, q), 6) as score from vec, qq),
+top as (select * from (select *, row_number() over (partition by node_type order by score desc, node_slug) as n from sc) where n <= 10),
+vh as (select node_type, node_slug, score, row_number() over (order by score desc, node_type, node_slug) as rank from top)"""
+ASK = "the nation of erthan"
+BM = """tok as (select id, node_type, node_slug, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as t from dd),
+st as (select count(*)::double as n_docs, avg(len(t)) as avg_len from tok),
+tf as (select id, len(t) as len, w as term, len(list_filter(t, lambda x: x = w)) as tf from tok, (select unnest(['the', 'nation', 'of', 'erthan']) as w) where len(list_filter(t, lambda x: x = w)) > 0),
+df as (select term, count(*) as df from tf group by term),
+bs as (select id, round(sum(ln(1 + (n_docs - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * len / avg_len))), 6) as score from tf join df using (term), st group by id),
+bh as (select id, score, row_number() over (order by score desc, id) as rank from bs)"""
+DOCS = "dd as (select doc_id as id, case when doc_id % 2 = 0 then 'concept' else 'entity' end as node_type, 'v' || doc_id as node_slug, text from documents)"
+
+
+def vectors(v: Views) -> DataFrame:
+    return v.embeddings.select(F.when(F.col("vec_id") % 2 == 0, "concept").otherwise("entity").alias("node_type"), F.concat(F.lit("v"), "vec_id").alias("node_slug"), "embedding")
+
+
+def question(v: Views) -> DataFrame:
+    return v.embeddings.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
+
+
+def documents(v: Views) -> DataFrame:
+    return v.documents.select(F.when(F.col("doc_id") % 2 == 0, "concept").otherwise("entity").alias("node_type"), F.concat(F.lit("v"), "doc_id").alias("node_slug"), "text", F.col("doc_id").alias("id"))
+
+
+@query(f"with {VEC} select * from vh")
+def vector_topk(v):
+    return SE.vector_hits(vectors(v), question(v))
+
+
+@query(f"with {DOCS}, {BM} select * from bh where rank <= 10")
+def fulltext_bm25(v):
+    return SE.bm25(documents(v), ASK)
+
+
+RRF = """both_lists as (select node_type, node_slug, rank from vh union all select node_type, node_slug, row_number() over (order by score desc, node_type, node_slug) from (select node_type, node_slug, score from bs join dd using (id) {where} order by score desc, node_type, node_slug limit 10)),
+fused as (select node_type, node_slug, round(sum(1.0::double / (60 + rank)), 9) as score from both_lists group by all)
+select *, row_number() over (order by score desc, node_type, node_slug) as rank from fused qualify rank <= 10"""
+
+
+@query(f"with {VEC}, {DOCS}, {BM}, {RRF.format(where='')}")
+def rrf_fusion(v):
+    return SE.hybrid(vectors(v), question(v), documents(v).drop("id"), ASK)
+
+
+BRAIN = "nbr as (select 'concept' as node_type, 'v' || vec_id as node_slug from embeddings where vec_id % 3 = 0 union all select 'entity', 'v' || vec_id from embeddings where vec_id % 3 = 0)"
+
+
+@query(f"""with {VEC.replace('vh as (', 'vh0 as (')}, {BRAIN}, vh as (select node_type, node_slug, row_number() over (order by rank) as rank from vh0 semi join nbr using (node_type, node_slug)),
+  {DOCS.replace('from documents)', "from documents where doc_id in (select vec_id from embeddings where vec_id % 3 = 0))")}, {BM}, {RRF.format(where='')}""")
+def hybrid_search_brain(v):
+    k = v.embeddings.filter("vec_id % 3 = 0").select(F.concat(F.lit("v"), "vec_id").alias("node_slug"), F.array(F.lit("b1")).alias("brain_ids"))
+    ids = k.withColumn("node_type", F.explode(F.array(F.lit("concept"), F.lit("entity"))))
+    return SE.hybrid(vectors(v), question(v), documents(v).drop("id"), ASK, brain_ids=ids, brain="b1")
+
+
+LINKS = f"""{EDGES}, ge as (select src_type, src_slug, dst_type, dst_slug, null::varchar as relation from mirror
+  union all select distinct from_type, from_slug, to_type, to_slug, rel_type from relations_raw r
+    where exists (select 1 from nodes n where n.node_type = r.from_type and n.slug = r.from_slug) and exists (select 1 from nodes n where n.node_type = r.to_type and n.slug = r.to_slug)),
+bw as (select src_type as seed_type, src_slug as seed_slug, dst_type as node_type, dst_slug as node_slug, relation, case when relation is not null then 'outgoing' end as direction from ge
+  union all select dst_type, dst_slug, src_type, src_slug, relation, case when relation is not null then 'incoming' end from ge),
+seeds as (select 'entity' as seed_type, 's' || s_suppkey as seed_slug from supplier where s_suppkey <= 3)"""
+
+
+def graph_links(v: Views) -> DataFrame:
+    a = G.mirror_edges(v.papers, v.concepts, v.entities, v.concept_mentions, v.entity_mentions).withColumn("relation", F.lit(None).cast("string"))
+    r = v.relations_raw.select(F.col("from_type").alias("src_type"), F.col("from_slug").alias("src_slug"), F.col("to_type").alias("dst_type"), F.col("to_slug").alias("dst_slug"), F.col("rel_type").alias("relation")).distinct()
+    side = lambda t, s: v.nodes.select(F.col("node_type").alias(t), F.col("slug").alias(s))
+    return a.unionByName(r.join(side("src_type", "src_slug"), ["src_type", "src_slug"], "left_semi").join(side("dst_type", "dst_slug"), ["dst_type", "dst_slug"], "left_semi"))
+
+
+def seeds(v: Views) -> DataFrame:
+    return v.supplier.filter("s_suppkey <= 3").select(F.lit("entity").alias("seed_type"), F.concat(F.lit("s"), "s_suppkey").alias("seed_slug"))
+
+
+@query(f"{LINKS} select bw.* from bw join seeds using (seed_type, seed_slug)")
+def neighbors_all(v):
+    return SE.neighbors_all(seeds(v), graph_links(v)).select("seed_type", "seed_slug", "node_type", "node_slug", "relation", "direction")
+
+
+TYPE_VEC = "tv as (select t.rel_type, e.embedding::double[] as e from (select rel_type, row_number() over (order by rel_type) as i from relation_types) t join (select embedding, row_number() over (order by vec_id) + 0 as i from embeddings) e using (i))"
+ROUTE = "qq as (select embedding::double[] as q from embeddings order by vec_id desc limit 1), rt as (select rel_type, round(list_cosine_similarity(e, q), 6) as type_score from tv, qq order by 2 desc, 1 limit 3)"
+
+
+def type_vectors(v: Views) -> DataFrame:
+    few = v.embeddings.orderBy("vec_id").limit(12).select(F.row_number().over(SE.Window.orderBy("vec_id")).alias("i"), "embedding")
+    return v.relation_types.select(F.row_number().over(SE.Window.orderBy("rel_type")).alias("i"), "rel_type").join(few, "i").select("rel_type", "embedding")
+
+
+def last_question(v: Views) -> DataFrame:
+    return v.embeddings.orderBy(F.desc("vec_id")).limit(1).select(F.col("embedding").alias("q"))
+
+
+@query(f"{BASE}, {TYPE_VEC}, {ROUTE} select * from rt")
+def route_relation_types(v):
+    return SE.route(type_vectors(v), last_question(v))
+
+
+NODE_VEC = """nv as (select n.node_type, n.slug as node_slug, e.embedding::double[] as e from nodes n join embeddings e
+  on e.vec_id = (case when n.node_type = 'concept' then substr(n.slug, 2)::int % 400 else substr(n.slug, 2)::int % 97 end))"""
+ROUTED = """nr as (select *, count(*) over (partition by seed_type, seed_slug) as total, row_number() over (partition by seed_type, seed_slug order by score desc, node_type, node_slug, relation, direction) as n
+  from (select bw.seed_type, bw.seed_slug, node_type, node_slug, relation, direction, round(type_score * list_cosine_similarity(e, q), 4) as score
+    from bw join rt on rt.rel_type = bw.relation join nv using (node_type, node_slug), qq{join}))"""
+
+
+def node_vectors(v: Views) -> DataFrame:
+    n = v.nodes.withColumn("vec_id", F.expr("substring(slug, 2)").cast("int") % F.when(F.col("node_type") == "concept", 400).otherwise(97))
+    return n.join(v.embeddings, "vec_id").select("node_type", F.col("slug").alias("node_slug"), "embedding")
+
+
+@query(f"{LINKS}, {TYPE_VEC}, {ROUTE}, {NODE_VEC}, {ROUTED.format(join='')} select nr.* from nr join seeds using (seed_type, seed_slug) where n <= 5")
+def neighbors_routed(v):
+    return SE.neighbors_routed(seeds(v), graph_links(v), SE.route(type_vectors(v), last_question(v)), node_vectors(v), last_question(v))
+
+
+@query(f"""{LINKS}, {TYPE_VEC}, {ROUTE}, {NODE_VEC}, {ROUTED.format(join='')},
+  via as (select distinct seed_type, seed_slug, node_type as via_type, node_slug as via_slug from nr join seeds using (seed_type, seed_slug) where n <= 2)
+  select via.*, nr.node_type, nr.node_slug, nr.relation, nr.direction, nr.score from via join nr on nr.seed_type = via.via_type and nr.seed_slug = via.via_slug where nr.n <= 5""")
+def neighbors_hop2(v):
+    routed, q, vec, links = SE.route(type_vectors(v), last_question(v)), last_question(v), node_vectors(v), graph_links(v)
+    first = SE.neighbors_routed(seeds(v), links, routed, vec, q)
+    return SE.second_hop(first, links, routed, vec, q, 2).select("seed_type", "seed_slug", "via_type", "via_slug", "node_type", "node_slug", "relation", "direction", "score")
+
+
+@query(f"""{LINKS}, {VEC.replace("'v' || vec_id", "'p' || vec_id").replace("case when vec_id % 2 = 0 then 'concept' else 'entity' end", "'concept'")},
+  hits as (select node_type as seed_type, node_slug as seed_slug, rank from vh)
+  select h.seed_type, h.seed_slug, h.rank, bw.node_type, bw.node_slug, bw.relation, bw.direction from hits h left join bw using (seed_type, seed_slug)""")
+def hybrid_search(v):
+    """Vector hits with all that surrounds them, in one plan."""
+    vec = v.embeddings.select(F.lit("concept").alias("node_type"), F.concat(F.lit("p"), "vec_id").alias("node_slug"), "embedding")
+    hits = SE.vector_hits(vec, question(v)).select(F.col("node_type").alias("seed_type"), F.col("node_slug").alias("seed_slug"), "rank")
+    around = SE.neighbors_all(hits, graph_links(v))
+    return hits.join(around, ["seed_type", "seed_slug"], "left").select("seed_type", "seed_slug", "rank", "node_type", "node_slug", "relation", "direction")
+
+
+@query()
+def resolve_batch(v):
+    """Names of parts arrive in order; each one meets the nodes made before it."""
+    p = v.part.filter("p_partkey <= 60").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("label"), F.array().cast("array<string>").alias("aliases"), F.concat(F.lit("o"), "p_partkey").alias("paper_slug"), F.lit(None).cast("string").alias("paper_title"), F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("at"))
+    nodes, _ = R.resolve_batch(v.spark, p, "concept")
+    return nodes.select("slug", "display_label", F.array_join("aliases", "|").alias("aliases"), F.size("papers").cast("long").alias("n_papers"))
+
+
+@query()
+def stream_ingest(v):
+    """A stream of two extractions, drained into Parquet."""
+    import json
+    import tempfile
+
+    from .streaming import ingest
+
+    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="latticework-")
+    run = f"{base.rstrip('/')}/latticework/stream-{__import__('uuid').uuid4().hex}"
+    rows = [{"paper_slug": f"p{i}", "title": f"Paper {i}", "concepts": [{"id": "c1", "label": "Self-Attention"}], "entities": [{"id": "e1", "label": f"Model {i}", "concept_id": "c1"}]} for i in (1, 2)]
+    v.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").write.text(f"{run}/inbox")
+    ingest.start(v.spark, f"{run}/inbox", f"{run}/out", f"{run}/state").awaitTermination()
+    return v.spark.read.parquet(f"{run}/out/mentions").drop("batch")
