@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 SIZE = 5
-SLICE = 1 << 22
+SLICE = 1 << 20
 LONG_WORD = 64
 U = np.uint64
 _rng = np.random.default_rng(20240229)
