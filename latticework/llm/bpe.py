@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from .common import table, text_udf
 
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE_WORDS = 120_000
+CACHE_WORDS = 80_000
 #: Characters up to here (Latin, Greek, Cyrillic) and common punctuation have had the same categories for many
 #: Unicode versions; texts with others are composed and cut by the library, whose tables rule.
 COMMON = 0x52F

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +86,38 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+#: Texts of a batch that are Python objects at one time.
+SLICE_ROWS = 500
+
+
+def tidy() -> None:
+    """Give memory back that a worker no longer uses: workers live on, and what they hold would add up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with this C library
+        pass
+
+
+def tidied(batches_to_batches: Callable) -> Callable:
+    """The same function over batches, with ``tidy`` after each of its results and at its end."""
+
+    @wraps(batches_to_batches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in batches_to_batches(batches):
+            yield out
+            tidy()
+        tidy()
+
+    return run
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_udf(make, kind: str):
     """Arrow UDF over whole texts. ``make()`` gives, once per batch, a function from a str to a tuple in the order of ``kind``.
 
@@ -93,7 +128,8 @@ def text_udf(make, kind: str):
     def run(texts: pa.Array) -> pa.Array:
         one = make()
         target = run_type
-        rows = [one("" if t is None else t) for t in texts.to_pylist()]
+        rows = [one("" if t is None else t) for at in range(0, len(texts), SLICE_ROWS) for t in texts.slice(at, SLICE_ROWS).to_pylist()]
+        tidy()
         cols = list(zip(*rows, strict=True)) if rows else [[] for _ in target]
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], fields=list(target))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_udf
+from .common import SLICE_ROWS, stored, table, text_udf, tidy
 
 BROADCAST_HOSTS = 100_000
 #: Elements nested deeper share the path of their ancestor.
@@ -250,7 +250,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
 
     @F.arrow_udf("string")
     def run(texts: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([extract(t or "", p) for t, p in zip(texts.to_pylist(), paths.to_pylist(), strict=True)], pa.string())
+        out = [extract(t or "", p) for at in range(0, len(texts), SLICE_ROWS) for t, p in zip(texts.slice(at, SLICE_ROWS).to_pylist(), paths.slice(at, SLICE_ROWS).to_pylist(), strict=True)]
+        tidy()
+        return pa.array(out, pa.string())
 
     found = rows.join(F.broadcast(winners) if few else winners, "host", "left").select("id", "url", run("html", "path").alias("text"))
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .anchors import LENGTH, stretches
-from .common import stored, table
+from .common import slices, stored, table, tidied
 from .induced import suffix_array
 from .shingles import U, mix
 
 SHARD_BYTES = 4_000_000
-BATCH_BYTES = 24_000_000
+BATCH_BYTES = 16_000_000
 COLUMNS = ["repeat", "h", "c", "v", "a", "n"]
 
 
@@ -54,7 +54,7 @@ def ranges_merged(a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Ids and bytes of documents, about ``most`` bytes at a time."""
     ids, data, size = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for v, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             b = (t or "").encode("utf-8", "surrogatepass")
             ids.append(v)
@@ -94,7 +94,7 @@ def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Input: v, text, open (array of a, n, h). Output: h, v, a, bytes of the stretch."""
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for v, t, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             data = t.encode("utf-8", "surrogatepass")
@@ -178,7 +178,7 @@ FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Input: id, text, spans (array of a, n, or null). Output: ``FIELDS``."""
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for i, t, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             data = (t or "").encode("utf-8", "surrogatepass")
@@ -202,7 +202,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     """``v``, ``a``, ``n``: runs of n windows from byte a of a document of which each also starts earlier."""
     spark = rows.sparkSession
     texts = rows.select("v", "text")
-    made = texts.mapInArrow(stretch_rows, "repeat boolean, h long, c long, v long, a long, n long")
+    made = texts.mapInArrow(tidied(stretch_rows), "repeat boolean, h long, c long, v long, a long, n long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = made.repartition(parts, "h")
     w = Window.partitionBy("h").orderBy("c", "v", "a")
@@ -219,16 +219,16 @@ def repeats(rows: DataFrame) -> DataFrame:
         return known
     shards = max(1, -(-size // SHARD_BYTES), min(parts, size // 200_000))
     listed = unclear.groupBy("v").agg(F.collect_list(F.struct("a", "n", "h")).alias("open"))  # at most a document's own stretches
-    pieces = texts.join(listed, "v").select("v", "text", "open").mapInArrow(cut_out, "h long, v long, a long, piece binary")
+    pieces = texts.join(listed, "v").select("v", "text", "open").mapInArrow(tidied(cut_out), "h long, v long, a long, piece binary")
     dealt = pieces.repartition(int(shards), "h").sortWithinPartitions("h", "v", "a")
-    return known.unionAll(dealt.mapInArrow(sort_shards, "v long, a long, n long"))
+    return known.unionAll(dealt.mapInArrow(tidied(sort_shards), "v long, a long, n long"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row per document: ``FIELDS``."""
     rows = numbered(docs, text, id_col)
     found = repeats(rows).groupBy("v").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
-    return rows.join(found, "v", "left").select("id", "text", "spans").mapInArrow(digest_rows, FIELDS).withColumnRenamed("doc_id", id_col)
+    return rows.join(found, "v", "left").select("id", "text", "spans").mapInArrow(tidied(digest_rows), FIELDS).withColumnRenamed("doc_id", id_col)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
