@@ -22,7 +22,8 @@ def top(rows: DataFrame, k: int, *order: Column, by: str | None = None, rank: st
     if by is None:
         rows = rows.orderBy(*order).limit(k)
     w = Window.partitionBy(by if by else F.lit(0)).orderBy(*order)
-    return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    # the filter stands right above the window, so that Spark cuts each group to k rows before it shuffles
+    return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
 def vector_hits(vectors: DataFrame, query: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -32,7 +33,7 @@ def vector_hits(vectors: DataFrame, query: DataFrame, k: int = TOP_K) -> DataFra
     order = [F.desc("score"), F.col("node_slug")]
     best = top(scored, k, *order, by="node_type", rank="n").drop("n")
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "node_type", "node_slug")  # at most k rows for each type
-    return best.withColumn("rank", F.row_number().over(w))
+    return best.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def terms(text: Column) -> Column:
@@ -96,7 +97,7 @@ def neighbors_routed(seeds: DataFrame, edges: DataFrame, routed: DataFrame, vect
     w = Window.partitionBy("seed_type", "seed_slug")
     order = w.orderBy(F.desc("score"), "node_type", "node_slug", "relation", "direction")
     ranked = scored.withColumns({"total": F.count("*").over(w), "n": F.row_number().over(order)}).filter(F.col("n") <= max(1, cap))
-    return ranked.select("seed_type", "seed_slug", "node_type", "node_slug", "relation", "direction", "score", "total", "n")
+    return ranked.select("seed_type", "seed_slug", "node_type", "node_slug", "relation", "direction", "score", "total", F.col("n").cast("long").alias("n"))
 
 
 def second_hop(first: DataFrame, edges: DataFrame, routed: DataFrame, vectors: DataFrame, query: DataFrame, hop2: int, cap: int = NEIGHBOR_CAP) -> DataFrame:
