@@ -88,6 +88,15 @@ def fresh(df: DataFrame, base: str) -> str:
 
 #: Texts of a batch that are Python objects at one time.
 SLICE_ROWS = 500
+#: Rows of an Arrow batch between the JVM and Python. Spark's own 10,000 rows are made for narrow ones; of whole texts they fill memory on both sides.
+BATCH_ROWS, BATCH_KEY, BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches() -> None:
+    """Make this session's Arrow batches small, unless its owner has chosen a size."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
 def tidy() -> None:
@@ -102,6 +111,8 @@ def tidy() -> None:
 def tidied(batches_to_batches: Callable) -> Callable:
     """The same function over batches, with ``tidy`` after each of its results and at its end."""
 
+    small_batches()
+
     @wraps(batches_to_batches)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in batches_to_batches(batches):
@@ -123,6 +134,7 @@ def text_udf(make, kind: str):
 
     A null text reaches the function as "".
     """
+    small_batches()
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, stored, table, text_udf, tidy
+from .common import SLICE_ROWS, small_batches, stored, table, text_udf, tidy
 
 BROADCAST_HOSTS = 100_000
 #: Elements nested deeper share the path of their ancestor.
@@ -247,6 +247,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
     winners = stored(host_paths(rows), "hosts")
     few = winners.count() <= broadcast_hosts
+    small_batches()
 
     @F.arrow_udf("string")
     def run(texts: pa.Array, paths: pa.Array) -> pa.Array:

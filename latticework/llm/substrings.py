@@ -6,12 +6,13 @@ A byte goes if a string of 100 bytes that covers it also starts earlier (in a do
    stretches keep their first one, the others are repeats at once, so a hot passage reaches the shuffle once for each batch.
 2. Stretches meet by the hash of their anchor. Equal stretches: all but the first are repeats. A stretch whose anchor occurs in other
    surroundings too is open: part of its windows may be repeated, or first.
-3. Open stretches are cut out of their documents and dealt to shards by anchor, so equal windows share a shard. Each shard is sorted by external
+3. Open stretches are cut out of their documents and dealt to shards by anchor, so equal windows share a shard. There, windows whose hash comes
+   once are left out. Each shard is sorted by external
    induction (see ``induced``): disk-backed queues carry suffixes and common prefixes. Neighbours in suffix order with a common
    prefix of 100 or more are equal windows; the earliest stays, the others are repeats.
 4. Repeats are merged per document and its bytes without them are kept.
 
-The anchors are a lossless sieve: equal windows have equal anchors, so step 3 sees all windows whose fate isn't clear. Sorting all
+Anchors and hashes are lossless sieves: equal windows have equal ones, so the sort sees all windows whose fate isn't clear. Sorting all
 suffixes of all documents instead would need more disk than there is (5 bytes and more of suffix array for each byte of text).
 Equality of whole stretches is that of two 64-bit hashes; equality of windows is by their bytes.
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .anchors import LENGTH, stretches
+from .anchors import LENGTH, PIECE, spans, stretches, sums
 from .common import slices, stored, table, tidied
 from .induced import suffix_array
 from .shingles import U, mix
@@ -103,8 +104,36 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "v", "a", "piece"])
 
 
+def repeated_parts(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, windows): runs of windows whose hash comes twice or more in the shard. Equal windows have equal hashes, so the others need no sorting."""
+    sizes = np.array([len(p) for p in pieces])
+    blob = np.frombuffer(b"".join(pieces), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    hashes = np.concatenate([spans(sums(part), i := np.arange(len(part) - LENGTH + 1), i + LENGTH) for at in range(0, len(blob) - LENGTH + 1, PIECE) if len(part := blob[at : at + PIECE + LENGTH - 1]) >= LENGTH])
+    windows = sizes - LENGTH + 1  # each piece holds a window at least
+    place = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    h = hashes[place]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    at = place[twice]
+    piece = np.searchsorted(starts, at, side="right") - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1])
+    first = np.flatnonzero(new)
+    return piece[first], at[first] - starts[piece[first]], np.diff(np.append(first, len(at)))
+
+
 def shard_repeats(v: np.ndarray, a: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(v, start, windows) of the windows of a shard that an earlier one of it equals."""
+    which, start, count = repeated_parts(pieces)
+    if not len(which):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    v, a = v[which], a[which] + start
+    pieces = [pieces[k][s : s + c + LENGTH - 1] for k, s, c in zip(which.tolist(), start.tolist(), count.tolist(), strict=True)]
     sizes = np.array([len(p) for p in pieces])
     # symbol 0 between pieces, so a common prefix of 100 symbols can't cross from one window into another piece unnoticed
     text = np.frombuffer(b"\0".join([p for p in pieces]) + b"\0", np.uint8).astype(np.int32) + 1
@@ -118,7 +147,7 @@ def shard_repeats(v: np.ndarray, a: np.ndarray, pieces: list[bytes]) -> tuple[np
     if not len(at):
         z = np.zeros(0, np.int64)
         return z, z, z
-    low = np.minimum.reduceat(prefix, np.concatenate(([0], at[:-1] + 1)))[: len(at)]
+    low = np.minimum.reduceat(prefix[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
     group = np.cumsum(low < LENGTH)
     piece, offset = piece[at], order[at] - starts[piece[at]]
     wv, wa = v[piece], a[piece] + offset

@@ -88,6 +88,22 @@ def test_removed_bytes_against_brute_force(spark, odd_docs, no_docs):
     assert substrings.deduplicate(no_docs).count() == 0
 
 
+def test_shard_with_a_repeat_at_the_very_end_of_suffix_order():
+    rng = random.Random(8)
+    for _ in range(60):
+        window = "".join(rng.choices("wxyz", k=100))
+        pieces = [(rng.choice(["", "a", "~", "zz"]) + w + rng.choice(["", "a", "~"])).encode() for w in [window] * rng.randint(2, 4) + ["".join(rng.choices("ab", k=rng.randint(100, 130))) for _ in range(3)]]
+        rng.shuffle(pieces)
+        seen, want = set(), set()
+        for i, p in enumerate(pieces):
+            for s in range(len(p) - 99):
+                if p[s : s + 100] in seen:
+                    want.add((i, s))
+                seen.add(p[s : s + 100])
+        v, a, n = substrings.shard_repeats(np.arange(len(pieces)), np.zeros(len(pieces), np.int64), pieces)
+        assert {(i, s) for i, start, k in zip(v.tolist(), a.tolist(), n.tolist(), strict=True) for s in range(start, start + k)} == want
+
+
 # ---- components ----
 def test_components(spark):
     rng = random.Random(1)
