@@ -101,3 +101,26 @@ def active_folders(folder_papers: DataFrame, selected: DataFrame) -> DataFrame:
 
 def in_scope(brain: str | None, brain_ids: Column) -> Column:
     return F.lit(True) if brain is None else F.array_contains(brain_ids, brain)
+
+
+def set_paper_brain(folder_papers: DataFrame, brain_papers: DataFrame, brains: DataFrame, paper: str, brain: str | None) -> tuple[DataFrame, DataFrame, bool]:
+    """Put a paper straight into a brain, or none: folder and direct memberships after it, and whether the brain exists. The paper leaves its
+    folders even if it doesn't; direct memberships change only if it does."""
+    found = brain is None or brains.filter(F.col("id") == brain).limit(1).count() > 0
+    out = folder_papers.filter(F.col("paper_slug") != paper)
+    return out, move_paper(brain_papers, paper, brain, "brain_id") if found else brain_papers, found
+
+
+def folder_members(members: DataFrame, papers: DataFrame) -> DataFrame:
+    """``members``: folder_id, pos, paper_slug. Papers that exist, in the order of each folder."""
+    return members.join(papers.select(F.col("slug").alias("paper_slug"), "title"), "paper_slug").orderBy("folder_id", "pos")
+
+
+def alphabetical(containers: DataFrame, locale: str = "ko") -> DataFrame:
+    """By name in a language's order."""
+    return containers.orderBy(F.collate("name", locale), "id")
+
+
+def toggled(selected: set[str], items: set[str]) -> set[str]:
+    """Selected papers after a click on a container: all of its items go if all were selected, else all are added."""
+    return selected - items if items and items <= selected else selected | items

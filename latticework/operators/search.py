@@ -134,3 +134,33 @@ def node_text(label: Column, aliases: Column, description: Column, note: Column)
     """What a node is embedded by: its label, aliases, description and note, one a line, without empty ones."""
     some = lambda c: F.nullif(c, F.lit(""))
     return F.concat_ws("\n", some(label), some(F.array_join(aliases, ", ")), some(description), some(note))
+
+
+def nested(hits: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """One row for each hit, its neighbours (capped by whoever made them) in an array."""
+    n = neighbors.groupBy("seed_type", "seed_slug").agg(F.array_sort(F.collect_list(F.struct(*[c for c in neighbors.columns if not c.startswith("seed_")]))).alias("neighbors"))
+    j = hits.join(n.select(F.col("seed_type").alias("node_type"), F.col("seed_slug").alias("node_slug"), "neighbors"), ["node_type", "node_slug"], "left")
+    return j
+
+
+def search(
+    text: str, query: DataFrame, vectors: DataFrame, docs: DataFrame, edges: DataFrame, types: DataFrame, *, mode: str = "all", k: int = TOP_K,
+    relation_types: list[str] | None = None, cap: int = NEIGHBOR_CAP, hop2: int = 0, brain: str | None = None, brain_ids: DataFrame | None = None,
+) -> DataFrame:
+    """Fused hits with their surroundings: every incident edge (``all``), or the best semantic neighbours by routed or given relation types (``routed``), with a second
+    hop if asked for. ``types``: rel_type, embedding."""
+    hits = hybrid(vectors, query, docs, text, k, brain_ids, brain)
+    seeds = hits.select(F.col("node_type").alias("seed_type"), F.col("node_slug").alias("seed_slug"))
+    if mode == "all":
+        around = neighbors_all(seeds, edges)
+        if brain is not None:
+            around = scoped(around, brain_ids, brain)
+        return nested(hits, around)
+    asked = [r for r in relation_types or [] if r.strip()]
+    routed = explicit_types(asked, types) if asked else route(types, query)
+    first = neighbors_routed(seeds, edges, routed, vectors, query, cap)
+    out = nested(hits, first)
+    if hop2 <= 0:
+        return out
+    far = second_hop(first, edges, routed, vectors, query, hop2, cap)
+    return out.join(nested(hits.select("node_type", "node_slug"), far).withColumnRenamed("neighbors", "second"), ["node_type", "node_slug"], "left")

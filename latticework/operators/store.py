@@ -166,3 +166,29 @@ def with_label_aliases(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     j = nodes.join(other, ["node_type", "slug"], "left")
     both = F.array_sort(F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), "more")))
     return j.withColumn("aliases", F.when(F.col("more").isNotNull(), both).otherwise(F.col("aliases"))).select(*nodes.columns)
+
+
+def fan_out(mentions: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests``: node_slug (entity), concept_slug. The mentions that tie an entity to all papers of a concept, or to the concept without a paper where it has none."""
+    papers = mentions.filter("node_type = 'concept' and paper_slug is not null").select(F.col("node_slug").alias("concept_slug"), "paper_slug").distinct()
+    j = requests.select("node_slug", "concept_slug").distinct().join(papers, "concept_slug", "left")
+    return j.select(F.lit("entity").alias("node_type"), "node_slug", "paper_slug", "concept_slug")
+
+
+def creation_conflicts(requests: DataFrame, nodes: DataFrame, force: bool = False) -> DataFrame:
+    """``requests``: label. (label, slug, conflict): "same_slug" always forbids a node, "similar" unless it is forced; null is free to create."""
+    from ..functions.text import label_slug
+    from .resolve import fuzzy_lookup
+
+    r = requests.select("label", label_slug(normalize_label(F.col("label"))).alias("new")).distinct()
+    j = r.join(nodes.select(F.col("slug").alias("new"), F.col("slug").alias("same")), "new", "left")
+    j = j.join(fuzzy_lookup(r.select(F.col("label").alias("name")), nodes).withColumnRenamed("name", "label"), "label", "left")
+    kind = F.when(F.col("same").isNotNull(), "same_slug")
+    kind = kind if force else kind.when(F.col("slug").isNotNull(), "similar")
+    return j.select("label", F.coalesce("same", F.lit(None) if force else F.col("slug")).alias("slug"), kind.alias("conflict"))
+
+
+def categories_of(category: Column, categories: Column) -> Column:
+    """The list of categories, from the single one of older records where there is no list."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(categories, F.when(F.coalesce(category, F.lit("")) != "", F.array(category)), none)

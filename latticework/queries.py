@@ -535,6 +535,38 @@ def user_notes_append(v):
     return c.withColumn("new_notes", ST.append_note(F.col("notes"), F.lit("added")))
 
 
+@query(f"""{NODES}, rq as (select 's' || s_suppkey as node_slug, 'p' || (s_suppkey * 3) as concept_slug from supplier), cp as (select distinct node_slug as concept_slug, paper_slug from concept_mentions)
+  select 'entity' as node_type, rq.node_slug, cp.paper_slug, rq.concept_slug from rq left join cp using (concept_slug)""")
+def linked_papers_fan_out(v):
+    rq = v.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("node_slug"), F.concat(F.lit("p"), F.col("s_suppkey") * 3).alias("concept_slug"))
+    return ST.fan_out(v.mentions, rq)
+
+
+@query(f"""with ix as (select {NORM.format('p_name')} as key, min('p' || p_partkey) as slug from part group by 1), rq as (select distinct upper(p_name) as label from part union select 'entirely new words' union select 'p1')
+  select label, case when label = 'p1' then 'p1' else slug end as slug, case when label = 'p1' then 'same_slug' when slug is not null then 'similar' end as conflict from rq left join ix on ix.key = {NORM.format('label')}""")
+def create_node_conflicts(v):
+    rq = v.part.select(F.upper("p_name").alias("label")).distinct().union(v.spark.sql("select 'entirely new words'")).union(v.spark.sql("select 'p1'"))
+    nodes = named_parts(v).withColumn("slug", F.when(F.col("slug") == "p1", "p-1").otherwise(F.col("slug")))
+    return ST.creation_conflicts(rq, nodes)
+
+
+ORACLE_SQL["create_node_conflicts"] = f"""with ix as (select {NORM.format('p_name')} as key, min(case when p_partkey = 1 then 'p-1' else 'p' || p_partkey end) as slug from part group by 1),
+  rq as (select distinct upper(p_name) as label from part union select 'entirely new words' union select 'p1')
+  select label, case when label = 'p1' then 'p-1' else slug end as slug, case when label = 'p1' then 'same_slug' when slug is not null then 'similar' end as conflict from rq left join ix on ix.key = {NORM.format('label')}"""
+
+
+@query(f"""{BASE} select 'folder' as kind, folder_id as container, paper_slug from folder_papers where paper_slug <> 'o2'
+  union all select 'brain', brain_id, paper_slug from brain_papers where paper_slug <> 'o2' union all select 'brain', 'b4', 'o2'""")
+def set_paper_brain(v):
+    f, b, _ = SC.set_paper_brain(v.folder_papers, v.brain_papers, v.brains, "o2", "b4")
+    return f.select(F.lit("folder").alias("kind"), F.col("folder_id").alias("container"), "paper_slug").unionByName(b.select(F.lit("brain").alias("kind"), F.col("brain_id").alias("container"), "paper_slug"))
+
+
+@query(f"{BASE} select id, name from folders order by name")
+def alphabetical_folders(v):
+    return SC.alphabetical(v.folders).select("id", "name")
+
+
 # ---- text ----
 @query(r"select o_orderkey, coalesce(nullif(trim(substr(trim(regexp_replace(regexp_replace(o_orderpriority || ': a/b – ' || o_orderstatus, '[^A-Za-z0-9 \-_.,()'']', ' ', 'g'), ' +', ' ', 'g')), 1, 70)), ''), 'untitled') as slug from orders")
 def slugify_titles(v):
@@ -727,6 +759,24 @@ def hybrid_search(v):
     return hits.join(around, ["seed_type", "seed_slug"], "left").select("seed_type", "seed_slug", "rank", "node_type", "node_slug", "relation", "direction")
 
 
+@query()
+def graph_search(v):
+    """The whole search: fused hits, routed neighbours of each and a second hop, in one plan."""
+    text = documents(v).drop("id")
+    vec = node_vectors(v)
+    out = SE.search(ASK, last_question(v), vec, text, graph_links(v), type_vectors(v), mode="routed", hop2=2)
+    return out.select("node_type", "node_slug", "score", "rank", F.coalesce(F.size("neighbors"), F.lit(0)).alias("n_neighbors"))
+
+
+@query()
+def render_notes(v):
+    """Notes of papers, from rows that look like extractions."""
+    d = v.spark.sql("""select 'p1' as slug, 'One | two' as title, 'short' as tldr, array('why') as motivation, array(struct('a|b' as claim, 'c' as evidence)) as claims,
+      array(struct('c1' as id, 'MoE' as label, 'experts' as description, 'n' as note)) as concepts,
+      array(struct('Switch' as label, 'c1' as concept_id, 'model' as description, 'x' as note), struct('Free' as label, 'zz' as concept_id, 'model' as description, 'y' as note)) as entities, 'few' as limitations""")
+    return d.select("slug", vault.render_note(*(F.col(c) for c in d.columns[1:])).alias("content"))
+
+
 @query()
 def resolve_batch(v):
     """Names of parts arrive in order; each one meets the nodes made before it."""

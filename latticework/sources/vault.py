@@ -125,3 +125,40 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The mirror: both tables rebuilt from the truth."""
     nodes.write.mode("overwrite").parquet(f"{path}/graph_nodes")
     edges.write.mode("overwrite").parquet(f"{path}/graph_edges")
+
+
+def list_papers(spark: SparkSession, path: str) -> DataFrame:
+    """Slugs of the folders below a path that hold files and don't start with an underscore, sorted."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    slug = F.regexp_extract("path", rf"/{root}/([^/]+)/", 1)
+    return listing.select(slug.alias("slug")).filter("slug <> '' and not startswith(slug, '_')").distinct().orderBy("slug")
+
+
+def render_note(title: Column, tldr: Column, motivation: Column, claims: Column, concepts: Column, entities: Column, limitations: Column) -> Column:
+    """The body of a paper's note: summary, motivation, numbered claims, references (an entity shows its concept), limitations."""
+    from ..functions.text import table_cell
+
+    cell = lambda c: table_cell(F.coalesce(c, F.lit("")))
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    none = F.lit("_none_")
+    numbered = F.transform(claims, lambda c, i: row((i + 1).cast("string"), cell(c["claim"]), cell(c["evidence"])))
+    claim_table = F.when(F.size(claims) > 0, F.concat(F.lit("| # | Claim | Evidence |\n|---|---|---|\n"), F.array_join(numbered, "\n"))).otherwise(none)
+    label = lambda c: F.concat(F.lit("[["), cell(c["label"]), F.lit("]]"))
+    parent = lambda e: F.element_at(F.filter(concepts, lambda c: c["id"] == e["concept_id"])["label"], 1)
+    has = lambda e: F.exists(concepts, lambda c: c["id"] == e["concept_id"])
+    rows = F.concat(
+        F.transform(concepts, lambda c: row(label(c), cell(c["description"]), cell(c["note"]))),
+        F.transform(entities, lambda e: row(label(e), cell(e["description"]), F.when(has(e), cell(parent(e))).otherwise(cell(e["note"])))),
+    )
+    references = F.when(F.size(rows) > 0, F.concat(F.lit("| Concept | Description | Note |\n|---|---|---|\n"), F.array_join(rows, "\n"))).otherwise(none)
+    bullets = F.array_join(F.transform(motivation, lambda m: F.concat(F.lit("- "), m)), "\n")
+    part = lambda head, c: F.concat(F.lit(f"## {head}\n"), c)
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.concat(F.lit("> **TL;DR**: "), tldr), part("Problem and motivation", bullets), part("Claims", claim_table), part("Concepts and methods", references), part("Limitations", limitations))
+
+
+def without_repeated_header(text: Column, label: str = "Authors") -> Column:
+    """Older notes repeat authors and tags below the heading; the heading stays, and a line in italics if there is one. Line ends of either kind."""
+    nl = r"\r?\n"
+    pattern = rf"(?m)(^#[^\r\n]*{nl}{nl})\*\*{label}\*\*:[^\r\n]*{nl}(?:(\*[^\r\n]*\*)({nl}))?(?:#\S[^\r\n]*{nl})?({nl})"
+    return F.regexp_replace(text, pattern, "$1$2$3$3")

@@ -136,3 +136,30 @@ def test_second_hop_may_return_the_seed(spark):
     assert [r.node_slug for r in SE.second_hop(first, e, routed, vec, q, 1).collect()] == ["a"]
     assert SE.second_hop(first, e, routed, vec, q, 0).count() == 0
     assert SE.neighbors_all(seeds, e).count() == 2
+
+
+def test_paper_leaves_its_folder_even_for_a_missing_brain(spark):
+    fp = spark.createDataFrame([("f", "p"), ("f", "q")], "folder_id string, paper_slug string")
+    bp = spark.createDataFrame([("b", "p")], "brain_id string, paper_slug string")
+    brains = spark.createDataFrame([("b",), ("c",)], "id string")
+    f, b, found = SC.set_paper_brain(fp, bp, brains, "p", "missing")
+    assert rows(f, "paper_slug") == [("q",)] and rows(b, "brain_id") == [("b",)] and not found
+    f, b, found = SC.set_paper_brain(fp, bp, brains, "p", "c")
+    assert rows(b, "brain_id", "paper_slug") == [("c", "p")] and found
+    assert SC.toggled({"a"}, {"a", "b"}) == {"a", "b"} and SC.toggled({"a", "b", "c"}, {"a", "b"}) == {"c"}
+
+
+def test_search_modes(spark):
+    e = spark.createDataFrame([("concept", "a", "entity", "b", "USES"), ("paper", "p", "concept", "a", None)], "src_type string, src_slug string, dst_type string, dst_slug string, relation string")
+    vec = spark.createDataFrame([("concept", "a", [1.0, 0.0]), ("entity", "b", [1.0, 1.0])], "node_type string, node_slug string, embedding array<float>")
+    q = spark.createDataFrame([([1.0, 0.0],)], "q array<float>")
+    docs = spark.createDataFrame([("concept", "a", "state space"), ("entity", "b", "other")], "node_type string, node_slug string, text string")
+    types = spark.createDataFrame([("USES", [0.5, 0.5])], "rel_type string, embedding array<float>")
+    ids = spark.createDataFrame([("concept", "a", ["b1"])], "node_type string, node_slug string, brain_ids array<string>")
+    got = {r.node_slug: r for r in SE.search("state", q, vec, docs, e, types).collect()}
+    assert len(got["a"].neighbors) == 2 and got["a"].rank == 1
+    routed = {r.node_slug: r for r in SE.search("state", q, vec, docs, e, types, mode="routed", hop2=1).collect()}
+    assert [n.node_slug for n in routed["a"].neighbors] == ["b"] and [n.node_slug for n in routed["a"].second] == ["a"]
+    assert SE.search("state", q, vec, docs, e, types, mode="routed", relation_types=["ODD"]).filter("neighbors is not null").count() == 0
+    assert [r.node_slug for r in SE.search("state", q, vec, docs, e, types, brain="b1", brain_ids=ids).collect()] == ["a"]
+    assert SE.search("state", q, vec, docs, e, types, brain="none", brain_ids=ids).count() == 0

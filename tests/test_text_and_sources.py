@@ -81,3 +81,22 @@ def test_labels_and_points(spark):
     points = spark.createDataFrame([("b", 0.0, 1.0), ("a", 1.0, 0.0), ("c", 9.0, 9.0)], "id string, x double, y double")
     assert TB.nearest(points, 0.0, 0.0).first().id == "a"
     assert one(spark, "a <!-- u --> b", lambda c: TB.section(c, "<!-- u -->")) == "b" and one(spark, "none", lambda c: TB.section(c, "<!-- u -->")) == ""
+
+
+def test_note_header_and_folders(spark, tmp_path):
+    old = "---\nt: 1\n---\n\n# T\n\n**Authors**: a\n*meta*\n#x #y\n\nbody"
+    assert one(spark, old, vault.without_repeated_header) == "---\nt: 1\n---\n\n# T\n\n*meta*\n\nbody"
+    assert one(spark, "# T\r\n\r\n**Authors**: a\r\n\r\nbody", vault.without_repeated_header) == "# T\r\n\r\nbody"
+    assert one(spark, "# T\n\nbody", vault.without_repeated_header) == "# T\n\nbody"
+    for name in ("b/x.md", "a/x.md", "_t/x.md", "top.md"):
+        f = tmp_path / "vault" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+    assert [r.slug for r in vault.list_papers(spark, f"{tmp_path}/vault").collect()] == ["a", "b"]
+
+
+def test_rendered_note(spark):
+    from latticework import queries as Q
+
+    text = Q.QUERIES["render_notes"](spark, "").first().content
+    assert "| 1 | a\\|b | c |" in text and "| [[Switch]] | model | MoE |" in text and "| [[Free]] | model | y |" in text and text.startswith("# One | two\n\n> **TL;DR**: short")
