@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import cut
+
 
 def ids(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_type", "slug", F.concat_ws(":", "node_type", "display_label").alias("id"), F.col("display_label").alias("label"))
@@ -32,18 +34,20 @@ def entity_sources(papers: DataFrame, concepts: DataFrame, entity_mentions: Data
     return j.withColumn("source", F.coalesce("concept_id", "paper_id")).filter("source is not null")
 
 
-def provenance_edges(papers: DataFrame, concepts: DataFrame, entities: DataFrame, concept_mentions: DataFrame, entity_mentions: DataFrame) -> DataFrame:
-    """Paper to concept, and concept or paper to entity: one edge for each mention."""
+def provenance_edges(papers: DataFrame, concepts: DataFrame, entities: DataFrame, concept_mentions: DataFrame, entity_mentions: DataFrame, typed: bool = False) -> DataFrame:
+    """Paper to concept, and concept or paper to entity: one edge for each mention. With ``typed`` also the types of both ends."""
     c = concepts.select(F.col("slug").alias("node_slug"), F.concat(F.lit("concept:"), "display_label").alias("target"))
     e = entities.select(F.col("slug").alias("node_slug"), F.concat(F.lit("entity:"), "display_label").alias("target"))
     p = papers.select(F.col("slug").alias("paper_slug"))
     link = F.lit("link").alias("type")
-    first = concept_mentions.join(c, "node_slug").join(p, "paper_slug", "left_semi").select(F.col("paper_slug").alias("source"), "target", link)
-    second = entity_sources(papers, concepts, entity_mentions).join(e, "node_slug").select("source", "target", link)
-    return first.unionByName(second)
+    first = concept_mentions.join(c, "node_slug").join(p, "paper_slug", "left_semi").select(F.col("paper_slug").alias("source"), "target", link, F.lit("note").alias("source_type"), F.lit("concept").alias("target_type"))
+    kind = F.when(F.col("concept_id").isNotNull(), "concept").otherwise("note")
+    second = entity_sources(papers, concepts, entity_mentions).join(e, "node_slug").select("source", "target", link, kind.alias("source_type"), F.lit("entity").alias("target_type"))
+    both = first.unionByName(second)
+    return both if typed else both.select("source", "target", "type")
 
 
-def semantic_edges(relations: DataFrame, nodes: DataFrame, types: DataFrame) -> DataFrame:
+def semantic_edges(relations: DataFrame, nodes: DataFrame, types: DataFrame, typed: bool = False) -> DataFrame:
     """Relations between live nodes; symmetric by vocabulary, else not."""
     n = ids(nodes)
     side = lambda s: n.select(F.col("node_type").alias(f"{s}_type"), F.col("slug").alias(f"{s}_slug"), F.col("id").alias(f"{s}_id"))
@@ -51,6 +55,7 @@ def semantic_edges(relations: DataFrame, nodes: DataFrame, types: DataFrame) ->
     return j.select(
         F.col("from_id").alias("source"), F.col("to_id").alias("target"), F.lit("semantic").alias("type"),
         F.col("rel_type").alias("relation"), F.coalesce("symmetric", F.lit(False)).alias("symmetric"),
+        *((F.col("from_type").alias("source_type"), F.col("to_type").alias("target_type")) if typed else ()),
     )
 
 
@@ -67,22 +72,32 @@ def mirror_edges(papers: DataFrame, concepts: DataFrame, entities: DataFrame, co
     ).distinct()
 
 
+def ends_typed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with ``source_type`` and ``target_type``, joined from the nodes unless whoever made the edges knew them."""
+    if "source_type" in edges.columns:
+        return edges
+    kind = nodes.select("id", "type").distinct()
+    e = edges.join(kind.select(F.col("id").alias("source"), F.col("type").alias("source_type")), "source", "left")
+    return e.join(kind.select(F.col("id").alias("target"), F.col("type").alias("target_type")), "target", "left")
+
+
 def focus_subgraph(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges around a few papers (``focus``: id): their neighbours and all orphans, then the entities of the concepts among these and the attachments of
-    all. Bounded semi-joins, no iteration. Edges stay if both ends do."""
-    kinds = nodes.select("id", "type")
-    # an edge from a focus paper adds its target; only an edge that doesn't start there adds its source
+    all. One pass over all edges, one over those from concepts to entities and those to attachments, no iteration. Edges stay if both ends do."""
+    e = ends_typed(edges, nodes)
     f = focus.select("id").distinct()
-    out = edges.join(f.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))
-    rest = edges.join(f.withColumnRenamed("id", "source"), "source", "left_anti")
-    back = rest.join(f.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))
-    orphans = nodes.filter("orphan").select("id")
-    kept = f.unionByName(out).unionByName(back).unionByName(orphans).distinct()
-    concepts = kept.join(kinds.filter("type = 'concept'"), "id", "left_semi").select(F.col("id").alias("source"))
-    entities = edges.join(concepts, "source", "left_semi").select(F.col("target").alias("id")).join(kinds.filter("type = 'entity'"), "id", "left_semi")
-    kept = kept.unionByName(entities.distinct()).distinct()
-    attached = edges.join(kept.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).join(kinds.filter("type = 'attachment'"), "id", "left_semi")
-    kept = kept.unionByName(attached).distinct()
+    side = lambda c: f.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_in"))
+    # an edge from a focus paper adds its target; only an edge that doesn't start there adds its source
+    hit = e.join(side("source"), "source", "left").join(side("target"), "target", "left").filter("source_in or target_in")
+    pick = lambda a, b: F.when(F.col("source_in"), F.col(a)).otherwise(F.col(b))
+    near = hit.select(pick("target", "source").alias("id"), pick("target_type", "source_type").alias("type"))
+    kept = near.unionByName(nodes.filter("orphan").select("id", "type")).unionByName(f.withColumn("type", F.lit("note"))).distinct()
+    kept = cut(kept)  # used several times below: without a cut the plan would repeat all of it each time
+    concepts = kept.filter("type = 'concept'").select(F.col("id").alias("source"))
+    entities = e.filter("source_type = 'concept' and target_type = 'entity'").join(concepts, "source", "left_semi").select(F.col("target").alias("id"))
+    kept = kept.select("id").unionByName(entities).distinct()
+    attached = e.filter("target_type = 'attachment'").join(kept.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
+    kept = cut(kept.unionByName(attached).distinct())
     return nodes.join(kept, "id", "left_semi"), among(edges, kept)
 
 

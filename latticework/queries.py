@@ -84,8 +84,11 @@ def semantic(v: Views) -> DataFrame:
 
 
 def plain_edges(v: Views, with_semantic: bool = False) -> DataFrame:
-    e = provenance(v).unionByName(G.tag_edges(v.papers))
-    return e.unionByName(semantic(v).select("source", "target", "type")) if with_semantic else e
+    """Edges with the types of their ends, so that type filters reach the tables they come from."""
+    kinds = ["source", "target", "type", "source_type", "target_type"]
+    e = G.provenance_edges(v.papers, v.concepts, v.entities, v.concept_mentions, v.entity_mentions, typed=True)
+    e = e.unionByName(G.tag_edges(v.papers).withColumns({"source_type": F.lit("note"), "target_type": F.lit("tag")}))
+    return e.unionByName(G.semantic_edges(v.relations_raw, v.nodes, v.relation_types, typed=True).select(*kinds)) if with_semantic else e
 
 
 def all_nodes(v: Views) -> DataFrame:
@@ -129,12 +132,12 @@ def focus_subgraph_nodes(v):
 
 @query(f"{pruned(PROVENANCE)} select * from e where source in (select id from k2) and target in (select id from k2)")
 def focus_subgraph_edges(v):
-    return G.focus_subgraph(all_nodes(v), plain_edges(v), focus(v))[1]
+    return G.focus_subgraph(all_nodes(v), plain_edges(v), focus(v))[1].select("source", "target", "type")
 
 
 @query(f"{pruned(ALL_EDGES)} select * from e where source in (select id from k2) and target in (select id from k2)")
 def focus_semantic(v):
-    return G.focus_subgraph(all_nodes(v), plain_edges(v, True), focus(v))[1]
+    return G.focus_subgraph(all_nodes(v), plain_edges(v, True), focus(v))[1].select("source", "target", "type")
 
 
 @query(f"{GRAPH_NODES} select id, label, type from gn where orphan")
@@ -144,7 +147,7 @@ def orphan_nodes(v):
 
 @query(f"{EDGES} select * from ({ALL_EDGES}) where source in (select id from gn where type not in ('tag', 'entity')) and target in (select id from gn where type not in ('tag', 'entity'))")
 def visible_edges(v):
-    return G.visible(all_nodes(v), plain_edges(v, True), ("tag", "entity"))[1]
+    return G.visible(all_nodes(v), plain_edges(v, True), ("tag", "entity"))[1].select("source", "target", "type")
 
 
 @query(f"{GRAPH_NODES} select id, label, type from gn where contains(lower(label), 'anvil') and type not in ('tag') order by label, id limit 12")
