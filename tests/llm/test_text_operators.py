@@ -1,5 +1,6 @@
 """Secret scan, quality rules, BPE, classifier: brute force, the library, held-out accuracy, edge cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -45,6 +46,17 @@ def test_bands_reject_repetition_and_noise_and_keep_prose():
     assert not rule("too short")[6] and rule("too short")[5]
 
 
+def test_chunks_reject_encoded_blocks_and_closing_bytes():
+    rule = quality.make_rule()
+    rng = random.Random(4)
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(900)]
+    for size, encoded in ((6000, 6000), (1600, 1500)):
+        prose = " ".join(rng.choice(words) for _ in range(size // 4))[:size]
+        block = base64.encodebytes(rng.randbytes(encoded)).decode()[:encoded]
+        assert rule(prose)[6] and not rule(f"{prose}\n{block}")[6]
+
+
 def test_quality_edges(odd_docs, no_docs):
     rows = quality.measure(odd_docs).collect()
     assert len(rows) == 8 and {r.n_words for r in rows if r.doc_id in (2, 3, 4)} == {0}
