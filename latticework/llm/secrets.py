@@ -3,7 +3,9 @@
 Three patterns find assigned values, access keys and long hexadecimal strings. Beside them two order-2 character
 models, one trained from random strings and one from ordinary identifiers (both labelled samples), judge every
 other long run of key characters: where the mean log-likelihood ratio per character passes ``Models.cut``,
-the run is a secret of kind ``random``. Spans that touch a pattern's span are left to the pattern.
+it is a secret of kind ``random``. Patterns' spans are cut out of a run first. What is left is judged in the parts between
+``=``, so that a name doesn't dilute its value; a part that isn't random as a whole may hold windows between ``/ + _ -``
+that are. Letters without digits need a higher ratio, since words of other languages are unlike the identifiers, too.
 
 Offsets count code points, the end exclusive. Edge cases: a null text counts as empty and has no spans; null ids,
 repeated rows and ties give one row each; an empty table gives an empty result; extra columns are dropped by
@@ -34,6 +36,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.
 START = len(ALPHABET)
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile("[^=]+=*")
+SEPARATOR = re.compile("[/+_-]+")
 FIELDS = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 #: Parts of ordinary identifiers, from which labelled samples are composed.
@@ -96,6 +100,8 @@ class Models:
     ratio: np.ndarray
     least: int = 20
     cut: float = 0.45
+    mixed_cut: float = 1.5
+    letters_cut: float = 2.2
 
     @staticmethod
     def fit(samples: list[tuple[str, int]] | None = None, **settings) -> Models:
@@ -109,11 +115,51 @@ class Models:
         codes = np.array([START, START, *(CODE[c] for c in run)])
         return float(self.ratio[codes[:-2], codes[1:-1], codes[2:]].mean())
 
+    def cut_of(self, run: str) -> float:
+        """The ratio that a run must pass: by whether it has digits beside letters, capitals within words, or letters of one case."""
+        if not re.search("[A-Za-z]", run):
+            return float("inf")
+        if re.search("[0-9]", run):
+            return self.cut
+        if len(set(run)) < 8:  # "xxxx...": no random string of letters
+            return float("inf")
+        return self.mixed_cut if re.search("[a-z][A-Z]", run) else self.letters_cut
+
     def is_secret(self, run: str) -> bool:
-        """Long enough, a mix of digits with letters or of both cases within, and likelier random than ordinary."""
-        if len(run) < self.least or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-            return False
-        return self.score(run) > self.cut
+        """Long enough, with letters, and likelier random than ordinary."""
+        return len(run) >= self.least and self.score(run) > self.cut_of(run)
+
+    def windows(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of secrets in a run: its parts between ``=``, else windows within them, else the whole."""
+        found = []
+        for m in PART.finditer(run):
+            found += [m.span()] if self.is_secret(m[0]) else [(m.start() + a, m.start() + b) for a, b in self.within(m[0])]
+        return found or ([(0, len(run))] if self.is_secret(run) else [])
+
+    def within(self, part: str) -> list[tuple[int, int]]:
+        """Windows between separators, best sum of ratios above the cut first, then what lies before and after."""
+        edges = [0, *(i for m in SEPARATOR.finditer(part) for i in m.span()), len(part)]
+        if len(part) < self.least or len(edges) == 2:
+            return []
+        codes = np.array([START, START, *(CODE[c] for c in part)])
+        sums = np.concatenate(([0.0], np.cumsum(self.ratio[codes[:-2], codes[1:-1], codes[2:]] - self.cut, dtype=np.float64)))
+        found, todo = [], [(0, len(edges) - 1)]
+        while todo:
+            low, high = todo.pop()
+            best, first, at = None, None, low
+            for j in range(low + 1, high + 1):
+                while edges[j] - edges[at] >= self.least and at < j:
+                    first = at if first is None or sums[edges[at]] < sums[edges[first]] else first
+                    at += 1
+                if first is not None and (best is None or sums[edges[j]] - sums[edges[first]] > best[0]):
+                    best = (sums[edges[j]] - sums[edges[first]], first, j)
+            if best is None or best[0] <= 0:
+                continue
+            _, i, j = best
+            if self.is_secret(part[edges[i] : edges[j]]):
+                found.append((edges[i], edges[j]))
+            todo += [(low, i), (j, high)]
+        return found
 
 
 def spans_of(text: str, models: Models) -> list[tuple[int, int, int]]:
@@ -125,14 +171,21 @@ def spans_of(text: str, models: Models) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(*m.span(), 1) for m in ACCESS.finditer(text)]
     found += [(*m.span(), 2) for m in HEX.finditer(text)]
-    base = sorted((s, e) for s, e, _ in found)
+    base: list[tuple[int, int]] = []
+    for s, e, _ in sorted(found):  # without overlaps
+        if base and s <= base[-1][1]:
+            base[-1] = (base[-1][0], max(e, base[-1][1]))
+        else:
+            base.append((s, e))
+    ends = [e for _, e in base]
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not models.is_secret(m[0]):
-            continue
-        at = bisect_left(base, (s, s))
-        if not any(a < e and b > s for a, b in base[max(0, at - 3) : at + 1]):
-            found.append((s, e, 3))
+        at = bisect_left(ends, s + 1)
+        while at < len(base) and base[at][0] < e:  # what lies before each span of a pattern, then the rest
+            found += [(s + a, s + b, 3) for a, b in models.windows(text[s : base[at][0]])]
+            s = max(s, base[at][1])
+            at += 1
+        found += [(s + a, s + b, 3) for a, b in models.windows(text[s:e])]
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
