@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -19,6 +20,8 @@ PRIME = (1 << 61) - 1
 THRESHOLD = 0.72
 #: 46 of 64 equal slots are below the threshold, 47 are not; so at most 17 slots of a match differ and 18 bands have an equal one.
 BANDS = 18
+SIZES = [4] * 10 + [3] * 8
+STARTS = [sum(SIZES[:i]) for i in range(BANDS)]
 
 
 def permutations(count: int = PERMUTATIONS, seed: int = SEED) -> list[tuple[int, int]]:
@@ -97,8 +100,12 @@ def band_keys(key: Column, sig: Column) -> Column:
     """Keys of which two matching labels share at least one: bands of their signatures, and themselves with and without the last character.
     All carry the numbers of the label, which a match needs alike."""
     numbers = F.array_join(numeric_tokens(key), ",")
-    sizes = [4] * 10 + [3] * 8
-    starts = [sum(sizes[:i]) + 1 for i in range(BANDS)]
-    bands = [F.concat_ws("|", F.lit(f"b{i}"), numbers, F.xxhash64(F.slice(sig, s, n)).cast("string")) for i, (s, n) in enumerate(zip(starts, sizes, strict=True))]
+    bands = [F.concat_ws("|", F.lit(f"b{i}"), numbers, F.xxhash64(F.slice(sig, s + 1, n)).cast("string")) for i, (s, n) in enumerate(zip(STARTS, SIZES, strict=True))]
     plain = [F.concat_ws("|", F.lit("s"), numbers, k) for k in (key, F.substring(key, F.lit(1), F.greatest(F.length(key) - 1, F.lit(0))))]
     return F.array_distinct(F.array(*bands, *plain))
+
+
+def band_rows(key: str, sig: list[int]) -> list[tuple]:
+    """The same keys for one label."""
+    numbers = tuple(re.findall(r"\d+", key))
+    return [(i, numbers, *sig[s : s + n]) for i, (s, n) in enumerate(zip(STARTS, SIZES, strict=True))] + [("s", numbers, k) for k in dict.fromkeys((key, key[:-1]))]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,21 +154,22 @@ def survivor_of(created_a: Column, created_b: Column, a: Column, b: Column) -> C
 class Resolver:
     """Order-dependent resolution of names as they arrive: each one meets the nodes made before it.
 
-    State is a small index of names of one node type; arrivals of a batch are few (what one document brings), so they are taken one by one
-    on the driver, while the index is looked up by keys of the bands that match lookups in Spark use.
+    State is an index of names of one node type; arrivals are taken one by one, while the index is looked up by keys of the bands that match
+    lookups in Spark use, and what a known key matches is kept. ``resolve_batch`` runs one for each component of names, on the workers.
     """
 
     def __init__(self, node_type: str):
         self.node_type = node_type
         self.nodes: dict[str, dict] = {}
-        self.keys: dict[str, list[str]] = {}
+        self.owners: dict[str, set[str]] = {}
+        self.near: dict[str, list[str]] = {}
+        self.blocks: dict[tuple, list[str]] = {}
+        self.signatures: dict[str, list[int]] = {}
 
     @staticmethod
     def match(a: str, b: str, signatures: dict[str, list[int]]) -> bool:
         if a == b:
             return True
-        import re
-
         if not a or not b or re.findall(r"\d+", a) != re.findall(r"\d+", b):
             return False
         short, long = sorted((a, b), key=len)
@@ -175,44 +180,99 @@ class Resolver:
                 signatures[k] = M.signature_rows([k])[0]
         return sum(x == y for x, y in zip(signatures[a], signatures[b], strict=True)) / M.PERMUTATIONS >= M.THRESHOLD
 
-    _signatures: dict[str, list[int]] = {}
+    def blocks_of(self, key: str) -> list[tuple]:
+        if key not in self.signatures:
+            self.signatures[key] = M.signature_rows([key])[0]
+        return M.band_rows(key, self.signatures[key])
+
+    def matches(self, key: str) -> list[str]:
+        """Known keys that match."""
+        if key in self.near:
+            return self.near[key]
+        some = dict.fromkeys(o for block in self.blocks_of(key) for o in self.blocks.get(block, ()))
+        return [o for o in some if self.match(key, o, self.signatures)]
+
+    def add(self, key: str, slug: str) -> None:
+        if key not in self.near:
+            found = self.matches(key)
+            for o in found:
+                self.near[o].append(key)
+            self.near[key] = [key, *found]
+            for block in self.blocks_of(key):
+                self.blocks.setdefault(block, []).append(key)
+        self.owners.setdefault(key, set()).add(slug)
 
     def resolve(self, label: str, aliases: list[str], paper: str | None, title: str | None, at: str, concept: str | None = None, **fields) -> tuple[str, list[dict]]:
         """The node for a name: the oldest match, else a new one; other matches are recorded as merge candidates."""
         keys = [k for k in dict.fromkeys(label_key(x) for x in [label, *aliases])]
-        hits = [n for slug, n in sorted(self.nodes.items()) if any(self.match(k, o, self._signatures) for k in keys for o in n["keys"])]
+        hits = [self.nodes[slug] for slug in sorted({slug for k in keys for o in self.matches(k) for slug in self.owners[o]})]
         source = {"paper_slug": paper, "paper_title": title, "concept_slug": concept}
         if not hits:
             slug = label_key(label).replace(" ", "-")
-            self.nodes[slug] = {"slug": slug, "display_label": label, "aliases": list(aliases), "sources": [source], "created_at": at, "keys": keys, **fields}
+            self.nodes[slug] = {"slug": slug, "display_label": label, "aliases": list(aliases), "sources": {paper: source}, "created_at": at, **fields}
+            for k in keys:
+                self.add(k, slug)
             return slug, []
         first = min(hits, key=lambda n: (n["created_at"], n["slug"]))
         extra = [label] if label_key(label) != label_key(first["display_label"]) else []
         first["aliases"] = sorted({*first["aliases"], *aliases, *extra})
-        first["keys"] = list(dict.fromkeys([*first["keys"], *keys]))
-        for s in first["sources"]:
-            if s["paper_slug"] == paper:
-                s["concept_slug"] = concept
-                break
+        for k in keys:
+            self.add(k, first["slug"])
+        if paper in first["sources"]:
+            first["sources"][paper]["concept_slug"] = concept
         else:
-            first["sources"].append(source)
+            first["sources"][paper] = source
         found = [{"type": self.node_type, "slug_a": first["slug"], "slug_b": n["slug"], "via_alias": label, "detected_in_paper": paper, "detected_at": at} for n in hits if n is not first]
         return first["slug"], found
 
 
+NODE = "slug string, display_label string, aliases array<string>, created_at string, papers array<string>"
+CANDIDATE = "type string, slug_a string, slug_b string, via_alias string, detected_in_paper string, detected_at string"
+
+
+def resolve_sorted(node_type: str):
+    """Rows of ``arrivals`` with comp, by comp and seq. Rows of nodes and candidates; only one component's nodes are held at a time."""
+    strings, lists = pa.string(), pa.list_(pa.string())
+    schema = pa.schema([("slug", strings), ("display_label", strings), ("aliases", lists), ("created_at", strings), ("papers", lists)] + [(c.split()[0], strings) for c in CANDIDATE.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, queue, before, out = Resolver(node_type), {}, None, []
+
+        def finished() -> list[dict]:
+            nodes = [{**n, "papers": list(n["sources"])} for n in r.nodes.values()]
+            return [{c: row.get(c) for c in schema.names} for row in [*nodes, *queue.values()]]
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["comp"] != before:
+                    out += finished()
+                    r, queue, before = Resolver(node_type), {}, row["comp"]
+                    if len(out) >= 1000:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
+                for c in r.resolve(row["label"], row["aliases"] or [], row["paper_slug"], row["paper_title"], row["at"])[1]:
+                    queue.setdefault(frozenset((c["slug_a"], c["slug_b"])), c)
+        out += finished()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return run
+
+
 def resolve_batch(spark: SparkSession, arrivals: DataFrame, node_type: str) -> tuple[DataFrame, DataFrame]:
-    """``arrivals``: seq, label, aliases, paper_slug, paper_title, at, of one batch in order. Nodes (slug, display_label, aliases, created_at, papers) and candidates."""
-    r = Resolver(node_type)
-    queue: list[dict] = []
-    for row in arrivals.orderBy("seq").toLocalIterator():
-        _, found = r.resolve(row["label"], list(row["aliases"] or []), row["paper_slug"], row["paper_title"], row["at"])
-        for c in found:
-            if not any({c["slug_a"], c["slug_b"]} == {x["slug_a"], x["slug_b"]} for x in queue):
-                queue.append(c)
-    rows = [(n["slug"], n["display_label"], n["aliases"], n["created_at"], [s["paper_slug"] for s in n["sources"]]) for n in r.nodes.values()]
-    nodes = spark.createDataFrame(rows, "slug string, display_label string, aliases array<string>, created_at string, papers array<string>")
-    cols = "type slug_a slug_b via_alias detected_in_paper detected_at".split()
-    return nodes, spark.createDataFrame([tuple(c[k] for k in cols) for c in queue], ", ".join(f"{c} string" for c in cols))
+    """``arrivals``: seq, label, aliases, paper_slug, paper_title, at, of one batch in order. Nodes (slug, display_label, aliases, created_at, papers) and candidates.
+
+    Arrivals whose names are in different components of the match graph (names of one arrival are tied) never meet, so each component is
+    resolved by itself, in order, on the workers."""
+    a = arrivals.select("seq", "label", "aliases", "paper_slug", "paper_title", "at", normalize_label(F.col("label")).alias("key"))
+    aliases = a.select("key", F.explode("aliases").alias("alias")).select("key", normalize_label(F.col("alias")).alias("alias")).distinct()
+    keys = cut(a.select("key").union(aliases.select("alias")).distinct())
+    edges = match_pairs(keys.withColumn("sig", M.signature(F.col("key")))).union(aliases.filter("key <> alias").select(F.col("key").alias("a"), F.col("alias").alias("b")))
+    comps = components(edges, keys.select(F.col("key").alias("v")))
+    rows = a.join(comps.withColumnRenamed("v", "key"), "key", "left").drop("key").repartition("comp").sortWithinPartitions("comp", "seq")
+    done = cut(rows.mapInArrow(resolve_sorted(node_type), f"{NODE}, {CANDIDATE}"))
+    names_of = lambda ddl: [c.split()[0] for c in ddl.split(", ")]
+    return done.filter("type is null").select(*names_of(NODE)), done.filter("type is not null").select(*names_of(CANDIDATE))
 
 
 def slug_of(label: Column) -> Column:

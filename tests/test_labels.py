@@ -103,6 +103,44 @@ def test_label_is_frozen_and_aliases_sorted(spark):
     assert nodes.count() == 1 and r.display_label == "Selective State Space Model" and r.aliases == ["Selective State Space Models", "b", "z"]
 
 
+def brute_resolve(rows):
+    """Each arrival against every node made before it."""
+    nodes, queue, sig = {}, {}, {}
+    for i, (label, aliases) in enumerate(rows, 1):
+        keys = {T.label_key(x) for x in [label, *aliases]}
+        hits = [n for _, n in sorted(nodes.items()) if any(R.Resolver.match(k, o, sig) for k in keys for o in n["keys"])]
+        if not hits:
+            slug = T.label_key(label).replace(" ", "-")
+            nodes[slug] = {"slug": slug, "label": label, "aliases": list(aliases), "at": f"2024-01-{i:02d}", "papers": [f"p{i}"], "keys": set(keys)}
+            continue
+        first = min(hits, key=lambda n: (n["at"], n["slug"]))
+        extra = [label] if T.label_key(label) != T.label_key(first["label"]) else []
+        first["aliases"] = sorted({*first["aliases"], *aliases, *extra})
+        first["keys"] |= keys
+        first["papers"].append(f"p{i}")
+        for n in hits:
+            if n is not first:
+                queue.setdefault(frozenset((first["slug"], n["slug"])), (first["slug"], n["slug"], label, f"p{i}"))
+    return sorted((n["slug"], n["label"], n["aliases"], n["papers"]) for n in nodes.values()), sorted(queue.values())
+
+
+def test_resolver_against_brute_force(spark):
+    rng = random.Random(3)
+    words = ["selective state space model", "byte pair encoding", "mixture of experts layer", "low rank adaptation", "moe", "ssm 2"]
+
+    def name():
+        x = list(rng.choice(words))
+        for _ in range(rng.randint(0, 2)):
+            x[rng.randrange(len(x))] = rng.choice("abc 12")
+        return "".join(x) + rng.choice(["", "s", " 2"])
+
+    rows = [(name(), [name() for _ in range(rng.choice([0, 0, 0, 1, 2]))]) for _ in range(80)]
+    nodes, queue = R.resolve_batch(spark, arrivals(spark, rows), "concept")
+    want_nodes, want_queue = brute_resolve(rows)
+    assert sorted((r.slug, r.display_label, r.aliases, r.papers) for r in nodes.collect()) == want_nodes
+    assert sorted((r.slug_a, r.slug_b, r.via_alias, r.detected_in_paper) for r in queue.collect()) == want_queue and len(want_queue) > 3
+
+
 def test_fuzzy_lookup_cascade(spark):
     nodes = spark.createDataFrame([(f"f{i}", f"filler {i}", []) for i in range(20)] + [("t", "Target Concept Name", ["TCN"])], "slug string, display_label string, aliases array<string>")
     probes = spark.createDataFrame([("target-concept name",), ("tcn",), ("Target Concept Names",), ("unknown",)], "name string")

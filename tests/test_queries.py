@@ -45,6 +45,12 @@ def test_entry(spark):
     assert Q.QUERIES["resolve_batch"](spark, DATA).count() > 0
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_resolve_batch_takes_all_parts(spark):
+    got = sum(r.n_papers for r in Q.QUERIES["resolve_batch"](spark, DATA).collect())
+    assert got == spark.read.parquet(f"{DATA}/part.parquet").count()
+
+
 def test_nothing_depends_on_the_optional_subpackage():
     root = os.path.dirname(Q.__file__)
     for folder, _, names in os.walk(root):
