@@ -370,6 +370,13 @@ def alias_canonical(v):
 ORACLE_SQL["alias_canonical"] = ORACLE_SQL["alias_canonical"].replace("lower(p_brand)", NORM.format("p_brand"))
 
 
+@query()
+def alias_canonical_all(v):
+    """The aliases of all parts; pair-wise SQL is too slow for groups of this size, so tests compare with brute force."""
+    aliases = v.part.groupBy(F.col("p_name").alias("label")).agg(F.collect_set("p_brand").alias("aliases"))
+    return R.canonical_labels(part_labels(v).join(aliases, "label", "left"))
+
+
 @query(f"select {NORM.format('p_name')} as key, min('p' || p_partkey) as slug from part group by 1")
 def name_index(v):
     return R.name_index(v.part.select(F.concat(F.lit("p"), "p_partkey").alias("slug"), F.col("p_name").alias("display_label")))

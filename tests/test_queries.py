@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from latticework import queries as Q
+from latticework.functions.text import label_key
+from latticework.operators.resolve import Resolver
 from latticework.plans.views import TABLES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -51,6 +53,26 @@ def test_resolve_batch_takes_all_parts(spark):
     assert got == spark.read.parquet(f"{DATA}/part.parquet").count()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_alias_canonical_all_against_brute_force(spark):
+    parts = [(r.p_name, r.p_brand) for r in spark.read.parquet(f"{DATA}/part.parquet").collect()]
+    labels = sorted({name for name, _ in parts})
+    holds = {name: {label_key(b) for n, b in parts if n == name} for name in labels}
+    root, sig = {name: name for name in labels}, {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in labels:
+        for b in labels:
+            if holds[a] & holds[b] or label_key(a) in holds[b] or Resolver.match(label_key(a), label_key(b), sig):
+                root[find(a)] = find(b)
+    want = {(a, min((b for b in labels if find(b) == find(a)), key=lambda x: (len(x), x))) for a in labels}
+    assert {tuple(r) for r in Q.QUERIES["alias_canonical_all"](spark, DATA).select("label", "canonical").collect()} == want
+
+
 def test_nothing_depends_on_the_optional_subpackage():
     root = os.path.dirname(Q.__file__)
     for folder, _, names in os.walk(root):
