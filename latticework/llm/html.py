@@ -1,35 +1,40 @@
 """Main text of web pages by consensus of a host's pages.
 
-Each page's containers are scored by the text that lies in them outside of boilerplate and links; the best one votes for
-its generalised path (tags and classes from the body down, digits replaced) among the pages of its host. Votes are
-counted in Spark, pre-aggregated before the shuffle; every page is then extracted again with its host's winning
-path. A page without that path falls back to its own best container.
-
-Text: scripts, styles, markup, menus, page headers, footers, sidebars, notices, adverts, forms and comments are left out;
-character references are decoded; white space within a block becomes one space; blocks are joined by one line end.
-
-Winners (one short row per host) are broadcast only if they are few enough (``BROADCAST_HOSTS``, checked); else the join shuffles, and
-adaptive execution splits a hot host.
-
-Edge cases: a null html is an empty page with empty text; a null or odd url belongs to the host ""; ties among paths go to more
-text, then to the larger path; null ids and repeated rows give one row each; an empty table gives an empty result; extra
-columns are dropped.
+Every container of a page is scored by the text in it: a block's characters, less twice those in links, count wholly for the element around
+its paragraph, half for the next and a quarter for the one above, and wholly once more for its article or main element; text in elements named after other kinds (``KINDS``) a quarter. Each container
+votes, with its share of its page's scores, for its generalised path (tags and classes from the root down, digits replaced). Spark adds the votes up by
+host and path, pre-aggregated before the shuffle; a path whose text varies little over the host's pages counts less. The path with most votes wins,
+and every page is extracted again with its host's winner; a page without text there falls back to its own best container.
+
+From the winner's text go the kinds that aren't article: elements that say so by tag, role or hidden state (menus, page headers, footers, sidebars,
+forms), elements within the winner that are named after adverts, notices, forms or reader comments (``KINDS``), and boxes voted out: containers within the
+winner whose text is the same on most different pages of the host (``TEMPLATE_PAGES`` at least). Character references are decoded; white
+space within a block becomes one space; blocks are joined by one line end.
+
+Paths travel as 128-bit digests, so a page costs memory in proportion to its length, however deep it nests. Winners (one row per host) are broadcast only if
+they and their boxes are few enough (``BROADCAST_HOSTS``, checked); else the join shuffles, and adaptive execution splits a hot host.
+
+Edge cases: a null html is an empty page with empty text; a null or odd url belongs to the host ""; a very long page is parsed whole in one
+worker's memory; ties among paths go to the larger digest; null ids and repeated rows give one row each; an empty table gives an empty
+result; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, small_batches, stored, table, text_udf, tidy
 
 BROADCAST_HOSTS = 100_000
-#: Elements nested deeper share the path of their ancestor.
-DEPTH = 64
+#: Different pages of a host that must have a box, and the share of different texts in it up to which it is a template.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 4, 0.5
 
 TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?][^>]*(?:>|\Z)|/[^>]*(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -53,45 +58,64 @@ CLOSES = {
 }
 DROPPED = frozenset("head nav footer aside form select button dialog menu svg object video audio canvas fieldset search optgroup option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-WORDS = """nav navbar navigation menu menubar header masthead topbar footer foot bottombar sidebar side-bar aside rail advert advertisement adverts ad ads adbox
-    adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup
-    comment comments commentlist disqus respond replies share sharing social related recommended breadcrumb breadcrumbs pagination pager
-    widget widgets toolbar skip login search banner"""
-NOISE = re.compile(rf"(?:[a-z0-9]+[-_]+)*?(?:{'|'.join(WORDS.split())})(?:[-_]+[a-z0-9]+)*", re.I)
-#: Names that speak of something else's boilerplate, and those of an article's own head.
-HAS = re.compile(r"(?:with|has|no|is|js|without)[-_]", re.I)
-OWN_HEAD = re.compile(r"(?:(?:article|post|entry|story|content)[-_])?(?:header|side)", re.I)
+#: What an element within the article may be named after that isn't article.
+KINDS = re.compile(r"(?:ads?|advert(?:s|isement|ising)?|sponsored|promo|cookies?|consent|notice|newsletter|comments?)(?:[-_](?:box|block|list|section|banner|form|area|\d+))?", re.I)
+#: Elements that hold blocks; only these vote.
+PARAGRAPH = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt tr caption figcaption summary address center legend".split())
 NEVER = frozenset("html body main article".split())
+ROOT = b""
 
 
 class Node:
-    """An open or closed block element."""
+    """An open or closed block element. ``step``: its part of the generalised path, ``key``: digest of that path; ``named``: after something that isn't article, ``quiet``: it or
+    an element around it is."""
 
-    __slots__ = ("tag", "path", "parent", "dropped", "blocks", "inner", "article")
+    __slots__ = ("tag", "step", "key", "parent", "dropped", "named", "quiet", "article")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, article: bool):
-        self.tag, self.path, self.parent, self.dropped, self.article = tag, path, parent, dropped, article
-        self.blocks: list[int] = []
-        self.inner = 0
+    def __init__(self, tag: str, step: str, parent: Node | None, dropped: bool, named: bool):
+        self.tag, self.step, self.parent, self.dropped, self.named = tag, step, parent, dropped, named
+        self.key = below(parent.key, step) if parent is not None else ROOT
+        self.quiet = named or (parent is not None and parent.quiet)
+        self.article = self if tag in ("article", "main") else parent.article if parent is not None else None
 
 
 def generalised(tag: str, classes: str) -> str:
-    names = sorted({re.sub(r"\d+", "0", c.lower()) for c in classes.split()} - {""})
-    return ".".join([tag, *names[:4]])
+    return ".".join([tag, *sorted({re.sub(r"\d+", "0", c.lower()).replace(">", "") for c in classes.split()})])
+
+
+def below(key: bytes, segment: str) -> bytes:
+    """Digest of a path and one more element."""
+    return blake2b(key + segment.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def is_noise(tag: str, attributes: str, article: bool) -> tuple[bool, str]:
-    """Whether an element is boilerplate by its attributes, and its classes."""
+def path_of(x: Node) -> str:
+    """A written path, as ``>html>body>div.post``."""
+    steps = []
+    while x.parent is not None:
+        steps.append(f">{x.step}")
+        x = x.parent
+    return "".join(reversed(steps))
+
+
+def path_key(path: str) -> bytes:
+    """Digest of a written path."""
+    key = ROOT
+    for step in path.split(">")[1:]:
+        key = below(key, step)
+    return key
+
+
+def told(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element says by its attributes that it isn't article, whether it is named after such a kind, and its classes."""
     given = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     classes = given.get("class", "")
     if tag in NEVER:
-        return False, classes
+        return False, False, classes
     if given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true":
-        return True, classes
+        return True, False, classes
     if re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
-        return True, classes
-    names = [*classes.split(), *given.get("id", "").split()]
-    return any(NOISE.fullmatch(n) and not HAS.match(n) and not (OWN_HEAD.fullmatch(n) and (article or "-" in n or "_" in n)) for n in names), classes
+        return True, False, classes
+    return False, any(KINDS.fullmatch(n) for n in (*classes.split(), *given.get("id", "").split())), classes
 
 
 def parse(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
@@ -161,10 +185,9 @@ def parse(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
                 close(*CLOSES[tag])
             if tag != "option" and at.tag == "p":
                 at = at.parent
-            noise, classes = is_noise(tag, attributes, at.article) if attributes and not attributes.isspace() else (False, "")
-            dropped = at.dropped or noise or tag in DROPPED or (tag == "header" and not at.article)
-            path = f"{at.path}>{generalised(tag, classes)}" if at.path.count(">") < DEPTH else at.path
-            at = Node(tag, path, at, dropped, at.article or tag in ("article", "main"))
+            other, named, classes = told(tag, attributes) if attributes and not attributes.isspace() else (False, False, "")
+            dropped = at.dropped or other or tag in DROPPED or (tag == "header" and at.article is None)
+            at = Node(tag, generalised(tag, classes), at, dropped, named)
             nodes.append(at)
         elif tag == "br":
             say(" ")
@@ -176,69 +199,97 @@ def parse(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
     return blocks, nodes
 
 
-def best_container(blocks: list[tuple[Node, str, int]]) -> tuple[str, int]:
-    """Path and score of the container with most text of its own: a block counts wholly for the element around its paragraph,
-    half for the next, a quarter for the one above; links don't count. An article or main element counts for all within."""
+def scores_of(blocks: list[tuple[Node, str, int]]) -> dict[Node, int]:
+    """What each container scores by the blocks in it."""
     scores: dict[Node, int] = {}
     for node, text, linked in blocks:
         gain = len(text) - 2 * linked
-        box, share = (node.parent if node.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td", "dd", "dt", "tr") and node.parent is not None else node), 4
+        if node.quiet:
+            gain //= 4
+        box, share = node, 4
+        while box.tag in PARAGRAPH and box.parent is not None:
+            box = box.parent
         while box is not None and share:
             scores[box] = scores.get(box, 0) + gain * share
             box, share = box.parent, share // 2
-        x = node
-        while x is not None and x.tag not in ("article", "main"):
-            x = x.parent
-        if x is not None:
-            scores[x] = scores.get(x, 0) + gain * 4
-    if not scores:
-        return "", 0
-    best = max(scores.items(), key=lambda kv: (kv[1], kv[0].path))
-    return best[0].path, max(0, best[1])
+        if node.article is not None:
+            scores[node.article] = scores.get(node.article, 0) + gain * 4
+    return scores
 
 
-def joined(blocks: list[tuple[Node, str, int]], path: str) -> str | None:
-    """Text of the blocks in elements of this path; None if the page has none."""
-    inside: dict[Node, bool] = {}
-
-    def within(x: Node | None) -> bool:
-        chain = []
-        while x is not None and x not in inside:
-            chain.append(x)
-            if x.path == path:
-                break
-            x = x.parent
-        yes = x is not None and (x.path == path or inside.get(x, False))
-        for y in chain:
-            inside[y] = yes
-        return yes
-
-    found = [text for node, text, _ in blocks if within(node)]
-    return "\n".join(found) if found else None
+def best_container(blocks: list[tuple[Node, str, int]]) -> tuple[Node, int] | None:
+    """The container with the highest score, and the score; None without blocks."""
+    return max(scores_of(blocks).items(), key=lambda kv: (kv[1], kv[0].key), default=None)
 
 
 def vote(html: str) -> tuple[str, int]:
-    return best_container(parse(html)[0])
+    """Path and score of a page's own best container."""
+    best = best_container(parse(html)[0])
+    return (path_of(best[0]), best[1]) if best else ("", 0)
 
 
-def extract(html: str, path: str | None) -> str:
-    """Main text by the winning path; else by the page's own best container; an element of that path without text is an empty article."""
+def votes_of(html: str) -> tuple[list[tuple[bytes, float, int]], int]:
+    """Votes (path, share of the page's scores, digest of its text), one for each path of a container, and a digest of the page's text."""
     blocks, nodes = parse(html)
-    if path:
-        found = joined(blocks, path)
-        if found is not None:
-            return found
-        if any(x.path == path for x in nodes):
-            return ""
-    return joined(blocks, best_container(blocks)[0]) or ""
+    best: dict[bytes, int] = {}
+    for node, score in scores_of(blocks).items():
+        best[node.key] = max(best.get(node.key, 0), score)
+    whole = sum(best.values())
+    words: dict[Node, int] = {}
+    for i, (node, text, _) in enumerate(blocks):
+        words[node] = words.get(node, 0) + xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) * (2 * i + 1)
+    by_path: dict[bytes, int] = {}
+    for node in reversed(nodes):  # a parent comes before its children
+        n = words.get(node, 0)
+        if n and node.parent is not None:
+            words[node.parent] = words.get(node.parent, 0) + n
+        if n and node.tag not in PARAGRAPH:
+            by_path[node.key] = by_path.get(node.key, 0) + n
+    signed = lambda n: ((n + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
+    votes = [(key, best.get(key, 0) / whole if whole else 0.0, signed(n)) for key, n in by_path.items()]
+    return votes, signed(sum(words.get(node, 0) for node in nodes[:1]))
+
+
+def inside(blocks: list[tuple[Node, str, int]], key: bytes, boxes: frozenset[bytes] = frozenset()) -> str:
+    """Text of the blocks in elements of this path, without elements within that are named after other kinds or voted out (``boxes``)."""
+    known: dict[Node, bool | None] = {}  # True in the article, False in a part that goes, None outside of it
+
+    def state(x: Node) -> bool | None:
+        chain, found = [], None
+        while x is not None and x not in known:
+            chain.append(x)
+            x = x.parent
+        found = known[x] if x is not None else None
+        for y in reversed(chain):
+            if found and (y.named or y.key in boxes):
+                found = False
+            elif found is None and y.key == key:
+                found = True
+            known[y] = found
+        return found
+
+    return "\n".join(text for node, text, _ in blocks if state(node))
+
+
+def extract(html: str, path: str | bytes | None, boxes=()) -> str:
+    """Main text by the winning path (written or as a digest); where that holds none by the page's own best container."""
+    blocks, _ = parse(html)
+    key = path_key(path) if isinstance(path, str) else path
+    found = inside(blocks, key, frozenset(boxes or ())) if key is not None else ""
+    if found or not blocks:
+        return found
+    return inside(blocks, best_container(blocks)[0].key)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host``, ``path``: the path with most votes of each host. ``pages`` has ``host`` and ``html``."""
-    run = text_udf(lambda: vote, "path string, score long")
-    votes = pages.select("host", run(F.col("html")).alias("v")).select("host", "v.path", "v.score").filter("path <> ''")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("score").alias("score"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("pages", "score", "path")).alias("path"))
+    """``host``, ``path``: the digest of the path with most votes of each host, and ``boxes``: paths of containers that hold the same text on most pages. The boxes of a
+    host are paths of its templates, not of its pages. ``pages`` has ``host`` and ``html``."""
+    run = text_udf(lambda: votes_of, "votes array<struct<path: binary, share: double, words: bigint>>, page bigint")
+    votes = pages.select("host", run(F.col("html")).alias("v")).select("host", F.explode("v.votes").alias("x"), "v.page").select("host", "x.*", "page")
+    counted = votes.groupBy("host", "path").agg(F.sum("share").alias("share"), F.approx_count_distinct("words").alias("texts"), F.approx_count_distinct("page").alias("pages"))
+    variety = F.least(F.lit(1.0), F.col("texts") / F.col("pages"))
+    counted = counted.select("host", "path", (F.col("share") * variety).alias("share"), ((F.col("pages") >= TEMPLATE_PAGES) & (variety <= TEMPLATE_SHARE)).alias("template"))
+    return counted.groupBy("host").agg(F.max_by("path", F.struct("share", "path")).alias("path"), F.collect_set(F.when(F.col("template"), F.col("path"))).alias("boxes"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
@@ -246,16 +297,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
     winners = stored(host_paths(rows), "hosts")
-    few = winners.count() <= broadcast_hosts
+    few = (winners.agg(F.sum(1 + F.size("boxes"))).first()[0] or 0) <= broadcast_hosts
     small_batches()
 
     @F.arrow_udf("string")
-    def run(texts: pa.Array, paths: pa.Array) -> pa.Array:
-        out = [extract(t or "", p) for at in range(0, len(texts), SLICE_ROWS) for t, p in zip(texts.slice(at, SLICE_ROWS).to_pylist(), paths.slice(at, SLICE_ROWS).to_pylist(), strict=True)]
+    def run(texts: pa.Array, paths: pa.Array, boxes: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(texts), SLICE_ROWS):
+            out += [extract(t or "", p, b) for t, p, b in zip(*(x.slice(at, SLICE_ROWS).to_pylist() for x in (texts, paths, boxes)), strict=True)]
         tidy()
         return pa.array(out, pa.string())
 
-    found = rows.join(F.broadcast(winners) if few else winners, "host", "left").select("id", "url", run("html", "path").alias("text"))
+    found = rows.join(F.broadcast(winners) if few else winners, "host", "left").select("id", "url", run("html", "path", "boxes").alias("text"))
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 
 
