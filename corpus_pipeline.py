@@ -19,8 +19,8 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules reject go; the compression bands are learnt from labelled documents."""
+    return quality.keep_good(docs, bands=quality.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
