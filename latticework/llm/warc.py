@@ -2,7 +2,8 @@ r"""WARC as a content-addressed archive.
 
 Two Parquet tables make an archive. ``payloads`` holds the bytes of each distinct payload once, addressed by their
 SHA-256 (checked whenever they are read); ``headers`` holds, for each record, its exact WARC and HTTP header bytes and
-the address of its payload. A join on the address gives back the original records, byte for byte.
+the address of its payload. A join on the address gives back the original records, byte for byte; both tables are bucketed by the
+address, so the join moves no payload. Reading parses those bytes: header lines, then the block by its stated length, then the payload in it.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, that with the largest id (ties: largest url, then last
 of equal rows) is a response and the others are revisits of it; smaller ones are all responses.
@@ -10,19 +11,20 @@ of equal rows) is a response and the others are revisits of it; smaller ones are
 Only addresses and headers are grouped and joined on hot payloads; payload bytes are combined per map task before the
 one shuffle that stores them, and a join whose one side is a hot address is split by adaptive execution.
 
-Edge cases: a null html is the empty payload; a null url has no target header field; a null id has no id header field and
+Edge cases: a very long payload is one cell (2 GB) and one record; a null html is the empty payload; a null url has no target header field; a null id has no id header field and
 is less than any other; equal rows are records of their own (one response, the others revisits); an empty table gives
 empty archives; extra columns are dropped.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, stored, table
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -56,9 +58,10 @@ def field(header: Column, name: str) -> Column:
 
 @dataclass(frozen=True)
 class Archive:
-    """Where the two tables of an archive lie."""
+    """Where the two tables of an archive lie, and in how many buckets."""
 
     path: str
+    buckets: int
 
     @property
     def headers(self) -> str:
@@ -69,15 +72,36 @@ class Archive:
         return f"{self.path}/payloads"
 
 
+def put(rows: DataFrame, archive: Archive, path: str) -> None:
+    """Write a table of an archive, a file for each bucket of addresses. The catalog knows it for the time of writing only."""
+    name = table_name(path)
+    rows.write.bucketBy(archive.buckets, "address").sortBy("address").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    rows.sparkSession.sql(f"drop table {name}")
+
+
+def get(spark: SparkSession, archive: Archive, path: str, columns: str) -> DataFrame:
+    """A table of an archive, read by buckets."""
+    name = table_name(path)
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by (address) sorted by (address) into {archive.buckets} buckets location '{path}'")
+    found = spark.table(name)
+    found.schema  # resolved, so that the name isn't needed any more
+    spark.sql(f"drop table {name}")
+    return found
+
+
+def table_name(path: str) -> str:
+    return f"latticework_warc_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}_{uuid.uuid4().hex}"
+
+
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> Archive:
     """Write a record for each row."""
-    archive = Archive(path)
+    archive = Archive(path, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.select("id", "url", "payload", F.sha2("payload", 256).alias("address"))
 
-    stored = rows.select("address", "payload").groupBy("address").agg(F.first("payload").alias("payload"))
-    stored.write.option("compression", "zstd").parquet(archive.payloads)
+    once = rows.select("address", "payload").groupBy("address").agg(F.first("payload").alias("payload"))
+    put(once, archive, archive.payloads)
 
     facts = rows.select("id", "url", "address", base32(F.sha1("payload")).alias("sha1"), F.octet_length("payload").alias("size"))
     facts = facts.groupBy("id", "url", "address", "sha1", "size").count()
@@ -102,38 +126,67 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url"
         line("WARC-Refers-To", other(urn(F.col("first.id"), F.col("first.url"), F.col("address"), F.col("first.nth")))),
         line("WARC-Refers-To-Target-URI", other(F.col("first.url"))),
         line("X-Row-ID", F.col("id")),
-        line("X-Refers-To-Row-ID", other(F.col("first.id"))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", length),
         F.lit("\r\n"),
     )
     out = records.select("address", F.encode(header, "UTF-8").alias("header"), F.encode(http, "UTF-8").alias("http"))
-    out.write.option("compression", "zstd").parquet(archive.headers)
+    put(out, archive, archive.headers)
     return archive
 
 
 def verified(spark: SparkSession, archive: Archive) -> DataFrame:
     """Payloads whose bytes have the digest they are addressed by; any other stops the job."""
-    p = spark.read.parquet(archive.payloads)
+    p = get(spark, archive, archive.payloads, "address string, payload binary")
     wrong = F.raise_error(F.concat(F.lit("damaged payload "), F.col("address")))
-    return p.select(F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(wrong).alias("address"), "payload")
+    return p.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(wrong))
+
+
+def headers(spark: SparkSession, archive: Archive) -> DataFrame:
+    h = get(spark, archive, archive.headers, "address string, header binary, http binary")
+    return h.withColumn("type", field(F.decode("header", "UTF-8"), "WARC-Type"))
 
 
 def reconstruct(spark: SparkSession, archive: Archive) -> DataFrame:
     """The original records: ``record`` (binary, whole) and the full ``payload`` that it holds or refers to."""
-    h = spark.read.parquet(archive.headers).join(verified(spark, archive), "address")
-    held = F.when(field(F.decode("header", "UTF-8"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    h = headers(spark, archive).join(verified(spark, archive), "address")
+    held = F.when(F.col("type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return h.select(F.concat("header", "http", held, F.encode(F.lit(END), "UTF-8")).alias("record"), "payload")
 
 
+def records(spark: SparkSession, archive: Archive) -> DataFrame:
+    """The original records as ``reconstruct`` makes them, without the payloads that revisits refer to."""
+    h, end = headers(spark, archive), F.encode(F.lit(END), "UTF-8")
+    whole = h.filter("type = 'response'").join(verified(spark, archive), "address").select(F.concat("header", "http", "payload", end).alias("record"))
+    return whole.unionAll(h.filter("type <> 'response'").select(F.concat("header", "http", end).alias("record")))
+
+
+def parsed(found: DataFrame) -> DataFrame:
+    """From the bytes of ``record``: ``head`` (WARC header, text) and ``payload``. A record whose parts don't have the lengths that it states stops the job."""
+    upto = lambda c: F.substring_index(F.col(c).cast("string"), END, 1)
+    size = lambda c: F.octet_length(c).cast("int")
+    rows = found.withColumn("head", upto("record"))
+    rows = rows.withColumn("length", field(F.concat("head", F.lit("\r\n")), "Content-Length").cast("int"))
+    wrong = F.raise_error(F.concat(F.lit("record without its stated length: "), F.col("head"))).cast("binary")
+    fits = size("record") == size("head") + F.col("length") + 2 * len(END)
+    rows = rows.withColumn("block", F.when(fits, F.substring("record", size("head") + len(END) + 1, F.col("length"))).otherwise(wrong))
+    http = size(upto("block")) + len(END)
+    return rows.select(F.concat("head", F.lit("\r\n")).alias("head"), F.substring("block", http + 1, size("block") - http).alias("payload"))
+
+
 def index(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Read the archive back: a row per record, from its header bytes and the bytes of its payload."""
-    facts = verified(spark, archive).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    h = spark.read.parquet(archive.headers).select("address", F.decode("header", "UTF-8").alias("text"))
-    h = h.select("address", *(field(F.col("text"), n).alias(a) for a, n in (("page_id", "X-Row-ID"), ("record_type", "WARC-Type"), ("refers_to", "X-Refers-To-Row-ID"), ("said", "WARC-Payload-Digest"))))
+    """Read the archive back: a row per record, from its bytes; a revisit's payload is that of the record it refers to."""
+    rows = parsed(records(spark, archive))
+    names = (("page_id", "X-Row-ID"), ("record_type", "WARC-Type"), ("record_id", "WARC-Record-ID"), ("refers", "WARC-Refers-To"), ("said", "WARC-Payload-Digest"))
+    rows = rows.select(*(field(F.col("head"), n).alias(a) for a, n in names), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
+    rows = stored(rows.withColumn("page_id", F.col("page_id").cast("long")), "records")  # short columns; read twice below
     wrong = F.raise_error(F.concat(F.lit("digest in header differs: "), F.col("said")))
-    digest = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(wrong)
-    return h.join(facts, "address").select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    digest = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(wrong).alias("payload_digest")
+    first = rows.filter("record_type = 'response'")
+    held = first.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    again = rows.filter("record_type = 'revisit'").select("page_id", "record_type", "refers", "said").join(held, "refers")
+    columns = ["page_id", "payload_bytes", digest, "record_type"]
+    return first.select(*columns, F.lit(None).cast("long").alias("refers_to")).unionAll(again.select(*columns, "refers_to"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
