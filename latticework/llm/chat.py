@@ -1,16 +1,17 @@
 r"""Chat formatting: event-sourced reconstruction, in DataFrame operations only.
 
 A log of events (``seq``, ``kind``, ``msg``, ``role``, ``text``) is partitioned by conversation and sorted by sequence.
-Events fold into final messages: ``message`` starts a message (without ``msg`` it is one of its own), ``delta`` appends to it,
-``edit`` replaces it, ``regenerate`` clears it for the deltas that follow, ``delete`` removes it. A message stands where its first event
-stands. Messages are rendered one by one, then joined in runs of ``RUN`` and only then per conversation, so that no task gathers
+Events fold into final messages: ``message`` starts a message, ``delta`` appends to it, ``edit`` replaces it, ``regenerate`` clears it for the
+deltas that follow, ``delete`` removes it for good: whatever comes after it is ignored. A message stands where its first event stands. An
+event without ``msg`` gets an id of its own and folds like the others; nothing but the uniqueness of these ids matters. Messages are rendered one by one, then joined in runs of ``RUN`` and only then per conversation, so that no task gathers
 the rows of a long conversation one by one.
 
 The template writes a turn as ``<s>role\ntext</s>``. Control strings within a role or text are broken by a backslash and a dot
 after their first character, and a backslash is doubled; a line end in a role is a backslash and an n. All that can be undone.
 The loss mask lists, for each turn, the code points to skip and those to learn (an assistant's text as it is written).
 
-Edge cases: a null text, role or kind counts as "", "" and ``message``; a null sequence comes first; ties go by role, then text, then by msg;
+Edge cases: the result is a row per conversation, so a whole conversation must fit into one row (2 GB), and one text of any length into it; events
+before a message's start count as part of it only where it has no start; a null text, role or kind counts as "", "" and ``message``; a null sequence comes first; ties go by role, then text, then by msg;
 equal rows without ``msg`` are messages of their own; rows with a null conversation id form one conversation; an empty log gives
 no rows; extra columns are dropped.
 """
@@ -57,19 +58,17 @@ def fold(events: DataFrame, conv: str = "conv_id", seq: str = "seq", kind: str =
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    alone = e.filter(F.col("msg").isNull()).select("conv", "seq", "role", "text", "msg")
+    e = e.withColumn("own", F.when(F.col("msg").isNull(), F.monotonically_increasing_id()))
     at = F.struct("seq", "role", "text", "kind")
-    parts = e.filter(F.col("msg").isNotNull()).groupBy("conv", "msg").agg(
+    parts = e.groupBy("conv", "msg", "own").agg(
         F.min(F.struct("seq", "role")).alias("first"),
-        F.max_by("kind", at).alias("last_kind"),
-        F.max(F.when(F.col("kind").isin("message", "edit", "regenerate", "delete"), at)).alias("start"),
+        F.bool_or(F.col("kind") == "delete").alias("gone"),
+        F.max(F.when(F.col("kind").isin("message", "edit", "regenerate"), at)).alias("start"),
         F.array_sort(F.collect_list(at)).alias("log"),
     )
     live = F.filter("log", lambda x: F.col("start").isNull() | (x >= F.col("start")))
-    body = F.array_join(F.transform(live, lambda x: F.when(x["kind"].isin("regenerate", "delete"), "").otherwise(x["text"])), "")
-    gone = F.coalesce(F.col("start.kind") == "delete", F.lit(False)) & (F.col("last_kind") == "delete")
-    folded = parts.filter(~gone).select("conv", F.col("first.seq").alias("seq"), F.col("first.role").alias("role"), body.alias("text"), "msg")
-    return alone.unionByName(folded)
+    body = F.array_join(F.transform(live, lambda x: F.when(x["kind"] == "regenerate", "").otherwise(x["text"])), "")
+    return parts.filter(~F.col("gone")).select("conv", F.col("first.seq").alias("seq"), F.col("first.role").alias("role"), body.alias("text"), "msg")
 
 
 def render(messages: DataFrame) -> DataFrame:
