@@ -2,12 +2,17 @@
 
 Three patterns find assigned values, access keys and long hexadecimal strings. Beside them two order-2 character
 models, one trained from random strings and one from ordinary identifiers (both labelled samples), judge every
-other long run of key characters: where the mean log-likelihood ratio per character passes ``Models.cut``,
-it is a secret of kind ``random``. Patterns' spans are cut out of a run first. What is left is judged in the parts between
-``=``, so that a name doesn't dilute its value; a part that isn't random as a whole may hold windows between ``/ + _ -``
-that are. Letters without digits need a higher ratio, since words of other languages are unlike the identifiers, too.
+other long run of key characters. The sum of the log-likelihood ratios over a run is the evidence that it is random; where it
+passes ``Models.odds`` (the log of the odds that such a run is ordinary), it is a secret of kind ``random``. So a short run
+needs more a character than a long one, and nothing else is asked of its length or letters. Patterns' spans are cut out of a run first.
+What is left is judged between its separators: the stretch of parts with the greatest sum, then what lies before and after
+it, so that a name doesn't dilute its value.
 
-Offsets count code points, the end exclusive. Edge cases: a null text counts as empty and has no spans; null ids,
+Ordinary samples are composed from parts of identifiers, syllables of several languages, numbers, dates and ruled lines
+in the usual spellings; random ones from several alphabets: ``SAMPLES`` of each.
+
+Offsets count code points, the end exclusive. Edge cases: a null text counts as empty and has no spans; a very long text is scanned
+whole in one worker's memory, a very long run in time in proportion to the square of its separators at worst; null ids,
 repeated rows and ties give one row each; an empty table gives an empty result; extra columns are dropped by
 ``scan`` and kept by ``redact``.
 """
@@ -19,6 +24,7 @@ import random
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +42,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.
 START = len(ALPHABET)
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-PART = re.compile("[^=]+=*")
-SEPARATOR = re.compile("[/+_-]+")
+SEPARATOR = re.compile("[/+_=-]+")
+#: Labelled strings of each kind that the models are trained from.
+SAMPLES = 20_000
 FIELDS = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 #: Parts of ordinary identifiers, from which labelled samples are composed.
@@ -53,21 +60,40 @@ remote global unique primary foreign reference description information organizat
 communication responsibility configuration authentication implementation environment development""".split()
 
 
-def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
-    """(string, label): 1 for random strings (several alphabets), 0 for ordinary identifiers, words, paths and numbers."""
+#: Beginnings, middles and ends of syllables in European languages.
+ONSETS = "b bl br c ch cl cr d dr dw f fl fr g gl gn gr gu h j k kl kn kr l ll m n p pf ph pl pr ps qu r rh s sc sch schl schm schn schr schw sh sk sl sm sn sp spr st str sw t th tr tw tz v w wh wr y z zw".split()
+NUCLEI = "a a a e e e e i i i o o o u u ai au ay ea ee ei eu ia ie ieu io oa oe oi oo ou ue ui y".split()
+CODAS = [*[""] * 24, *"b c ch ck ct d f ff ft g gh ght gn h k l ld lk ll lm ls lt m mb mp mpf n nce nch nd ng ngs nk ns nst nt p ph ps pt r rb rch rd rf rg rk rl rm rn rs rst rt s sch ss st t th tion ts tt tz v w x z".split()]
+
+
+def ordinary(rng: random.Random) -> str:
+    """An identifier, a word, a path, a number, a date or a ruled line."""
+    shape = rng.random()
+    if shape < 0.08:
+        return "".join(rng.choices("0123456789", k=rng.randint(4, 20)))
+    if shape < 0.11:
+        return f"{rng.randint(1900, 2100)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    if shape < 0.15:
+        return rng.choice("-=_+/.") * rng.randint(8, 60) if shape < 0.14 else rng.choice(ALPHABET) * rng.randint(8, 20)
+    invented = lambda: "".join(rng.choice(ONSETS) * (rng.random() < 0.8) + rng.choice(NUCLEI) + rng.choice(CODAS) for _ in range(rng.randint(1, 7)))
+    words = [rng.choice(PARTS) if rng.random() < 0.5 else invented() for _ in range(rng.randint(1, 6))]
+    if rng.random() < 0.15:
+        words.append(str(rng.randint(1, 9999)))
+    spelled = [
+        lambda: "_".join(words), lambda: "-".join(words), lambda: "".join(w.title() for w in words), lambda: words[0] + "".join(w.title() for w in words[1:]),
+        lambda: "/".join(words) + "/", lambda: "_".join(words).upper(), lambda: "".join(words), lambda: "=".join(words), lambda: "-".join(w.title() for w in words), lambda: "".join(words).upper(),
+    ]
+    return rng.choice(spelled)()
+
+
+def labelled_samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int]]:
+    """(string, label): 1 for random strings (several alphabets), 0 for ordinary ones."""
     rng = random.Random(seed)
     b64, upper, lower = ALPHABET[:64], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62]
     out = []
     for _ in range(n):
-        kind = rng.choice([b64, ALPHABET[:62], ALPHABET[:62], upper, lower, "0123456789abcdef"])
-        out.append(("".join(rng.choices(kind, k=rng.randint(16, 64))), 1))
-        words = rng.choices(PARTS, k=rng.randint(2, 6))
-        style = rng.randrange(7)
-        text = [
-            "_".join(words), "-".join(words), "".join(w.title() for w in words), words[0] + "".join(w.title() for w in words[1:]),
-            "/".join(words) + "/", "_".join(words).upper(), "_".join(words) + "_" + str(rng.randint(1, 9999)),
-        ][style]
-        out.append((text, 0))
+        kind = rng.choice([b64, ALPHABET[:62], ALPHABET[:52], ALPHABET[:26], ALPHABET[26:52], upper, lower, "0123456789abcdef"])
+        out += [("".join(rng.choices(kind, k=rng.randint(16, 64))), 1), (ordinary(rng), 0)]
     return out
 
 
@@ -95,71 +121,58 @@ def train(samples: list[tuple[str, int]], label: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Models:
-    """``ratio``: log-likelihood ratio (random over ordinary) of each character after two others."""
+    """``ratio``: log-likelihood ratio (random over ordinary) of each character after two others. No character adds more than ``most``: what ordinary
+    samples lack altogether tells less than its ratio says."""
 
     ratio: np.ndarray
-    least: int = 20
-    cut: float = 0.45
-    mixed_cut: float = 1.5
-    letters_cut: float = 2.2
+    most: float = 3.0
+    odds: float = 12.0
 
     @staticmethod
     def fit(samples: list[tuple[str, int]] | None = None, **settings) -> Models:
-        samples = labelled_samples() if samples is None else samples
-        return Models((train(samples, 1) - train(samples, 0)).astype(np.float32), **settings)
+        return Models(default_ratio() if samples is None else ratio_of(samples), **settings)
 
-    def score(self, run: str) -> float:
-        """Mean ratio per character; 0 for an empty run."""
-        if not run:
-            return 0.0
+    def sums(self, run: str) -> np.ndarray:
+        """Sums of the ratios of the first characters, from none to all."""
         codes = np.array([START, START, *(CODE[c] for c in run)])
-        return float(self.ratio[codes[:-2], codes[1:-1], codes[2:]].mean())
-
-    def cut_of(self, run: str) -> float:
-        """The ratio that a run must pass: by whether it has digits beside letters, capitals within words, or letters of one case."""
-        if not re.search("[A-Za-z]", run):
-            return float("inf")
-        if re.search("[0-9]", run):
-            return self.cut
-        if len(set(run)) < 8:  # "xxxx...": no random string of letters
-            return float("inf")
-        return self.mixed_cut if re.search("[a-z][A-Z]", run) else self.letters_cut
+        return np.concatenate(([0.0], np.cumsum(np.minimum(self.ratio[codes[:-2], codes[1:-1], codes[2:]], self.most), dtype=np.float64)))
 
     def is_secret(self, run: str) -> bool:
-        """Long enough, with letters, and likelier random than ordinary."""
-        return len(run) >= self.least and self.score(run) > self.cut_of(run)
+        """Far likelier random than ordinary."""
+        return bool(self.windows(run))
 
     def windows(self, run: str) -> list[tuple[int, int]]:
-        """(start, end) of secrets in a run: its parts between ``=``, else windows within them, else the whole."""
-        found = []
-        for m in PART.finditer(run):
-            found += [m.span()] if self.is_secret(m[0]) else [(m.start() + a, m.start() + b) for a, b in self.within(m[0])]
-        return found or ([(0, len(run))] if self.is_secret(run) else [])
-
-    def within(self, part: str) -> list[tuple[int, int]]:
-        """Windows between separators, best sum of ratios above the cut first, then what lies before and after."""
-        edges = [0, *(i for m in SEPARATOR.finditer(part) for i in m.span()), len(part)]
-        if len(part) < self.least or len(edges) == 2:
+        """(start, end) of secrets in a run: the stretch between separators with the greatest sum, if that passes ``odds``, then the same before and after it."""
+        if not run:
             return []
-        codes = np.array([START, START, *(CODE[c] for c in part)])
-        sums = np.concatenate(([0.0], np.cumsum(self.ratio[codes[:-2], codes[1:-1], codes[2:]] - self.cut, dtype=np.float64)))
+        sums = self.sums(run)
+        edges = sorted({0, len(run), *(i for m in SEPARATOR.finditer(run) for i in m.span())})
+        at = sums[edges]
         found, todo = [], [(0, len(edges) - 1)]
         while todo:
             low, high = todo.pop()
-            best, first, at = None, None, low
-            for j in range(low + 1, high + 1):
-                while edges[j] - edges[at] >= self.least and at < j:
-                    first = at if first is None or sums[edges[at]] < sums[edges[first]] else first
-                    at += 1
-                if first is not None and (best is None or sums[edges[j]] - sums[edges[first]] > best[0]):
-                    best = (sums[edges[j]] - sums[edges[first]], first, j)
-            if best is None or best[0] <= 0:
+            if high <= low:
+                continue
+            part = at[low : high + 1]
+            least = np.minimum.accumulate(part)  # of all starts before an end
+            gain = part[1:] - least[:-1]
+            j = int(gain.argmax())
+            if gain[j] <= self.odds:
                 continue
-            _, i, j = best
-            if self.is_secret(part[edges[i] : edges[j]]):
-                found.append((edges[i], edges[j]))
-            todo += [(low, i), (j, high)]
-        return found
+            j += 1
+            i = int(part[:j].argmin())
+            found.append((edges[low + i], edges[low + j]))
+            todo += [(low, low + i), (low + j, high)]
+        return sorted(found)
+
+
+def ratio_of(samples: list[tuple[str, int]]) -> np.ndarray:
+    return (train(samples, 1) - train(samples, 0)).astype(np.float32)
+
+
+@cache
+def default_ratio() -> np.ndarray:
+    return ratio_of(labelled_samples())
 
 
 def spans_of(text: str, models: Models) -> list[tuple[int, int, int]]:
@@ -221,7 +234,7 @@ def make_redact(models: Models):
 
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", models: Models | None = None) -> DataFrame:
-    """A row per document: its id and ``FIELDS``. One pass, no shuffle; the models (1.3 MB) travel with the function."""
+    """A row per document: its id and ``FIELDS``. One pass, no shuffle; the models (1.4 MB) travel with the function."""
     models = models or Models.fit()
     run = text_udf(lambda: make_scan(models), FIELDS)
     return docs.select(F.col(id_col), run(F.col(text)).alias("r")).select(id_col, "r.*")
