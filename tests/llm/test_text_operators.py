@@ -189,11 +189,11 @@ def test_classifier_on_held_out_rows(spark, odd_docs, no_docs):
     rows = corpus(900)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(None, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
-    sample = classify.training_sample(docs, labels)
+    sample = [(r.text, r.y) for r in classify.training_sample(docs, labels).collect()]
     held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
     texts = {t for i, t, _ in rows if i in held}
     assert sample and not any(t in texts for t, _ in sample)
-    model = classify.Model.fit(sample)
+    model = classify.fitted(docs, labels)
     out = {r.doc_id: r for r in classify.score(docs, model).collect()}
     assert {i for i, r in out.items() if r.held_out} == held
     assert np.mean([out[i].predicted == y for i, _, y in rows if i in held]) > 0.95
