@@ -3,6 +3,9 @@
 The anchor of a window (string of ``LENGTH`` bytes) is its k-gram of least hash, the leftmost of several. Equal windows have equal
 anchors at the same place, wherever they stand. Successive windows with one anchor form a stretch. So all copies of a window
 lie in stretches with the same anchor hash, and stretches whose anchor occurs once hold nothing that is repeated.
+
+A k-gram that stands in many surroundings makes a poor anchor: all its stretches would meet in one place. ``Common`` k-grams are anchors only of windows that have no
+others. Equal windows have equal k-grams, so any choice of common ones keeps the sieve lossless.
 """
 
 from __future__ import annotations
@@ -50,7 +53,30 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[: n - w + 1], head[w - 1 : n])
 
 
-def stretches(blob: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Common:
+    """A set of k-gram hashes, tested in bulk."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.sort(grams.astype(U))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.grams >> U(44)).astype(np.int64)] = True
+
+    def last(self, gram: np.ndarray) -> np.ndarray:
+        """Hashes of which those of common k-grams are greater than all others."""
+        at = np.flatnonzero(self.maybe[(gram >> U(44)).astype(np.int64)])
+        found = self.grams[np.minimum(np.searchsorted(self.grams, gram[at]), len(self.grams) - 1)] == gram[at]
+        gram = gram >> U(1)
+        gram[at[found]] |= U(1 << 63)
+        return gram
+
+
+def grams(part: np.ndarray) -> np.ndarray:
+    """Hash of the k-gram at each place but the last ones."""
+    i = np.arange(len(part) - GRAM + 1)
+    return spans(sums(part), i, i + GRAM)
+
+
+def stretches(blob: np.ndarray, ends: np.ndarray, common: Common | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``blob``: bytes of documents, one after the other; ``ends``: where each one ends. Of each stretch: hash of its anchor, hash of all that it
     holds and where the anchor stands, start of its first window, number of windows. Windows lie within a document."""
     out = [[], [], [], []]
@@ -61,6 +87,8 @@ def stretches(blob: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         total = sums(part)
         i = np.arange(len(part) - GRAM + 1)
         gram = spans(total, i, i + GRAM)
+        if common is not None and len(common.grams):
+            gram = common.last(gram)
         key = (gram & ~U(0xFFFFF)) | i.astype(U)
         place = (window_min(key, LENGTH - GRAM + 1) & U(0xFFFFF)).astype(np.int64)
         doc = np.searchsorted(ends, [at, at + len(part)], side="right")

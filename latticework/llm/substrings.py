@@ -1,24 +1,25 @@
-"""Exact removal of repeated strings of 100 bytes, by suffix arrays over shards.
+"""Exact removal of repeated strings of 100 bytes, by external suffix sorting of shards.
 
 A byte goes if a string of 100 bytes that covers it also starts earlier (in a document of smaller id, or earlier in the same one).
 
-1. ``stretches``: every window of 100 bytes belongs to a stretch, found by content-defined anchors (see ``anchors``). One pass; within a batch equal
-   stretches keep their first one, the others are repeats at once, so a hot passage reaches the shuffle once for each batch.
-2. Stretches meet by the hash of their anchor. Equal stretches: all but the first are repeats. A stretch whose anchor occurs in other
-   surroundings too is open: part of its windows may be repeated, or first.
+1. ``stretches``: every window of 100 bytes belongs to a stretch, found by content-defined anchors (see ``anchors``). Windows whose anchor occurs once can't
+   repeat. One pass before it counts, batch by batch, the k-grams that stand in many surroundings; these are no anchors where others will do.
+2. Stretches meet by the hash of their anchor. Of equal stretches (by 128 bits of digest) the first two are open, as is every stretch whose anchor another one has;
+   from the third on equal stretches are repeats if the second is, which needs no more bytes. They go already within a batch, so a hot passage or a
+   large group of copies reaches the shuffle twice for each batch.
 3. Open stretches are cut out of their documents and dealt to shards by anchor, so equal windows share a shard. There, windows whose hash comes
-   once are left out. Each shard is sorted by external
-   induction (see ``induced``): disk-backed queues carry suffixes and common prefixes. Neighbours in suffix order with a common
-   prefix of 100 or more are equal windows; the earliest stays, the others are repeats.
+   once are left out. Each shard is sorted by external induction (see ``induced``): disk-backed queues carry suffixes and common prefixes, recursion sorts the
+   names; text, names and result lie on disk beyond ``memory`` entries. Neighbours in suffix order with a common prefix of 100 or more are equal
+   windows, by their bytes; the earliest stays, the others are repeats. A shard is closed at ``SHARD_BYTES`` but never within an anchor; an anchor with more than
+   that makes a longer shard, not more memory.
 4. Repeats are merged per document and its bytes without them are kept.
 
 Anchors and hashes are lossless sieves: equal windows have equal ones, so the sort sees all windows whose fate isn't clear. Sorting all
 suffixes of all documents instead would need more disk than there is (5 bytes and more of suffix array for each byte of text).
-Equality of whole stretches is that of two 64-bit hashes; equality of windows is by their bytes.
 
-Edge cases: null and empty texts have no bytes and no repeats; rows are ordered by id (null first), then text, so of equal rows
-or rows of one id each has its place; documents under 100 bytes are kept whole; an empty table gives an empty result; extra columns
-are dropped.
+Edge cases: null and empty texts have no bytes and no repeats; a very long text is cut and hashed whole in one worker's memory, piece by piece; rows are ordered by
+id (null first), then text, so of equal rows or rows of one id each has its place; documents under 100 bytes are kept whole; an empty table
+gives an empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -32,12 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .anchors import LENGTH, PIECE, spans, stretches, sums
+from .anchors import GRAM, LENGTH, PIECE, Common, grams, spans, stretches, sums
 from .common import slices, stored, table, tidied
-from .induced import suffix_array
+from .induced import MEMORY, NONE, Rows, Text, pieces, place, suffixes
 from .shingles import U, mix
 
-SHARD_BYTES = 4_000_000
+#: Bytes that are sorted together, bytes of open stretches in a task, and bytes of which windows with a hash of their own are left out together.
+SHARD_BYTES, TASK_BYTES, SIEVE_BYTES = 4_000_000, 4_000_000, 4_000_000
+#: Surroundings in a batch that make an anchor hot, and most k-grams in the common class, those of highest count. Any choice gives right results; 1.6 MB are sent to each worker.
+HOT_LEAST, COMMON_MOST = 64, 100_000
 BATCH_BYTES = 16_000_000
 COLUMNS = ["repeat", "h", "c", "v", "a", "n"]
 
@@ -68,29 +72,62 @@ def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.n
         yield np.array(ids, np.int64), data
 
 
-def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def joined(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents one after the other, and where each one ends."""
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(b) for b in data])
+
+
+def hot_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n): k-grams in ``HOT_LEAST`` or more different stretches around anchors with so many of them in the batch."""
+    for _, data in grouped(batches, BATCH_BYTES):
+        blob, ends = joined(data)
+        h, c, at, n = stretches(blob, ends)
+        by = np.lexsort((c, h))
+        h, c, at, n = h[by], c[by], at[by], n[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        h, at, n = h[new], at[new], n[new]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(h)))
+        hot = np.flatnonzero(np.repeat(size >= HOT_LEAST, size))
+        found = []
+        for i in range(0, len(hot), 4000):
+            some = [blob[a : a + k + LENGTH - 1] for a, k in zip(at[hot[i : i + 4000]].tolist(), n[hot[i : i + 4000]].tolist(), strict=True)]
+            for x in (np.concatenate(some),) if some else ():
+                inner = np.ones(len(x) - GRAM + 1, bool)  # not across two stretches
+                for e in np.cumsum([len(p) for p in some])[:-1].tolist():
+                    inner[e - GRAM + 1 : e] = False
+                found.append(grams(x)[inner])
+        values, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U), np.zeros(0, np.int64))
+        often = counts >= HOT_LEAST
+        yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["gram", "n"])
+
+
+def stretch_rows(common: Common):
     """Rows of ``COLUMNS``: stretches (``repeat`` false), and runs of windows known to be repeats (their h is arbitrary)."""
-    for ids, data in grouped(batches, BATCH_BYTES):
-        order = np.argsort(ids, kind="stable")
-        ids, data = ids[order], [data[i] for i in order]
-        ends = np.cumsum([len(b) for b in data])
-        h, c, at, n = stretches(np.frombuffer(b"".join(data), np.uint8), ends)
-        doc = np.searchsorted(ends, at, side="right")
-        a = at - (ends - np.array([len(b) for b in data]))[doc] if len(data) else at
-        v = ids[doc] if len(data) else at
-        by = np.lexsort((c, h))  # stable: within equal ones by document and place
-        first = np.ones(len(by), bool)
-        first[1:] = (h[by][1:] != h[by][:-1]) | (c[by][1:] != c[by][:-1])
-        keep = np.sort(by[first])
-        again = np.sort(by[~first])
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keep), bool)), pa.array(h[keep].view(np.int64)), pa.array(c[keep].view(np.int64)), pa.array(v[keep]), pa.array(a[keep]), pa.array(n[keep])], names=COLUMNS)
-        if len(again):
-            # runs within one document: places in the blob tell documents apart, as a document's last windows start no stretch
-            start, count = ranges_merged(at[again], n[again])
-            doc = np.searchsorted(ends, start, side="right")
-            a = start - (ends - np.array([len(b) for b in data]))[doc]
-            spread = mix(start.astype(U) + mix(ids[doc].view(U)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(start), bool)), pa.array(spread.view(np.int64)), pa.nulls(len(start), pa.int64()), pa.array(ids[doc]), pa.array(a), pa.array(count)], names=COLUMNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in grouped(batches, BATCH_BYTES):
+            order = np.argsort(ids, kind="stable")
+            ids, data = ids[order], [data[i] for i in order]
+            blob, ends = joined(data)
+            begins = ends - np.array([len(b) for b in data])
+            h, c, at, n = stretches(blob, ends, common)
+            doc = np.searchsorted(ends, at, side="right")
+            by = np.lexsort((c, h))  # stable: within equal ones by document and place
+            third = np.zeros(len(by), bool)
+            third[2:] = (h[by][2:] == h[by][:-2]) & (c[by][2:] == c[by][:-2])
+            keep, again = np.sort(by[~third]), np.sort(by[third])
+            d = doc[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keep), bool)), pa.array(h[keep].view(np.int64)), pa.array(c[keep].view(np.int64)), pa.array(ids[d]), pa.array(at[keep] - begins[d]), pa.array(n[keep])], names=COLUMNS)
+            if len(again):
+                # runs within one document: places in the blob tell documents apart, as a document's last windows start no stretch
+                start, count = ranges_merged(at[again], n[again])
+                d = np.searchsorted(ends, start, side="right")
+                spread = mix(start.astype(U) + mix(ids[d].view(U)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(start), bool)), pa.array(spread.view(np.int64)), pa.nulls(len(start), pa.int64()), pa.array(ids[d]), pa.array(start - begins[d]), pa.array(count)], names=COLUMNS)
+
+    return run
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +141,10 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "v", "a", "piece"])
 
 
-def repeated_parts(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_parts(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, start, windows): runs of windows whose hash comes twice or more in the shard. Equal windows have equal hashes, so the others need no sorting."""
-    sizes = np.array([len(p) for p in pieces])
-    blob = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(p) for p in cuts])
+    blob = np.frombuffer(b"".join(cuts), np.uint8)
     starts = np.cumsum(sizes) - sizes
     hashes = np.concatenate([spans(sums(part), i := np.arange(len(part) - LENGTH + 1), i + LENGTH) for at in range(0, len(blob) - LENGTH + 1, PIECE) if len(part := blob[at : at + PIECE + LENGTH - 1]) >= LENGTH])
     windows = sizes - LENGTH + 1  # each piece holds a window at least
@@ -126,63 +163,116 @@ def repeated_parts(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return piece[first], at[first] - starts[piece[first]], np.diff(np.append(first, len(at)))
 
 
-def shard_repeats(v: np.ndarray, a: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Shard:
+    """Cut-out parts of documents, to be sorted together."""
+
+    def __init__(self, memory: int = MEMORY):
+        self.memory, self.spilled, self.depth = memory, [0], [0]
+        self.text = Rows(np.uint8, memory)
+        self.v, self.a, self.start = (Rows(np.int64, memory) for _ in range(3))
+
+    def add(self, v, a, cuts: list[bytes]) -> None:
+        """Symbol 1 stands behind each part, so a common prefix of 100 symbols can't cross from one window into another part unnoticed. No UTF-8 text has bytes above 0xF4."""
+        sizes = np.array([len(p) + 1 for p in cuts])
+        self.start.add(np.cumsum(sizes) - sizes + self.text.n)
+        blob = np.frombuffer(b"\xff".join(cuts) + b"\xff", np.uint8) + np.uint8(2)
+        self.text.add(blob)
+        self.v.add(np.asarray(v))
+        self.a.add(np.asarray(a))
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs (v, start, windows) of the windows that an earlier one of the shard equals."""
+        n = self.text.n
+        self.text.add(np.zeros(9, np.uint8))
+        t, v, a, start = (x.array() for x in (self.text, self.v, self.a, self.start))
+        marks = place(n, bool, self.memory)
+        low_before, first = int(NONE), None  # since the last window; the earliest of the group that it belongs to
+        for positions, prefixes in suffixes(Text(t, n + 1, 256, LENGTH, self.memory), self.spilled, depth=self.depth):
+            k = np.searchsorted(start, positions, side="right") - 1
+            end = np.append(start, n)[k + 1] if n <= self.memory else np.where(k + 1 < len(start), start[np.minimum(k + 1, len(start) - 1)], n)
+            at = np.flatnonzero(positions + LENGTH < end)  # windows; the part's last symbol isn't its own
+            if not len(at):
+                low_before = min(low_before, int(prefixes.min()))
+                continue
+            # between two windows the common prefix is the least on the way
+            low = np.minimum.reduceat(prefixes[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
+            low[0] = min(int(low[0]), low_before)
+            low_before = int(prefixes[at[-1] + 1 :].min()) if at[-1] + 1 < len(prefixes) else int(NONE)
+            group = np.cumsum(low < LENGTH)
+            place_of, wv, wa = positions[at], v[k[at]], a[k[at]] + positions[at] - start[k[at]]
+            by = np.lexsort((wa, wv, group))
+            head = np.concatenate(([True], group[by][1:] != group[by][:-1]))
+            marks[place_of[by[~head]]] = True
+            heads = by[head]
+            if group[heads[0]] == 0 and first is not None:  # goes on with the group of the last run
+                x = heads[0]
+                mine = (int(wv[x]), int(wa[x]), int(place_of[x]))
+                marks[max(mine, first)[2]] = True
+                first = min(mine, first)
+                heads = heads[1:]
+            if len(heads):
+                x = heads[-1]
+                first = (int(wv[x]), int(wa[x]), int(place_of[x]))
+        for x, y in pieces(n, max(self.memory, 1)):
+            hit = np.flatnonzero(marks[x:y]) + x
+            if len(hit):
+                k = np.searchsorted(start, hit, side="right") - 1
+                new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (k[1:] != k[:-1])))
+                at = np.flatnonzero(new)
+                yield v[k[at]], a[k[at]] + hit[at] - start[k[at]], np.diff(np.append(at, len(hit)))
+
+
+def sieved(v: np.ndarray, a: np.ndarray, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Parts of the cuts whose windows have a hash that comes twice or more."""
+    which, start, count = repeated_parts(cuts)
+    return v[which], a[which] + start, [cuts[k][s : s + c + LENGTH - 1] for k, s, c in zip(which.tolist(), start.tolist(), count.tolist(), strict=True)]
+
+
+def shard_repeats(v: np.ndarray, a: np.ndarray, cuts: list[bytes], memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(v, start, windows) of the windows of a shard that an earlier one of it equals."""
-    which, start, count = repeated_parts(pieces)
-    if not len(which):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    v, a = v[which], a[which] + start
-    pieces = [pieces[k][s : s + c + LENGTH - 1] for k, s, c in zip(which.tolist(), start.tolist(), count.tolist(), strict=True)]
-    sizes = np.array([len(p) for p in pieces])
-    # symbol 0 between pieces, so a common prefix of 100 symbols can't cross from one window into another piece unnoticed
-    text = np.frombuffer(b"\0".join([p for p in pieces]) + b"\0", np.uint8).astype(np.int32) + 1
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    text[starts + sizes] = 0
-    order, prefix, _ = suffix_array(text, LENGTH)
-    piece = np.searchsorted(starts, order, side="right") - 1
-    inside = order - starts[piece] + LENGTH <= sizes[piece]
-    # only windows count; between two of them the common prefix is the least on the way
-    at = np.flatnonzero(inside)
-    if not len(at):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    low = np.minimum.reduceat(prefix[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
-    group = np.cumsum(low < LENGTH)
-    piece, offset = piece[at], order[at] - starts[piece[at]]
-    wv, wa = v[piece], a[piece] + offset
-    by = np.lexsort((wa, wv, group))
-    first = np.concatenate(([True], group[by][1:] != group[by][:-1]))
-    again = by[~first]
-    wv, wa = wv[again], wa[again]
-    by = np.lexsort((wa, wv))
-    wv, wa = wv[by], wa[by]
-    new = np.ones(len(wv), bool)
-    new[1:] = (wv[1:] != wv[:-1]) | (wa[1:] > wa[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(wv)) - 1
-    return (wv[first], wa[first], wa[last] - wa[first] + 1) if len(wv) else (wv, wa, wa)
+    shard = Shard(memory)
+    left = sieved(v, a, cuts)
+    if left[2]:
+        shard.add(*left)
+    found = list(shard.repeats()) if shard.text.n else []
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input sorted by shard, then h: shard, h, v, a, piece. A shard whose rows exceed twice ``SHARD_BYTES`` is sorted in parts that never split an h."""
-    held: list[tuple] = []
-    size, mark = 0, None
+    """Input sorted by h: h, v, a, piece. A shard is sorted when it has ``SHARD_BYTES``, but never splits an h; one h that exceeds ``SIEVE_BYTES`` goes in without the sieve."""
+    shard, held, size, mark, hot = Shard(), [], 0, None, False
+
+    def sift() -> None:
+        nonlocal held, size
+        if held:
+            v, a, cuts = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), [x[2] for x in held]
+            left = (v, a, cuts) if hot else sieved(v, a, cuts)
+            if left[2]:
+                shard.add(*left)
+        held, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            v, a, pieces = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), [x[2] for x in held]
-            out = shard_repeats(v, a, pieces)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["v", "a", "n"])
+        nonlocal shard
+        if shard.text.n:
+            for out in shard.repeats():
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x)) for x in out], names=["v", "a", "n"])
+        shard = Shard()
 
     for batch in batches:
         for h, v, a, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if size > SHARD_BYTES and h != mark:
+            if size > SIEVE_BYTES:
+                hot = hot or h == mark
+                sift()
+            if h != mark and hot:
+                sift()
+                hot = False
+            if h != mark and shard.text.n > SHARD_BYTES:
+                sift()
                 yield from flush()
-                held, size = [], 0
             held.append((v, a, piece))
             size += len(piece)
             mark = h
+    sift()
     yield from flush()
 
 
@@ -231,25 +321,26 @@ def repeats(rows: DataFrame) -> DataFrame:
     """``v``, ``a``, ``n``: runs of n windows from byte a of a document of which each also starts earlier."""
     spark = rows.sparkSession
     texts = rows.select("v", "text")
-    made = texts.mapInArrow(tidied(stretch_rows), "repeat boolean, h long, c long, v long, a long, n long")
+    often = texts.mapInArrow(tidied(hot_grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(COMMON_MOST)
+    common = Common(np.array([r.gram for r in often.collect()], np.int64).view(U))
+    made = texts.mapInArrow(tidied(stretch_rows(common)), "repeat boolean, h long, c long, v long, a long, n long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = made.repartition(parts, "h")
-    w = Window.partitionBy("h").orderBy("c", "v", "a")
-    same = (F.lag("h").over(w) == F.col("h")) & F.lag("c").over(w).eqNullSafe(F.col("c"))
-    whole = Window.partitionBy("h").orderBy("c", "v", "a").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # the first and the last of the sorted c tell whether an anchor has more than one surrounding
-    met = met.withColumns({"same": F.coalesce(same, F.lit(False)), "mixed": ~F.first("c").over(whole).eqNullSafe(F.last("c").over(whole))})
-    met = stored(met.filter("repeat or same or mixed").select((F.col("repeat") | F.col("same")).alias("repeat"), "h", "v", "a", "n"), "stretches")
+    w = Window.partitionBy("h").orderBy("c", "v", "a")  # rows that look two rows back and one ahead, no frame of a whole anchor
+    third = F.coalesce(F.lag("c", 2).over(w) == F.col("c"), F.lit(False))
+    other = F.lag("h", 1).over(w).isNotNull() | F.lead("h", 1).over(w).isNotNull()
+    met = met.withColumns({"third": third, "other": other}).filter("repeat or third or other")
+    met = stored(met.select((F.col("repeat") | F.col("third")).alias("repeat"), "h", "v", "a", "n"), "stretches")
 
     known = met.filter("repeat").select("v", "a", "n")
     unclear = met.filter(~F.col("repeat"))
     size = unclear.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0]
     if not size:
         return known
-    shards = max(1, -(-size // SHARD_BYTES), min(parts, size // 200_000))
+    tasks = max(1, -(-size // TASK_BYTES), min(parts, size // 200_000))
     listed = unclear.groupBy("v").agg(F.collect_list(F.struct("a", "n", "h")).alias("open"))  # at most a document's own stretches
-    pieces = texts.join(listed, "v").select("v", "text", "open").mapInArrow(tidied(cut_out), "h long, v long, a long, piece binary")
-    dealt = pieces.repartition(int(shards), "h").sortWithinPartitions("h", "v", "a")
+    cuts = texts.join(listed, "v").select("v", "text", "open").mapInArrow(tidied(cut_out), "h long, v long, a long, piece binary")
+    dealt = cuts.repartition(int(tasks), "h").sortWithinPartitions("h", "v", "a")
     return known.unionAll(dealt.mapInArrow(tidied(sort_shards), "v long, a long, n long"))
 
 

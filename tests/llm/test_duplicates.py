@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from latticework.llm import anchors, induced, similar, substrings
 from latticework.llm.components import components
@@ -104,6 +105,71 @@ def test_shard_with_a_repeat_at_the_very_end_of_suffix_order():
         assert {(i, s) for i, start, k in zip(v.tolist(), a.tolist(), n.tolist(), strict=True) for s in range(start, start + k)} == want
 
 
+def brute_windows(cuts):
+    seen, want = set(), set()
+    for i, p in enumerate(cuts):
+        for k in range(len(p) - 99):
+            if p[k : k + 100] in seen:
+                want.add((i, k))
+            seen.add(p[k : k + 100])
+    return want
+
+
+def windows_of(v, a, n):
+    return {(i, k) for i, start, m in zip(np.asarray(v).tolist(), np.asarray(a).tolist(), np.asarray(n).tolist(), strict=True) for k in range(start, start + m)}
+
+
+def test_shard_many_times_its_memory_spills_and_recurses():
+    rng = random.Random(9)
+    base = [bytes(rng.choices(b"abcd ", k=rng.randint(100, 400))) for _ in range(12)]
+    cuts = [p for b in base for p in [b[rng.randint(0, 40) :] + bytes(rng.choices(b"xyz", k=rng.randint(0, 50))) for _ in range(5)] if len(p) >= 100]
+    cuts += [b"ab" * 300, b"ab" * 120, b"a" * 500]
+    for memory in (64, 1000):
+        shard = substrings.Shard(memory)
+        shard.add(np.arange(len(cuts)), np.zeros(len(cuts), np.int64), cuts)
+        found = [windows_of(*x) for x in shard.repeats()]
+        assert set().union(*found) == brute_windows(cuts)
+        assert shard.text.n > 10 * memory and shard.spilled[0] > 10 * memory and shard.depth[0] > 0
+
+
+def test_common_grams_keep_the_sieve_lossless_and_spread_a_hot_passage():
+    rng = random.Random(10)
+    letters = b"abcdefgh "
+    hot = bytes(rng.choices(letters, k=160))
+    docs = [bytes(rng.choices(letters, k=rng.randint(50, 300))) + hot + bytes(rng.choices(letters, k=rng.randint(50, 300))) for _ in range(100)]
+    blob, ends = substrings.joined(docs)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([d.decode() for d in docs])], names=["v", "text"])
+    made = pa.Table.from_batches(list(substrings.hot_grams(iter([batch]))))
+    assert made.num_rows > 0
+    common = anchors.Common(made.column("gram").to_numpy().view(np.uint64))
+    most = {}
+    for name, c in (("plain", None), ("common", common)):
+        h, _, at, n = anchors.stretches(blob, ends, c)
+        by = {}
+        for hh, start, count in zip(h.tolist(), at.tolist(), n.tolist(), strict=True):
+            for k in range(start, start + count):
+                by.setdefault(bytes(blob[k : k + 100]), set()).add(hh)
+        assert all(len(x) == 1 for x in by.values()) and int(n.sum()) == sum(len(d) - 99 for d in docs)
+        inside = {bytes(hot[k : k + 100]) for k in range(61)}
+        open_windows = np.array([sum(bytes(blob[k : k + 100]) not in inside for k in range(a, a + m)) for a, m in zip(at.tolist(), n.tolist(), strict=True)])
+        values, where = np.unique(h, return_inverse=True)
+        most[name] = np.bincount(where, open_windows).max()
+    assert most["common"] < most["plain"] / 2  # windows that reach beyond the passage no longer meet at its anchors
+
+
+def test_shards_in_tasks_hot_anchor_goes_without_the_sieve(monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(substrings, "SIEVE_BYTES", 1500)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 4000)
+    rows = []
+    for h in range(8):
+        common = bytes(rng.choices(b"abc", k=130))
+        rows += [(h, len(rows) + i, 0, bytes(rng.choices(b"xy", k=rng.randint(0, 9))) + common) for i in range(60 if h == 3 else 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "v", "a", "piece"])
+    found = [windows_of(*(out.column(k).to_numpy() for k in range(3))) for out in substrings.sort_shards(iter([batch.slice(0, 50), batch.slice(50)]))]
+    assert len(found) > 1 and set().union(*found) == {(rows[i][1], k) for i, k in brute_windows([r[3] for r in rows])}
+
+
 # ---- components ----
 def test_components(spark):
     rng = random.Random(1)
