@@ -55,5 +55,21 @@ def test_frames(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "5", "6", "None"]
     assert d.find(no_docs, items).count() == 0 and d.find(odd_docs, items.limit(0)).filter("contaminated").count() == 0
-    blocks = d.automata(items, block_words=2)
+    blocks = list(d.automata(items, block_words=2))
     assert len(blocks) > 1
+
+
+def test_passes_over_several_blocks_give_what_one_gives(spark, odd_docs):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["alpha", "beta", "Gamma", "d", "é"])
+    items = spark.createDataFrame([(str(i), " ".join(word() for _ in range(rng.randint(1, 14)))) for i in range(30)] + [("x", "plain words here")], "item_id string, text string")
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 60))), "kept") for i in range(60)] + [(60, None, "n"), (1, "plain words here", "twice"), (None, "beta " * 40, "null id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    for given in (docs, odd_docs):
+        one, many = (sorted(map(tuple, d.find(given, items, window=6, block_words=n).collect()), key=str) for n in (10**6, 40))
+        assert one == many
+        for coverage in (0.5, 1.0):
+            one, many = (d.clean(given, items, window=6, coverage=coverage, block_words=n) for n in (10**6, 40))
+            assert one.columns == many.columns == given.columns
+            # the order of cuts may differ where spans of several blocks touch; what is left has no hit and is the same
+            assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
