@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Entries (of 20 bytes) that a queue holds in memory, and that a text may have to be sorted there.
-MEMORY = 500_000
+#: Entries (of 9 bytes for a text of bytes) that a queue holds in memory, and that an array may have to be kept there.
+MEMORY = 100_000
 #: A row of names is sorted in memory if it has at most so many times that; its ranks take 8 bytes an entry a few times.
-BASE = 4
+BASE = 8
 #: Symbols from which on buckets are swept in blocks.
 MANY = 4096
 NONE = np.int32(1 << 30)
@@ -203,16 +203,20 @@ class Text:
         self.t, self.n, self.alphabet, self.cap, self.memory = t, n, alphabet, cap, memory
         self.bits = max(1, (alphabet - 1).bit_length())
         self.mask = (1 << self.bits) - 1
-        self.carried = max(1, min(6, 62 // self.bits))
+        self.carried = max(1, 30 // self.bits)
+        # short types keep tuples, and so the files, small: 9 bytes for a text of bytes
+        self.word = np.int32 if self.bits * self.carried <= 30 else np.int64
+        self.where = np.int32 if n < 1 << 31 else np.int64
+        self.common_kind = np.uint8 if cap < 255 else np.int32
         self.small = np.uint8 if alphabet <= 256 else np.uint16 if alphabet <= 65536 else np.int64
         self.wide = np.ndarray((n,), "<u8", buffer=t, strides=(1,)) if t.dtype == np.uint8 else None
 
     def before(self, positions: np.ndarray) -> np.ndarray:
         """A mark, then symbols before each position, the nearest lowest; 0 before the text's start."""
-        out = np.ones(len(positions), np.int64)
+        out = np.ones(len(positions), self.word)
         for j in range(self.carried, 0, -1):
             at = positions - j
-            s = self.t[np.maximum(at, 0)].astype(np.int64)
+            s = self.t[np.maximum(at, 0)].astype(self.word)
             s[at < 0] = 0
             out = (out << self.bits) | s
         return out
@@ -246,7 +250,7 @@ class Text:
     def lms(self) -> np.ndarray:
         """LMS positions, sorted."""
         parts, t, carry, end = [], self.t, True, self.n - 1
-        rows = Rows(np.int64, self.memory)
+        rows = Rows(self.where, self.memory)
         rows.add(np.array([self.n - 1])) if self.n > 1 else None
         while end > 0:  # positions start .. end-1, backwards
             start = max(0, end - self.memory)
@@ -259,7 +263,7 @@ class Text:
             rows.add(np.flatnonzero(is_s & (previous > x[:-1]))[::-1] + start)
             carry, end = bool(is_s[0]), start
         found = rows.array()
-        out = place(len(found), np.int64, self.memory)
+        out = place(len(found), self.where, self.memory)
         for a in range(0, len(found), self.memory):
             part = found[a : a + self.memory]
             out[len(found) - a - len(part) : len(found) - a] = part[::-1]
@@ -301,7 +305,7 @@ def sweep(text: Text, symbols: np.ndarray, seeds, up: bool, queue: Queue, prefix
             # least prefix over (source of the last one, own source]; of the first of a bucket from the start of the batch
             start = np.concatenate(([0], at[:-1] + 1))
             start[cuts] = 0
-            ext = np.append(prefixes, NONE)
+            ext = np.append(prefixes.astype(np.int32), NONE)
             low = np.minimum.reduceat(ext, np.stack((start, at + 1), 1).ravel())[::2]
         else:
             low = np.zeros(len(at), np.int32)
@@ -315,7 +319,7 @@ def sweep(text: Text, symbols: np.ndarray, seeds, up: bool, queue: Queue, prefix
                 else:
                     low[a] = -1
                 tails[bucket] = (now, int(prefixes[last + 1 :].min()) if last + 1 < len(prefixes) else int(NONE))
-            queue.push(bucket, where[a:b], np.minimum(low[a:b] + 1, text.cap).astype(np.int32), rest[a:b])
+            queue.push(bucket, where[a:b], np.minimum(low[a:b] + 1, text.cap).astype(text.common_kind), rest[a:b])
         minima.add(int(prefixes.min()) if prefixed else 0)
         return before
 
@@ -341,13 +345,13 @@ def induced(text: Text, symbols: np.ndarray, counts: np.ndarray, lms: np.ndarray
     symbols before, whether they are S."""
     ends = np.cumsum(counts)
     prefixed = prefix is not None
-    rows = tuple(Rows(k, text.memory) for k in (np.int64, np.int32, np.int64))
+    rows = tuple(Rows(k, text.memory) for k in (text.where, text.common_kind, text.word))
     bounds: dict[int, tuple[int, int]] = {}
 
     def lms_seeds(c: int):
         for a in range(int(ends[c] - counts[c]), int(ends[c]), text.memory):
             positions = np.asarray(lms[a : min(int(ends[c]), a + text.memory)])
-            yield positions, np.asarray(prefix[a : a + len(positions)]) if prefixed else np.zeros(len(positions), np.int32), text.before(positions)
+            yield positions, np.asarray(prefix[a : a + len(positions)]) if prefixed else np.zeros(len(positions), text.common_kind), text.before(positions)
 
     queue = Queue(text.memory)
     for seed, c, *columns in sweep(text, symbols, lms_seeds, True, queue, prefixed):
@@ -364,7 +368,7 @@ def induced(text: Text, symbols: np.ndarray, counts: np.ndarray, lms: np.ndarray
         start, end = bounds.get(c, (0, 0))
         for b in range(end, start, -text.memory):
             a = max(start, b - text.memory)
-            x = np.asarray(larger[1][a + 1 : b + 1]) if b < end else np.append(larger[1][a + 1 : b], 0).astype(np.int32)
+            x = np.asarray(larger[1][a + 1 : b + 1]) if b < end else np.append(larger[1][a + 1 : b], 0).astype(text.common_kind)
             yield np.asarray(larger[0][a:b])[::-1], x[::-1], np.asarray(larger[2][a:b])[::-1]
 
     queue = Queue(text.memory)
@@ -438,7 +442,7 @@ def block_sweep(text: Text, symbols: np.ndarray, seeds, up: bool, queue: Runs) -
 def ordered(text: Text, symbols: np.ndarray, counts: np.ndarray, lms: np.ndarray, spilled: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """``induced`` without prefixes, by blocks of buckets: symbols, positions, symbols before, which are S."""
     ends = np.cumsum(counts)
-    rows = tuple(Rows(np.int64, text.memory) for _ in range(3))
+    rows = tuple(Rows(k, text.memory) for k in (np.int32 if text.alphabet < 1 << 31 else np.int64, text.where, text.word))
 
     def lms_seeds(c: np.ndarray):
         a, b = int(ends[c[0]] - counts[c[0]]), int(ends[c[-1]])
@@ -467,7 +471,7 @@ def by_symbol(text: Text, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.zeros(text.alphabet, np.int64)
     for a, b in pieces(len(lms), text.memory):
         counts += np.bincount(text.t[lms[a:b]], minlength=text.alphabet)
-    out, free = place(len(lms), np.int64, text.memory), np.cumsum(counts) - counts
+    out, free = place(len(lms), text.where, text.memory), np.cumsum(counts) - counts
     for a, b in pieces(len(lms), text.memory):
         part = np.asarray(lms[a:b])
         s = text.t[part].astype(text.small)
@@ -527,7 +531,7 @@ def suffixes(text: Text, spilled: list[int], prefixed: bool = True, depth: list[
         present[text.t[a:b]] = True
     symbols = np.flatnonzero(present)
     if len(lms) > 2:
-        found = Rows(np.int64, text.memory)
+        found = Rows(text.where, text.memory)
         if text.alphabet > MANY:
             swept = ((c[is_s], positions[is_s], before[is_s]) for c, positions, before, is_s in ordered(text, symbols, counts, seeds, spilled))
         else:
@@ -536,7 +540,7 @@ def suffixes(text: Text, spilled: list[int], prefixed: bool = True, depth: list[
             found.add(positions[(before & text.mask) > c])
         found.add(np.array([text.n - 1]))
         swept = found.array()
-        order = place(len(lms), np.int64, text.memory)
+        order = place(len(lms), text.where, text.memory)
         for a, b in pieces(len(lms), text.memory):
             order[len(lms) - b : len(lms) - a] = np.asarray(swept[a:b])[::-1]
         names, many = named(text, lms, order)
@@ -547,7 +551,7 @@ def suffixes(text: Text, spilled: list[int], prefixed: bool = True, depth: list[
                 if depth is not None:
                     depth[0] += 1
                 row = Text(names, len(names), many, text.cap // 2 + 1, text.memory)
-                ranks, end = place(len(lms), np.int64, text.memory), len(lms)
+                ranks, end = place(len(lms), text.where, text.memory), len(lms)
                 for positions, _ in suffixes(row, spilled, False, depth):
                     ranks[end - len(positions) : end] = positions[::-1]
                     end -= len(positions)
@@ -562,7 +566,7 @@ def suffixes(text: Text, spilled: list[int], prefixed: bool = True, depth: list[
         return
     prefix = None
     if prefixed:
-        prefix = place(len(lms), np.int32, text.memory)
+        prefix = place(len(lms), text.common_kind, text.memory)
         for a, b in pieces(len(lms) - 1, text.memory):
             prefix[a + 1 : b + 1] = text.common(np.asarray(order[a:b]), np.asarray(order[a + 1 : b + 1]))
     for _, positions, prefixes, _, _ in induced(text, symbols, counts, order, prefix, spilled):

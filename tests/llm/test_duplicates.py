@@ -119,12 +119,14 @@ def windows_of(v, a, n):
     return {(i, k) for i, start, m in zip(np.asarray(v).tolist(), np.asarray(a).tolist(), np.asarray(n).tolist(), strict=True) for k in range(start, start + m)}
 
 
-def test_shard_many_times_its_memory_spills_and_recurses():
+def test_shard_many_times_its_memory_spills_and_recurses(monkeypatch):
     rng = random.Random(9)
+    monkeypatch.setattr(induced, "BASE", 1)
     base = [bytes(rng.choices(b"abcd ", k=rng.randint(100, 400))) for _ in range(12)]
     cuts = [p for b in base for p in [b[rng.randint(0, 40) :] + bytes(rng.choices(b"xyz", k=rng.randint(0, 50))) for _ in range(5)] if len(p) >= 100]
     cuts += [b"ab" * 300, b"ab" * 120, b"a" * 500]
-    for memory in (64, 1000):
+    for memory, many in ((64, 4096), (1000, 4096), (64, 8)):  # with 8 symbols buckets are swept in blocks
+        monkeypatch.setattr(induced, "MANY", many)
         shard = substrings.Shard(memory)
         shard.add(np.arange(len(cuts)), np.zeros(len(cuts), np.int64), cuts)
         found = [windows_of(*x) for x in shard.repeats()]
