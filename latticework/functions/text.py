@@ -34,8 +34,9 @@ def _label_keys(labels: pa.Array) -> pa.Array:
 
 
 def normalize_label(label: Column) -> Column:
-    """Exact for any Unicode text (Arrow batches). Null stays null."""
-    return F.arrow_udf(_label_keys, StringType())(label)
+    """Exact for any Unicode text. ASCII labels stay within code generation, only the others go through Arrow batches. Null stays null."""
+    ascii_only = label.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(ascii_only, normalize_ascii(label)).otherwise(F.arrow_udf(_label_keys, StringType())(F.when(~ascii_only, label)))
 
 
 def normalize_ascii(label: Column) -> Column:

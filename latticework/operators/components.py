@@ -1,30 +1,30 @@
-"""Connected components by label propagation with pointer jumping; lineage is cut in ``spark.checkpoint.dir`` after each round."""
+"""Connected components by label propagation with pointer jumping; each round is a table in the shared folder, and the one before it is deleted."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import freed, stored
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="latticework-"))
-    return df.checkpoint()
+    """The same rows, read from a table of their own, so that plans which use them several times don't repeat what made them."""
+    return stored(df)
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``edges``: a, b; ``nodes``: v. Each node with the least node that it reaches: (v, comp)."""
-    e = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(nodes.select("v", F.col("v").alias("comp")).distinct())
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``edges``: a, b; ``nodes``: v (by default the ends of edges). Each node with the least node that it reaches: (v, comp)."""
+    e = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    given = e.select(F.col("a").alias("v")) if nodes is None else nodes.select("v")
+    labels = stored(given.distinct().withColumn("comp", F.col("v")), "labels")
     while True:
         from_neighbours = e.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("near"))
         step = labels.join(from_neighbours, "v", "left").select("v", "comp", F.least("comp", F.coalesce("near", "comp")).alias("next"))
         jump = step.select(F.col("v").alias("next"), F.col("next").alias("further"))
-        new = cut(step.join(jump, "next", "left").select("v", F.col("comp").alias("old"), F.least("next", F.coalesce("further", "next")).alias("comp")))
+        new = stored(step.join(jump, "next", "left").select("v", F.col("comp").alias("old"), F.least("next", F.coalesce("further", "next")).alias("comp")), "labels")
+        freed(labels)
         if not new.filter("old <> comp").limit(1).count():
+            freed(e)
             return new.select("v", "comp")
         labels = new.select("v", "comp")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import md_images, wikilinks
+from ..schema import IMAGE_EXTENSIONS
 from .components import cut
 
 
@@ -121,20 +123,54 @@ def stats(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count_if(F.col("type") == "note").alias("papers"), F.count_if(F.col("type").isin("concept", "entity")).alias("nodes"))
 
 
-def attachment_edges(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``bodies``: id, body. Attachment nodes (distinct) and edges (one for each image link)."""
-    from ..functions.text import md_images
+def is_image(target: Column) -> Column:
+    return F.lower(F.regexp_extract(target, r"(\.[^./]+)/*$", 1)).isin(*IMAGE_EXTENSIONS)
 
-    name = F.element_at(F.split("path", "/"), -1)
-    links = bodies.select("id", F.explode(md_images(F.col("body"))).alias("path")).select("id", name.alias("name"))
-    target = F.concat_ws(":", F.lit("attachment"), "id", "name")
-    edges = links.select(F.col("id").alias("source"), target.alias("target"), F.lit("attachment").alias("type"))
-    return links.select(target.alias("id"), F.col("name").alias("label"), F.lit("attachment").alias("type"), F.lit(False).alias("orphan")).distinct(), edges
 
+def attachment_edges(owners: DataFrame, owner_type: str = "note") -> tuple[DataFrame, DataFrame]:
+    """``owners``: id, body[, slug]. Attachment nodes (distinct by owner and name) and edges. A note's attachments are a set of embedded and Markdown images, those of a node
+    file (its user section) a bag of Markdown images."""
+    body = F.col("body")
+    images = md_images(body)
+    if owner_type == "note":
+        images = F.array_distinct(F.concat(F.filter(wikilinks(body), is_image), images))
+    slug = F.col("slug") if "slug" in owners.columns else F.col("id")
+    name = F.coalesce(F.nullif(F.regexp_extract("src", r"([^/]+)/*$", 1), F.lit("")), F.col("src"))
+    links = owners.select("id", slug.alias("owner_slug"), F.explode(images).alias("src")).withColumn("label", name)
+    links = links.withColumn("target", F.concat_ws(":", F.lit("attachment"), "id", "label"))
+    nodes = links.groupBy(F.col("target").alias("id"), "label", "owner_slug").agg(F.min("src").alias("src"))
+    nodes = nodes.select("id", "label", F.lit("attachment").alias("type"), F.lit(False).alias("orphan"), F.lit(owner_type).alias("owner_type"), "owner_slug", "src")
+    return nodes, links.select(F.col("id").alias("source"), "target", F.lit("link").alias("type"))
 
-def wikilink_edges(notes: DataFrame) -> DataFrame:
-    """``notes``: slug, body. Links between notes: a target counts once for each note, unknown ones and drawings don't; a note may link itself."""
-    from ..functions.text import wikilinks
 
-    links = notes.select(F.col("slug").alias("source"), F.explode(wikilinks(F.col("body"))).alias("target")).filter(~F.lower("target").endswith(".excalidraw"))
+def wikilink_edges(notes: DataFrame) -> DataFrame:
+    """``notes``: slug, body. Links between notes: a target counts once for each note; unknown ones, drawings and embedded images don't; a note may link itself."""
+    links = notes.select(F.col("slug").alias("source"), F.explode(wikilinks(F.col("body"))).alias("target")).filter(~F.lower("target").endswith(".excalidraw") & ~is_image(F.col("target")))
     return links.join(notes.select(F.col("slug").alias("target")), "target", "left_semi").select("source", "target", F.lit("link").alias("type"))
+
+
+def build(papers: DataFrame, concepts: DataFrame, entities: DataFrame, concept_mentions: DataFrame, entity_mentions: DataFrame, notes: DataFrame | None = None, node_bodies: DataFrame | None = None,
+          relations: DataFrame | None = None, types: DataFrame | None = None, focus: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole graph view: nodes (id, label, type, orphan, owner_type, owner_slug, src) and edges (source, target, type, relation). ``notes``: slug, body of papers, for links between notes and
+    attachments; ``node_bodies``: id, slug, type, body (user sections). ``relations`` and ``types`` add the semantic edges; ``focus`` (id) keeps what lies around some papers."""
+    label = lambda t, d: d.select(F.lit(t).alias("node_type"), "slug", "display_label")
+    mentions = concept_mentions.select(F.lit("concept").alias("node_type"), "node_slug").unionByName(entity_mentions.select(F.lit("entity").alias("node_type"), "node_slug"))
+    all_nodes = label("concept", concepts).unionByName(label("entity", entities))
+    nodes = graph_nodes(papers, all_nodes, mentions)
+    kinds = lambda d, a, b: d.withColumns({"source_type": F.lit(a), "target_type": F.lit(b)})
+    edges = provenance_edges(papers, concepts, entities, concept_mentions, entity_mentions, typed=True).unionByName(kinds(tag_edges(papers), "note", "tag"))
+    attached = []
+    if notes is not None:
+        edges = edges.unionByName(kinds(wikilink_edges(notes), "note", "note"))
+        attached.append((attachment_edges(notes.select(F.col("slug").alias("id"), "slug", "body")), "note"))
+    for t in ("concept", "entity") if node_bodies is not None else ():
+        attached.append((attachment_edges(node_bodies.filter(F.col("type") == t), t), t))
+    for (n, e), t in attached:
+        nodes = nodes.unionByName(n, allowMissingColumns=True)
+        edges = edges.unionByName(kinds(e, t, "attachment"))
+    edges = edges.withColumn("relation", F.lit(None).cast("string"))
+    if relations is not None:
+        edges = edges.unionByName(semantic_edges(relations, all_nodes, types, typed=True).drop("symmetric"))
+    if focus is not None:
+        nodes, edges = focus_subgraph(nodes, edges, focus)
+    return nodes, edges.drop("source_type", "target_type")

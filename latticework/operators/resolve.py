@@ -213,7 +213,7 @@ class Resolver:
             for k in keys:
                 self.add(k, slug)
             return slug, []
-        first = min(hits, key=lambda n: (n["created_at"], n["slug"]))
+        first = min(hits, key=lambda n: (n["created_at"] or "", n["slug"]))
         extra = [label] if label_key(label) != label_key(first["display_label"]) else []
         first["aliases"] = sorted({*first["aliases"], *aliases, *extra})
         for k in keys:

@@ -25,17 +25,27 @@ def create(containers: DataFrame, id: str, name: str, created_at: str) -> DataFr
 
 
 def rename(containers: DataFrame, id: str, name: str) -> DataFrame:
+    must_exist(containers, id)
     if not name.strip() or name_taken(containers, F.lit(name), id).limit(1).count():
         raise ValueError(f"blank or taken name: {name!r}")
     return containers.withColumn("name", F.when(F.col("id") == id, F.lit(name.strip())).otherwise(F.col("name")))
 
 
+def must_exist(containers: DataFrame, id: str) -> None:
+    """A missing container is an error, before anything is changed."""
+    if not containers.filter(F.col("id") == id).limit(1).count():
+        raise KeyError(f"no such folder or brain: {id!r}")
+
+
 def delete_folder(folders: DataFrame, members: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    must_exist(folders, id)
     return folders.filter(F.col("id") != id), members.filter(F.col("folder_id") != id)
 
 
-def move_paper(members: DataFrame, paper: str, container: str | None, key: str = "folder_id") -> DataFrame:
-    """Take a paper out of all containers of a kind and put it into one, or none."""
+def move_paper(members: DataFrame, paper: str, container: str | None, key: str = "folder_id", containers: DataFrame | None = None) -> DataFrame:
+    """Take a paper out of all containers of a kind and put it into one, or none. With ``containers`` (id) a missing one is an error."""
+    if container is not None and containers is not None:
+        must_exist(containers, container)
     rest = members.filter(F.col("paper_slug") != paper)
     if container is None:
         return rest
@@ -43,6 +53,7 @@ def move_paper(members: DataFrame, paper: str, container: str | None, key: str =
 
 
 def set_folder_brain(folders: DataFrame, id: str, brain: str | None) -> DataFrame:
+    must_exist(folders, id)
     return folders.withColumn("brain_id", F.when(F.col("id") == id, F.lit(brain).cast("string")).otherwise(F.col("brain_id")))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine
+from ..storage import stored
 
 # Rank constant, hits, neighbours for each hit, routed relation types.
 RRF_K = 60
@@ -42,17 +45,27 @@ def terms(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, query: str, k: int | None = TOP_K, id_col: str = "id", text: str = "text") -> DataFrame:
-    """``id``, ``score`` of documents with a word of the query. Only postings of the query's words are kept; lengths are needed for their average."""
-    words = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("t")).select("id", F.size("t").alias("len"), "t")
-    asked = [w for w in dict.fromkeys(__import__("re").findall(r"\w+", query.lower()))]
-    total = words.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    """``id``, ``score`` of documents with a word of the query. One pass over the texts: each row keeps its length and the counts of the query's words; these short rows
+    are written down, and what the formula needs of all documents is added up from them."""
+    asked = list(dict.fromkeys(re.findall(r"\w+", query.lower())))
+    t = terms(F.coalesce(F.col(text), F.lit("")))
+    # the words of the query are picked out of the text once, then counted
+    mine = F.filter("t", lambda x: x.isin(*asked))
+    rows = docs.select(F.col(id_col).alias("id"), t.alias("t")).select("id", F.size("t").alias("len"), mine.alias("t"))
     count = lambda w: F.size(F.filter("t", lambda x: x == w))
-    tf = words.select("id", "len", F.explode(F.array(*(F.struct(F.lit(w).alias("term"), count(w).alias("tf")) for w in asked))).alias("p")).select("id", "len", "p.*").filter("tf > 0")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    j = tf.join(F.broadcast(df), "term").join(F.broadcast(total))  # one row for each word of the query, and one
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = j.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+    rows = stored(rows.select("id", "len", *(count(w).alias(f"n{i}") for i, w in enumerate(asked))), "postings")
+    total = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
+    j = rows.filter(F.greatest(*(F.col(f"n{i}") for i in range(len(asked))), F.lit(0)) > 0).join(F.broadcast(total))  # one row
+
+    def part(i: int) -> Column:
+        tf, df = F.col(f"n{i}"), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+    score = F.lit(0.0)
+    for i in range(len(asked)):
+        score = score + F.when(F.col(f"n{i}") > 0, part(i)).otherwise(0.0)
+    scored = j.select("id", F.round(score, 6).alias("score"))
     return top(scored, k, F.desc("score"), F.col("id")) if k else scored
 
 
@@ -71,9 +84,16 @@ def route(types: DataFrame, query: DataFrame, n: int = ROUTED_TYPES) -> DataFram
     return top(scored, n, F.desc("type_score"), F.col("rel_type")).drop("rank")
 
 
-def explicit_types(given: list[str], types: DataFrame) -> DataFrame:
+def listed_types(given: str | list[str] | None) -> list[str]:
+    """Names of types from a list, or from a text with commas; blanks around them and empty ones don't count."""
+    parts = given.split(",") if isinstance(given, str) else given or []
+    return [p.strip() for p in parts if p.strip()]
+
+
+def explicit_types(given: str | list[str], types: DataFrame) -> DataFrame:
     """Types asked for, weight 1; unknown ones are dropped, even if none is left."""
-    return types.filter(F.col("rel_type").isin(*[g.strip() for g in given if g.strip()])).select("rel_type", F.lit(1.0).alias("type_score"))
+    given = listed_types(given)
+    return types.filter(F.col("rel_type").isin(*given)).select("rel_type", F.lit(1.0).alias("type_score"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -88,23 +108,30 @@ def neighbors_all(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return both_ways(edges).join(seeds.select("seed_type", "seed_slug"), ["seed_type", "seed_slug"])
 
 
-def neighbors_routed(seeds: DataFrame, edges: DataFrame, routed: DataFrame, vectors: DataFrame, query: DataFrame, cap: int = NEIGHBOR_CAP) -> DataFrame:
-    """Semantic neighbours by routed types, scored by type weight and likeness to the query, rounded, then the best ``cap`` of each seed.
+def provenance_neighbors(seeds: DataFrame, edges: DataFrame, brain: str | None = None, brain_ids: DataFrame | None = None) -> DataFrame:
+    """All neighbours by provenance, in the brain if one is given: seed_type, seed_slug, node_type, node_slug."""
+    around = neighbors_all(seeds, edges.filter("relation is null"))
+    return scoped(around, brain_ids, brain).select("seed_type", "seed_slug", "node_type", "node_slug")
+
+
+def neighbors_routed(seeds: DataFrame, edges: DataFrame, routed: DataFrame, vectors: DataFrame, query: DataFrame, cap: int = NEIGHBOR_CAP, brain: str | None = None, brain_ids: DataFrame | None = None) -> DataFrame:
+    """Semantic neighbours by routed types, in the brain if one is given, scored by type weight and likeness to the query (0 without a vector), rounded, then the best ``cap`` of each seed.
     ``total`` is how many there were."""
     semantic = both_ways(edges.filter("relation is not null")).join(seeds.select("seed_type", "seed_slug"), ["seed_type", "seed_slug"])
-    j = semantic.join(routed.withColumnRenamed("rel_type", "relation"), "relation").join(vectors, ["node_type", "node_slug"]).join(F.broadcast(query.limit(1)))
-    scored = j.withColumn("score", F.round(F.col("type_score") * cosine(F.col("embedding"), F.col("q")), 4))
+    semantic = scoped(semantic, brain_ids, brain)
+    j = semantic.join(routed.withColumnRenamed("rel_type", "relation"), "relation").join(vectors, ["node_type", "node_slug"], "left").join(F.broadcast(query.limit(1)))
+    scored = j.withColumn("score", F.bround(F.col("type_score") * cosine(F.col("embedding"), F.col("q")), 4))
     w = Window.partitionBy("seed_type", "seed_slug")
     order = w.orderBy(F.desc("score"), "node_type", "node_slug", "relation", "direction")
     ranked = scored.withColumns({"total": F.count("*").over(w), "n": F.row_number().over(order)}).filter(F.col("n") <= max(1, cap))
     return ranked.select("seed_type", "seed_slug", "node_type", "node_slug", "relation", "direction", "score", "total", F.col("n").cast("long").alias("n"))
 
 
-def second_hop(first: DataFrame, edges: DataFrame, routed: DataFrame, vectors: DataFrame, query: DataFrame, hop2: int, cap: int = NEIGHBOR_CAP) -> DataFrame:
+def second_hop(first: DataFrame, edges: DataFrame, routed: DataFrame, vectors: DataFrame, query: DataFrame, hop2: int, cap: int = NEIGHBOR_CAP, brain: str | None = None, brain_ids: DataFrame | None = None) -> DataFrame:
     """Neighbours of the first ``hop2`` neighbours of each seed, with ``via``; the seed itself may come back."""
     via = first.filter(F.col("n") <= max(0, hop2)).select("seed_type", "seed_slug", F.col("node_type").alias("via_type"), F.col("node_slug").alias("via_slug"))
     mids = via.select(F.col("via_type").alias("seed_type"), F.col("via_slug").alias("seed_slug")).distinct()
-    far = neighbors_routed(mids, edges, routed, vectors, query, cap)
+    far = neighbors_routed(mids, edges, routed, vectors, query, cap, brain, brain_ids)
     far = far.select(F.col("seed_type").alias("via_type"), F.col("seed_slug").alias("via_slug"), "node_type", "node_slug", "relation", "direction", "score")
     return via.distinct().join(far, ["via_type", "via_slug"])
 
@@ -136,19 +163,20 @@ def node_text(label: Column, aliases: Column, description: Column, note: Column)
     return F.concat_ws("\n", some(label), some(F.array_join(aliases, ", ")), some(description), some(note))
 
 
-def nested(hits: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """One row for each hit, its neighbours (capped by whoever made them) in an array."""
-    n = neighbors.groupBy("seed_type", "seed_slug").agg(F.array_sort(F.collect_list(F.struct(*[c for c in neighbors.columns if not c.startswith("seed_")]))).alias("neighbors"))
-    j = hits.join(n.select(F.col("seed_type").alias("node_type"), F.col("seed_slug").alias("node_slug"), "neighbors"), ["node_type", "node_slug"], "left")
+def nested(hits: DataFrame, neighbors: DataFrame, name: str = "neighbors") -> DataFrame:
+    """One row for each hit, its neighbours in an array; null where it has none."""
+    n = neighbors.groupBy("seed_type", "seed_slug").agg(F.array_sort(F.collect_list(F.struct(*[c for c in neighbors.columns if not c.startswith("seed_")]))).alias(name))
+    j = hits.join(n.select(F.col("seed_type").alias("node_type"), F.col("seed_slug").alias("node_slug"), name), ["node_type", "node_slug"], "left")
     return j
 
 
 def search(
     text: str, query: DataFrame, vectors: DataFrame, docs: DataFrame, edges: DataFrame, types: DataFrame, *, mode: str = "all", k: int = TOP_K,
-    relation_types: list[str] | None = None, cap: int = NEIGHBOR_CAP, hop2: int = 0, brain: str | None = None, brain_ids: DataFrame | None = None,
+    relation_types: str | list[str] | None = None, cap: int = NEIGHBOR_CAP, hop2: int = 0, brain: str | None = None, brain_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """Fused hits with their surroundings: every incident edge (``all``), or the best semantic neighbours by routed or given relation types (``routed``), with a second
-    hop if asked for. ``types``: rel_type, embedding."""
+    """Fused hits with their surroundings. ``all``: every incident edge (``neighbors``). ``routed``: all neighbours by ``provenance``, the best semantic ``neighbors`` by routed or given
+    relation types, how many there were (``total``), a ``second`` hop if asked for, and the ``routed_types``. ``types``: rel_type, embedding; ``brain_ids``: node_type, node_slug,
+    brain_ids of concepts, entities and papers (a paper's own brain as a list of one). A brain scopes hits, neighbours and the second hop."""
     hits = hybrid(vectors, query, docs, text, k, brain_ids, brain)
     seeds = hits.select(F.col("node_type").alias("seed_type"), F.col("node_slug").alias("seed_slug"))
     if mode == "all":
@@ -156,11 +184,12 @@ def search(
         if brain is not None:
             around = scoped(around, brain_ids, brain)
         return nested(hits, around)
-    asked = [r for r in relation_types or [] if r.strip()]
-    routed = explicit_types(asked, types) if asked else route(types, query)
-    first = neighbors_routed(seeds, edges, routed, vectors, query, cap)
+    routed = explicit_types(relation_types, types) if listed_types(relation_types) else route(types, query)
+    first = neighbors_routed(seeds, edges, routed, vectors, query, cap, brain, brain_ids)
     out = nested(hits, first)
-    if hop2 <= 0:
-        return out
-    far = second_hop(first, edges, routed, vectors, query, hop2, cap)
-    return out.join(nested(hits.select("node_type", "node_slug"), far).withColumnRenamed("neighbors", "second"), ["node_type", "node_slug"], "left")
+    out = out.withColumn("total", F.coalesce(F.col("neighbors")[0]["total"], F.lit(0)))
+    out = nested(out, provenance_neighbors(seeds, edges, brain, brain_ids), "provenance")
+    if hop2 > 0:
+        out = nested(out, second_hop(first, edges, routed, vectors, query, hop2, cap, brain, brain_ids), "second")
+    names = routed.agg(F.array_sort(F.collect_list("rel_type")).alias("routed_types"))  # one row of a dozen names at most
+    return out.join(F.broadcast(names))

@@ -153,6 +153,17 @@ def without_category(nodes: DataFrame, slug: str, category: str) -> DataFrame:
     return nodes.withColumn("categories", F.when(me, F.array_remove("categories", category)).otherwise(F.col("categories")))
 
 
+def with_user_notes(nodes: DataFrame, node_type: str, slug: str, text: str) -> DataFrame:
+    """Replace the user's notes of a node. A missing node is an error, and so is one that was merged into another."""
+    me = (F.col("node_type") == node_type) & (F.col("slug") == slug)
+    found = nodes.filter(me).select("redirect_to").first()
+    if found is None:
+        raise KeyError(f"no such node: {node_type} {slug!r}")
+    if found[0]:
+        raise ValueError(f"{slug!r} was merged into {found[0]!r}")
+    return nodes.withColumn("user_notes", F.when(me, F.lit(text)).otherwise(F.col("user_notes")))
+
+
 def append_note(notes: Column, more: Column) -> Column:
     """Existing notes without trailing white space, a blank line, the new note."""
     old = F.regexp_replace(F.coalesce(notes, F.lit("")), r"\s+\z", "")

@@ -39,8 +39,16 @@ def nodes_of_paper(mentions: DataFrame, paper: Column) -> DataFrame:
     return mentions.filter(F.col("paper_slug") == paper).select("node_type", "node_slug").distinct()
 
 
-def entities_of_concept(mentions: DataFrame, concept: Column) -> DataFrame:
-    return mentions.filter((F.col("node_type") == "entity") & (F.col("concept_slug") == concept)).select("node_slug").distinct()
+def concepts_of_papers(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(paper_slug, slug, display_label) of the concepts that papers mention."""
+    m = mentions.filter("node_type = 'concept'").select("paper_slug", F.col("node_slug").alias("slug")).distinct()
+    return m.join(concepts.select("slug", "display_label"), "slug").select("paper_slug", "slug", "display_label")
+
+
+def entities_of_concepts(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(concept_slug, node_slug) of the entities that hang on live concepts."""
+    m = mentions.filter("node_type = 'entity'").join(concepts.select(F.col("slug").alias("concept_slug")), "concept_slug", "left_semi")
+    return m.select("concept_slug", "node_slug").distinct()
 
 
 def relations_of(relations: DataFrame, node_type: str, slug: str) -> DataFrame:

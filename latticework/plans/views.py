@@ -34,6 +34,10 @@ VIEWS = {
         case when l_quantity < 10 then '' else concat('because ', l_returnflag, ' ', cast(l_suppkey as {string})) end as rationale,
         concat('o', l_orderkey) as paper_slug
         from {lineitem} where l_linenumber in (3, 4)""",
+    "notes": """select concat('o', o_orderkey) as slug, concat('see [[o', o_custkey, ']], [[ o', o_orderkey, ' |me]], [[o', o_custkey, '#part]] ![[fig', o_orderkey % 3, '.PNG]] ![[fig', o_orderkey % 3, '.PNG]]',
+        ' ![x](img/fig', o_custkey % 3, '.png) [[plan.excalidraw]] [[nowhere]] [[a]b]]') as body from {orders}""",
+    "node_bodies": """select concat('concept:', p_name, ' ', p_partkey) as id, concat('p', p_partkey) as slug, 'concept' as type,
+        concat('mine ![a](attachments/concepts/p', p_partkey, '/', p_size % 2, '.png) and ![b](x/', p_size % 2, '.png) [[o1]]') as body from {part}""",
     "relation_types": """select * from (values ('PART_OF', false), ('IS_A', false), ('USES', false), ('EXTENDS', false), ('IMPROVES_ON', false),
         ('OUTPERFORMS', false), ('SOLVES', false), ('EVALUATED_ON', false), ('LIMITED_BY', false), ('COMPARED_TO', true),
         ('CONTRADICTS', true), ('RELATED', true)) as t(rel_type, {symmetric})""",

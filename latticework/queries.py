@@ -17,6 +17,7 @@ from .operators import store as ST
 from .operators import tables as TB
 from .plans.views import Views, duckdb_with
 from .sources import vault
+from .storage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,16 +60,21 @@ mirror as (select distinct 'paper' as src_type, m.paper_slug as src_slug, 'conce
     from concept_mentions m join concepts c on c.slug = m.node_slug join papers p on p.slug = m.paper_slug
   union select case when on_concept then 'concept' else 'paper' end, case when on_concept then concept_slug else paper_slug end, 'entity', es.node_slug
     from es join entities e on e.slug = es.node_slug)"""
+NOTES = duckdb_with("notes", "node_bodies").removeprefix("with ")
 FOCUS = "focus as (select distinct paper_slug as id from concept_mentions order by 1 limit 5)"
 
 
 def pruned(edges: str) -> str:
-    return f"""{EDGES}, {FOCUS}, e as ({edges}),
-k1 as (select id from focus union select target from e where source in (select id from focus)
-  union select source from e where target in (select id from focus) and source not in (select id from focus)
-  union select id from gn where orphan),
-k2 as (select id from k1 union select e.target from e where e.source in (select id from k1 join gn using (id) where gn.type = 'concept')
-  and e.target in (select id from gn where type = 'entity'))"""
+    return f"""{EDGES}, {FOCUS}, e as materialized ({edges}), g as materialized (select * from gn),
+k1 as materialized (select id from focus union select e.target from e join focus on focus.id = e.source
+  union select e.source from e join focus on focus.id = e.target anti join focus f on f.id = e.source
+  union select id from g where orphan),
+k2 as materialized (select id from k1 union select e.target from e join (select distinct id from k1 join g using (id) where g.type = 'concept') c on c.id = e.source
+  join (select distinct id from g where type = 'entity') t on t.id = e.target)"""
+
+
+def kept(columns: str = "e.*") -> str:
+    return f"select {columns} from e semi join k2 s on s.id = e.source semi join k2 t on t.id = e.target"
 
 
 PROVENANCE = "select source, target, type from pe union all select source, target, type from te"
@@ -125,17 +131,17 @@ def tag_edges(v):
     return G.tag_edges(v.papers)
 
 
-@query(f"{pruned(PROVENANCE)} select * from gn where id in (select id from k2)")
+@query(f"{pruned(PROVENANCE)} select g.* from g semi join k2 on k2.id = g.id")
 def focus_subgraph_nodes(v):
     return G.focus_subgraph(all_nodes(v), plain_edges(v), focus(v))[0]
 
 
-@query(f"{pruned(PROVENANCE)} select * from e where source in (select id from k2) and target in (select id from k2)")
+@query(f"{pruned(PROVENANCE)} {kept()}")
 def focus_subgraph_edges(v):
     return G.focus_subgraph(all_nodes(v), plain_edges(v), focus(v))[1].select("source", "target", "type")
 
 
-@query(f"{pruned(ALL_EDGES)} select * from e where source in (select id from k2) and target in (select id from k2)")
+@query(f"{pruned(ALL_EDGES)} {kept()}")
 def focus_semantic(v):
     return G.focus_subgraph(all_nodes(v), plain_edges(v, True), focus(v))[1].select("source", "target", "type")
 
@@ -171,7 +177,7 @@ def graph_stats(v):
     return G.stats(all_nodes(v))
 
 
-@query(f"{pruned(PROVENANCE)} select type, count(*)::bigint as n, string_agg(label, '|' order by label) as labels from gn where id in (select id from k2) and type in ('concept', 'entity') group by type")
+@query(f"{pruned(PROVENANCE)} select type, count(*)::bigint as n, string_agg(label, '|' order by label) as labels from g semi join k2 on k2.id = g.id where type in ('concept', 'entity') group by type")
 def node_summary(v):
     n = G.focus_subgraph(all_nodes(v), plain_edges(v), focus(v))[0].filter(F.col("type").isin("concept", "entity"))
     return n.groupBy("type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("label")), "|").alias("labels"))
@@ -233,9 +239,9 @@ def delete_brain_folders(v):
     return SC.delete_brain(v.brains, v.folders, v.brain_papers, "b2")[1].select("id", "name", "brain_id")
 
 
-@query(f"{BASE} select id, name from folders where lower(trim(name)) = lower(trim(' FRANCE '))")
+@query(f"{BASE} select id, name from folders where lower(trim(name)) = lower(trim(' nation_7 '))")
 def folder_name_taken(v):
-    return SC.name_taken(v.folders, F.lit(" FRANCE ")).select("id", "name")
+    return SC.name_taken(v.folders, F.lit(" nation_7 ")).select("id", "name")
 
 
 @query(f"{BASE} select folder_id, paper_slug from folder_papers where paper_slug <> 'o1' union all select 'f3', 'o1'")
@@ -254,22 +260,23 @@ def active_folders(v):
     return SC.active_folders(v.folder_papers, chosen)
 
 
-@query(f"{BASE} select id, name from brains order by id")
+@query(f"{BASE} select id, name, row_number() over (order by coalesce(case when id in ('b1', 'b4') then null else concat('2024-0', 9 - substr(id, 2)::int) end, ''), id) as place from brains")
 def list_brains(v):
-    return SC.ordered(v.brains.withColumn("created_at", F.lit(None).cast("string"))).select("id", "name")
+    """By time of creation, those without one first."""
+    times = F.when(~F.col("id").isin("b1", "b4"), F.concat(F.lit("2024-0"), 9 - F.substring("id", 2, 9).cast("int")))
+    listed = SC.ordered(v.brains.withColumn("created_at", times)).agg(F.collect_list(F.struct("id", "name")).alias("x"))  # a handful of containers, in their order
+    return listed.select(F.posexplode("x").alias("at", "x")).select("x.*", (F.col("at") + 1).cast("long").alias("place"))
 
 
 # ---- point lookups and joins ----
 @query(f"{NODES} select distinct m.paper_slug, n.slug, n.display_label from mentions m join nodes n on n.node_type = m.node_type and n.slug = m.node_slug where m.node_type = 'concept'")
 def paper_concepts(v):
-    m = v.mentions.filter("node_type = 'concept'").select("paper_slug", F.col("node_slug").alias("slug")).distinct()
-    return m.join(v.concepts.select("slug", "display_label"), "slug").select("paper_slug", "slug", "display_label")
+    return TB.concepts_of_papers(v.mentions, v.concepts)
 
 
 @query(f"{NODES} select distinct concept_slug, node_slug from mentions where node_type = 'entity' and concept_slug in (select slug from concepts)")
 def entities_by_concept(v):
-    m = v.mentions.filter("node_type = 'entity'").join(v.concepts.select(F.col("slug").alias("concept_slug")), "concept_slug", "left_semi")
-    return m.select("concept_slug", "node_slug").distinct()
+    return TB.entities_of_concepts(v.mentions, v.concepts)
 
 
 @query(f"{NODES} select distinct node_type, node_slug from mentions where paper_slug = 'o7'")
@@ -360,23 +367,17 @@ def label_canonical(v):
     return R.canonical_labels(part_labels(v))
 
 
-@query(f"""with recursive {PART_KEYS}, {SIGNATURES}, {MATCHES}, al as (select distinct {NORM.format('p_name')} as key, lower(p_brand) as alias from part where p_partkey % 40 = 1),
-  {CANON.format(norm=NORM.format('p_name'), edges='select a, b from mp union select x.key, y.key from al x join al y on x.alias = y.alias and x.key < y.key')}""")
+@query(f"""with recursive {PART_KEYS}, {SIGNATURES}, {MATCHES}, al as (select distinct {NORM.format('p_name')} as key, lower(p_brand) as alias from part),
+  hub as (select alias, min(key) as a from al group by alias),
+  {CANON.format(norm=NORM.format('p_name'), edges='select a, b from mp union select hub.a, al.key from al join hub on hub.alias = al.alias and hub.a < al.key')}""")
 def alias_canonical(v):
-    aliases = v.part.filter("p_partkey % 40 = 1").groupBy(F.col("p_name").alias("label")).agg(F.collect_set("p_brand").alias("aliases"))
+    aliases = v.part.groupBy(F.col("p_name").alias("label")).agg(F.collect_set("p_brand").alias("aliases"))
     return R.canonical_labels(part_labels(v).join(aliases, "label", "left"))
 
 
 ORACLE_SQL["alias_canonical"] = ORACLE_SQL["alias_canonical"].replace("lower(p_brand)", NORM.format("p_brand"))
 
 
-@query()
-def alias_canonical_all(v):
-    """The aliases of all parts; pair-wise SQL is too slow for groups of this size, so tests compare with brute force."""
-    aliases = v.part.groupBy(F.col("p_name").alias("label")).agg(F.collect_set("p_brand").alias("aliases"))
-    return R.canonical_labels(part_labels(v).join(aliases, "label", "left"))
-
-
 @query(f"select {NORM.format('p_name')} as key, min('p' || p_partkey) as slug from part group by 1")
 def name_index(v):
     return R.name_index(v.part.select(F.concat(F.lit("p"), "p_partkey").alias("slug"), F.col("p_name").alias("display_label")))
@@ -415,10 +416,10 @@ def numeric_guard_blocked(v):
     return R.numeric_blocked(v.supplier.select(T.normalize_label(F.col("s_name")).alias("key")).distinct())
 
 
-@query(f"""with k as (select distinct {NORM.format('p_name')} as key from part union select distinct {NORM.format("p_name || 's'")} from part where p_partkey % 3 = 0)
+@query(f"""with k as (select distinct {NORM.format('p_name')} as key from part union select distinct {NORM.format("p_name || 's'")} from part)
   select x.key as short, y.key as long from k x join k y on x.key = substr(y.key, 1, length(y.key) - 1) and x.key <> '' where regexp_extract_all(x.key, '[0-9]+') = regexp_extract_all(y.key, '[0-9]+')""")
 def suffix_variants(v):
-    k = v.part.select("p_name").union(v.part.filter("p_partkey % 3 = 0").select(F.concat("p_name", F.lit("s"))))
+    k = v.part.select("p_name").union(v.part.select(F.concat("p_name", F.lit("s"))))
     return R.suffix_pairs(k.select(T.normalize_label(F.col("p_name")).alias("key")).distinct())
 
 
@@ -585,9 +586,9 @@ def slugify_titles(v):
 
 @query("select doc_id, first_id from (select doc_id, min(doc_id) over (partition by text) as first_id from documents) where doc_id <> first_id")
 def text_hash_duplicates(v):
-    h = v.documents.select("doc_id", F.sha2("text", 256).alias("h"))
-    first = h.groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    return h.join(first, "h").filter("doc_id <> first_id").select("doc_id", "first_id")
+    known = v.documents.select(F.col("doc_id").alias("slug"), F.sha2("text", 256).alias("text_hash"))
+    found = vault.duplicates_by_hash(known, v.documents.select(F.col("doc_id").alias("id"), "text"))
+    return found.filter("id <> slug").select(F.col("id").alias("doc_id"), F.col("slug").alias("first_id"))
 
 
 @query('''select page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::bigint as n_links, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))), '|') as links from pages''')
@@ -596,17 +597,53 @@ def html_links(v):
     return v.pages.select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(F.array_sort(F.array_distinct(links)), "|").alias("links"))
 
 
-BODIES = "(select 1 as id, 'see [[a]] [[a|b]] [[ c ]] [[d.excalidraw]] ![[e.png]] ![alt](img/y.png) ![](z.jpg)' as body union all select 2, 'none' union all select 3, '[[x#h]] [[a]]')"
-
-
-@query(f"select id, t as target from (select id, unnest(list_distinct(list_transform(regexp_extract_all(body, '!?\\[\\[([^\\]|#]+)(?:\\|[^\\]]+)?\\]\\]', 1), lambda x: trim(x)))) as t from {BODIES}) order by id")
+@query(f"{BASE}, {{notes}} select slug, t as target from (select slug, unnest(list_distinct(list_transform(regexp_extract_all(body, '!?\\[\\[([^\\]|#]+)(?:\\|[^\\]]+)?\\]\\]', 1), lambda x: trim(x)))) as t from notes)".replace("{notes}", NOTES))
 def wikilinks(v):
-    return v.spark.sql(f"select * from {BODIES}").select("id", F.explode(T.wikilinks(F.col("body"))).alias("target"))
+    return v.notes.select("slug", F.explode(T.wikilinks(F.col("body"))).alias("target"))
 
 
-@query(f"select id, unnest(regexp_extract_all(body, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) as path from {BODIES}")
+@query(f"{BASE}, {{notes}} select slug, unnest(regexp_extract_all(body, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) as path from notes".replace("{notes}", NOTES))
 def md_images(v):
-    return v.spark.sql(f"select * from {BODIES}").select("id", F.explode(T.md_images(F.col("body"))).alias("path"))
+    return v.notes.select("slug", F.explode(T.md_images(F.col("body"))).alias("path"))
+
+
+@query(f"{BASE}, {{notes}} select distinct n.slug as source, w.t as target, 'link' as type from (select slug, unnest(regexp_extract_all(body, '!?\\[\\[([^\\]|#]+)(?:\\|[^\\]]+)?\\]\\]', 1)) as x from notes) n, (select slug as t from papers) w where trim(n.x) = w.t".replace("{notes}", NOTES))
+def wikilink_edges(v):
+    return G.wikilink_edges(v.notes)
+
+
+ATTACHED = """att as (select slug as id, slug as owner_slug, 'note' as owner_type, unnest(list_distinct(list_concat(list_filter(list_transform(regexp_extract_all(body, '!?\\[\\[([^\\]|#]+)(?:\\|[^\\]]+)?\\]\\]', 1), lambda x: trim(x)), lambda x: lower(x) like '%.png'),
+    regexp_extract_all(body, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)))) as src from notes
+  union all select id, slug, 'concept', unnest(regexp_extract_all(body, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) from node_bodies),
+an as (select 'attachment:' || id || ':' || regexp_extract(src, '[^/]+$') as target, regexp_extract(src, '[^/]+$') as label, * from att)"""
+
+
+def attachments(v: Views) -> tuple[DataFrame, DataFrame]:
+    a, b = G.attachment_edges(v.notes.select(F.col("slug").alias("id"), "slug", "body")), G.attachment_edges(v.node_bodies, "concept")
+    return a[0].unionByName(b[0]), a[1].unionByName(b[1])
+
+
+@query(f"{BASE}, {{notes}}, {ATTACHED} select id as source, target, 'link' as type from an".replace("{notes}", NOTES))
+def attachment_edges(v):
+    return attachments(v)[1]
+
+
+@query(f"{BASE}, {{notes}}, {ATTACHED} select target as id, label, 'attachment' as type, false as orphan, owner_type, owner_slug, min(src) as src from an group by target, label, owner_type, owner_slug".replace("{notes}", NOTES))
+def attachment_nodes(v):
+    return attachments(v)[0]
+
+
+@query(f"""{EDGES}, {{notes}}, {ATTACHED}, wl as (select distinct n.slug as source, w.t as target from (select slug, unnest(regexp_extract_all(body, '!?\\[\\[([^\\]|#]+)(?:\\|[^\\]]+)?\\]\\]', 1)) as x from notes) n, (select slug as t from papers) w where trim(n.x) = w.t),
+  every as (select 'edge' as kind, source as a, target as b, type, relation from (select *, null as relation from pe union all select *, null from te union all select source, target, type, relation from se
+    union all select source, target, 'link', null from wl union all select id, target, 'link', null from an)
+  union all select 'node', id, label, type, case when orphan then 'orphan' end from gn union all select distinct 'node', target, label, 'attachment', null from an)
+  select kind, type, relation, count(*)::bigint as n, count(distinct a)::bigint as n_a, count(distinct b)::bigint as n_b from every group by kind, type, relation""".replace("{notes}", NOTES))
+def build_graph(v):
+    """The whole view in one call, summed up by kind."""
+    nodes, edges = G.build(v.papers, v.concepts, v.entities, v.concept_mentions, v.entity_mentions, v.notes, v.node_bodies, v.relations_raw, v.relation_types)
+    e = edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "type", "relation")
+    n = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), "type", F.when(F.col("orphan"), "orphan").alias("relation"))
+    return e.unionByName(n).groupBy("kind", "type", "relation").agg(F.count("*").alias("n"), F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"))
 
 
 @query("select doc_id, trim(replace(replace(text, '|', '\\|'), chr(10), ' ')) as cell from documents")
@@ -695,7 +732,7 @@ LINKS = f"""{EDGES}, ge as (select src_type, src_slug, dst_type, dst_slug, null:
     where exists (select 1 from nodes n where n.node_type = r.from_type and n.slug = r.from_slug) and exists (select 1 from nodes n where n.node_type = r.to_type and n.slug = r.to_slug)),
 bw as (select src_type as seed_type, src_slug as seed_slug, dst_type as node_type, dst_slug as node_slug, relation, case when relation is not null then 'outgoing' end as direction from ge
   union all select dst_type, dst_slug, src_type, src_slug, relation, case when relation is not null then 'incoming' end from ge),
-seeds as (select 'entity' as seed_type, 's' || s_suppkey as seed_slug from supplier where s_suppkey <= 3)"""
+seeds as (select 'entity' as seed_type, 's' || s_suppkey as seed_slug from supplier where s_suppkey % 50 = 0 union all select 'concept', 'p' || p_partkey from part where p_partkey % 50 = 0)"""
 
 
 def graph_links(v: Views) -> DataFrame:
@@ -706,7 +743,9 @@ def graph_links(v: Views) -> DataFrame:
 
 
 def seeds(v: Views) -> DataFrame:
-    return v.supplier.filter("s_suppkey <= 3").select(F.lit("entity").alias("seed_type"), F.concat(F.lit("s"), "s_suppkey").alias("seed_slug"))
+    """What searches start from: every id divisible by 50."""
+    s = v.supplier.filter("s_suppkey % 50 = 0").select(F.lit("entity").alias("seed_type"), F.concat(F.lit("s"), "s_suppkey").alias("seed_slug"))
+    return s.unionByName(v.part.filter("p_partkey % 50 = 0").select(F.lit("concept").alias("seed_type"), F.concat(F.lit("p"), "p_partkey").alias("seed_slug")))
 
 
 @query(f"{LINKS} select bw.* from bw join seeds using (seed_type, seed_slug)")
@@ -799,12 +838,10 @@ def resolve_batch(v):
 def stream_ingest(v):
     """A stream of two extractions, drained into Parquet."""
     import json
-    import tempfile
 
     from .streaming import ingest
 
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="latticework-")
-    run = f"{base.rstrip('/')}/latticework/stream-{__import__('uuid').uuid4().hex}"
+    run = scratch(v.spark, "stream")
     rows = [{"paper_slug": f"p{i}", "title": f"Paper {i}", "concepts": [{"id": "c1", "label": "Self-Attention"}], "entities": [{"id": "e1", "label": f"Model {i}", "concept_id": "c1"}]} for i in (1, 2)]
     v.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").write.text(f"{run}/inbox")
     ingest.start(v.spark, f"{run}/inbox", f"{run}/out", f"{run}/state").awaitTermination()

@@ -101,7 +101,8 @@ def find_attachment(listing: DataFrame, folder: str, name: str) -> DataFrame:
 def duplicates_by_hash(papers: DataFrame, arrivals: DataFrame) -> DataFrame:
     """``arrivals``: id, text. (id, slug): the first paper with the same text."""
     h = arrivals.select("id", F.sha2("text", 256).alias("text_hash"))
-    return h.join(papers.select("slug", "text_hash"), "text_hash").groupBy("id").agg(F.min("slug").alias("slug"))
+    first = papers.groupBy("text_hash").agg(F.min("slug").alias("slug"))  # a row for each text, so that copies don't pair up
+    return h.join(first, "text_hash").select("id", "slug")
 
 
 def render_node(label: Column, node_type: Column, aliases: Column, categories: Column, sources: Column, description: Column, note: Column) -> Column:
