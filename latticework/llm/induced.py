@@ -507,12 +507,12 @@ def doubled(names: np.ndarray, cap: int) -> np.ndarray:
     """Order of the suffixes of a row of names by their first ``cap`` ones, in memory."""
     n, reach = len(names), 1
     names = names.astype(np.int64) + 1
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     while reach < cap and names.max() < n:
         nxt = np.zeros(n, np.int64)
         nxt[: max(0, n - reach)] = names[reach:]
         key = names * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal ones get one rank, in whatever order they come
         sorted_key = key[order]
         names = np.empty(n, np.int64)
         names[order] = np.cumsum(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))

@@ -43,7 +43,9 @@ SHARD_BYTES, TASK_BYTES, SIEVE_BYTES = 1_000_000, 4_000_000, 2_000_000
 #: Surroundings in a batch that make an anchor hot, and most k-grams in the common class, those of highest count. Any choice gives right results; 1.6 MB are sent to each worker.
 HOT_LEAST, COMMON_MOST = 64, 100_000
 BATCH_BYTES = 16_000_000
-COLUMNS = ["repeat", "h", "c", "v", "a", "n"]
+#: Rows of stretches: hash of the anchor, of all that the stretch holds, document, and place and number of windows in one number, negative if the windows are known to be repeats.
+COLUMNS, ROW = ["h", "c", "v", "at"], "h long, c long, v long, at long"
+COUNT_BITS = 21
 
 
 def ranges_merged(a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +105,28 @@ def hot_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["gram", "n"])
 
 
+def packed(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) << COUNT_BITS) | n
+
+
+def split_runs(a: np.ndarray, n: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (start, count) cut into parts of fewer than 2 ** ``COUNT_BITS`` windows."""
+    if not len(a) or parts.max() == 1:
+        return a, n
+    which = np.repeat(np.arange(len(a)), parts)
+    step = -(-n // parts)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = a[which] + k * step[which]
+    size = np.minimum(step[which], a[which] + n[which] - start)
+    return start[size > 0], size[size > 0]
+
+
+def rows_of(h: np.ndarray, c: np.ndarray, v: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(v), pa.array(at)], names=COLUMNS)
+
+
 def stretch_rows(common: Common):
-    """Rows of ``COLUMNS``: stretches (``repeat`` false), and runs of windows known to be repeats (their h is arbitrary)."""
+    """Rows of ``COLUMNS``: stretches, and runs of windows known to be repeats (their h is arbitrary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data in grouped(batches, BATCH_BYTES):
@@ -119,26 +141,32 @@ def stretch_rows(common: Common):
             third[2:] = (h[by][2:] == h[by][:-2]) & (c[by][2:] == c[by][:-2])
             keep, again = np.sort(by[~third]), np.sort(by[third])
             d = doc[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keep), bool)), pa.array(h[keep].view(np.int64)), pa.array(c[keep].view(np.int64)), pa.array(ids[d]), pa.array(at[keep] - begins[d]), pa.array(n[keep])], names=COLUMNS)
+            yield rows_of(h[keep], c[keep], ids[d], packed(at[keep] - begins[d], n[keep]))
             if len(again):
                 # runs within one document: places in the blob tell documents apart, as a document's last windows start no stretch
                 start, count = ranges_merged(at[again], n[again])
+                parts = (count >> COUNT_BITS) + 1
+                start, count = split_runs(start, count, parts)
                 d = np.searchsorted(ends, start, side="right")
                 spread = mix(start.astype(U) + mix(ids[d].view(U)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(start), bool)), pa.array(spread.view(np.int64)), pa.nulls(len(start), pa.int64()), pa.array(ids[d]), pa.array(start - begins[d]), pa.array(count)], names=COLUMNS)
+                yield rows_of(spread, np.zeros(len(start), U), ids[d], -1 - packed(start - begins[d], count))
 
     return run
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input: v, text, open (array of a, n, h). Output: h, v, a, bytes of the stretch."""
+    """Input: v, text, open (array of at, h). Output: h, v, a, bytes of the stretch."""
     for batch in slices(batches):
-        out: list[tuple] = []
-        for v, t, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            data = t.encode("utf-8", "surrogatepass")
-            out += [(p["h"], v, p["a"], data[p["a"] : p["a"] + p["n"] + LENGTH - 1]) for p in parts]
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "v", "a", "piece"])
+        lists = batch.column(2)
+        ends, flat = lists.offsets.to_numpy(), lists.values
+        at, h = (flat.field(k).to_numpy() for k in ("at", "h"))
+        a, last = at >> COUNT_BITS, (at >> COUNT_BITS) + (at & ((1 << COUNT_BITS) - 1)) + LENGTH - 1
+        v, cuts = np.repeat(batch.column(0).to_numpy(), np.diff(ends)), []
+        for text, i, j in zip(batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            cuts += [data[x:y] for x, y in zip(a[i:j].tolist(), last[i:j].tolist(), strict=True)]
+        inside = slice(ends[0], ends[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(h[inside]), pa.array(v), pa.array(a[inside]), pa.array(cuts, pa.binary())], names=["h", "v", "a", "piece"])
 
 
 def repeated_parts(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,12 +213,16 @@ class Shard:
         n = self.text.n
         self.text.add(np.zeros(9, np.uint8))
         t, v, a, start = (x.array() for x in (self.text, self.v, self.a, self.start))
-        marks = place(n, bool, self.memory)
+        marks, part_of = place(n, bool, self.memory), place(n, np.int32, self.memory)
+        size = np.diff(np.append(start, n))
+        for x, y in pieces(len(start), max(1, self.memory // 100)):
+            part_of[start[x] : start[y] if y < len(start) else n] = np.repeat(np.arange(x, y, dtype=np.int32), size[x:y])
+        rank = np.empty(len(start), np.int64)  # no window is in two parts, so parts in order have their windows in order
+        rank[np.lexsort((a, v))] = np.arange(len(start))
         low_before, first = int(NONE), None  # since the last window; the earliest of the group that it belongs to
         for positions, prefixes in suffixes(Text(t, n + 1, 256, LENGTH, self.memory), self.spilled, depth=self.depth):
-            k = np.searchsorted(start, positions, side="right") - 1
-            end = np.append(start, n)[k + 1] if n <= self.memory else np.where(k + 1 < len(start), start[np.minimum(k + 1, len(start) - 1)], n)
-            at = np.flatnonzero(positions + LENGTH < end)  # windows; the part's last symbol isn't its own
+            k = part_of[positions]
+            at = np.flatnonzero(positions + LENGTH < start[k] + size[k])  # windows; the part's last symbol isn't its own
             if not len(at):
                 low_before = min(low_before, int(prefixes.min()))
                 continue
@@ -198,25 +230,24 @@ class Shard:
             low = np.minimum.reduceat(prefixes[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
             low[0] = min(int(low[0]), low_before)
             low_before = int(prefixes[at[-1] + 1 :].min()) if at[-1] + 1 < len(prefixes) else int(NONE)
-            group = np.cumsum(low < LENGTH)
-            place_of, wv, wa = positions[at], v[k[at]], a[k[at]] + positions[at] - start[k[at]]
-            by = np.lexsort((wa, wv, group))
-            head = np.concatenate(([True], group[by][1:] != group[by][:-1]))
-            marks[place_of[by[~head]]] = True
-            heads = by[head]
-            if group[heads[0]] == 0 and first is not None:  # goes on with the group of the last run
-                x = heads[0]
-                mine = (int(wv[x]), int(wa[x]), int(place_of[x]))
-                marks[max(mine, first)[2]] = True
+            positions, k = positions[at].astype(np.int64), k[at]
+            key = (rank[k] << 32) | (positions - start[k])
+            new = low < LENGTH
+            goes_on, new[0] = not new[0] and first is not None, True
+            heads = np.flatnonzero(new)
+            least = np.minimum.reduceat(key, heads)
+            again = key != np.repeat(least, np.diff(np.append(heads, len(key))))
+            marks[positions[again]] = True
+            if goes_on:  # with the group of the last run
+                mine = (int(least[0]), int(positions[: heads[1] if len(heads) > 1 else None][~again[: heads[1] if len(heads) > 1 else None]][0]))
+                marks[max(mine, first)[1]] = True
                 first = min(mine, first)
-                heads = heads[1:]
-            if len(heads):
-                x = heads[-1]
-                first = (int(wv[x]), int(wa[x]), int(place_of[x]))
+            if not goes_on or len(heads) > 1:
+                first = (int(least[-1]), int(positions[heads[-1] :][~again[heads[-1] :]][0]))
         for x, y in pieces(n, max(self.memory, 1)):
             hit = np.flatnonzero(marks[x:y]) + x
             if len(hit):
-                k = np.searchsorted(start, hit, side="right") - 1
+                k = part_of[hit]
                 new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (k[1:] != k[:-1])))
                 at = np.flatnonzero(new)
                 yield v[k[at]], a[k[at]] + hit[at] - start[k[at]], np.diff(np.append(at, len(hit)))
@@ -245,7 +276,8 @@ def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sift() -> None:
         nonlocal held, size
         if held:
-            v, a, cuts = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), [x[2] for x in held]
+            v, a = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            cuts = [c for x in held for c in x[2]]
             left = (v, a, cuts) if hot else sieved(v, a, cuts)
             if left[2]:
                 shard.add(*left)
@@ -259,19 +291,27 @@ def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard()
 
     for batch in batches:
-        for h, v, a, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if size > SIEVE_BYTES:
-                hot = hot or h == mark
-                sift()
+        hs, vs, starts = (batch.column(i).to_numpy() for i in range(3))
+        cuts = batch.column(3).to_pylist()
+        edges = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1], [True]))) if len(hs) else np.zeros(0, np.int64)
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            h = int(hs[i])
             if h != mark and hot:
                 sift()
                 hot = False
+            if h != mark and size > SIEVE_BYTES:
+                sift()
             if h != mark and shard.text.n > SHARD_BYTES:
                 sift()
                 yield from flush()
-            held.append((v, a, piece))
-            size += len(piece)
             mark = h
+            for x in range(i, j, 1000):  # the rows of one anchor
+                y = min(j, x + 1000)
+                held.append((vs[x:y], starts[x:y], cuts[x:y]))
+                size += sum(map(len, cuts[x:y]))
+                if size > 2 * SIEVE_BYTES:
+                    hot = True
+                    sift()
     sift()
     yield from flush()
 
@@ -323,22 +363,22 @@ def repeats(rows: DataFrame) -> DataFrame:
     texts = rows.select("v", "text")
     often = texts.mapInArrow(tidied(hot_grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(COMMON_MOST)
     common = Common(np.array([r.gram for r in often.collect()], np.int64).view(U))
-    made = texts.mapInArrow(tidied(stretch_rows(common)), "repeat boolean, h long, c long, v long, a long, n long")
+    made = texts.mapInArrow(tidied(stretch_rows(common)), ROW)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = made.repartition(parts, "h")
-    w = Window.partitionBy("h").orderBy("c", "v", "a")  # rows that look two rows back and one ahead, no frame of a whole anchor
+    w = Window.partitionBy("h").orderBy("c", "v", "at")  # rows that look two rows back and one ahead, no frame of a whole anchor
     third = F.coalesce(F.lag("c", 2).over(w) == F.col("c"), F.lit(False))
     other = F.lag("h", 1).over(w).isNotNull() | F.lead("h", 1).over(w).isNotNull()
-    met = met.withColumns({"third": third, "other": other}).filter("repeat or third or other")
-    met = stored(met.select((F.col("repeat") | F.col("third")).alias("repeat"), "h", "v", "a", "n"), "stretches")
+    met = made.repartition(parts, "h").withColumns({"third": third, "other": other}).filter("at < 0 or third or other")
+    met = stored(met.select("h", "v", F.when((F.col("at") >= 0) & F.col("third"), -1 - F.col("at")).otherwise(F.col("at")).alias("at")), "stretches")
 
-    known = met.filter("repeat").select("v", "a", "n")
-    unclear = met.filter(~F.col("repeat"))
-    size = unclear.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0]
+    gone, mask = -1 - F.col("at"), (1 << COUNT_BITS) - 1
+    known = met.filter("at < 0").select("v", F.shiftright(gone, COUNT_BITS).alias("a"), gone.bitwiseAND(mask).alias("n"))
+    unclear = met.filter("at >= 0")
+    size = unclear.agg(F.sum(F.col("at").bitwiseAND(mask) + LENGTH - 1)).first()[0]
     if not size:
         return known
     tasks = max(1, -(-size // TASK_BYTES), min(parts, size // 200_000))
-    listed = unclear.groupBy("v").agg(F.collect_list(F.struct("a", "n", "h")).alias("open"))  # at most a document's own stretches
+    listed = unclear.groupBy("v").agg(F.collect_list(F.struct("at", "h")).alias("open"))  # at most a document's own stretches
     cuts = texts.join(listed, "v").select("v", "text", "open").mapInArrow(tidied(cut_out), "h long, v long, a long, piece binary")
     dealt = cuts.repartition(int(tasks), "h").sortWithinPartitions("h", "v", "a")
     return known.unionAll(dealt.mapInArrow(tidied(sort_shards), "v long, a long, n long"))
