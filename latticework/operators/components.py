@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping; each round is a table in the shared folder, and the one before it is deleted."""
+"""Connected components of an edge table, by Spark alone."""
 
 from __future__ import annotations
 
@@ -14,17 +14,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``edges``: a, b; ``nodes``: v (by default the ends of edges). Each node with the least node that it reaches: (v, comp)."""
-    e = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    given = e.select(F.col("a").alias("v")) if nodes is None else nodes.select("v")
-    labels = stored(given.distinct().withColumn("comp", F.col("v")), "labels")
+    """``edges``: (a, b) of any type that sorts; ``nodes``: v. (v, comp), comp the least node that v reaches: a row for each node that has an edge to another, or for all of ``nodes`` if given.
+
+    Large-star and small-star steps alternate, each one shuffle with a pre-aggregated minimum, until the edges stop changing; every second step is written to the shared folder, so that
+    a lost executor costs one step, and the one before it is deleted. No group is gathered: a hub's neighbours only meet its minimum through a join that adaptive execution can split.
+    """
+    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    before = None
     while True:
-        from_neighbours = e.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("near"))
-        step = labels.join(from_neighbours, "v", "left").select("v", "comp", F.least("comp", F.coalesce("near", "comp")).alias("next"))
-        jump = step.select(F.col("v").alias("next"), F.col("next").alias("further"))
-        new = stored(step.join(jump, "next", "left").select("v", F.col("comp").alias("old"), F.least("next", F.coalesce("further", "next")).alias("comp")), "labels")
-        freed(labels)
-        if not new.filter("old <> comp").limit(1).count():
-            freed(e)
-            return new.select("v", "comp")
-        labels = new.select("v", "comp")
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
+        # large star: every larger neighbour of v, linked to the least of v and its neighbours
+        large = both.filter("b > a").join(low, F.col("a") == F.col("v")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # small star: v and its smaller neighbours, linked to the least of them
+        least = large.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
+        small = large.join(least, F.col("a") == F.col("v")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        new = stored(small, "stars")
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        freed(e)
+        if now == before or now[0] == 0:
+            break
+        e, before = new, now
+    found = new.select(F.col("a").alias("v"), F.col("b").alias("comp")).unionAll(new.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct())
+    if nodes is None:
+        return found
+    return nodes.select("v").distinct().join(found, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))

@@ -202,6 +202,12 @@ class Resolver:
                 self.blocks.setdefault(block, []).append(key)
         self.owners.setdefault(key, set()).add(slug)
 
+    def know(self, slug: str, label: str, aliases: list[str], at: str | None, papers: list[str]) -> None:
+        """A node that was there before."""
+        self.nodes[slug] = {"slug": slug, "display_label": label, "aliases": list(aliases), "sources": {p: {} for p in papers}, "created_at": at}
+        for k in dict.fromkeys(label_key(x) for x in [label, *aliases]):
+            self.add(k, slug)
+
     def resolve(self, label: str, aliases: list[str], paper: str | None, title: str | None, at: str, concept: str | None = None, **fields) -> tuple[str, list[dict]]:
         """The node for a name: the oldest match, else a new one; other matches are recorded as merge candidates."""
         keys = [k for k in dict.fromkeys(label_key(x) for x in [label, *aliases])]
@@ -209,6 +215,8 @@ class Resolver:
         source = {"paper_slug": paper, "paper_title": title, "concept_slug": concept}
         if not hits:
             slug = label_key(label).replace(" ", "-")
+            if slug in self.nodes:  # of a node that has since been given another name
+                slug = next(s for i in range(2, len(self.nodes) + 3) if (s := f"{slug}-{i}") not in self.nodes)
             self.nodes[slug] = {"slug": slug, "display_label": label, "aliases": list(aliases), "sources": {paper: source}, "created_at": at, **fields}
             for k in keys:
                 self.add(k, slug)
@@ -227,13 +235,15 @@ class Resolver:
 
 
 NODE = "slug string, display_label string, aliases array<string>, created_at string, papers array<string>"
+ASSIGNED = "arrival string, assigned string"
 CANDIDATE = "type string, slug_a string, slug_b string, via_alias string, detected_in_paper string, detected_at string"
 
 
 def resolve_sorted(node_type: str):
-    """Rows of ``arrivals`` with comp, by comp and seq. Rows of nodes and candidates; only one component's nodes are held at a time."""
+    """Rows of known nodes and ``arrivals`` with comp, by comp, known ones first, and seq. Rows of nodes, candidates and assignments (arrival, assigned); only one component's nodes
+    are held at a time."""
     strings, lists = pa.string(), pa.list_(pa.string())
-    schema = pa.schema([("slug", strings), ("display_label", strings), ("aliases", lists), ("created_at", strings), ("papers", lists)] + [(c.split()[0], strings) for c in CANDIDATE.split(", ")])
+    schema = pa.schema([("slug", strings), ("display_label", strings), ("aliases", lists), ("created_at", strings), ("papers", lists)] + [(c.split()[0], strings) for c in f"{CANDIDATE}, {ASSIGNED}".split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, queue, before, out = Resolver(node_type), {}, None, []
@@ -250,7 +260,12 @@ def resolve_sorted(node_type: str):
                     if len(out) >= 1000:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out = []
-                for c in r.resolve(row["label"], row["aliases"] or [], row["paper_slug"], row["paper_title"], row["at"])[1]:
+                if row["known"] is not None:
+                    r.know(row["known"], row["label"], row["aliases"] or [], row["at"], row["papers"] or [])
+                    continue
+                slug, found = r.resolve(row["label"], row["aliases"] or [], row["paper_slug"], row["paper_title"], row["at"])
+                out.append({**dict.fromkeys(schema.names), "arrival": str(row["seq"]), "assigned": slug})
+                for c in found:
                     queue.setdefault(frozenset((c["slug_a"], c["slug_b"])), c)
         out += finished()
         if out:
@@ -259,20 +274,48 @@ def resolve_sorted(node_type: str):
     return run
 
 
-def resolve_batch(spark: SparkSession, arrivals: DataFrame, node_type: str) -> tuple[DataFrame, DataFrame]:
-    """``arrivals``: seq, label, aliases, paper_slug, paper_title, at, of one batch in order. Nodes (slug, display_label, aliases, created_at, papers) and candidates.
-
-    Arrivals whose names are in different components of the match graph (names of one arrival are tied) never meet, so each component is
-    resolved by itself, in order, on the workers."""
-    a = arrivals.select("seq", "label", "aliases", "paper_slug", "paper_title", "at", normalize_label(F.col("label")).alias("key"))
+def resolve_all(arrivals: DataFrame, node_type: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``arrivals``: seq (any type that sorts), label, aliases, paper_slug, paper_title, at; ``known``: slug, display_label, aliases, created_at, papers of the nodes there are. Nodes (known ones that
+    nothing arrives at are left as they are), candidates, and the node of each arrival (arrival: seq as text, assigned).
+
+    Arrivals whose names are in different components of the match graph (names of one arrival or node are tied) never meet, so each component is resolved by itself, in order, on the
+    workers. Of the known nodes only those take part that a name which arrives matches, found by the band join of all lookups."""
+    none = F.lit(None)
+    a = arrivals.select("seq", "label", "aliases", "paper_slug", "paper_title", "at", none.cast("string").alias("known"), none.cast("array<string>").alias("papers"))
+    untouched = None
+    if known is not None:
+        k = known.select(F.lit(None).cast(arrivals.schema["seq"].dataType).alias("seq"), F.col("display_label").alias("label"), "aliases", none.cast("string").alias("paper_slug"), none.cast("string").alias("paper_title"),
+                         F.col("created_at").alias("at"), F.col("slug").alias("known"), "papers")
+        mine = names(known)
+        come = cut(keys_of(a).withColumn("sig", M.signature(F.col("key"))))
+        there = mine.select("key").distinct().withColumn("sig", M.signature(F.col("key")))
+        near = match_two_sides(come, there).select(F.col("n").alias("key")).unionByName(come.select("key")).distinct()
+        met = cut(mine.join(near, "key", "left_semi").select(F.col("slug").alias("known")).distinct())
+        untouched = known.join(met.withColumnRenamed("known", "slug"), "slug", "left_anti")
+        a = a.unionByName(k.join(met, "known", "left_semi").select(*a.columns))
+    a = a.withColumn("key", normalize_label(F.col("label")))
     aliases = a.select("key", F.explode("aliases").alias("alias")).select("key", normalize_label(F.col("alias")).alias("alias")).distinct()
     keys = cut(a.select("key").union(aliases.select("alias")).distinct())
     edges = match_pairs(keys.withColumn("sig", M.signature(F.col("key")))).union(aliases.filter("key <> alias").select(F.col("key").alias("a"), F.col("alias").alias("b")))
     comps = components(edges, keys.select(F.col("key").alias("v")))
-    rows = a.join(comps.withColumnRenamed("v", "key"), "key", "left").drop("key").repartition("comp").sortWithinPartitions("comp", "seq")
-    done = cut(rows.mapInArrow(resolve_sorted(node_type), f"{NODE}, {CANDIDATE}"))
+    rows = a.join(comps.withColumnRenamed("v", "key"), "key", "left").drop("key").repartition("comp").sortWithinPartitions("comp", F.col("known").isNull(), "known", "seq")
+    done = cut(rows.mapInArrow(resolve_sorted(node_type), f"{NODE}, {CANDIDATE}, {ASSIGNED}"))
     names_of = lambda ddl: [c.split()[0] for c in ddl.split(", ")]
-    return done.filter("type is null").select(*names_of(NODE)), done.filter("type is not null").select(*names_of(CANDIDATE))
+    nodes = done.filter("type is null and arrival is null").select(*names_of(NODE))
+    if untouched is not None:
+        nodes = nodes.unionByName(untouched.select(*names_of(NODE)))
+    return nodes, done.filter("type is not null").select(*names_of(CANDIDATE)), done.filter("arrival is not null").select(*names_of(ASSIGNED))
+
+
+def keys_of(arrivals: DataFrame) -> DataFrame:
+    """(key): all names of arrivals."""
+    listed = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return arrivals.select(F.explode(listed).alias("name")).select(normalize_label(F.col("name")).alias("key")).filter("key <> ''").distinct()
+
+
+def resolve_batch(spark: SparkSession, arrivals: DataFrame, node_type: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (slug, display_label, aliases, created_at, papers) and candidates of one batch without known nodes."""
+    return resolve_all(arrivals, node_type)[:2]
 
 
 def slug_of(label: Column) -> Column:

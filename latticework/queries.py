@@ -661,11 +661,17 @@ def render_node_md(v):
     return c.select("slug", vault.render_node(F.col("display_label"), F.lit("concept"), none, F.array("category"), F.col("sources"), F.lit(None), F.lit(None)).alias("content"))
 
 
-@query()
+@query(r"""with d as (select doc_id, case when doc_id % 3 = 0 then text when doc_id % 3 = 1 then text || chr(10) || ' 7. References:' || chr(10) || lang || chr(10) || source
+    else 'References' || chr(10) || text || chr(10) || 'Bibliography -' || chr(10) || text || chr(10) || lang end as t from documents),
+  l as (select doc_id, t, string_split(t, chr(10)) as lines from d),
+  i as (select doc_id, t, lines, min(i) as pos from (select doc_id, t, lines, unnest(range(len(lines) // 2 + 1, len(lines) + 1)) as i from l)
+    where regexp_full_match(lines[i], '(?i)\s*(?:[0-9]{1,3}[\.\)]?\s*)?(references|bibliography)\s*[:\-]?\s*') and length(array_to_string(lines[i:], chr(10))) / greatest(length(t), 1) <= 0.4 group by all)
+  select doc_id, length(k)::bigint as n, sha256(k) as digest from (select l.doc_id, case when pos is null then l.t else regexp_replace(array_to_string(l.lines[:pos - 1], chr(10)), '\s+$', '') end as k from l left join i using (doc_id))""")
 def strip_references(v):
-    rows = "\n".join(f"line {i} of the text" for i in range(8))
-    late, early = f"{rows}\nmore\n 7. References:\n[1] a\n[2] b", f"References\n{rows}\n{rows}"
-    return v.spark.createDataFrame([(1, late), (2, early), (3, rows)], "id int, text string").select("id", T.strip_references(F.col("text")).alias("text"))
+    late = F.concat("text", F.lit("\n 7. References:\n"), "lang", F.lit("\n"), "source")
+    early = F.concat(F.lit("References\n"), "text", F.lit("\nBibliography -\n"), "text", F.lit("\n"), "lang")
+    kept = T.strip_references(F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, late).otherwise(early))
+    return v.documents.select("doc_id", kept.alias("k")).select("doc_id", F.length("k").cast("long").alias("n"), F.sha2("k", 256).alias("digest"))
 
 
 # ---- retrieval ----
@@ -808,22 +814,242 @@ def hybrid_search(v):
     return hits.join(around, ["seed_type", "seed_slug"], "left").select("seed_type", "seed_slug", "rank", "node_type", "node_slug", "relation", "direction")
 
 
-@query()
+SEARCH = f"""{LINKS}, {TYPE_VEC}, {ROUTE}, {NODE_VEC},
+{VEC[VEC.index('sc as ('):].replace('from vec, qq', 'from nv, qq')}, {DOCS}, {BM}, {RRF[: RRF.index('select *, row_number')].format(where='').rstrip()},
+hits as (select * from (select *, row_number() over (order by score desc, node_type, node_slug) as rank from fused) where rank <= 10), {ROUTED.format(join=' /*scope*/')}"""
+AROUND = """select h.node_type, h.node_slug, h.score, h.rank,
+  (select count(*) from bw where bw.seed_type = h.node_type and bw.seed_slug = h.node_slug and relation is null /*scope*/)::bigint as n_provenance,
+  (select coalesce(max(total), 0) from nr where nr.seed_type = h.node_type and nr.seed_slug = h.node_slug)::bigint as total,
+  (select string_agg(nr.node_type || ':' || nr.node_slug || ':' || relation || ':' || direction, ',' order by n) from nr where nr.seed_type = h.node_type and nr.seed_slug = h.node_slug and n <= 5) as best,
+  (select count(*) from (select distinct node_type, node_slug from nr where nr.seed_type = h.node_type and nr.seed_slug = h.node_slug and n <= 2) v join nr x on x.seed_type = v.node_type and x.seed_slug = v.node_slug where x.n <= 5)::bigint as n_second,
+  (select string_agg(rel_type, ',' order by rel_type) from rt) as routed_types
+from hits h"""
+
+
+def flat(found: DataFrame) -> DataFrame:
+    """A search result, a row for each hit with counts and names of what surrounds it."""
+    best = F.transform(F.array_sort("neighbors", lambda x, y: x["n"].cast("int") - y["n"].cast("int")), lambda x: F.concat_ws(":", x["node_type"], x["node_slug"], x["relation"], x["direction"]))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    count = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(size(c)).alias(f"n_{c}")
+    return found.select("node_type", "node_slug", "score", F.col("rank").cast("long").alias("rank"), count("provenance"), F.col("total").cast("long").alias("total"), F.nullif(F.array_join(best, ","), F.lit("")).alias("best"),
+                        count("second"), F.array_join("routed_types", ",").alias("routed_types"))
+
+
+@query(f"{SEARCH} {AROUND}")
 def graph_search(v):
-    """The whole search: fused hits, routed neighbours of each and a second hop, in one plan."""
-    text = documents(v).drop("id")
-    vec = node_vectors(v)
-    out = SE.search(ASK, last_question(v), vec, text, graph_links(v), type_vectors(v), mode="routed", hop2=2)
-    return out.select("node_type", "node_slug", "score", "rank", F.coalesce(F.size("neighbors"), F.lit(0)).alias("n_neighbors"))
+    """The whole search: fused hits, their provenance, the best routed neighbours of each and a second hop, in one plan."""
+    return flat(SE.search(ASK, last_question(v), node_vectors(v), documents(v).drop("id"), graph_links(v), type_vectors(v), mode="routed", hop2=2))
 
 
-@query()
+def third_brain(v: Views) -> DataFrame:
+    """A brain of the nodes and papers whose number is divisible by 3."""
+    part = lambda d, t, c, p: d.filter(F.col(c) % 3 == 0).select(F.lit(t).alias("node_type"), F.concat(F.lit(p), c).alias("node_slug"))
+    rows = part(v.part, "concept", "p_partkey", "p").unionByName(part(v.supplier, "entity", "s_suppkey", "s")).unionByName(part(v.nation, "entity", "n_nationkey", "n")).unionByName(part(v.orders, "paper", "o_orderkey", "o"))
+    return rows.withColumn("brain_ids", F.array(F.lit("b1")))
+
+
+THIRD = """nb3 as (select 'concept' as node_type, 'p' || p_partkey as node_slug from part where p_partkey % 3 = 0 union all select 'entity', 's' || s_suppkey from supplier where s_suppkey % 3 = 0
+  union all select 'entity', 'n' || n_nationkey from nation where n_nationkey % 3 = 0 union all select 'paper', 'o' || o_orderkey from orders where o_orderkey % 3 = 0)"""
+IN_THIRD = " where (node_type, node_slug) in (select (node_type, node_slug) from nb3)"
+
+
+@query(f"{LINKS}, {THIRD}, {TYPE_VEC}, {ROUTE}, {NODE_VEC}, {ROUTED.format(join=IN_THIRD)} select nr.* from nr join seeds using (seed_type, seed_slug) where n <= 5")
+def neighbors_routed_brain(v):
+    return SE.neighbors_routed(seeds(v), graph_links(v), SE.route(type_vectors(v), last_question(v)), node_vectors(v), last_question(v), brain="b1", brain_ids=third_brain(v))
+
+
+@query(f"{LINKS}, {THIRD} select seed_type, seed_slug, node_type, node_slug from bw join seeds using (seed_type, seed_slug) where relation is null and (node_type, node_slug) in (select (node_type, node_slug) from nb3)")
+def provenance_neighbors_brain(v):
+    return SE.provenance_neighbors(seeds(v), graph_links(v), "b1", third_brain(v))
+
+
+def in_third_brain(sql: str) -> str:
+    """The SQL of a search, scoped: vector hits after their top-k, documents before theirs, neighbours before they are ranked."""
+    ranked = "vh as (select node_type, node_slug, score, row_number() over (order by score desc, node_type, node_slug) as rank from top)"
+    assert ranked in sql and DOCS in sql and LINKS in sql
+    sql = sql.replace(ranked, ranked.replace("vh as", "vh0 as") + ", vh as (select node_type, node_slug, score, row_number() over (order by rank) as rank from vh0 semi join nb3 using (node_type, node_slug))")
+    sql = sql.replace(DOCS, DOCS.replace("dd as", "dd0 as") + ", dd as (select dd0.* from dd0 semi join nb3 using (node_type, node_slug))")
+    return sql.replace(LINKS, f"{LINKS}, {THIRD}").replace("/*scope*/", IN_THIRD)
+
+
+@query(in_third_brain(SEARCH) + AROUND.replace("/*scope*/", IN_THIRD.replace(" where ", " and ").replace("(node_type, node_slug) in", "(bw.node_type, bw.node_slug) in")))
+def graph_search_brain(v):
+    """The same within a brain: hits, provenance, neighbours and the second hop."""
+    return flat(SE.search(ASK, last_question(v), node_vectors(v), documents(v).drop("id"), graph_links(v), type_vectors(v), mode="routed", hop2=2, brain="b1", brain_ids=third_brain(v)))
+
+
+@query(f"{BASE}, {TYPE_VEC} select rel_type, 1.0::double as type_score from tv where rel_type in ('USES', 'IS_A')")
+def explicit_types(v):
+    return SE.explicit_types(" USES, unknown,,IS_A ", type_vectors(v))
+
+
+@query(r"""select o_orderkey, '# ' || o_orderpriority || ' | x' || chr(10) || chr(10) || '> **TL;DR**: ' || o_orderstatus || chr(10) || chr(10) || '## Problem and motivation' || chr(10) || '- ' || o_orderstatus || chr(10) || '- why'
+  || chr(10) || chr(10) || '## Claims' || chr(10) || case when o_orderkey % 4 = 0 then '_none_' else '| # | Claim | Evidence |' || chr(10) || '|---|---|---|' || chr(10) || '| 1 | a\|' || o_custkey || ' |  |' end
+  || chr(10) || chr(10) || '## Concepts and methods' || chr(10) || '| Concept | Description | Note |' || chr(10) || '|---|---|---|' || chr(10) || '| [[C' || o_custkey || ']] | d | n |' || chr(10)
+  || '| [[E]] | m | ' || case when o_orderkey % 2 = 0 then 'C' || o_custkey else 'own' end || ' |' || chr(10) || chr(10) || '## Limitations' || chr(10) || 'few' as content from orders""")
 def render_notes(v):
-    """Notes of papers, from rows that look like extractions."""
-    d = v.spark.sql("""select 'p1' as slug, 'One | two' as title, 'short' as tldr, array('why') as motivation, array(struct('a|b' as claim, 'c' as evidence)) as claims,
-      array(struct('c1' as id, 'MoE' as label, 'experts' as description, 'n' as note)) as concepts,
-      array(struct('Switch' as label, 'c1' as concept_id, 'model' as description, 'x' as note), struct('Free' as label, 'zz' as concept_id, 'model' as description, 'y' as note)) as entities, 'few' as limitations""")
-    return d.select("slug", vault.render_note(*(F.col(c) for c in d.columns[1:])).alias("content"))
+    """A note for each paper, from columns that look like an extraction."""
+    d = v.orders.select(
+        "o_orderkey", F.concat("o_orderpriority", F.lit(" | x")).alias("title"), F.col("o_orderstatus").alias("tldr"), F.array("o_orderstatus", F.lit("why")).alias("motivation"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.expr("cast(array() as array<struct<claim: string, evidence: string>>)")).otherwise(F.array(F.struct(F.concat(F.lit("a|"), "o_custkey").alias("claim"), F.lit(None).cast("string").alias("evidence")))).alias("claims"),
+        F.array(F.struct(F.lit("c1").alias("id"), F.concat(F.lit("C"), "o_custkey").alias("label"), F.lit("d").alias("description"), F.lit("n").alias("note"))).alias("concepts"),
+        F.array(F.struct(F.lit("E").alias("label"), F.when(F.col("o_orderkey") % 2 == 0, "c1").otherwise("zz").alias("concept_id"), F.lit("m").alias("description"), F.lit("own").alias("note"))).alias("entities"), F.lit("few").alias("limitations"),
+    )
+    return d.select("o_orderkey", vault.render_note(*(F.col(c) for c in d.columns[1:])).alias("content"))
+
+
+# ---- requests on the store, over rich node rows ----
+RICH = """rich as (select 'concept' as node_type, 'p' || p_partkey as slug, p_name || ' ' || p_partkey as display_label, [p_brand, 'x' || p_size] as aliases, 'd' as description, '' as note, [p_type] as categories,
+  case when p_partkey % 5 = 0 then 'p' || (p_partkey - 1) end as redirect_to, 'own ' || p_partkey as user_notes, case when p_partkey % 3 > 0 then '2024-01-' || lpad((p_partkey % 28 + 1)::varchar, 2, '0') end as created_at from part)"""
+SHOW = "select slug, display_label, array_to_string({aliases}, '|') as aliases, array_to_string({categories}, '|') as categories, {notes} as user_notes from rich"
+
+
+def rich(v: Views) -> DataFrame:
+    p = F.col("p_partkey")
+    return v.part.select(
+        F.lit("concept").alias("node_type"), F.concat(F.lit("p"), p).alias("slug"), F.concat("p_name", F.lit(" "), p).alias("display_label"), F.array(F.col("p_brand"), F.concat(F.lit("x"), "p_size")).alias("aliases"),
+        F.lit("d").alias("description"), F.lit("").alias("note"), F.array("p_type").alias("categories"), F.when(p % 5 == 0, F.concat(F.lit("p"), p - 1)).alias("redirect_to"), F.concat(F.lit("own "), p).alias("user_notes"),
+        F.when(p % 3 > 0, F.concat(F.lit("2024-01-"), F.lpad((p % 28 + 1).cast("string"), 2, "0"))).alias("created_at"),
+    )
+
+
+def shown(nodes: DataFrame) -> DataFrame:
+    return nodes.select("slug", "display_label", F.array_join("aliases", "|").alias("aliases"), F.array_join("categories", "|").alias("categories"), "user_notes")
+
+
+def show(aliases: str = "aliases", categories: str = "categories", notes: str = "user_notes", label: str = "display_label") -> str:
+    return f"with {RICH} {SHOW.format(aliases=aliases, categories=categories, notes=notes)}".replace("select slug, display_label", f"select slug, {label} as display_label")
+
+
+@query(show(aliases="case when slug = 'p7' then list_append(aliases, 'brand new name') else aliases end"))
+def add_alias(v):
+    return shown(ST.with_alias(rich(v), R.name_index(rich(v)), "concept", "p7", "brand new name"))
+
+
+@query(show(aliases="case when slug = 'p7' then list_filter(aliases, lambda x: x not like 'x%') else aliases end"))
+def remove_alias(v):
+    size = v.part.filter("p_partkey = 7").select("p_size").first()[0]
+    return shown(ST.without_alias(rich(v), "concept", "p7", f"x{size}"))
+
+
+@query(show(aliases="case when slug = 'p7' then list_append(aliases, display_label) else aliases end", label="case when slug = 'p7' then 'A New Label' else display_label end"))
+def rename_label(v):
+    return shown(ST.renamed(rich(v), R.name_index(rich(v)), "concept", "p7", "A New Label"))
+
+
+@query(show(categories="case when slug = 'p7' then list_append(categories, 'theory') else categories end"))
+def add_category(v):
+    from .schema import CONCEPT_CATEGORIES
+
+    return shown(ST.with_category(rich(v), "p7", "theory", CONCEPT_CATEGORIES))
+
+
+@query(show(categories="case when slug = 'p7' then []::varchar[] else categories end"))
+def remove_category(v):
+    kind = v.part.filter("p_partkey = 7").select("p_type").first()[0]
+    return shown(ST.without_category(rich(v), "p7", kind))
+
+
+@query(show(notes="case when slug = 'p7' then 'replaced' else user_notes end"))
+def user_section(v):
+    return shown(ST.with_user_notes(rich(v), "concept", "p7", "replaced"))
+
+
+@query(f"with {RICH} select slug from rich where redirect_to is null")
+def live_nodes(v):
+    return TB.live(rich(v)).select("slug")
+
+
+@query(f"with {RICH} select slug, display_label, description, redirect_to from rich where slug = 'p7'")
+def node_detail(v):
+    return TB.get_node(rich(v), "concept", "p7").select("slug", "display_label", "description", "redirect_to")
+
+
+@query(f"with {RICH} select slug, display_label || chr(10) || array_to_string(aliases, ', ') || chr(10) || 'd' as text from rich")
+def node_texts(v):
+    return rich(v).select("slug", SE.node_text(F.col("display_label"), F.col("aliases"), F.col("description"), F.col("note")).alias("text"))
+
+
+@query(f"""with {RICH} select a.slug as slug_a, b.slug as slug_b, case when coalesce(a.created_at, '') <= coalesce(b.created_at, '') then a.slug else b.slug end as survivor
+  from rich a join rich b on substr(b.slug, 2)::int = substr(a.slug, 2)::int + 1""")
+def merge_survivor(v):
+    n = rich(v).select("slug", "created_at", F.substring("slug", 2, 20).cast("int").alias("i"))
+    b = n.select(F.col("slug").alias("slug_b"), F.col("created_at").alias("created_b"), (F.col("i") - 1).alias("i"))
+    return n.withColumnRenamed("slug", "slug_a").join(b, "i").select("slug_a", "slug_b", R.survivor_of(F.col("created_at"), F.col("created_b"), F.col("slug_a"), F.col("slug_b")).alias("survivor"))
+
+
+@query(f"""{BASE}, dr as (select paper_slug, from_type, from_slug as from_id, to_type, to_slug as to_id, rel_type as type, rationale from relations_raw),
+  ids as (select distinct paper_slug, from_type as node_type, from_slug as id, 'n-' || from_slug as slug from relations_raw union select distinct paper_slug, to_type, to_slug, 'n-' || to_slug from relations_raw where to_slug not like '%7'),
+  j as (select f.slug as from_slug, t.slug as to_slug, dr.*, type in (select rel_type from relation_types where "symmetric") and (from_type > to_type or (from_type = to_type and f.slug > t.slug)) as swap from dr
+    join ids f on f.paper_slug = dr.paper_slug and f.node_type = dr.from_type and f.id = dr.from_id join ids t on t.paper_slug = dr.paper_slug and t.node_type = dr.to_type and t.id = dr.to_id where type <> 'SOLVES')
+  select case when swap then to_type else from_type end as from_type, case when swap then to_slug else from_slug end as from_slug, type as rel_type, case when swap then from_type else to_type end as to_type,
+    case when swap then from_slug else to_slug end as to_slug, rationale, paper_slug from j""")
+def ingest_relations(v):
+    r = v.relations_raw
+    drawn = r.select("paper_slug", "from_type", F.col("from_slug").alias("from_id"), "to_type", F.col("to_slug").alias("to_id"), F.col("rel_type").alias("type"), "rationale")
+    end = lambda d, s: d.select("paper_slug", F.col(f"{s}_type").alias("node_type"), F.col(f"{s}_slug").alias("id"), F.concat(F.lit("n-"), f"{s}_slug").alias("slug"))
+    ids = end(r, "from").union(end(r.filter("to_slug not like '%7'"), "to")).distinct()
+    return ST.ingest_relations(drawn, ids, v.relation_types.filter("rel_type <> 'SOLVES'"))
+
+
+@query(f"{BASE} select * from relations_raw where not (rel_type = 'USES' and from_type = 'entity')")
+def remove_relation(v):
+    return ST.remove_relation(v.relations_raw, v.relations_raw.filter("rel_type = 'USES' and from_type = 'entity'"))
+
+
+@query(f"{BASE} select * from relations_raw where from_type = 'entity' and from_slug = 's1'")
+def node_relations(v):
+    return TB.relations_of(v.relations_raw, "entity", "s1")
+
+
+@query("select 'concept' as type, 'p' || p_partkey as slug_a, case when p_partkey % 4 < 2 then 'pending' end as status from part where p_partkey % 4 < 3 and p_partkey % 4 <> 2 or p_partkey % 4 = 2")
+def pending_candidates(v):
+    p = F.col("p_partkey")
+    queue = v.part.select(F.lit("concept").alias("type"), F.concat(F.lit("p"), p).alias("slug_a"), F.when(p % 4 < 2, "pending").when(p % 4 == 3, "rejected").alias("status"))
+    return TB.candidates(queue)
+
+
+@query(f"""{NODES}, tg as (select 'o' || o_orderkey as name from orders union all select upper(n_name) from nation union all select replace(p_name, ' ', '_') || ' ' || p_partkey from part union all select 'nothing like it'),
+  c as (select {NORM.format('display_label')} as key, min(slug) as slug from concepts group by 1), e as (select {NORM.format('display_label')} as key, min(slug) as slug from entities group by 1)
+  select distinct name, case when p.slug is not null then 'note' when c.slug is not null then 'concept' else 'entity' end as type, coalesce(p.slug, c.slug, e.slug) as slug
+  from (select distinct name from tg) t left join papers p on p.slug = t.name left join c on c.key = {NORM.format('t.name')} left join e on e.key = {NORM.format('t.name')} where coalesce(p.slug, c.slug, e.slug) is not null""")
+def resolve_links(v):
+    t = v.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("name")).union(v.nation.select(F.upper("n_name"))).union(v.part.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(" "), "p_partkey"))).union(v.spark.sql("select 'nothing like it'"))
+    return R.resolve_links(t, v.papers, v.concepts, v.entities)
+
+
+ORACLE_SQL["resolve_links"] = ORACLE_SQL["resolve_links"].replace("replace(p_name, ' ', '_')", "replace(p_name, ' ', '-')")
+
+
+@query(f"{BASE} select folder_id, paper_slug, slug as pos, title from folder_papers join papers on slug = paper_slug")
+def folder_members(v):
+    return SC.folder_members(v.folder_papers.withColumn("pos", F.col("paper_slug")), v.papers).select("folder_id", "paper_slug", "pos", "title")
+
+
+@query(f"{BASE} select id, name, case when id = 'f4' then 'b2' else brain_id end as brain_id from folders")
+def set_folder_brain(v):
+    return SC.set_folder_brain(v.folders, "f4", "b2").select("id", "name", "brain_id")
+
+
+@query(f"{BASE} select 'folder' as kind, id as item from folders where id <> 'f3' union all select 'paper', paper_slug from folder_papers where folder_id <> 'f3'")
+def delete_folder(v):
+    f, m = SC.delete_folder(v.folders, v.folder_papers, "f3")
+    return f.select(F.lit("folder").alias("kind"), F.col("id").alias("item")).unionByName(m.select(F.lit("paper").alias("kind"), F.col("paper_slug").alias("item")))
+
+
+@query(f"{BASE} select id, name, brain_id from folders union all select 'f99', 'Fresh', null")
+def create_folder(v):
+    return SC.create(v.folders, "f99", " Fresh ", "2024-01-01").select("id", "name", "brain_id")
+
+
+@query(f"{BASE} select id, case when id = 'b2' then 'Renamed' else name end as name from brains")
+def rename_brain(v):
+    return SC.rename(v.brains, "b2", "Renamed ").select("id", "name")
+
+
+@query(f"{BASE} select folder_id, paper_slug from folder_papers where paper_slug <> 'o1'")
+def remove_paper_from_folders(v):
+    return SC.move_paper(v.folder_papers, "o1", None)
 
 
 @query()
@@ -834,15 +1060,36 @@ def resolve_batch(v):
     return nodes.select("slug", "display_label", F.array_join("aliases", "|").alias("aliases"), F.size("papers").cast("long").alias("n_papers"))
 
 
-@query()
+def extractions(v: Views) -> DataFrame:
+    """What a reader could have drawn from each order: a part as a concept, a supplier as an entity of it, and a relation."""
+    line = lambda n, c, name: v.lineitem.filter(F.col("l_linenumber") == n).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(c).alias(name))
+    d = v.orders.join(line(1, "l_partkey", "p_partkey"), "o_orderkey").join(line(2, "l_suppkey", "s_suppkey"), "o_orderkey").join(v.part.select("p_partkey", "p_name"), "p_partkey").join(v.supplier.select("s_suppkey", "s_name"), "s_suppkey")
+    none = F.lit(None).cast("array<string>")
+    return d.select(
+        F.concat(F.lit("o"), "o_orderkey").alias("paper_slug"), F.concat(F.lit("Order "), "o_orderkey").alias("title"),
+        F.array(F.struct(F.lit("c1").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.upper(F.concat("p_name", F.lit(" "), "p_partkey"))).otherwise(F.concat("p_name", F.lit("-"), "p_partkey")).alias("label"), none.alias("aliases"))).alias("concepts"),
+        F.array(F.struct(F.lit("e1").alias("id"), F.col("s_name").alias("label"), F.lit("c1").alias("concept_id"), none.alias("aliases"))).alias("entities"),
+        F.array(F.struct(F.lit("e1").alias("from_id"), F.lit("entity").alias("from_type"), F.lit("c1").alias("to_id"), F.lit("concept").alias("to_type"), F.when(F.col("o_orderkey") % 3 == 0, "USES").otherwise("COMPARED_TO").alias("type"), F.concat(F.lit("because "), "o_orderkey").alias("rationale"))).alias("relationships"),
+    )
+
+
+@query(f"""with d as (select 'o' || o_orderkey as paper, o_orderkey, replace({NORM.format("p_name || ' ' || p_partkey")}, ' ', '-') as c, replace({NORM.format('s_name')}, ' ', '-') as e from orders
+    join (select l_orderkey, min(l_partkey) as l_partkey from lineitem where l_linenumber = 1 group by 1) l1 on l1.l_orderkey = o_orderkey
+    join (select l_orderkey, min(l_suppkey) as l_suppkey from lineitem where l_linenumber = 2 group by 1) l2 on l2.l_orderkey = o_orderkey join part on p_partkey = l1.l_partkey join supplier on s_suppkey = l2.l_suppkey),
+  m as (select 'concept' as node_type, c as node_slug, paper, null as concept_slug from d union select 'entity', e, paper, c from d),
+  r as (select distinct c, e, case when o_orderkey % 3 = 0 then 'USES' else 'COMPARED_TO' end as t from d),
+  k as (select 'concept' as node_type, c as node_slug, count(*) as n from r group by c union all select 'entity', e, count(*) from r group by e)
+  select m.node_type, m.node_slug, count(distinct paper)::bigint as n_papers, count(distinct concept_slug)::bigint as n_concepts, max(k.n)::bigint as n_relations from m join k using (node_type, node_slug) group by m.node_type, m.node_slug""")
 def stream_ingest(v):
-    """A stream of two extractions, drained into Parquet."""
-    import json
-
+    """A paper for each order, streamed in two batches of files and resolved against the store as it grows."""
     from .streaming import ingest
 
     run = scratch(v.spark, "stream")
-    rows = [{"paper_slug": f"p{i}", "title": f"Paper {i}", "concepts": [{"id": "c1", "label": "Self-Attention"}], "entities": [{"id": "e1", "label": f"Model {i}", "concept_id": "c1"}]} for i in (1, 2)]
-    v.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").write.text(f"{run}/inbox")
-    ingest.start(v.spark, f"{run}/inbox", f"{run}/out", f"{run}/state").awaitTermination()
-    return v.spark.read.parquet(f"{run}/out/mentions").drop("batch")
+    extractions(v).select(F.to_json(F.struct("*")).alias("value")).repartition(4).write.text(f"{run}/inbox")
+    ingest.start(v.spark, f"{run}/inbox", f"{run}/store", f"{run}/state", files_per_batch=2).awaitTermination()
+    after = ingest.version(v.spark, f"{run}/store", 2)
+    r = after["relations"]
+    ends = r.select(F.col("from_type").alias("node_type"), F.col("from_slug").alias("node_slug")).unionAll(r.select("to_type", "to_slug")).groupBy("node_type", "node_slug").agg(F.count("*").alias("n_relations"))
+    m = after["mentions"].groupBy("node_type", "node_slug").agg(F.count_distinct("paper_slug").alias("n_papers"), F.count_distinct("concept_slug").alias("n_concepts"))
+    nodes = after["nodes"].select("node_type", F.col("slug").alias("node_slug"))
+    return nodes.join(m, ["node_type", "node_slug"]).join(ends, ["node_type", "node_slug"])

@@ -1,32 +1,27 @@
-"""Streaming ingest of extracted papers: files of JSON lines arrive, each micro-batch adds mentions and relations to Parquet tables."""
+"""Streaming ingest of extracted papers: files of JSON lines arrive, each micro-batch is resolved against the store and makes its next version."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import label_slug, normalize_label
+from ..operators.ingest import TABLES, empty, ingest
 from ..schema import EXTRACTION
+from ..sources.vault import relation_types
 
 
-def extracted_mentions(extractions: DataFrame) -> DataFrame:
-    """(node_type, node_slug, label, paper_slug, paper_title, concept_slug) of concepts and entities; an entity's concept id becomes that concept's slug."""
-    slug = lambda c: label_slug(normalize_label(c))
-    c = extractions.select("paper_slug", "title", F.explode("concepts").alias("x"))
-    c = c.select(F.lit("concept").alias("node_type"), slug(F.col("x.label")).alias("node_slug"), F.col("x.label").alias("label"), "paper_slug", F.col("title").alias("paper_title"), F.lit(None).cast("string").alias("concept_slug"), F.col("x.id").alias("id"))
-    e = extractions.select("paper_slug", "title", F.explode("entities").alias("x"))
-    e = e.select(F.lit("entity").alias("node_type"), slug(F.col("x.label")).alias("node_slug"), F.col("x.label").alias("label"), "paper_slug", F.col("title").alias("paper_title"), F.col("x.concept_id").alias("concept_id"))
-    of = c.select("paper_slug", F.col("id").alias("concept_id"), F.col("node_slug").alias("concept_slug"))
-    e = e.join(of, ["paper_slug", "concept_id"], "left").select("node_type", "node_slug", "label", "paper_slug", "paper_title", "concept_slug")
-    return c.drop("id").unionByName(e).filter("node_slug <> ''")
+def version(spark: SparkSession, path: str, number: int) -> dict[str, DataFrame]:
+    """The store after so many batches."""
+    return {t: spark.read.schema(kind).parquet(f"{path}/v{number}/{t}") for t, kind in TABLES.items()} if number else empty(spark)
 
 
-def start(spark: SparkSession, inbox: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Every batch is written to a folder of its own number, so a batch that is run again after a failure overwrites itself."""
-    stream = spark.readStream.schema(EXTRACTION).json(inbox)
+def start(spark: SparkSession, inbox: str, store: str, checkpoint: str, files_per_batch: int = 1000, types: DataFrame | None = None) -> StreamingQuery:
+    """Batch n reads version n of the store and writes version n + 1, so a batch that is run again after a failure overwrites what it wrote."""
+    stream = spark.readStream.schema(EXTRACTION).option("maxFilesPerTrigger", files_per_batch).json(inbox)
 
     def add(batch: DataFrame, number: int) -> None:
-        extracted_mentions(batch).write.mode("overwrite").parquet(f"{out}/mentions/batch={number}")
+        after = ingest(batch, version(spark, store, number), relation_types(spark) if types is None else types, f"batch {number:09}")
+        for name, table in after.items():
+            table.write.mode("overwrite").parquet(f"{store}/v{number + 1}/{name}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -96,7 +96,8 @@ def test_note_header_and_folders(spark, tmp_path):
 
 
 def test_rendered_note(spark):
-    from latticework import queries as Q
-
-    text = Q.QUERIES["render_notes"](spark, "").first().content
+    d = spark.sql("""select 'One | two' as title, 'short' as tldr, array('why') as motivation, array(struct('a|b' as claim, 'c' as evidence)) as claims,
+      array(struct('c1' as id, 'MoE' as label, 'experts' as description, 'n' as note)) as concepts,
+      array(struct('Switch' as label, 'c1' as concept_id, 'model' as description, 'x' as note), struct('Free' as label, 'zz' as concept_id, 'model' as description, 'y' as note)) as entities, 'few' as limitations""")
+    text = d.select(vault.render_note(*(d[c] for c in d.columns)).alias("content")).first().content
     assert "| 1 | a\\|b | c |" in text and "| [[Switch]] | model | MoE |" in text and "| [[Free]] | model | y |" in text and text.startswith("# One | two\n\n> **TL;DR**: short")
