@@ -16,7 +16,8 @@ from .shingles import U, mix
 
 LENGTH = 100
 GRAM = 20
-PIECE = (1 << 20) - LENGTH
+#: Bytes that are hashed at once: few enough for a processor's cache.
+PIECE = (1 << 16) - LENGTH
 _rng = np.random.default_rng(1700)
 VALUE = _rng.integers(1, 1 << 63, 256, dtype=U)
 BASE = 0x9E3779B97F4A7C15

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -13,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_MADE: list[tuple[SparkSession, str]] = []
+from ..storage import freed, scratch, shared_dir, stored
+
+__all__ = ["freed", "fresh", "get_bucketed", "put_bucketed", "scratch", "shared_dir", "slices", "small_batches", "stored", "table", "text_udf", "tidied", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,59 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests in local mode) a temporary folder of our own is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="latticework-")
-    return _OWN[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        sc = spark.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone; the folder is scratch space
-        pass
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _MADE:
-        if spark.sparkContext._jsc is not None:
-            _remove(spark, path)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/latticework/{label}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
-    return path
-
+def put_bucketed(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Write a table with a file (or a few) for each bucket of a key. The catalog knows it for the time of writing only."""
+    name = f"latticework_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    rows.sparkSession.sql(f"drop table {name}")
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
-
-    Unlike a local checkpoint the files outlive any executor.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def freed(*frames: DataFrame) -> None:
-    """Delete the files of ``stored`` frames that no later plan reads."""
-    for df in frames:
-        for f in df.inputFiles()[:1]:
-            _remove(df.sparkSession, f.rsplit("/", 1)[0])
+def get_bucketed(spark: SparkSession, path: str, columns: str, key: str, buckets: int) -> DataFrame:
+    """A table written by ``put_bucketed``: joins on its key don't shuffle it."""
+    name = f"latticework_{uuid.uuid4().hex}"
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {buckets} buckets location '{path}'")
+    found = spark.table(name)
+    found.schema  # resolved, so that the name isn't needed any more
+    spark.sql(f"drop table {name}")
+    return found
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -92,10 +53,10 @@ SLICE_ROWS = 500
 BATCH_ROWS, BATCH_KEY, BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
-def small_batches() -> None:
-    """Make this session's Arrow batches small, unless its owner has chosen a size."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+def small_batches(spark: SparkSession) -> None:
+    """Make a session's Arrow batches small, unless its owner has chosen a size. Queries and pipeline stages ask for it; whoever calls an operator directly on long texts should set
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` to about 1000, since operators leave the session's settings alone."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
@@ -111,8 +72,6 @@ def tidy() -> None:
 def tidied(batches_to_batches: Callable) -> Callable:
     """The same function over batches, with ``tidy`` after each of its results and at its end."""
 
-    small_batches()
-
     @wraps(batches_to_batches)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in batches_to_batches(batches):
@@ -134,7 +93,6 @@ def text_udf(make, kind: str):
 
     A null text reaches the function as "".
     """
-    small_batches()
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:

@@ -1,34 +1,5 @@
-"""Connected components of an edge table, by Spark alone."""
+"""Connected components of pairs of documents: those of the core."""
 
-from __future__ import annotations
+from ..operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import freed, stored
-
-
-def components(edges: DataFrame, label: str = "cc") -> DataFrame:
-    """``edges``: (a, b) longs. A row for each node that has an edge: (v, comp), comp the least node that it reaches.
-
-    Large-star and small-star steps alternate, each one shuffle with a pre-aggregated minimum, until the edges stop changing;
-    every second step is written to the shared folder, so that a lost executor costs one step. No group is gathered:
-    a hub's neighbours only meet its minimum through a join that adaptive execution can split.
-    """
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{label}-edges")
-    before = None
-    while True:
-        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
-        # large star: every larger neighbour of v, linked to the least of v and its neighbours
-        large = both.filter("b > a").join(low, F.col("a") == F.col("v")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small star: v and its smaller neighbours, linked to the least of them
-        least = large.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
-        small = large.join(least, F.col("a") == F.col("v")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        new = stored(small, label)
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        freed(e)
-        if now == before or now[0] == 0:
-            break
-        e, before = new, now
-    return new.select(F.col("a").alias("v"), F.col("b").alias("comp")).unionAll(new.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct())
+__all__ = ["components"]

@@ -378,4 +378,19 @@ def clean(
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+i as (select distinct coalesce(item_id::varchar, 'null') as item, {_WORDS} as w from benchmark),
+iw as (select item, {WINDOW} as k, array_to_string(w[p:p + {WINDOW - 1}], ' ') as key from (select item, w, unnest(range(1, len(w) - {WINDOW - 2})) as p from i where len(w) >= {WINDOW})
+  union select item, len(w), array_to_string(w, ' ') from i where len(w) between 1 and {WINDOW - 1}),
+dw as (select r, k, p, array_to_string(w[p:p + k - 1], ' ') as key from (select r, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from iw) where len(w) >= k)),
+h as (select r, p, k, item from dw join iw using (k, key)),
+n as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + k)) as q from (select distinct r, p, k from h)) group by r),
+s as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items from (select distinct r, item from h) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, coalesce(items, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (r) left join s using (r)
+"""

@@ -46,7 +46,12 @@ def scratch_file():
 
 def place(n: int, kind, memory: int) -> np.ndarray:
     """An array of zeros: in memory if it is short, else a mapped file."""
-    return np.zeros(n, kind) if n <= memory else np.memmap(scratch_file(), kind, "w+", shape=(n,))
+    return np.zeros(n, kind) if n <= memory else mapped(scratch_file(), kind, n, "w+")
+
+
+def mapped(file, kind, n: int, mode: str) -> np.ndarray:
+    """A file as a plain array."""
+    return np.memmap(file, kind, mode, shape=(n,)).view(np.ndarray)
 
 
 class Rows:
@@ -68,7 +73,7 @@ class Rows:
         if self.disk is None:
             return np.concatenate(self.parts) if self.parts else np.zeros(0, self.kind)
         self.disk.flush()
-        return np.memmap(self.disk, self.kind, "r", shape=(self.n,))
+        return mapped(self.disk, self.kind, self.n, "r")
 
 
 class Queue:
@@ -133,7 +138,7 @@ class Runs:
     FEW = 16
 
     def __init__(self, budget: int = MEMORY):
-        self.budget, self.old, self.young, self.held, self.spilled = budget, [], [], 0, 0
+        self.budget, self.disk, self.old, self.young, self.held, self.spilled = budget, [], [], [], 0, 0
 
     def push(self, key: np.ndarray, *columns: np.ndarray) -> None:
         """``key``: sorted."""
@@ -144,15 +149,14 @@ class Runs:
                 self.old.append(self.merged(self.young))
                 self.young = []
             if self.held > self.budget:
-                in_memory = [x for x in self.old if not isinstance(x[1][0], np.memmap)] + self.young
-                start, columns = self.merged(in_memory)
+                _, columns = self.merged(self.old + self.young)
                 self.spilled += len(columns[0])
                 on_disk = []
                 for c in columns:
                     on_disk.append(place(len(c), c.dtype, 0))
                     on_disk[-1][:] = c
-                self.old = [*(x for x in self.old if isinstance(x[1][0], np.memmap)), [0, tuple(on_disk)]]
-                self.young, self.held = [], 0
+                self.disk.append([0, tuple(on_disk)])
+                self.old, self.young, self.held = [], [], 0
 
     @staticmethod
     def merged(runs: list) -> list:
@@ -163,7 +167,7 @@ class Runs:
     def upto(self, key: int, remove: bool, most: int | None = None) -> tuple[np.ndarray, ...] | None:
         """Entries of no greater key, in order of arrival; with ``most`` about so many of them."""
         parts, n = [], 0
-        for run in (*self.old, *self.young):
+        for run in (*self.disk, *self.old, *self.young):
             start, columns = run
             end = int(np.searchsorted(columns[0], key, side="right"))
             if end > start and (most is None or n < most):
@@ -171,9 +175,9 @@ class Runs:
                 n += end - start
                 if remove:
                     run[0] = end
-                    self.held -= 0 if isinstance(columns[0], np.memmap) else end - start
         if remove:
-            self.old, self.young = ([x for x in runs if x[0] < len(x[1][0])] for runs in (self.old, self.young))
+            self.disk, self.old, self.young = ([x for x in runs if x[0] < len(x[1][0])] for runs in (self.disk, self.old, self.young))
+            self.held = sum(len(x[1][0]) - x[0] for x in (*self.old, *self.young))
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else None
 
 

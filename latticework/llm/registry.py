@@ -2,7 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from . import bpe, chat, classify, decontaminate, html, quality, secrets, similar, substrings, warc
+from .common import small_batches
+
+
+
+def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query in a session whose Arrow batches suit whole texts."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,4 +35,5 @@ QUERIES = {
     "op9_quality_classifier": classify.op9_quality_classifier,
     "op10_jaccard_join": similar.op10_jaccard_join,
 }
-ORACLE_SQL = {"op3_warc": warc.SQL, "op6_chat_format": chat.SQL}
+QUERIES = {name: prepared(query) for name, query in QUERIES.items()}
+ORACLE_SQL = {"op2_decontaminate": decontaminate.SQL, "op3_warc": warc.SQL, "op6_chat_format": chat.SQL}

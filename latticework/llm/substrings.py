@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .anchors import GRAM, LENGTH, PIECE, Common, grams, spans, stretches, sums
-from .common import slices, stored, table, tidied
+from .common import get_bucketed, put_bucketed, scratch, slices, stored, table, tidied
 from .induced import MEMORY, NONE, Rows, Text, pieces, place, suffixes
 from .shingles import U, mix
 
@@ -357,6 +357,14 @@ def numbered(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return stored(rows.sort("id", "text").withColumn("v", F.monotonically_increasing_id()).select("v", "id", "text"), "numbered")
 
 
+def bucketed(rows: DataFrame) -> DataFrame:
+    """The texts, dealt by ``v`` once: the two joins that follow read them where they lie."""
+    spark = rows.sparkSession
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, "texts")
+    put_bucketed(rows.select("v", "id", "text").repartition(parts, "v"), path, "v", parts)
+    return get_bucketed(spark, path, "v bigint, id bigint, text string", "v", parts)
+
+
 def repeats(rows: DataFrame) -> DataFrame:
     """``v``, ``a``, ``n``: runs of n windows from byte a of a document of which each also starts earlier."""
     spark = rows.sparkSession
@@ -386,7 +394,7 @@ def repeats(rows: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row per document: ``FIELDS``."""
-    rows = numbered(docs, text, id_col)
+    rows = bucketed(numbered(docs, text, id_col))
     found = repeats(rows).groupBy("v").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
     return rows.join(found, "v", "left").select("id", "text", "spans").mapInArrow(tidied(digest_rows), FIELDS).withColumnRenamed("doc_id", id_col)
 

@@ -18,13 +18,12 @@ empty archives; extra columns are dropped.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
+from .common import get_bucketed, put_bucketed, scratch, stored, table
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -72,27 +71,6 @@ class Archive:
         return f"{self.path}/payloads"
 
 
-def put(rows: DataFrame, archive: Archive, path: str) -> None:
-    """Write a table of an archive, a file for each bucket of addresses. The catalog knows it for the time of writing only."""
-    name = table_name(path)
-    rows.write.bucketBy(archive.buckets, "address").sortBy("address").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
-    rows.sparkSession.sql(f"drop table {name}")
-
-
-def get(spark: SparkSession, archive: Archive, path: str, columns: str) -> DataFrame:
-    """A table of an archive, read by buckets."""
-    name = table_name(path)
-    spark.sql(f"create table {name} ({columns}) using parquet clustered by (address) sorted by (address) into {archive.buckets} buckets location '{path}'")
-    found = spark.table(name)
-    found.schema  # resolved, so that the name isn't needed any more
-    spark.sql(f"drop table {name}")
-    return found
-
-
-def table_name(path: str) -> str:
-    return f"latticework_warc_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}_{uuid.uuid4().hex}"
-
-
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> Archive:
     """Write a record for each row."""
     archive = Archive(path, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -101,7 +79,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url"
     rows = rows.select("id", "url", "payload", F.sha2("payload", 256).alias("address"))
 
     once = rows.select("address", "payload").groupBy("address").agg(F.first("payload").alias("payload"))
-    put(once, archive, archive.payloads)
+    put_bucketed(once, archive.payloads, "address", archive.buckets)
 
     facts = rows.select("id", "url", "address", base32(F.sha1("payload")).alias("sha1"), F.octet_length("payload").alias("size"))
     facts = facts.groupBy("id", "url", "address", "sha1", "size").count()
@@ -131,19 +109,19 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url"
         F.lit("\r\n"),
     )
     out = records.select("address", F.encode(header, "UTF-8").alias("header"), F.encode(http, "UTF-8").alias("http"))
-    put(out, archive, archive.headers)
+    put_bucketed(out, archive.headers, "address", archive.buckets)
     return archive
 
 
 def verified(spark: SparkSession, archive: Archive) -> DataFrame:
     """Payloads whose bytes have the digest they are addressed by; any other stops the job."""
-    p = get(spark, archive, archive.payloads, "address string, payload binary")
+    p = get_bucketed(spark, archive.payloads, "address string, payload binary", "address", archive.buckets)
     wrong = F.raise_error(F.concat(F.lit("damaged payload "), F.col("address")))
     return p.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(wrong))
 
 
 def headers(spark: SparkSession, archive: Archive) -> DataFrame:
-    h = get(spark, archive, archive.headers, "address string, header binary, http binary")
+    h = get_bucketed(spark, archive.headers, "address string, header binary, http binary", "address", archive.buckets)
     return h.withColumn("type", field(F.decode("header", "UTF-8"), "WARC-Type"))
 
 
