@@ -68,6 +68,28 @@ def test_fold_of_deltas_edits_regenerations(spark):
     assert got[0] == [("user", "hi there"), ("assistant", "good day"), ("", "")] and got[1] == ["good day"]
 
 
+def test_late_events_and_events_without_an_id(spark):
+    rows = [
+        (1, 0, "message", "a", "user", "one"), (1, 1, "delete", "a", "user", None), (1, 2, "delta", "a", "user", "late"), (1, 3, "message", "a", "user", "again"),  # a delete is final
+        (1, 4, "delta", "b", "assistant", "no "), (1, 5, "delta", "b", "assistant", "start"), (1, 6, "edit", "c", "user", "edited first"),
+        (1, 7, "message", None, "user", "same"), (1, 7, "message", None, "user", "same"), (1, 8, "delete", None, "user", "x"),  # events without an id are messages of their own
+        (2, 0, "regenerate", "d", "assistant", "x"), (2, 1, "delta", "d", "assistant", "new"), (3, 0, "delete", "e", "user", None),
+    ]
+    random.Random(2).shuffle(rows)
+    got = turns(events(spark, rows))
+    assert got[1][0] == [("assistant", "no start"), ("user", "edited first"), ("user", "same"), ("user", "same")]
+    assert got[2][0] == [("assistant", "new")] and 3 not in got
+
+
+def test_every_row_of_the_query_folds(spark, tmp_path):
+    rows = [(1, 0, "user", "x"), (1, 0, "user", "x"), (1, None, "assistant", None), (None, 2, None, "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.n_turns for r in chat.op6_chat_format(spark, str(tmp_path)).collect()}
+    assert got == {1: 3, None: 1, -7: 2}
+    plan = chat.op6_chat_format(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" in plan and "Union" not in plan.split("Aggregate")[0]
+
+
 def test_round_trip_of_control_strings(spark):
     rng = random.Random(4)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "\\.", ".", "<", "[", "\n", "n", "é🎉", "a", "s>", "/", "$1"]
@@ -115,6 +137,81 @@ def test_broken_pages(page, want):
     assert html.extract(page, None) == want
 
 
+def page_of(host, i, rng, body="post"):
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta omega kappa sigma".split()) + str(rng.randint(0, 99)) for _ in range(n))
+    article = [words(rng.randint(5, 40)) for _ in range(rng.randint(1, 4))]
+    promo = f"<div class='offer'><p>Buy the {host} magazine now and read more every week</p></div>"
+    side = "".join(f"<p>{words(60)}</p>" for _ in range(3 * (rng.random() < 0.3)))  # longer than the article on some pages
+    html_text = f"<html><body><div class='top'><a href=/>{host}</a></div><div class='{body} n{i}'>{promo}{''.join(f'<p>{a}</p>' for a in article)}</div><div class='extra'>{side}</div></body></html>"
+    return html_text, "\n".join(article)
+
+
+def test_votes_change_pages_and_templates_go(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for host in ("one", "two"):
+        for i in range(30):
+            page, want[len(rows)] = page_of(host, i, rng, "post" if host == "one" else "entry")
+            rows.append((len(rows), f"https://{host}.example/{i}", page))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    assert got == want
+    alone = {i: html.extract(page, None) for i, _, page in rows}
+    assert sum(alone[i] != want[i] for i in want) > 10  # by itself a page often elects its longer side
+
+
+def test_extraction_against_a_plain_parser(spark):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        """Blocks of the article element, by the library's parser."""
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks, self.now = 0, [], ""
+
+        def flush(self):
+            if t := " ".join(self.now.split()):
+                self.blocks.append(t)
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside += 1
+            elif tag == "br":
+                self.now += " "
+            elif tag not in ("b", "i", "a"):
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a"):
+                self.flush()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.now += data
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        words = lambda n: " ".join(rng.choice(["a&amp;b", "x", "<b>bold</b>", "y<i>z</i>", "&eacute;", "w<br>v", "1 &lt; 2", "\n  q"]) for _ in range(n))  # noqa: E731, B023
+        blocks = "".join(rng.choice([f"<p>{words(rng.randint(0, 9))}</p>", f"<h2>{words(2)}</h2>", f"<ul><li>{words(3)}</li><li>{words(2)}</li></ul>", f"<div>{words(4)}</div>"]) for _ in range(rng.randint(1, 6)))
+        rows.append((i, "http://h.example/", f"<html><head><title>t</title></head><body><nav><a href=/>menu</a></nav><article>{blocks}</article><footer>{words(3)}</footer></body></html>"))
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, page in rows:
+        plain = Plain()
+        plain.feed(page)
+        plain.flush()
+        assert got[i] == "\n".join(plain.blocks), page
+
+
+def test_deep_pages_cost_no_more_than_their_length():
+    page = "<div class='a b c d e f'>" * 20_000 + "text"
+    votes, _ = html.votes_of(page)
+    assert len({v[0] for v in votes}) == 20_001 and html.extract(page, votes[0][0]) == "text"
+
+
 def test_consensus_in_spark(spark):
     odd = "<html><body><div class=x><p>" + "promotion " * 30 + "</p></div><div class=post-body><p>short</p></div></body></html>"
     good = "<html><body><div class=post-body><p>" + "long text " * 20 + "</p></div></body></html>"
