@@ -109,7 +109,10 @@ def among(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def visible(nodes: DataFrame, edges: DataFrame, hidden: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without some types. Edges that know the types of their ends are filtered by these; others meet the nodes."""
     kept = nodes.filter(~F.col("type").isin(*hidden))
+    if "source_type" in edges.columns:
+        return kept, edges.filter(~F.col("source_type").isin(*hidden) & ~F.col("target_type").isin(*hidden))
     return kept, among(edges, kept)
 
 

@@ -163,6 +163,11 @@ def node_text(label: Column, aliases: Column, description: Column, note: Column)
     return F.concat_ws("\n", some(label), some(F.array_join(aliases, ", ")), some(description), some(note))
 
 
+def index_text(label: Column, description: Column, note: Column, user_notes: Column) -> Column:
+    """What the full-text index holds of a node."""
+    return F.concat_ws("\n", label, description, note, user_notes)
+
+
 def nested(hits: DataFrame, neighbors: DataFrame, name: str = "neighbors") -> DataFrame:
     """One row for each hit, its neighbours in an array; null where it has none."""
     n = neighbors.groupBy("seed_type", "seed_slug").agg(F.array_sort(F.collect_list(F.struct(*[c for c in neighbors.columns if not c.startswith("seed_")]))).alias(name))

@@ -199,6 +199,13 @@ def creation_conflicts(requests: DataFrame, nodes: DataFrame, force: bool = Fals
     return j.select("label", F.coalesce("same", F.lit(None) if force else F.col("slug")).alias("slug"), kind.alias("conflict"))
 
 
+def with_source_concept(mentions: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests``: node_slug (entity), paper_slug, concept_slug; one for each entity and paper. Mentions of these get the concept."""
+    r = requests.select(F.lit("entity").alias("node_type"), "node_slug", "paper_slug", F.col("concept_slug").alias("__to"))
+    j = mentions.join(r, [*NODE, "paper_slug"], "left")
+    return j.withColumn("concept_slug", F.coalesce("__to", "concept_slug")).select(*mentions.columns)
+
+
 def categories_of(category: Column, categories: Column) -> Column:
     """The list of categories, from the single one of older records where there is no list."""
     none = F.array().cast("array<string>")

@@ -955,6 +955,28 @@ def user_section(v):
     return shown(ST.with_user_notes(rich(v), "concept", "p7", "replaced"))
 
 
+@query(f"with {RICH} select slug, display_label || chr(10) || 'd' || chr(10) || '' || chr(10) || user_notes as text from rich")
+def index_texts(v):
+    return rich(v).select("slug", SE.index_text(F.col("display_label"), F.col("description"), F.col("note"), F.col("user_notes")).alias("text"))
+
+
+@query(f"{BASE} select rel_type, rel_type || ': ' || case rel_type when 'USES' then 'A uses B' else rel_type end as text from relation_types")
+def relation_type_texts(v):
+    return vault.type_texts(v.relation_types, v.spark.sql("select 'USES' as rel_type, 'A uses B' as description"))
+
+
+@query("select p_partkey, case when p_partkey % 3 = 0 then p_type || '|more' when p_partkey % 3 = 1 then p_type else '' end as categories from part")
+def migrate_categories(v):
+    p = F.col("p_partkey")
+    return v.part.select("p_partkey", F.array_join(ST.categories_of(F.when(p % 3 < 2, F.col("p_type")), F.when(p % 3 == 0, F.array("p_type", F.lit("more")))), "|").alias("categories"))
+
+
+@query(f"{NODES}, mm as (select distinct * from mentions) select node_type, node_slug, paper_slug, case when node_type = 'entity' and paper_slug like 'o1%' and node_slug like 's%' then 'moved' else concept_slug end as concept_slug from mm")
+def set_source_concept(v):
+    rq = v.entity_mentions.filter("paper_slug like 'o1%' and node_slug like 's%'").select("node_slug", "paper_slug").distinct().withColumn("concept_slug", F.lit("moved"))
+    return ST.with_source_concept(v.mentions.distinct(), rq)
+
+
 @query(f"with {RICH} select slug from rich where redirect_to is null")
 def live_nodes(v):
     return TB.live(rich(v)).select("slug")

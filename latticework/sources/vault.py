@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,10 @@ from pyspark.sql.types import StringType
 
 from .. import schema as S
 from ..functions.text import body, frontmatter
+from ..operators.tables import described
+
+#: Markers of the generated part of a node file and of the user's section behind it.
+AUTO_MARKER, USER_MARKER = "<!-- generated: do not edit -->", "<!-- user -->"
 
 
 def _to_json(blocks: pa.Array) -> pa.Array:
@@ -85,6 +91,24 @@ def relation_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(S.RELATION_TYPE_SYMMETRY.items()), "rel_type string, symmetric boolean")
 
 
+def read_relation_types(spark: SparkSession, path: str) -> DataFrame:
+    """A vocabulary from a JSON file, ``{"types": {name: {"symmetric": ...}}}``; the default one where the file is missing, broken or empty."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(conf).exists(p):
+        return relation_types(spark)
+    text = spark.read.text(path, wholetext=True)
+    found = text.select(F.from_json("value", "types map<string, struct<symmetric: boolean>>")["types"].alias("t"))
+    rows = found.select(F.explode("t").alias("rel_type", "x")).select("rel_type", F.coalesce("x.symmetric", F.lit(False)).alias("symmetric"))
+    return rows if rows.limit(1).count() else relation_types(spark)
+
+
+def type_texts(types: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """(rel_type, text): what a relation type is embedded by, its name and description."""
+    d = described(types, descriptions)
+    return d.select("rel_type", F.concat("rel_type", F.lit(": "), "description").alias("text"))
+
+
 def members(containers: DataFrame, key: str) -> DataFrame:
     """``paper_slugs`` of folders or brains, one row each in order."""
     return containers.select(F.col("id").alias(key), F.posexplode("paper_slugs").alias("pos", "paper_slug"))
@@ -122,6 +146,49 @@ def render_node(label: Column, node_type: Column, aliases: Column, categories: C
     )
 
 
+def front_matter(**fields: Column) -> Column:
+    """Lines between rules; each value is written as JSON, which is YAML too. Null fields are left out."""
+    lines = (F.concat(F.lit(f"{k}: "), json_of(c)) for k, c in fields.items())
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
+
+
+def json_of(value: Column) -> Column:
+    """JSON text of any value; null stays null."""
+    whole = F.to_json(F.struct(value.alias("v")))
+    return F.when(value.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))  # without {"v": and }
+
+
+def node_file(node_type: Column, slug: Column, label: Column, aliases: Column, categories: Column, sources: Column, description: Column, note: Column, created_at: Column, merged_from: Column, redirect_to: Column, user: Column) -> Column:
+    """A whole node file: front matter, the generated part, and the user's section behind its marker. ``read_nodes`` reads it back."""
+    head = front_matter(slug=slug, type=node_type, display_label=label, aliases=aliases, categories=F.when(node_type == "concept", categories), description=description, note=note, created_at=created_at,
+                        merged_from=merged_from, redirect_to=redirect_to, sources=sources)
+    return F.concat(head, F.lit(f"\n{AUTO_MARKER}\n\n"), render_node(label, node_type, aliases, categories, sources, description, note), F.lit(f"\n\n---\n\n{USER_MARKER}\n"), F.coalesce(user, F.lit("")))
+
+
+def summary_file(payload: Column) -> Column:
+    """What a run has to say about a paper, as indented JSON."""
+    return F.to_json(payload, {"pretty": "true"})
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """``files``: path (below ``root``), content. Each file is written whole by the task that holds its row, to any file system that the workers reach; a task that runs again overwrites its
+    files. Returns the paths; nothing happens before they are asked for."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole = f"{base.rstrip('/')}/{path}"
+                system.create_dir(whole.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(whole) as f:
+                    f.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    return files.select("path", "content").mapInArrow(put, "path string")
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The mirror: both tables rebuilt from the truth."""
     nodes.write.mode("overwrite").parquet(f"{path}/graph_nodes")
@@ -136,6 +203,13 @@ def list_papers(spark: SparkSession, path: str) -> DataFrame:
     return listing.select(slug.alias("slug")).filter("slug <> '' and not startswith(slug, '_')").distinct().orderBy("slug")
 
 
+def papers_by_age(spark: SparkSession, path: str) -> DataFrame:
+    """Slugs of the folders with a note of their name, the oldest note first."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
+    found = listing.select(F.regexp_extract("path", r"/([^/]+)/\1\.md$", 1).alias("slug"), "modificationTime").filter("slug <> ''")
+    return found.orderBy("modificationTime", "slug").select("slug", "modificationTime")
+
+
 def render_note(title: Column, tldr: Column, motivation: Column, claims: Column, concepts: Column, entities: Column, limitations: Column) -> Column:
     """The body of a paper's note: summary, motivation, numbered claims, references (an entity shows its concept), limitations."""
     from ..functions.text import table_cell

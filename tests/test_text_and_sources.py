@@ -101,3 +101,44 @@ def test_rendered_note(spark):
       array(struct('Switch' as label, 'c1' as concept_id, 'model' as description, 'x' as note), struct('Free' as label, 'zz' as concept_id, 'model' as description, 'y' as note)) as entities, 'few' as limitations""")
     text = d.select(vault.render_note(*(d[c] for c in d.columns)).alias("content")).first().content
     assert "| 1 | a\\|b | c |" in text and "| [[Switch]] | model | MoE |" in text and "| [[Free]] | model | y |" in text and text.startswith("# One | two\n\n> **TL;DR**: short")
+
+
+def test_node_files_come_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    kind = "node_type string, slug string, label string, aliases array<string>, categories array<string>, sources array<struct<slug: string, title: string, concept_slug: string>>, description string, note string, created_at string, merged_from array<string>, redirect_to string, user string"
+    rows = [
+        ("concept", "a", 'Quote " and: colon', ["x, y", "[z]"], ["theory"], [("p1", "One", None)], "line\none", None, "2024", [], None, "mine\n"),
+        ("entity", "b", "é 漢", [], [], [(None, None, "a"), ("p2", "Two", "a")], None, "n", None, ["old"], "a", None),
+    ]
+    d = spark.createDataFrame(rows, kind)
+    files = d.select(F.concat("node_type", F.lit("s/"), "slug", F.lit(".md")).alias("path"), vault.node_file(*(F.col(c) for c in ("node_type", "slug", "label", "aliases", "categories", "sources", "description", "note", "created_at", "merged_from", "redirect_to", "user"))).alias("content"))
+    assert sorted(r.path for r in vault.write_files(files, str(tmp_path)).collect()) == ["concepts/a.md", "entitys/b.md"]
+    back = {r.slug: r for r in vault.read_nodes(spark, str(tmp_path)).collect()}
+    for t, slug, label, aliases, categories, sources, description, note, at, merged, redirect, user in rows:
+        r = back[slug]
+        assert (r.node_type, r.display_label, r.aliases, r.description, r.note, r.created_at, r.merged_from, r.redirect_to) == (t, label, aliases, description, note, at, merged, redirect)
+        assert (r.categories or []) == categories and [tuple(s) for s in r.sources] == sources and r.body.endswith(f"{vault.USER_MARKER}\n{user or ''}")
+        assert TB.section(F.lit("x"), "y") is not None
+    m = {tuple(x) for x in vault.mentions_of(vault.read_nodes(spark, str(tmp_path))).select("node_slug", "paper_slug", "concept_slug").collect()}
+    assert m == {("a", "p1", None), ("b", None, "a"), ("b", "p2", "a")}
+    summary = spark.sql("select struct(1 as cost, 'é' as t) as p").select(F.lit("s/s.summary.json").alias("path"), vault.summary_file(F.col("p")).alias("content"))
+    vault.write_files(summary, f"file://{tmp_path}").collect()
+    assert json.loads((tmp_path / "s" / "s.summary.json").read_text()) == {"cost": 1, "t": "é"}
+
+
+def test_vocabulary_from_a_file_and_papers_by_age(spark, tmp_path):
+    import os
+
+    (tmp_path / "types.json").write_text('{\n "types": {"EATS": {"symmetric": false}, "LIKES": {"symmetric": true}, "ODD": {}}}')
+    (tmp_path / "broken.json").write_text("{")
+    got = {tuple(r) for r in vault.read_relation_types(spark, f"{tmp_path}/types.json").collect()}
+    assert got == {("EATS", False), ("LIKES", True), ("ODD", False)}
+    for name in ("broken.json", "absent.json"):
+        assert vault.read_relation_types(spark, f"{tmp_path}/{name}").count() == len(schema.RELATION_TYPE_SYMMETRY)
+    for i, slug in enumerate(("late", "early")):
+        (tmp_path / "notes" / slug).mkdir(parents=True)
+        note = tmp_path / "notes" / slug / f"{slug}.md"
+        note.write_text("x")
+        os.utime(note, (2_000_000_000 - i * 1000,) * 2)
+    assert [r.slug for r in vault.papers_by_age(spark, f"{tmp_path}/notes").collect()] == ["early", "late"]
