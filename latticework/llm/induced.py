@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Entries (of 9 bytes for a text of bytes) that a queue holds in memory, and that an array may have to be kept there.
-MEMORY = 100_000
+MEMORY = 200_000
 #: A row of names is sorted in memory if it has at most so many times that; its ranks take 8 bytes an entry a few times.
 BASE = 8
 #: Symbols from which on buckets are swept in blocks.
