@@ -289,3 +289,16 @@ def test_class_edges(spark, odd_docs, no_docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "7", "8", "9", "None", "None"]
     assert similar.classes(odd_docs).count() == 8
     assert similar.classes(no_docs).count() == 0 and similar.one_of_each(no_docs).count() == 0
+
+
+def test_heavy_groups_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HEAVY_LEAST", 5)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i // 3}" if i % 5 else None) for i in range(60)], "v long, k string")
+    counts = rows.filter("k is not null").groupBy("k").count().withColumnRenamed("count", "rows")
+    facts = counts.filter("k <> 'k0'").withColumn("c", counts["rows"] * 10)
+    got = sorted(map(tuple, similar.attached(rows, facts, "k", "rows", 60).select("v", "k", "c").collect()))
+    want = sorted(map(tuple, rows.join(facts, "k", "left").select("v", "k", "c").collect()))
+    assert got == want and len(got) == 60
+    docs = spark.createDataFrame([(i, "same words for all of these rows here" if i < 20 else f"row {i} has words of its own here") for i in range(40)], "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in similar.classes(docs).collect()}
+    assert out == {i: 0 if i < 20 else i for i in range(40)}
