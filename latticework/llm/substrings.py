@@ -39,9 +39,9 @@ from .induced import MEMORY, NONE, Rows, Text, pieces, place, suffixes
 from .shingles import U, mix
 
 #: Bytes that are sorted together, bytes of open stretches in a task, and bytes of which windows with a hash of their own are left out together.
-SHARD_BYTES, TASK_BYTES, SIEVE_BYTES = 1_000_000, 4_000_000, 2_000_000
+SHARD_BYTES, TASK_BYTES, SIEVE_BYTES = 2_000_000, 4_000_000, 2_000_000
 #: Surroundings in a batch that make an anchor hot, and most k-grams in the common class, those of highest count. Any choice gives right results; 1.6 MB are sent to each worker.
-HOT_LEAST, COMMON_MOST = 24, 100_000
+HOT_LEAST, COMMON_MOST = 64, 100_000
 BATCH_BYTES = 16_000_000
 #: Rows of stretches: hash of the anchor, of all that the stretch holds, document, and place and number of windows in one number, negative if the windows are known to be repeats.
 COLUMNS, ROW = ["h", "c", "v", "at"], "h long, c long, v long, at long"
