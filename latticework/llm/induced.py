@@ -10,7 +10,7 @@ induces, its type and its bucket, so a sweep reads the text only where a tuple's
 one after the other into a bucket is 1 more than the least common prefix between their sources, a range minimum over the entries swept.
 
 LMS suffixes are sorted by recursion: LMS substrings are sorted by the same two sweeps and named by comparing their symbols, and the row
-of names is sorted by the same induction, until it has at most ``BASE`` times ``memory`` entries; then ranks are doubled. Order and common prefixes are exact up to
+of names is sorted by the same induction, until it has at most ``BASE`` times ``memory`` entries; then ranks of several names together are sorted. Order and common prefixes are exact up to
 ``cap`` symbols; beyond, order is arbitrary.
 
 Everything as long as the text (text, LMS suffixes, names, L suffixes between the sweeps) is an array in memory up to ``memory`` entries and a mapped file
@@ -507,20 +507,24 @@ def named(text: Text, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, i
     return out, name + 1
 
 
-def doubled(names: np.ndarray, cap: int) -> np.ndarray:
-    """Order of the suffixes of a row of names by their first ``cap`` ones, in memory."""
+def multiplied(names: np.ndarray, cap: int) -> np.ndarray:
+    """Order of the suffixes of a row of names by their first ``cap`` ones, in memory: ranks of so many names as fit into 63 bits, then of so many such ranks, until they reach."""
     n, reach = len(names), 1
-    names = names.astype(np.int64) + 1
-    order = np.argsort(names)
-    while reach < cap and names.max() < n:
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(0, n - reach)] = names[reach:]
-        key = names * (n + 1) + nxt
+    names = names.astype(np.int64) + 1  # 0 stands for the end
+    bits = n.bit_length()
+    at_once = max(2, 63 // bits)
+    order = None
+    while order is None or (reach < cap and names.max() < n):
+        k = min(at_once, -(-cap // reach)) if cap > 1 else 1
+        key = names.copy()
+        for j in range(1, k):
+            key <<= bits
+            key[: max(0, n - j * reach)] |= names[j * reach :]
         order = np.argsort(key)  # equal ones get one rank, in whatever order they come
         sorted_key = key[order]
         names = np.empty(n, np.int64)
         names[order] = np.cumsum(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
-        reach *= 2
+        reach *= k
     return order
 
 
@@ -550,7 +554,7 @@ def suffixes(text: Text, spilled: list[int], prefixed: bool = True, depth: list[
         names, many = named(text, lms, order)
         if many < len(lms):
             if len(names) <= BASE * text.memory:
-                ranks = doubled(names, text.cap // 2 + 1)
+                ranks = multiplied(names, text.cap // 2 + 1)
             else:
                 if depth is not None:
                     depth[0] += 1
