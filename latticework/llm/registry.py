@@ -7,11 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classify, decontaminate, html, quality, secrets, similar, substrings, warc
+from . import bpe, chat, classify, decontaminate, html, periodic, quality, repair, secrets, similar, substrings, token_counts, warc
 from .common import small_batches
 
 
-
 def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query in a session whose Arrow batches suit whole texts."""
 
@@ -34,6 +33,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_classifier": classify.op9_quality_classifier,
     "op10_jaccard_join": similar.op10_jaccard_join,
+    "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
 QUERIES = {name: prepared(query) for name, query in QUERIES.items()}
-ORACLE_SQL = {"op2_decontaminate": decontaminate.SQL, "op3_warc": warc.SQL, "op6_chat_format": chat.SQL}
+ORACLE_SQL = {"op2_decontaminate": decontaminate.SQL, "op3_warc": warc.SQL, "op6_chat_format": chat.SQL, "op11_conversation_repair": repair.SQL}
