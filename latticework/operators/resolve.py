@@ -202,9 +202,9 @@ class Resolver:
                 self.blocks.setdefault(block, []).append(key)
         self.owners.setdefault(key, set()).add(slug)
 
-    def know(self, slug: str, label: str, aliases: list[str], at: str | None, papers: list[str]) -> None:
+    def know(self, slug: str, label: str, aliases: list[str], at: str | None, papers: list[str], **fields) -> None:
         """A node that was there before."""
-        self.nodes[slug] = {"slug": slug, "display_label": label, "aliases": list(aliases), "sources": {p: {} for p in papers}, "created_at": at}
+        self.nodes[slug] = {"slug": slug, "display_label": label, "aliases": list(aliases), "sources": {p: {} for p in papers}, "created_at": at, **fields}
         for k in dict.fromkeys(label_key(x) for x in [label, *aliases]):
             self.add(k, slug)
 
@@ -234,87 +234,154 @@ class Resolver:
         return first["slug"], found
 
 
-NODE = "slug string, display_label string, aliases array<string>, created_at string, papers array<string>"
+TEXTS = "description string, note string, categories array<string>"
+NODE = f"slug string, display_label string, aliases array<string>, created_at string, papers array<string>, {TEXTS}"
 ASSIGNED = "arrival string, assigned string"
 CANDIDATE = "type string, slug_a string, slug_b string, via_alias string, detected_in_paper string, detected_at string"
+#: What tells rows of the resolver apart: their component, and the arrival that made a node.
+WHERE = "node_type string, comp string, made string"
+TYPES = ("concept", "entity")
 
 
-def resolve_sorted(node_type: str):
-    """Rows of known nodes and ``arrivals`` with comp, by comp, known ones first, and seq. Rows of nodes, candidates and assignments (arrival, assigned); only one component's nodes
+def names_of(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+_ROWS = pa.schema([(c.split()[0], pa.list_(pa.string()) if "array" in c else pa.string()) for c in f"{NODE}, {CANDIDATE}, {ASSIGNED}, {WHERE}".split(", ")])
+
+
+def resolve_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of known nodes and arrivals with node_type and comp, by comp, known ones first, and seq. Rows of nodes, candidates and assignments (arrival, assigned); only one component's nodes
     are held at a time."""
-    strings, lists = pa.string(), pa.list_(pa.string())
-    schema = pa.schema([("slug", strings), ("display_label", strings), ("aliases", lists), ("created_at", strings), ("papers", lists)] + [(c.split()[0], strings) for c in f"{CANDIDATE}, {ASSIGNED}".split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, queue, before, out = Resolver(node_type), {}, None, []
-
-        def finished() -> list[dict]:
-            nodes = [{**n, "papers": list(n["sources"])} for n in r.nodes.values()]
-            return [{c: row.get(c) for c in schema.names} for row in [*nodes, *queue.values()]]
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["comp"] != before:
-                    out += finished()
-                    r, queue, before = Resolver(node_type), {}, row["comp"]
-                    if len(out) >= 1000:
-                        yield pa.RecordBatch.from_pylist(out, schema)
-                        out = []
-                if row["known"] is not None:
-                    r.know(row["known"], row["label"], row["aliases"] or [], row["at"], row["papers"] or [])
-                    continue
-                slug, found = r.resolve(row["label"], row["aliases"] or [], row["paper_slug"], row["paper_title"], row["at"])
-                out.append({**dict.fromkeys(schema.names), "arrival": str(row["seq"]), "assigned": slug})
-                for c in found:
-                    queue.setdefault(frozenset((c["slug_a"], c["slug_b"])), c)
-        out += finished()
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return run
+    r, queue, before, out, texts = Resolver(""), {}, None, [], names_of(TEXTS)
+
+    def finished() -> list[dict]:
+        nodes = [{**n, "papers": list(n["sources"])} for n in r.nodes.values()]
+        return [{c: row.get(c) for c in _ROWS.names} | {"comp": before, "node_type": r.node_type} for row in [*nodes, *queue.values()]]
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["comp"] != before or row["node_type"] != r.node_type:
+                out += finished()
+                r, queue, before = Resolver(row["node_type"]), {}, row["comp"]
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_pylist(out, _ROWS)
+                    out = []
+            fields = {c: row[c] for c in texts}
+            if row["known"] is not None:
+                r.know(row["known"], row["label"], row["aliases"] or [], row["at"], row["papers"] or [], **fields)
+                continue
+            slug, found = r.resolve(row["label"], row["aliases"] or [], row["paper_slug"], row["paper_title"], row["at"], made=str(row["seq"]), **fields)
+            out.append({**dict.fromkeys(_ROWS.names), "arrival": str(row["seq"]), "assigned": slug, "comp": before, "node_type": r.node_type})
+            for c in found:
+                queue.setdefault(frozenset((c["slug_a"], c["slug_b"])), c)
+    out += finished()
+    if out:
+        yield pa.RecordBatch.from_pylist(out, _ROWS)
+
+
+def with_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` with null columns of ``TEXTS`` where it lacks them."""
+    return rows.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in TEXTS.split(", ") if c.split()[0] not in rows.columns})
+
+
+def free_slugs(made: DataFrame, taken: DataFrame) -> DataFrame:
+    """``made``: node_type, comp, slug, created_at, made of new nodes; ``taken``: node_type, slug. New slugs of those whose slug another node has, (comp, slug, free): the first of slug-2, slug-3, ... that no
+    node has, in order of creation. Of several new nodes with one slug the first keeps it, if it is free at all."""
+    own = ["node_type", "slug"]
+    nth = F.row_number().over(Window.partitionBy(*own).orderBy("created_at", "made", "comp"))
+    ranked = made.withColumn("n", nth).join(taken.select(*own, F.lit(1).alias("old")).distinct(), own, "left")
+    late = cut(ranked.withColumn("n", F.col("n") - 1 + F.coalesce("old", F.lit(0))).filter("n > 0").select(*own, "comp", "n"))
+    parts = lambda i: F.regexp_extract("slug", r"^(.*)-(\d{1,9})$", i)
+    numbered = taken.select(*own).unionByName(made.select(*own)).select("node_type", parts(1).alias("slug"), parts(2).try_cast("int").alias("number"))
+    used = numbered.join(late.select(*own).distinct(), own).distinct()
+    room = late.groupBy(*own).agg(F.max("n").alias("most")).join(used.groupBy(*own).agg(F.count("*").alias("used")), own, "left")
+    room = room.select(*own, F.explode(F.sequence(F.lit(2), (1 + F.col("most") + F.coalesce("used", F.lit(0))).cast("int"))).alias("number")).join(used, [*own, "number"], "left_anti")
+    room = room.withColumn("n", F.row_number().over(Window.partitionBy(*own).orderBy("number")))
+    return late.join(room, [*own, "n"]).select("comp", "slug", F.concat_ws("-", "slug", F.col("number").cast("string")).alias("free"))
+
+
+def found_pairs(come: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(a, b): keys that match, of arrivals (key) among each other and with names of known nodes, by the band join."""
+    come = cut(come.withColumn("sig", M.signature(F.col("key"))))
+    pairs = match_pairs(come)
+    if known is not None:
+        there = names(known).select("key").distinct().withColumn("sig", M.signature(F.col("key")))
+        pairs = pairs.unionByName(match_two_sides(come, there).select(F.col("p").alias("a"), F.col("n").alias("b")))
+    return cut(pairs)
 
 
-def resolve_all(arrivals: DataFrame, node_type: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``arrivals``: seq (any type that sorts), label, aliases, paper_slug, paper_title, at; ``known``: slug, display_label, aliases, created_at, papers of the nodes there are. Nodes (known ones that
-    nothing arrives at are left as they are), candidates, and the node of each arrival (arrival: seq as text, assigned).
+def resolve_typed(arrivals: DataFrame, known: DataFrame | None = None, pairs: DataFrame | None = None, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``arrivals``: node_type, seq (any type that sorts), label, aliases, paper_slug, paper_title, at, and the columns of ``TEXTS`` if there are any; ``known``: node_type, slug, display_label, aliases, created_at, papers
+    (and texts) of the nodes there are. Nodes (known ones that nothing arrives at are left as they are), candidates, and the node of each arrival (arrival: seq as text, assigned); node_type in each.
 
     Arrivals whose names are in different components of the match graph (names of one arrival or node are tied) never meet, so each component is resolved by itself, in order, on the
-    workers. Of the known nodes only those take part that a name which arrives matches, found by the band join of all lookups."""
-    none = F.lit(None)
-    a = arrivals.select("seq", "label", "aliases", "paper_slug", "paper_title", "at", none.cast("string").alias("known"), none.cast("array<string>").alias("papers"))
+    workers. Of the known nodes only those take part that a name which arrives matches. ``pairs`` (node_type, a, b) are the keys that match, of arrivals among each other and with known names, where an index has them; else
+    they are found by the band join of all lookups. New slugs differ from all known ones and from ``taken`` (node_type, slug; of redirects, say)."""
+    none, texts = F.lit(None), names_of(TEXTS)
+    columns = ["node_type", "seq", "label", "aliases", "paper_slug", "paper_title", "at", "known", "papers", *texts]
+    a = with_texts(arrivals).withColumns({"known": none.cast("string"), "papers": none.cast("array<string>")}).select(*columns)
+    come = typed_keys(a)
+    if pairs is None:
+        one = lambda df, t: df.filter(F.col("node_type") == t)
+        for t in TYPES:
+            mine = found_pairs(one(come, t).select("key"), None if known is None else one(known, t)).withColumn("node_type", F.lit(t))
+            pairs = mine if pairs is None else pairs.unionByName(mine)
     untouched = None
     if known is not None:
-        k = known.select(F.lit(None).cast(arrivals.schema["seq"].dataType).alias("seq"), F.col("display_label").alias("label"), "aliases", none.cast("string").alias("paper_slug"), none.cast("string").alias("paper_title"),
-                         F.col("created_at").alias("at"), F.col("slug").alias("known"), "papers")
-        mine = names(known)
-        come = cut(keys_of(a).withColumn("sig", M.signature(F.col("key"))))
-        there = mine.select("key").distinct().withColumn("sig", M.signature(F.col("key")))
-        near = match_two_sides(come, there).select(F.col("n").alias("key")).unionByName(come.select("key")).distinct()
-        met = cut(mine.join(near, "key", "left_semi").select(F.col("slug").alias("known")).distinct())
-        untouched = known.join(met.withColumnRenamed("known", "slug"), "slug", "left_anti")
-        a = a.unionByName(k.join(met, "known", "left_semi").select(*a.columns))
-    a = a.withColumn("key", normalize_label(F.col("label")))
-    aliases = a.select("key", F.explode("aliases").alias("alias")).select("key", normalize_label(F.col("alias")).alias("alias")).distinct()
-    keys = cut(a.select("key").union(aliases.select("alias")).distinct())
-    edges = match_pairs(keys.withColumn("sig", M.signature(F.col("key")))).union(aliases.filter("key <> alias").select(F.col("key").alias("a"), F.col("alias").alias("b")))
-    comps = components(edges, keys.select(F.col("key").alias("v")))
-    rows = a.join(comps.withColumnRenamed("v", "key"), "key", "left").drop("key").repartition("comp").sortWithinPartitions("comp", F.col("known").isNull(), "known", "seq")
-    done = cut(rows.mapInArrow(resolve_sorted(node_type), f"{NODE}, {CANDIDATE}, {ASSIGNED}"))
-    names_of = lambda ddl: [c.split()[0] for c in ddl.split(", ")]
-    nodes = done.filter("type is null and arrival is null").select(*names_of(NODE))
+        near = pairs.select("node_type", F.explode(F.array("a", "b")).alias("key")).unionByName(come).distinct()
+        listed = known.select("node_type", "slug", F.explode(F.concat(F.array("display_label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+        met = cut(listed.select("node_type", "slug", normalize_label(F.col("name")).alias("key")).join(near, ["node_type", "key"], "left_semi").select("node_type", "slug").distinct())
+        untouched = known.join(met, ["node_type", "slug"], "left_anti")
+        k = with_texts(known).join(met, ["node_type", "slug"], "left_semi").select("node_type", none.cast(arrivals.schema["seq"].dataType).alias("seq"), F.col("display_label").alias("label"), "aliases",
+            none.cast("string").alias("paper_slug"), none.cast("string").alias("paper_title"), F.col("created_at").alias("at"), F.col("slug").alias("known"), "papers", *texts)
+        a = a.unionByName(k)
+    # a vertex is a type and a key
+    vertex = lambda c: F.concat_ws("|", "node_type", c)
+    a = a.withColumn("v", vertex(normalize_label(F.col("label"))))
+    aliases = a.select("v", "node_type", F.explode("aliases").alias("alias")).select("v", vertex(normalize_label(F.col("alias"))).alias("w")).distinct()
+    edges = pairs.select(vertex("a").alias("a"), vertex("b").alias("b")).union(aliases.filter("v <> w"))
+    comps = components(edges, a.select("v").union(aliases.select("w")).distinct())
+    rows = a.join(comps, "v", "left").drop("v").repartition("comp").sortWithinPartitions("comp", F.col("known").isNull(), "known", "seq")
+    done = cut(rows.mapInArrow(resolve_sorted, f"{NODE}, {CANDIDATE}, {ASSIGNED}, {WHERE}"))
+    made = done.filter("made is not null").select("node_type", "comp", "slug", "created_at", "made")
+    slugs = made.limit(0).select("node_type", "slug")
+    for more in (known, taken):
+        slugs = slugs if more is None else slugs.unionByName(more.select("node_type", "slug"))
+    free = cut(free_slugs(made, slugs))
+    if not free.isEmpty():
+        done = cut(with_free(done, free))
+    nodes = done.filter("type is null and arrival is null").select("node_type", *names_of(NODE))
     if untouched is not None:
-        nodes = nodes.unionByName(untouched.select(*names_of(NODE)))
-    return nodes, done.filter("type is not null").select(*names_of(CANDIDATE)), done.filter("arrival is not null").select(*names_of(ASSIGNED))
+        nodes = nodes.unionByName(with_texts(untouched).select("node_type", *names_of(NODE)))
+    return nodes, done.filter("type is not null").select(*names_of(CANDIDATE)), done.filter("arrival is not null").select("node_type", *names_of(ASSIGNED))
 
 
-def keys_of(arrivals: DataFrame) -> DataFrame:
-    """(key): all names of arrivals."""
+def resolve_all(arrivals: DataFrame, node_type: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``resolve_typed`` for one type, without its column."""
+    t = F.lit(node_type)
+    one = arrivals.withColumn("node_type", t)
+    pairs = found_pairs(typed_keys(one).select("key"), known).withColumn("node_type", t)
+    nodes, found, assigned = resolve_typed(one, None if known is None else known.withColumn("node_type", t), pairs)
+    return nodes.drop("node_type"), found, assigned.drop("node_type")
+
+
+def with_free(done: DataFrame, free: DataFrame) -> DataFrame:
+    """Rows of the resolver with new slugs of a component in place of the taken ones; ``free`` has a row for each, which are few."""
+    for column in ("slug", "slug_a", "slug_b", "assigned"):
+        mine = free.select("comp", F.col("slug").alias(column), "free")
+        done = done.join(mine, ["comp", column], "left").withColumn(column, F.coalesce("free", column)).drop("free")
+    return done
+
+
+def typed_keys(arrivals: DataFrame) -> DataFrame:
+    """(node_type, key): all names of arrivals."""
     listed = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
-    return arrivals.select(F.explode(listed).alias("name")).select(normalize_label(F.col("name")).alias("key")).filter("key <> ''").distinct()
+    return arrivals.select("node_type", F.explode(listed).alias("name")).select("node_type", normalize_label(F.col("name")).alias("key")).filter("key <> ''").distinct()
 
 
 def resolve_batch(spark: SparkSession, arrivals: DataFrame, node_type: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (slug, display_label, aliases, created_at, papers) and candidates of one batch without known nodes."""
+    """Nodes (columns of ``NODE``) and candidates of one batch without known nodes."""
     return resolve_all(arrivals, node_type)[:2]
 
 
@@ -333,8 +400,3 @@ def suffix_pairs(keys: DataFrame) -> DataFrame:
     """(short, long): keys that differ by one more character at the end and not by numbers. One equi-join."""
     long = keys.select(F.col("key").alias("long")).filter(F.length("long") > 1).withColumn("short", F.expr("substring(long, 1, length(long) - 1)"))
     return long.join(keys.select(F.col("key").alias("short")), "short").filter(M.numeric_tokens(F.col("short")) == M.numeric_tokens(F.col("long"))).select("short", "long")
-
-
-def first_hit(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")

@@ -16,18 +16,20 @@ RELATION = ["from_type", "from_slug", "rel_type", "to_type", "to_slug"]
 
 
 def link(mentions: DataFrame, requests: DataFrame) -> DataFrame:
-    """``requests``: node_type, node_slug, paper_slug, paper_title, concept_slug; one for each node and paper. A mention of the paper gets the new concept (null too);
-    without a paper the mention with that concept and no paper is the one. Else a mention is added. New concept links fill paperless entity mentions of the concept."""
-    r = requests.alias("r")
-    m = mentions.alias("m")
-    same_node = (F.col("m.node_type") == F.col("r.node_type")) & (F.col("m.node_slug") == F.col("r.node_slug"))
-    same = F.when(F.col("r.paper_slug").isNotNull(), F.col("m.paper_slug") == F.col("r.paper_slug")).otherwise(
-        F.col("m.paper_slug").isNull() & F.col("m.concept_slug").eqNullSafe(F.col("r.concept_slug"))
-    )
-    hit = m.join(r.withColumn("hit", F.lit(True)).alias("r"), same_node & same, "left")
-    updated = hit.select(*(F.col(f"m.{c}") for c in NODE), F.col("m.paper_slug"), F.col("m.paper_title"), F.when(F.col("hit"), F.col("r.concept_slug")).otherwise(F.col("m.concept_slug")).alias("concept_slug"))
-    added = r.join(m, same_node & same, "left_anti").select(*NODE, "paper_slug", "paper_title", "concept_slug")
-    return propagate(updated.unionByName(added), requests.filter("node_type = 'concept' and paper_slug is not null"))
+    """``requests``: node_type, node_slug, paper_slug, paper_title, concept_slug; one for each node and paper (of several one counts, the greatest by concept). A mention of the paper gets the new concept (null too);
+    without a paper the mention with that concept and no paper is the one. Else a mention is added. New concept links fill paperless entity mentions of the concept.
+
+    Both cases are equi-joins on all that identifies a mention, so a hub's mentions and requests don't meet each other one by one."""
+    titled, bare = "paper_slug is not null", "paper_slug is null"
+    r = requests.filter(titled).groupBy(*NODE, "paper_slug").agg(F.max(F.struct("concept_slug", "paper_title")).alias("new"))
+    m, kept = mentions.filter(titled), mentions.filter(bare).select(*NODE, "paper_slug", "paper_title", "concept_slug")
+    j = m.join(r, [*NODE, "paper_slug"], "left").select(*NODE, "paper_slug", "paper_title", F.when(F.col("new").isNotNull(), F.col("new.concept_slug")).otherwise(F.col("concept_slug")).alias("concept_slug"))
+    added = r.join(m.select(*NODE, "paper_slug").distinct(), [*NODE, "paper_slug"], "left_anti").select(*NODE, "paper_slug", F.col("new.paper_title").alias("paper_title"), F.col("new.concept_slug").alias("concept_slug"))
+    b = requests.filter(bare).select(*NODE, "paper_slug", "paper_title", "concept_slug").dropDuplicates([*NODE, "concept_slug"]).alias("b")
+    k = kept.alias("k")
+    same = (F.col("k.node_type") == F.col("b.node_type")) & (F.col("k.node_slug") == F.col("b.node_slug")) & F.col("k.concept_slug").eqNullSafe(F.col("b.concept_slug"))
+    without = kept.unionByName(b.join(k, same, "left_anti"))
+    return propagate(j.unionByName(added).unionByName(without), requests.filter("node_type = 'concept' and paper_slug is not null"))
 
 
 def propagate(mentions: DataFrame, links: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def ingest_relations(drawn: DataFrame, ids: DataFrame, types: DataFrame) -> Data
     side = lambda s: ids.select("paper_slug", F.col("node_type").alias(f"{s}_type"), F.col("id").alias(f"{s}_id"), F.col("slug").alias(f"{s}_slug"))
     j = drawn.join(side("from"), ["paper_slug", "from_type", "from_id"]).join(side("to"), ["paper_slug", "to_type", "to_id"]).withColumnRenamed("type", "rel_type")
     j = j.filter(~((F.col("from_type") == F.col("to_type")) & (F.col("from_slug") == F.col("to_slug")))).join(types.select("rel_type"), "rel_type", "left_semi")
-    return symmetric(j.select(*RELATION, "rationale", "paper_slug"), types)
+    return symmetric(j.select(*RELATION, "rationale", "paper_slug", *(["pos"] if "pos" in drawn.columns else [])), types)
 
 
 def remove_relation(relations: DataFrame, gone: DataFrame) -> DataFrame:

@@ -1082,10 +1082,10 @@ def resolve_batch(v):
     return nodes.select("slug", "display_label", F.array_join("aliases", "|").alias("aliases"), F.size("papers").cast("long").alias("n_papers"))
 
 
-def extractions(v: Views) -> DataFrame:
+def extractions(v: Views, concept_line: int = 1, entity_line: int = 2) -> DataFrame:
     """What a reader could have drawn from each order: a part as a concept, a supplier as an entity of it, and a relation."""
     line = lambda n, c, name: v.lineitem.filter(F.col("l_linenumber") == n).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(c).alias(name))
-    d = v.orders.join(line(1, "l_partkey", "p_partkey"), "o_orderkey").join(line(2, "l_suppkey", "s_suppkey"), "o_orderkey").join(v.part.select("p_partkey", "p_name"), "p_partkey").join(v.supplier.select("s_suppkey", "s_name"), "s_suppkey")
+    d = v.orders.join(line(concept_line, "l_partkey", "p_partkey"), "o_orderkey").join(line(entity_line, "l_suppkey", "s_suppkey"), "o_orderkey").join(v.part.select("p_partkey", "p_name"), "p_partkey").join(v.supplier.select("s_suppkey", "s_name"), "s_suppkey")
     none = F.lit(None).cast("array<string>")
     return d.select(
         F.concat(F.lit("o"), "o_orderkey").alias("paper_slug"), F.concat(F.lit("Order "), "o_orderkey").alias("title"),
@@ -1095,6 +1095,10 @@ def extractions(v: Views) -> DataFrame:
     )
 
 
+def sent(papers: DataFrame, inbox: str, files: int) -> None:
+    papers.select(F.to_json(F.struct("*")).alias("value")).repartition(files).write.mode("append").text(inbox)
+
+
 @query(f"""with d as (select 'o' || o_orderkey as paper, o_orderkey, replace({NORM.format("p_name || ' ' || p_partkey")}, ' ', '-') as c, replace({NORM.format('s_name')}, ' ', '-') as e from orders
     join (select l_orderkey, min(l_partkey) as l_partkey from lineitem where l_linenumber = 1 group by 1) l1 on l1.l_orderkey = o_orderkey
     join (select l_orderkey, min(l_suppkey) as l_suppkey from lineitem where l_linenumber = 2 group by 1) l2 on l2.l_orderkey = o_orderkey join part on p_partkey = l1.l_partkey join supplier on s_suppkey = l2.l_suppkey),
@@ -1104,14 +1108,52 @@ def extractions(v: Views) -> DataFrame:
   select m.node_type, m.node_slug, count(distinct paper)::bigint as n_papers, count(distinct concept_slug)::bigint as n_concepts, max(k.n)::bigint as n_relations from m join k using (node_type, node_slug) group by m.node_type, m.node_slug""")
 def stream_ingest(v):
     """A paper for each order, streamed in two batches of files and resolved against the store as it grows."""
+    from .sources import versions
     from .streaming import ingest
 
     run = scratch(v.spark, "stream")
-    extractions(v).select(F.to_json(F.struct("*")).alias("value")).repartition(4).write.text(f"{run}/inbox")
+    sent(extractions(v), f"{run}/inbox", 4)
     ingest.start(v.spark, f"{run}/inbox", f"{run}/store", f"{run}/state", files_per_batch=2).awaitTermination()
-    after = ingest.version(v.spark, f"{run}/store", 2)
+    after = {t: versions.opened(v.spark, f"{run}/store").table(t) for t in ("nodes", "mentions", "relations")}
     r = after["relations"]
     ends = r.select(F.col("from_type").alias("node_type"), F.col("from_slug").alias("node_slug")).unionAll(r.select("to_type", "to_slug")).groupBy("node_type", "node_slug").agg(F.count("*").alias("n_relations"))
     m = after["mentions"].groupBy("node_type", "node_slug").agg(F.count_distinct("paper_slug").alias("n_papers"), F.count_distinct("concept_slug").alias("n_concepts"))
     nodes = after["nodes"].select("node_type", F.col("slug").alias("node_slug"))
     return nodes.join(m, ["node_type", "node_slug"]).join(ends, ["node_type", "node_slug"])
+
+
+LINE = "(select l_orderkey, min(l_partkey) as p, min(l_suppkey) as s from lineitem where l_linenumber = {0} group by 1) l{0} on l{0}.l_orderkey = o_orderkey"
+DRAWN = f"""select 'o' || o_orderkey as paper, o_orderkey, replace({NORM.format("p_name || ' ' || p_partkey")}, ' ', '-') as c, replace({NORM.format('s_name')}, ' ', '-') as e from orders
+  join {LINE.format(1)} join {LINE.format(2)}"""
+
+
+@query(f"""with a as ({DRAWN} join part on p_partkey = l1.p join supplier on s_suppkey = l2.s),
+  z as ({DRAWN} join part on p_partkey = l2.p join supplier on s_suppkey = l1.s where o_orderkey % 10 = 0),
+  d as (select * from z union all select * from a anti join z using (paper)),
+  m as (select 'concept' as node_type, c as node_slug, paper, null as concept_slug from d union select 'entity', e, paper, c from d),
+  r as (select distinct c, e, case when o_orderkey % 3 = 0 then 'USES' else 'COMPARED_TO' end as t, paper from (select * from a union all select * from z)),
+  manual as (select replace({NORM.format('s_name')}, ' ', '-') as e from supplier),
+  k as (select 'concept' as node_type, c as node_slug, count(distinct (e, t)) as n, count(distinct (e, t, paper)) as p from r group by c
+    union all select 'entity', e, count(distinct (c, t)) filter (c is not null) + count(*) filter (c is null), count(distinct (c, t, paper)) filter (c is not null)
+      from (select e, c, t, paper from r union all select e, null, null, null from manual) group by e)
+  select m.node_type, m.node_slug, count(distinct paper)::bigint as n_papers, count(distinct concept_slug)::bigint as n_concepts, max(k.n)::bigint as n_relations, max(k.p)::bigint as n_relation_papers
+  from m join k using (node_type, node_slug) group by m.node_type, m.node_slug""")
+def stream_replace(v):
+    """A store with relations drawn by hand, then a paper for each order, then a tenth of the papers again with other contents: old mentions go, nodes that nothing mentions go, relations stay."""
+    from .operators import ingest as IN
+    from .sources import versions
+    from .streaming import ingest
+
+    run = scratch(v.spark, "stream")
+    by_hand = v.supplier.select(F.lit("entity").alias("from_type"), R.slug_of(F.col("s_name")).alias("from_slug"), F.lit("PART_OF").alias("rel_type"), F.lit("entity").alias("to_type"), F.lit("the-market").alias("to_slug"), F.lit("").alias("rationale"), F.array().cast("array<string>").alias("sources"))
+    versions.created(v.spark, f"{run}/store", {**IN.empty(v.spark), "relations": by_hand}, buckets=16)
+    for papers in (extractions(v), extractions(v, 2, 1).filter("cast(substr(paper_slug, 2) as bigint) % 10 = 0")):
+        sent(papers, f"{run}/inbox", 1)
+        ingest.start(v.spark, f"{run}/inbox", f"{run}/store", f"{run}/state").awaitTermination()
+    after = {t: versions.opened(v.spark, f"{run}/store").table(t) for t in ("nodes", "mentions", "relations")}
+    r = after["relations"].withColumn("n", F.size("sources"))
+    ends = r.select(F.col("from_type").alias("node_type"), F.col("from_slug").alias("node_slug"), "n").unionAll(r.select("to_type", "to_slug", "n")).groupBy("node_type", "node_slug")
+    ends = ends.agg(F.count("*").alias("n_relations"), F.sum("n").alias("n_relation_papers"))
+    m = after["mentions"].groupBy("node_type", "node_slug").agg(F.count_distinct("paper_slug").alias("n_papers"), F.count_distinct("concept_slug").alias("n_concepts"))
+    nodes = after["nodes"].select("node_type", F.col("slug").alias("node_slug"))
+    return nodes.join(m, ["node_type", "node_slug"], "left").join(ends, ["node_type", "node_slug"], "left").fillna(0)

@@ -1,27 +1,117 @@
-"""Streaming ingest of extracted papers: files of JSON lines arrive, each micro-batch is resolved against the store and makes its next version."""
+"""Streaming ingest of extracted papers: files of JSON lines arrive, each micro-batch meets the names that came before in a keyed state store, and makes the next version of the store.
+
+1. Names are signed and go to the groups of their bands (``minhash.band_keys``: two names that match share one). The state of a band is the list of names that it has seen, in RocksDB, so a batch looks up what
+   arrives and signs nothing that is known. Each new name comes out with the names that its bands had, earlier ones of the batch among them.
+2. These pairs are verified by signature, and the batch is resolved against the buckets of the store that it touches (``operators.ingest``), which it writes as one version (``sources.versions``).
+
+A batch that runs again after a failure finds its number in the newest version and is left out, so each one counts once. Names of papers that are left out, or that nodes have lost, stay in the state: they
+lead to no node. A stream that starts on a store that is already there takes its names as the initial state. A band that many names share costs each of its arrivals the length of its list."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
 
-from ..operators.ingest import TABLES, empty, ingest
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..functions import minhash as M
+from ..functions.text import normalize_label
+from ..operators.components import cut
+from ..operators.ingest import KINDS, changed
 from ..schema import EXTRACTION
+from ..sources import versions
 from ..sources.vault import relation_types
 
+ARRIVING = StructType([*EXTRACTION.fields, StructField("text_hash", StringType())])
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a batch uploads what it changed instead of the whole state
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+class Bands(StatefulProcessor):
+    """Names by band: those that a band knows come out beside each new one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.names = handle.getListState("names", "name string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = dict.fromkeys(name for (name,) in self.names.get())
+        fresh = []
+        for row in rows:
+            if row.key not in known:
+                for other in known:
+                    yield Row(node_type=row.node_type, a=row.key, b=other)
+                known[row.key] = None
+                fresh.append((row.key,))
+        if fresh:
+            self.names.appendList(fresh)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.names.appendValue((initialState.key,))
+
+    def close(self) -> None:
+        pass
+
+
+def keys_of(papers: DataFrame) -> DataFrame:
+    """(node_type, key): the names of extractions."""
+    some = None
+    for kind, column in KINDS:
+        x = papers.select(F.explode(column).alias("x")).select(F.concat(F.array("x.label"), F.coalesce("x.aliases", F.array().cast("array<string>"))).alias("names"))
+        x = x.select(F.lit(kind).alias("node_type"), F.explode("names").alias("name")).select("node_type", normalize_label(F.col("name")).alias("key")).filter("key <> ''")
+        some = x if some is None else some.unionByName(x)
+    return some
+
+
+def banded(keys: DataFrame) -> DataFrame:
+    """(node_type, key, band)."""
+    return keys.withColumn("sig", M.signature(F.col("key"))).select("node_type", "key", F.explode(M.band_keys(F.col("key"), F.col("sig"))).alias("band"))
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """Pairs that match, of those that share a band."""
+    near = cut(pairs.select("node_type", "a", "b").distinct())
+    keys = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    signed = cut(keys.withColumn("sig", M.signature(F.col("key"))))
+    j = near.join(signed.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a").join(signed.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
+    return j.filter(M.keys_match(F.col("a"), F.col("b"), F.col("sig_a"), F.col("sig_b"))).select("node_type", "a", "b")
+
 
-def version(spark: SparkSession, path: str, number: int) -> dict[str, DataFrame]:
-    """The store after so many batches."""
-    return {t: spark.read.schema(kind).parquet(f"{path}/v{number}/{t}") for t, kind in TABLES.items()} if number else empty(spark)
+def session_of(spark: SparkSession) -> SparkSession:
+    """A session of the stream's own, whose state lies in RocksDB; the caller's settings stay."""
+    mine = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.checkpoint.dir", "spark.sql.session.timeZone"):
+        if (value := spark.conf.get(key, None)) is not None and mine.conf.get(key, None) != value:
+            mine.conf.set(key, value)
+    for key, value in ROCKSDB.items():
+        mine.conf.set(key, value)
+    return mine
 
 
-def start(spark: SparkSession, inbox: str, store: str, checkpoint: str, files_per_batch: int = 1000, types: DataFrame | None = None) -> StreamingQuery:
-    """Batch n reads version n of the store and writes version n + 1, so a batch that is run again after a failure overwrites what it wrote."""
-    stream = spark.readStream.schema(EXTRACTION).option("maxFilesPerTrigger", files_per_batch).json(inbox)
+def start(spark: SparkSession, inbox: str, store: str, checkpoint: str, files_per_batch: int = 1000, types: DataFrame | None = None, buckets: int = versions.BUCKETS) -> StreamingQuery:
+    """Take all files that are there, ``files_per_batch`` at a time. The same checkpoint goes on where it stopped."""
+    mine = session_of(spark)
+    papers = mine.readStream.schema(ARRIVING).option("maxFilesPerTrigger", files_per_batch).json(inbox)
+    there = versions.opened(mine, store, buckets=buckets)
+    # Spark takes the initial state in the first batch of a checkpoint only, but wants to see it in each start
+    before = banded(there.table("names").select("node_type", "key").distinct()) if checkpoint not in there.record["writers"] else mine.createDataFrame([], "node_type string, key string, band string")
+    pairs = banded(keys_of(papers)).groupBy("node_type", "band").transformWithState(Bands(), "node_type string, a string, b string", "update", "none", before.groupBy("node_type", "band"))
+    none = F.lit(None).cast("string")
+    rows = papers.select(none.alias("node_type"), none.alias("a"), none.alias("b"), F.to_json(F.struct(*papers.columns)).alias("paper")).unionByName(pairs.withColumn("paper", none))
 
     def add(batch: DataFrame, number: int) -> None:
-        after = ingest(batch, version(spark, store, number), relation_types(spark) if types is None else types, f"batch {number:09}")
-        for name, table in after.items():
-            table.write.mode("overwrite").parquet(f"{store}/v{number + 1}/{name}")
+        spark = batch.sparkSession
+        rows = cut(batch)  # once and whole, for the state is written with it
+        v = versions.opened(spark, store, buckets=buckets)
+        if v.record["writers"].get(checkpoint, -1) >= number:
+            return  # made before a failure
+        arrived = rows.filter("paper is not null").select(F.from_json("paper", ARRIVING).alias("x")).select("x.*")
+        kinds = types if types is not None else relation_types(spark)
+        after, gains = changed(arrived, v, kinds, f"batch {number:09}", verified(rows.filter("paper is null")))
+        v.commit(after, gains, checkpoint, number)
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
