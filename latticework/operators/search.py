@@ -45,9 +45,12 @@ def terms(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, query: str, k: int | None = TOP_K, id_col: str = "id", text: str = "text") -> DataFrame:
-    """``id``, ``score`` of documents with a word of the query. One pass over the texts: each row keeps its length and the counts of the query's words; these short rows
+    """``id``, ``score`` of documents with a word of the query; a query without words finds none. One pass over the texts: each row keeps its length and the counts of the query's words; these short rows
     are written down, and what the formula needs of all documents is added up from them."""
     asked = list(dict.fromkeys(re.findall(r"\w+", query.lower())))
+    if not asked:
+        none = docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).filter("false")
+        return none.withColumn("rank", F.lit(0).cast("long")) if k else none
     t = terms(F.coalesce(F.col(text), F.lit("")))
     # the words of the query are picked out of the text once, then counted
     mine = F.filter("t", lambda x: x.isin(*asked))

@@ -1113,7 +1113,7 @@ def stream_ingest(v):
 
     run = scratch(v.spark, "stream")
     sent(extractions(v), f"{run}/inbox", 4)
-    ingest.start(v.spark, f"{run}/inbox", f"{run}/store", f"{run}/state", files_per_batch=2).awaitTermination()
+    ingest.start(v.spark, f"{run}/inbox", f"{run}/store", f"{run}/state", files_per_batch=2, buckets=16).awaitTermination()
     after = {t: versions.opened(v.spark, f"{run}/store").table(t) for t in ("nodes", "mentions", "relations")}
     r = after["relations"]
     ends = r.select(F.col("from_type").alias("node_type"), F.col("from_slug").alias("node_slug")).unionAll(r.select("to_type", "to_slug")).groupBy("node_type", "node_slug").agg(F.count("*").alias("n_relations"))
@@ -1157,3 +1157,67 @@ def stream_replace(v):
     m = after["mentions"].groupBy("node_type", "node_slug").agg(F.count_distinct("paper_slug").alias("n_papers"), F.count_distinct("concept_slug").alias("n_concepts"))
     nodes = after["nodes"].select("node_type", F.col("slug").alias("node_slug"))
     return nodes.join(m, ["node_type", "node_slug"], "left").join(ends, ["node_type", "node_slug"], "left").fillna(0)
+
+
+# ---- indexes for search ----
+ASKERS = "asker as (select vec_id::varchar as qid, embedding::double[] as q from embeddings where vec_id % 50 = 0)"
+
+
+def vector_index(v: Views):
+    """All vectors but a tenth indexed at once, that tenth inserted afterwards."""
+    from .operators import vector_index as VI
+
+    rows, late = vectors(v), F.substring("node_slug", 2, 30).cast("long") % 10 == 3
+    index = VI.built(rows.filter(~late), scratch(v.spark, "vectors"), cells=32)
+    index.insert(rows.filter(late))
+    return index
+
+
+def askers(v: Views) -> DataFrame:
+    return v.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("q"))
+
+
+@query(f"""with {VEC}, {ASKERS}, s as (select qid, node_type, node_slug, round(list_cosine_similarity(e, asker.q), 6) as score from vec, asker),
+  t as (select * from s qualify row_number() over (partition by qid, node_type order by score desc, node_slug) <= 10)
+  select *, row_number() over (partition by qid order by score desc, node_type, node_slug) as rank from t""")
+def vector_index_exact(v):
+    """The nearest rows of many queries by the index's exact way."""
+    from .operators import vector_index as VI
+
+    return VI.search(vector_index(v), askers(v), exact=True)
+
+
+@query("select count(*) filter (vec_id % 50 = 0)::bigint as n_queries, true as recall_holds, true as reads_less from embeddings")
+def vector_index_recall(v):
+    """Whether the number of cells that some queries ask for finds nine tenths of the nearest of others, and reads fewer than all rows."""
+    from .operators import vector_index as VI
+
+    index, asked = vector_index(v), askers(v)
+    probes = VI.probes_for(index, v.embeddings.filter("vec_id % 50 = 1").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")))
+    some = VI.search(index, asked, probes=probes).select("qid", "node_type", "node_slug", F.lit(1).alias("hit"))
+    both = VI.search(index, asked, exact=True).join(some, ["qid", "node_type", "node_slug"], "left")
+    share = VI.share_read(index, asked, probes)
+    found = both.agg(F.count_distinct("qid").alias("n_queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_holds"))
+    return found.withColumn("reads_less", F.lit(share < 1))
+
+
+@query(f"with {DOCS}, {BM} select * from bh where rank <= 10")
+def fulltext_index(v):
+    """BM25 by the index, whose last third came as a segment of its own."""
+    from .operators import text_index as TI
+
+    docs = documents(v)
+    index = TI.built(docs.filter("id % 3 <> 2"), scratch(v.spark, "postings"), span=64).insert(docs.filter("id % 3 = 2"))
+    return TI.search(index, ASK)
+
+
+@query(f"with {DOCS}, {BM} select * from bh where rank <= 10")
+def fulltext_index_merged(v):
+    """The same after three segments were merged to one."""
+    from .operators import text_index as TI
+
+    docs = documents(v)
+    index = TI.built(docs.filter("id % 3 = 0"), scratch(v.spark, "postings"), span=64)
+    for i in (1, 2):
+        index = index.insert(docs.filter(F.col("id") % 3 == i))
+    return TI.search(index.merged(), ASK)
