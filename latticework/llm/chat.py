@@ -25,7 +25,7 @@ from .common import table
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 OPENING = r"<(?=/?s>|<SYS>>|</SYS>>)|\[(?=/?INST\])"
-RUN = 64
+RUN = 512
 LEARNED = "assistant"
 
 
@@ -95,11 +95,34 @@ def parse(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv", "formatted", F.transform(body, turn).alias("turns"), learned.alias("learned"))
 
 
+#: Sequence numbers of a turn in the query's log, and the turns that it can number; others count as the nearest of these.
+STEPS, FURTHEST = 8, 1 << 58
+
+
+def logged(turns: DataFrame) -> DataFrame:
+    """The query's test case: ``turns`` (conv_id, seq, role, text) as a log of events, last ones first. By a checksum of its place a turn is started and streamed in two deltas, written wrongly and edited, streamed wrongly,
+    regenerated and streamed again, or written at once; beside one in four stands a message that is deleted. Null turns come before all others."""
+    at = F.when(F.col("seq").isNull(), F.lit(-STEPS * FURTHEST - STEPS)).otherwise(F.greatest(F.least(F.col("seq"), F.lit(FURTHEST)), F.lit(-FURTHEST)) * STEPS)
+    given = turns.select("conv_id", at.alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().cast("string").alias("id"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    one, two = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    event = lambda step, kind, text, msg=F.col("id"): F.struct((F.col("at") + step).alias("seq"), F.lit(kind).alias("kind"), msg.alias("msg"), text.alias("text"))
+    none, wrong = F.lit(""), F.lit("not what was meant")
+    streamed = F.array(event(2, "delta", two), event(1, "delta", one), event(0, "message", none))
+    edited = F.array(event(3, "edit", F.col("text")), event(0, "message", wrong))
+    again = F.array(event(4, "delta", two), event(3, "delta", one), event(2, "regenerate", none), event(1, "delta", wrong), event(0, "message", none))
+    gone = F.concat("id", F.lit("-"))
+    beside = F.array(event(6, "delta", wrong, gone), event(5, "delete", none, gone), event(0, "message", wrong, gone))
+    way = F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("at").cast("string")).cast("binary")) % 4
+    events = F.when(way == 0, F.concat(streamed, beside)).when(way == 1, edited).when(way == 2, again).otherwise(F.array(event(0, "message", F.col("text"))))
+    return given.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "role", "e.*")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("seq"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
     more = spark.sql(f"select cast(-7 as bigint) conv_id, seq, role, '{probe}' text from values (0L, 'user'), (1L, 'assistant') as t(seq, role)")
-    log = given.unionByName(more).withColumns({"kind": F.lit("message"), "msg": F.lit(None).cast("string")})
+    log = logged(given.unionByName(more))
     back = parse(render(fold(log)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")

@@ -90,6 +90,18 @@ def test_every_row_of_the_query_folds(spark, tmp_path):
     assert "monotonically_increasing_id" in plan and "Union" not in plan.split("Aggregate")[0]
 
 
+def test_the_query_folds_a_log_of_all_kinds(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"text {c} {t} é🎉 end") for c in range(30) for t in range(6)] + [(1, None, "user", "first"), (None, 3, None, None), (2, 1 << 62, "user", "far"), (2, -(1 << 62), "user", "near")]
+    log = chat.logged(spark.createDataFrame(rows, "conv_id long, seq long, role string, text string"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate", "delete"} and min(kinds.values()) > 15
+    assert log.groupBy("conv_id", "msg").count().filter("count > 1").count() > 100  # most groups fold several events
+    got = {r.conv: [(t.role, t.text) for t in r.turns] for r in chat.parse(chat.render(chat.fold(log))).collect()}
+    for c in [*range(30), None]:
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0))
+        assert got[c] == [(r[2] or "", r[3] or "") for r in mine]
+
+
 def test_round_trip_of_control_strings(spark):
     rng = random.Random(4)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "\\.", ".", "<", "[", "\n", "n", "é🎉", "a", "s>", "/", "$1"]
