@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def ordered(containers: DataFrame) -> DataFrame:
@@ -58,9 +59,10 @@ def set_folder_brain(folders: DataFrame, id: str, brain: str | None) -> DataFram
 
 
 def paper_brain(papers: DataFrame, folders: DataFrame, folder_papers: DataFrame, brain_papers: DataFrame) -> DataFrame:
-    """``paper_slug``, ``brain_id``: that of its folder (the first one), even if that has none; else its own. A paper in no container has null."""
-    f = folder_papers.join(folders.select(F.col("id").alias("folder_id"), "brain_id"), "folder_id")
-    f = f.groupBy("paper_slug").agg(F.min(F.struct("folder_id", "brain_id")).alias("f"))
+    """``paper_slug``, ``brain_id``: that of its folder (the first one made, then by id), even if that has none; else its own. A paper in no container has null."""
+    made = F.coalesce("created_at", F.lit("")) if "created_at" in folders.columns else F.lit("")
+    f = folder_papers.join(folders.select(F.col("id").alias("folder_id"), "brain_id", made.alias("made")), "folder_id")
+    f = f.groupBy("paper_slug").agg(F.min(F.struct("made", "folder_id", "brain_id")).alias("f"))
     b = brain_papers.groupBy("paper_slug").agg(F.min("brain_id").alias("direct"))
     j = papers.select(F.col("slug").alias("paper_slug")).join(f, "paper_slug", "left").join(b, "paper_slug", "left")
     return j.select("paper_slug", F.when(F.col("f").isNotNull(), F.col("f.brain_id")).otherwise(F.col("direct")).alias("brain_id"))
@@ -80,16 +82,20 @@ def brain_contents(papers: DataFrame, folders: DataFrame, folder_papers: DataFra
     return f.unionByName(loose.select(F.coalesce("brain_id", F.lit("none")).alias("bucket"), F.lit("paper").alias("kind"), F.col("paper_slug").alias("item")))
 
 
-def merge_brains(folders: DataFrame, brain_papers: DataFrame, survivor: str, loser: str) -> tuple[DataFrame, DataFrame]:
-    """Folders and direct papers of the loser go to the survivor; same id is an error."""
+def merge_brains(folders: DataFrame, brain_papers: DataFrame, survivor: str, loser: str, brains: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """Folders and direct papers of the loser go to the survivor; same id is an error. With ``brains`` (id) a missing one is an error too, and the brains without the loser come third."""
     if survivor == loser:
         raise ValueError("a brain can't be merged into itself")
+    for id in (survivor, loser) if brains is not None else ():
+        must_exist(brains, id)
     to = lambda c: F.when(F.col(c) == loser, F.lit(survivor)).otherwise(F.col(c))
-    return folders.withColumn("brain_id", to("brain_id")), brain_papers.select(to("brain_id").alias("brain_id"), "paper_slug").distinct()
+    moved = folders.withColumn("brain_id", to("brain_id")), brain_papers.select(to("brain_id").alias("brain_id"), "paper_slug").distinct()
+    return moved if brains is None else (*moved, brains.filter(F.col("id") != loser))
 
 
 def delete_brain(brains: DataFrame, folders: DataFrame, brain_papers: DataFrame, id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Brains, folders and direct papers without it."""
+    """Brains, folders and direct papers without it; a missing one is an error."""
+    must_exist(brains, id)
     return brains.filter(F.col("id") != id), folders.withColumn("brain_id", F.nullif("brain_id", F.lit(id))), brain_papers.filter(F.col("brain_id") != id)
 
 
@@ -110,10 +116,6 @@ def active_folders(folder_papers: DataFrame, selected: DataFrame) -> DataFrame:
     return j.groupBy("folder_id").agg(F.bool_and(F.coalesce("on", F.lit(False))).alias("all_on")).filter("all_on").select("folder_id")
 
 
-def in_scope(brain: str | None, brain_ids: Column) -> Column:
-    return F.lit(True) if brain is None else F.array_contains(brain_ids, brain)
-
-
 def set_paper_brain(folder_papers: DataFrame, brain_papers: DataFrame, brains: DataFrame, paper: str, brain: str | None) -> tuple[DataFrame, DataFrame, bool]:
     """Put a paper straight into a brain, or none: folder and direct memberships after it, and whether the brain exists. The paper leaves its
     folders even if it doesn't; direct memberships change only if it does."""
@@ -132,6 +134,11 @@ def alphabetical(containers: DataFrame, locale: str = "ko") -> DataFrame:
     return containers.orderBy(F.collate("name", locale), "id")
 
 
+def with_places(containers: DataFrame, locale: str = "ko") -> DataFrame:
+    """``place`` in that order, from 1. Containers are made by hand, so one task numbers them."""
+    return containers.withColumn("place", F.row_number().over(Window.orderBy(F.collate("name", locale), "id")).cast("long"))
+
+
 def toggled(selected: set[str], items: set[str]) -> set[str]:
     """Selected papers after a click on a container: all of its items go if all were selected, else all are added."""
     return selected - items if items and items <= selected else selected | items

@@ -578,6 +578,12 @@ def alphabetical_folders(v):
     return SC.alphabetical(v.folders).select("id", "name")
 
 
+@query(f"{BASE} select id, name, row_number() over (order by name, id) as place from folders")
+def alphabetical_places(v):
+    """The order itself, as a number; folders are few."""
+    return SC.with_places(v.folders).select("id", "name", "place")
+
+
 # ---- text ----
 @query(r"select o_orderkey, coalesce(nullif(trim(substr(trim(regexp_replace(regexp_replace(o_orderpriority || ': a/b – ' || o_orderstatus, '[^A-Za-z0-9 \-_.,()'']', ' ', 'g'), ' +', ' ', 'g')), 1, 70)), ''), 'untitled') as slug from orders")
 def slugify_titles(v):

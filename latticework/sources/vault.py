@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +20,6 @@ AUTO_MARKER, USER_MARKER = "<!-- generated: do not edit -->", "<!-- user -->"
 
 
 def _to_json(blocks: pa.Array) -> pa.Array:
-    import json
 
     import yaml
 
@@ -189,10 +190,24 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(put, "path string")
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The mirror: both tables rebuilt from the truth."""
-    nodes.write.mode("overwrite").parquet(f"{path}/graph_nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/graph_edges")
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> int:
+    """The mirror: both tables rebuilt from the truth, as one version that readers see whole; its number."""
+    from . import versions
+
+    spark, number = nodes.sparkSession, versions.latest(nodes.sparkSession, path) + 1
+    folders = {name: f"{name}-{uuid.uuid4().hex}" for name in ("nodes", "edges")}
+    nodes.write.parquet(f"{path}/{folders['nodes']}")
+    edges.write.parquet(f"{path}/{folders['edges']}")
+    versions.put_new(spark, f"{path}/commits/{number:012}.json", json.dumps(folders))
+    return number
+
+
+def read_graph(spark: SparkSession, path: str, number: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a version of the mirror, the newest by default."""
+    from . import versions
+
+    folders = json.loads(versions.get(spark, f"{path}/commits/{number or versions.latest(spark, path):012}.json"))
+    return spark.read.parquet(f"{path}/{folders['nodes']}"), spark.read.parquet(f"{path}/{folders['edges']}")
 
 
 def list_papers(spark: SparkSession, path: str) -> DataFrame:
