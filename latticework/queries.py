@@ -1101,6 +1101,12 @@ def extractions(v: Views, concept_line: int = 1, entity_line: int = 2) -> DataFr
     )
 
 
+def versions_of(v: Views, run: str):
+    from .sources import versions
+
+    return versions.opened(v.spark, f"{run}/store")
+
+
 def sent(papers: DataFrame, inbox: str, files: int) -> None:
     papers.select(F.to_json(F.struct("*")).alias("value")).repartition(files).write.mode("append").text(inbox)
 
@@ -1165,6 +1171,49 @@ def stream_replace(v):
     return nodes.join(m, ["node_type", "node_slug"], "left").join(ends, ["node_type", "node_slug"], "left").fillna(0)
 
 
+NUMBER = "substr({0}, 2)::bigint"
+
+
+@query(f"""{PB}, hm as (select slug, case when {NUMBER.format('slug')} % 22 = 0 then null when {NUMBER.format('slug')} % 7 = 0 then 'b' || ((custkey + 1) % 5) else brain_id end as brain_id
+    from papers join pb on paper_slug = slug where {NUMBER.format('slug')} % 11 <> 0 or {NUMBER.format('slug')} % 22 = 0),
+  lv as (select * from nodes where node_type = 'entity' or {NUMBER.format('slug')} % 13 <> 0),
+  ti as (select * from mentions where node_type = 'entity' or {NUMBER.format('paper_slug')} % 5 <> 1 union all select 'concept', 'p' || l_partkey, 'o' || l_orderkey, null from lineitem where l_linenumber = 3 and l_orderkey % 5 = 1),
+  j as (select t.*, c.slug as live_concept, p.slug as paper, p.brain_id from ti t join lv n on n.node_type = t.node_type and n.slug = t.node_slug
+    left join lv c on c.node_type = 'concept' and c.slug = t.concept_slug and t.node_type = 'entity' left join hm p on p.slug = t.paper_slug)
+  select 'edge' as kept, case when live_concept is not null then 'concept:' || live_concept else 'paper:' || paper end as a, node_type || ':' || node_slug as b, count(*)::bigint as n from j
+    where live_concept is not null or paper is not null group by all
+  union all select 'tag', node_type || ':' || node_slug, brain_id, count(*) from j where brain_id is not null group by all
+  union all select 'semantic', from_type || ':' || from_slug, rel_type || ' ' || to_type || ':' || to_slug, count(*) from relations_raw r semi join lv f on f.node_type = from_type and f.slug = from_slug
+    semi join lv t on t.node_type = to_type and t.slug = to_slug where rel_type <> 'USES' group by all""")
+def stream_mirror(v):
+    """A kept mirror of all nodes, papers, mentions and relations; papers move to other brains, go and come back, concepts die, mentions and relations go and come, in two streamed batches."""
+    from .operators import mirror as MI
+    from .streaming import mirror
+
+    run = scratch(v.spark, "mirror")
+    mirror.created(v.spark, f"{run}/store", MI.whole(v.nodes, brains_of(v), v.mentions, v.relations_raw), 16)
+    o, paper = F.col("o_orderkey"), F.concat(F.lit("o"), "o_orderkey").alias("paper_slug")
+    is_paper, at = F.lit("paper").alias("kind"), lambda seq: F.lit(seq).alias("seq")
+    moves = v.orders.filter(o % 7 == 0).select(at(1), is_paper, paper, F.lit(True).alias("there"), F.concat(F.lit("b"), (F.col("o_custkey") + 1) % 5).alias("brain_id"))
+    gone = v.orders.filter(o % 11 == 0).select(at(2), is_paper, paper, F.lit(False).alias("there"))
+    back = v.orders.filter(o % 22 == 0).select(at(3), is_paper, paper, F.lit(True).alias("there"))
+    dead = v.part.filter("p_partkey % 13 = 0").select(at(3), F.lit("node").alias("kind"), F.lit("concept").alias("node_type"), F.concat(F.lit("p"), "p_partkey").alias("node_slug"), F.lit(False).alias("there"))
+    line = lambda number, n: v.lineitem.filter((F.col("l_linenumber") == number) & (F.col("l_orderkey") % 5 == 1)).select(
+        at(3), F.lit("mention").alias("kind"), F.lit("concept").alias("node_type"), F.concat(F.lit("p"), "l_partkey").alias("node_slug"), F.concat(F.lit("o"), "l_orderkey").alias("paper_slug"), F.lit(n).alias("n"))
+    unrelated = v.relations_raw.filter("rel_type = 'USES'").select(at(3), F.lit("relation").alias("kind"), F.col("from_type").alias("node_type"), F.col("from_slug").alias("node_slug"), "rel_type", "to_type", "to_slug", F.lit(-1).alias("n"))
+    for batch in ([moves, gone], [back, dead, line(1, -1), line(3, 1), unrelated]):
+        rows = batch[0]
+        for more in batch[1:]:
+            rows = rows.unionByName(more, allowMissingColumns=True)
+        sent(rows, f"{run}/inbox", 2)
+        mirror.start(v.spark, f"{run}/inbox", f"{run}/store", f"{run}/state").awaitTermination()
+    after = versions_of(v, run)
+    side = lambda a, b: F.concat_ws(":", a, b)
+    shown = lambda kept, a, b: after.table(kept).select(F.lit(kept.rstrip("s")).alias("kept"), a.alias("a"), b.alias("b"), "n")
+    edges = shown("edges", side("src_type", "src_slug"), side("dst_type", "dst_slug"))
+    return edges.unionByName(shown("tags", side("node_type", "node_slug"), F.col("brain_id"))).unionByName(shown("semantic", side("from_type", "from_slug"), F.concat("rel_type", F.lit(" "), side("to_type", "to_slug"))))
+
+
 # ---- indexes for search ----
 ASKERS = "asker as (select vec_id::varchar as qid, embedding::double[] as q from embeddings where vec_id % 50 = 0)"
 

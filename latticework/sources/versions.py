@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import INDEXES, TABLES, indexes_of
+from ..operators import ingest, mirror
 from ..storage import remove
 
 BUCKETS, PARTS = 64, 16
@@ -36,8 +36,9 @@ ROW_KEYS = {
     "nodes": lambda _: stem(F.col("slug")),
     "candidates": lambda _: F.least("slug_a", "slug_b"),
 }
-COLUMNS = {"papers": "slug", "nodes": "slug", "mentions": "node_slug", "relations": "from_slug", "candidates": "slug_a", "names": "key", "by_paper": "paper_slug", "waiting": "concept_slug", "hashes": "text_hash"}
-KINDS = TABLES | INDEXES
+COLUMNS = {"papers": "slug", "nodes": "slug", "mentions": "node_slug", "relations": "from_slug", "candidates": "slug_a", "names": "key", "by_paper": "paper_slug", "waiting": "concept_slug", "hashes": "text_hash"} | mirror.COLUMNS
+INDEXES = ingest.INDEXES | mirror.INDEXES
+KINDS = ingest.TABLES | mirror.TABLES | INDEXES
 
 
 def path_of(spark: SparkSession, path: str):
@@ -170,11 +171,11 @@ def opened(spark: SparkSession, root: str, number: int | None = None, buckets: i
     return Versions(spark, root, number, record)
 
 
-def created(spark: SparkSession, root: str, tables: dict[str, DataFrame], buckets: int = BUCKETS) -> Versions:
-    """The first version, of whole tables."""
+def created(spark: SparkSession, root: str, tables: dict[str, DataFrame], buckets: int = BUCKETS, indexes: dict[str, DataFrame] | None = None) -> Versions:
+    """The first version, of whole tables; their indexes are those of an ingest store unless given."""
     v = opened(spark, root, 0, buckets)
     v.touched = {t: set(range(buckets)) for t in tables}
-    return v.commit(tables, indexes_of(tables))
+    return v.commit(tables, ingest.indexes_of(tables) if indexes is None else indexes)
 
 
 def expire(spark: SparkSession, root: str, keep: int = 10) -> int:
