@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import minhash as M
 from .functions import text as T
+from .operators import components as C
 from .operators import graph as G
 from .operators import resolve as R
 from .operators import scope as SC
@@ -462,6 +463,54 @@ def execute_merge_aliases(v):
 
 
 # ---- store ----
+CHAINED = """mg as (select ((p_partkey & -p_partkey) * 1000000000 + p_partkey)::bigint as seq, p_partkey & (p_partkey - 1) as up, p_partkey as p from part where p_partkey % 8 <> 0 and p_partkey & (p_partkey - 1) > 0),
+  tr(p, root, path) as (select p_partkey, p_partkey, []::bigint[] from part where p_partkey not in (select p from mg) and p_partkey in (select up from mg)
+    union all select mg.p, tr.root, list_append(tr.path, mg.seq) from tr join mg on mg.up = tr.p)"""
+
+
+def chained(v: Views) -> DataFrame:
+    """Parts in groups of eight: each goes to the one without its lowest bit, odd ones first, so most survivors lose later."""
+    from .operators import chains as CH
+
+    p, slug = F.col("p_partkey").cast("long"), lambda c: F.concat(F.lit("p"), c)
+    up = p.bitwiseAND(p - 1)
+    m = v.part.filter((p % 8 != 0) & (up > 0))
+    return CH.forest(m.select((p.bitwiseAND(-p) * 1_000_000_000 + p).alias("seq"), slug(up).alias("survivor"), slug(p).alias("loser")))
+
+
+@query(f"""with recursive {CHAINED}, n as (select p_partkey as p, p_name || ' ' || p_partkey as label, 'x' || (p_partkey % 7) as alias, case when p_partkey % 3 = 0 then 'n' || p_partkey else '' end as note from part),
+  el as (select tr.root, tr.path, n.* from tr join n using (p)),
+  al as (select root, array_to_string(list_sort(list_distinct(flatten(list(case when path = [] then [alias] else [alias, label] end)))), '|') as aliases,
+    string_agg('p' || p, '|' order by path) filter (path <> []) as merged_from from el group by root),
+  sub as (select a.root, a.path, a.note, exists (select 1 from el b where b.root = a.root and b.note <> '' and b.path[1:len(a.path)] = a.path) as says from el a),
+  nt as (select root, string_agg(case when path = [] then note when says then chr(10) || chr(10) || '--- merged 2024-01-01 ---' || chr(10) || chr(10) || note else '' end, '' order by path) as notes from sub group by root)
+  select 'p' || n.p as slug, coalesce(al.aliases, n.alias) as aliases, al.merged_from, coalesce(nt.notes, n.note) as user_notes, case when tr.path <> [] then 'p' || tr.root end as redirect_to
+  from n left join al on al.root = n.p left join nt on nt.root = n.p left join tr on tr.p = n.p""")
+def execute_merges_chained(v):
+    """Nodes after merges whose survivors lose in later ones."""
+    from .operators import chains as CH
+
+    p = F.col("p_partkey")
+    nodes = v.part.select(
+        F.concat(F.lit("p"), p).alias("slug"), F.concat("p_name", F.lit(" "), p).alias("display_label"), F.array(F.concat(F.lit("x"), p % 7)).alias("aliases"), F.lit(None).cast("array<string>").alias("merged_from"),
+        F.when(p % 3 == 0, F.concat(F.lit("n"), p)).otherwise("").alias("user_notes"), F.lit(None).cast("string").alias("redirect_to"))
+    out = CH.merge_nodes(nodes, chained(v), "2024-01-01")
+    return out.select("slug", F.array_join("aliases", "|").alias("aliases"), F.array_join("merged_from", "|").alias("merged_from"), "user_notes", "redirect_to")
+
+
+@query(f"""with recursive {CHAINED}, m as (select l_partkey as p, 'o' || (l_orderkey % 50) as paper_slug, l_orderkey::bigint as ord from lineitem),
+  j as (select m.*, tr.root, tr.path, min(tr.path) over (partition by tr.root, paper_slug) as least from m join tr using (p))
+  select 'p' || root as node_slug, paper_slug, (row_number() over (partition by root order by path, ord, paper_slug) - 1)::bigint as ord from j where path = least
+  union all select 'p' || p, paper_slug, ord from m where p not in (select p from tr)""")
+def execute_merges_chained_sources(v):
+    """Mentions after the same merges, in the order in which the last survivors hold them."""
+    from .operators import chains as CH
+
+    o = F.col("l_orderkey").cast("long")
+    mentions = v.lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("node_slug"), F.concat(F.lit("o"), o % 50).alias("paper_slug"), o.alias("ord"))
+    return CH.merge_mentions(mentions, chained(v))
+
+
 @query(f"""{BASE} select from_type, from_slug, rel_type, to_type, to_slug,
   coalesce(first(nullif(rationale, '') order by paper_slug, rationale) filter (rationale <> ''), '') as rationale,
   array_to_string(list_sort(list_distinct(list(paper_slug))), '|') as sources from relations_raw group by all""")
@@ -1214,6 +1263,24 @@ def stream_mirror(v):
     return edges.unionByName(shown("tags", side("node_type", "node_slug"), F.col("brain_id"))).unionByName(shown("semantic", side("from_type", "from_slug"), F.concat("rel_type", F.lit(" "), side("to_type", "to_slug"))))
 
 
+@query("""with recursive ch as (select o_orderkey as a, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as b from orders),
+  fst as (select o_custkey as c, min(o_orderkey) as o from orders group by 1),
+  ed as (select a, b from ch where b is not null and a % 5 <> 0 union select least(x.o, y.o), greatest(x.o, y.o) from fst x join fst y on y.c = x.c - x.c % 4 and x.c % 4 <> 0),
+  sym as materialized (select a, b from ed union select b, a from ed),
+  reach(v, x) as (select o_orderkey, o_orderkey from orders union select reach.v, sym.b from reach join sym on sym.a = reach.x)
+  select v, min(x) as comp from reach group by v""")
+def components_updated(v):
+    """Orders tied to the next one of their customer; a fifth of the ties go, then first orders of neighbouring customers are tied: kept components instead of new ones."""
+    from pyspark.sql.window import Window
+
+    chain = v.orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b")).filter("b is not null")
+    first = v.orders.groupBy(F.col("o_custkey").alias("c")).agg(F.min("o_orderkey").alias("a"))
+    other = first.filter("c % 4 = 0").select(F.col("c").alias("d"), F.col("a").alias("b"))
+    added = first.filter("c % 4 <> 0").join(other, F.col("d") == F.col("c") - F.col("c") % 4).select("a", "b")
+    kept = C.components(chain, v.orders.select(F.col("o_orderkey").alias("v")))
+    return C.updated(kept, chain, added, chain.filter("a % 5 = 0"))[0]
+
+
 # ---- indexes for search ----
 ASKERS = "asker as (select vec_id::varchar as qid, embedding::double[] as q from embeddings where vec_id % 50 = 0)"
 
