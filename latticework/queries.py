@@ -1343,3 +1343,21 @@ def fulltext_index_merged(v):
     for i in (1, 2):
         index = index.insert(docs.filter(F.col("id") % 3 == i))
     return TI.search(index.merged(), ASK)
+
+
+@query(f"""{GRAPH_NODES}, asked as (select 'p' || p_partkey as qid, lower(trim(substr(p_name, 3, 5))) as text from part where p_partkey % 50 = 0
+    union all select 'q' || p_partkey, lower(trim(substr(p_name, 2, 2))) from part where p_partkey % 250 = 0 union all select 'n' || n_nationkey, lower(trim(n_name)) from nation
+    union all select 'o' || o_orderkey, o_orderkey::varchar from orders where o_orderkey % 50 = 0)
+  select qid, id, label, type, row_number() over (partition by qid order by label, id) as place from asked join gn on contains(lower(label), text) where type <> 'tag'
+  qualify row_number() over (partition by qid order by label, id) <= 12""")
+def label_index_search(v):
+    """The search box for many texts by the index of trigrams, a part of whose labels came as a second segment; tags are hidden."""
+    from .operators import label_index as LI
+
+    nodes = all_nodes(v).select("id", "label", "type")
+    late = F.col("type") == "entity"
+    index = LI.built(nodes.filter(~late), scratch(v.spark, "labels"), 16).insert(nodes.filter(late))
+    text = lambda rows, letter, key, text: rows.select(F.concat(F.lit(letter), key).alias("qid"), text.alias("text"))
+    asked = text(v.part.filter("p_partkey % 50 = 0"), "p", "p_partkey", F.substring("p_name", 3, 5)).unionAll(text(v.part.filter("p_partkey % 250 = 0"), "q", "p_partkey", F.substring("p_name", 2, 2)))
+    asked = asked.unionAll(text(v.nation, "n", "n_nationkey", F.col("n_name"))).unionAll(text(v.orders.filter("o_orderkey % 50 = 0"), "o", "o_orderkey", F.col("o_orderkey").cast("string")))
+    return LI.search(index, asked, ("tag",)).withColumn("place", F.col("place").cast("long"))
