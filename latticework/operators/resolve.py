@@ -126,7 +126,8 @@ def merge_sources(mentions: DataFrame, merges: DataFrame) -> DataFrame:
     taken = m.join(merges.select(F.col("loser").alias("node_slug"), "survivor"), "node_slug")
     own = m.join(merges.select(F.col("survivor").alias("node_slug")), "node_slug", "left_semi").select(F.col("node_slug").alias("s"), F.col("paper_slug").alias("p"))
     fresh = taken.join(own, (taken["survivor"] == own["s"]) & taken["paper_slug"].eqNullSafe(own["p"]), "left_anti")
-    moved = fresh.withColumn("node_slug", F.col("survivor")).withColumn("ord", F.col("ord") + F.lit(1_000_000)).drop("survivor")
+    last = m.join(merges.select(F.col("survivor").alias("node_slug")).distinct(), "node_slug", "left_semi").groupBy(F.col("node_slug").alias("survivor")).agg(F.max("ord").alias("__last"))
+    moved = fresh.join(last, "survivor", "left").withColumn("ord", F.col("ord") + F.coalesce("__last", F.lit(-1)) + 1).withColumn("node_slug", F.col("survivor")).drop("survivor", "__last")
     return m.join(merges.select(F.col("loser").alias("node_slug")), "node_slug", "left_anti").unionByName(moved.select(*m.columns))
 
 
