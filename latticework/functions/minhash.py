@@ -22,6 +22,8 @@ THRESHOLD = 0.72
 BANDS = 18
 SIZES = [4] * 10 + [3] * 8
 STARTS = [sum(SIZES[:i]) for i in range(BANDS)]
+#: A label with so long a number is found by its numbers alone.
+LONG_NUMBER = "[0-9]{5}"
 
 
 def permutations(count: int = PERMUTATIONS, seed: int = SEED) -> list[tuple[int, int]]:
@@ -98,14 +100,16 @@ def keys_match(a: Column, b: Column, sig_a: Column, sig_b: Column, empty: Column
 
 def band_keys(key: Column, sig: Column) -> Column:
     """Keys of which two matching labels share at least one: bands of their signatures, and themselves with and without the last character.
-    All carry the numbers of the label, which a match needs alike."""
+    All carry the numbers of the label, which a match needs alike. A number of five digits or more is rare enough to be the only key."""
     numbers = F.array_join(numeric_tokens(key), ",")
     bands = [F.concat_ws("|", F.lit(f"b{i}"), numbers, F.xxhash64(F.slice(sig, s + 1, n)).cast("string")) for i, (s, n) in enumerate(zip(STARTS, SIZES, strict=True))]
     plain = [F.concat_ws("|", F.lit("s"), numbers, k) for k in (key, F.substring(key, F.lit(1), F.greatest(F.length(key) - 1, F.lit(0))))]
-    return F.array_distinct(F.array(*bands, *plain))
+    return F.when(key.rlike(LONG_NUMBER), F.array(F.concat_ws("|", F.lit("n"), numbers))).otherwise(F.array_distinct(F.array(*bands, *plain)))
 
 
 def band_rows(key: str, sig: list[int]) -> list[tuple]:
     """The same keys for one label."""
     numbers = tuple(re.findall(r"\d+", key))
+    if re.search(LONG_NUMBER, key):
+        return [("n", numbers)]
     return [(i, numbers, *sig[s : s + n]) for i, (s, n) in enumerate(zip(STARTS, SIZES, strict=True))] + [("s", numbers, k) for k in dict.fromkeys((key, key[:-1]))]

@@ -20,21 +20,30 @@ def signed(labels: DataFrame, column: str = "label") -> DataFrame:
     return labels.select(normalize_label(F.col(column)).alias("key")).distinct().withColumn("sig", M.signature(F.col("key")))
 
 
+def blocked(keys: DataFrame, name: str) -> DataFrame:
+    """(block, name): a row for each key and block, without the signatures, which would go with every block."""
+    return keys.select(F.explode(M.band_keys(F.col("key"), F.col("sig"))).alias("block"), F.col("key").alias(name))
+
+
+def alike(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b) those that match; ``a`` and ``b``: key, sig."""
+    side = lambda keys, name: keys.select(F.col("key").alias(name), F.col("sig").alias(f"sig_{name}")).hint("merge")
+    both = pairs.join(side(a, "a"), "a").join(side(b, "b"), "b")
+    return both.filter(M.keys_match(F.col("a"), F.col("b"), F.col("sig_a"), F.col("sig_b"))).select("a", "b")
+
+
 def match_pairs(keys: DataFrame) -> DataFrame:
     """``keys``: key, sig. All pairs of different keys that match (a < b), found by blocking that misses none."""
     k = cut(keys)
-    blocks = k.select("key", "sig", F.explode(M.band_keys(F.col("key"), F.col("sig"))).alias("block"))
-    a = blocks.select("block", F.col("key").alias("a"), F.col("sig").alias("sig_a"))
-    b = blocks.select("block", F.col("key").alias("b"), F.col("sig").alias("sig_b"))
-    near = a.join(b, "block").filter("a < b").filter(M.keys_match(F.col("a"), F.col("b"), F.col("sig_a"), F.col("sig_b")))
-    return near.select("a", "b").distinct()
+    # blocks are many times what Spark takes them for, since it doesn't see how long signatures and arrays are; so none is broadcast
+    near = blocked(k, "a").join(blocked(k, "b").hint("merge"), "block").filter("a < b").select("a", "b").distinct()
+    return alike(near, k, k)
 
 
 def match_two_sides(probes: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (probe key, name key) that match; both sides have key, sig."""
-    a = probes.select(F.col("key").alias("p"), F.col("sig").alias("sig_p"), F.explode(M.band_keys(F.col("key"), F.col("sig"))).alias("block"))
-    b = names.select(F.col("key").alias("n"), F.col("sig").alias("sig_n"), F.explode(M.band_keys(F.col("key"), F.col("sig"))).alias("block"))
-    return a.join(b, "block").filter(M.keys_match(F.col("p"), F.col("n"), F.col("sig_p"), F.col("sig_n"))).select("p", "n").distinct()
+    near = blocked(probes, "a").join(blocked(names, "b").hint("merge"), "block").select("a", "b").distinct()
+    return alike(near, probes, names).select(F.col("a").alias("p"), F.col("b").alias("n"))
 
 
 def alias_pairs(labels: DataFrame) -> DataFrame:
@@ -81,22 +90,29 @@ def exact_lookup(probes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def fuzzy_lookup(probes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, slug): exact match first; on a miss the first node by slug with a matching name; else null."""
-    p = cut(probes.select("name", normalize_label(F.col("name")).alias("key")).distinct())
-    index = name_index(nodes)
-    hit = p.join(index, "key").select("name", "slug")
-    missed = p.join(index, "key", "left_anti")
-    known = cut(names(nodes).select("key").distinct().withColumn("sig", M.signature(F.col("key"))))
-    near = match_two_sides(missed.select("key").distinct().withColumn("sig", M.signature(F.col("key"))), known)
-    slugs = near.join(names(nodes).select(F.col("key").alias("n"), "slug"), "n").groupBy("p").agg(F.min("slug").alias("slug"))
-    return hit.unionByName(missed.join(slugs.withColumnRenamed("p", "key"), "key", "left").select("name", "slug"))
+    return looked_up(cut(probes.select("name", normalize_label(F.col("name")).alias("key")).distinct()), nodes)
+
+
+def looked_up(p: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``fuzzy_lookup`` of names with their keys (name, key). Names may be many, so no side is broadcast, and only those are signed whose numbers some node has."""
+    listed = cut(names(nodes).groupBy("key").agg(F.min("slug").alias("slug")))
+    found = cut(p.join(listed.hint("merge"), "key", "left"))
+    numbers = F.array_join(M.numeric_tokens(F.col("key")), ",").alias("numbers")
+    missed = found.filter("slug is null").select("key", numbers).distinct().hint("merge").join(listed.select(numbers).distinct(), "numbers", "left_semi").select("key")
+    met = listed.select("key", numbers).hint("merge").join(missed.select(numbers).distinct(), "numbers", "left_semi").select("key")
+    signed_keys = lambda keys: cut(keys.withColumn("sig", M.signature(F.col("key"))))
+    near = match_two_sides(signed_keys(cut(missed)), signed_keys(cut(met)))
+    slugs = near.join(listed.withColumnRenamed("key", "n").hint("merge"), "n").groupBy(F.col("p").alias("key")).agg(F.min("slug").alias("near"))
+    return found.join(slugs.hint("merge"), "key", "left").select("name", F.coalesce("slug", "near").alias("slug"))
 
 
 def resolve_links(targets: DataFrame, notes: DataFrame, concepts: DataFrame, entities: DataFrame) -> DataFrame:
     """``targets``: name. (name, type, slug): a note of that slug, else a concept, else an entity; others are dropped."""
-    n = targets.select("name").distinct().join(notes.select(F.col("slug").alias("name"), F.col("slug").alias("note")), "name", "left")
-    c = fuzzy_lookup(targets, concepts).withColumnRenamed("slug", "concept")
-    e = fuzzy_lookup(targets, entities).withColumnRenamed("slug", "entity")
-    j = n.join(c, "name", "left").join(e, "name", "left")
+    p = cut(targets.select("name", normalize_label(F.col("name")).alias("key")).distinct())
+    n = p.select("name").join(notes.select(F.col("slug").alias("name"), F.col("slug").alias("note")).hint("merge"), "name", "left")
+    c = looked_up(p, concepts).withColumnRenamed("slug", "concept")
+    e = looked_up(p, entities).withColumnRenamed("slug", "entity")
+    j = n.join(c.hint("merge"), "name", "left").join(e.hint("merge"), "name", "left")
     kind = F.when(F.col("note").isNotNull(), "note").when(F.col("concept").isNotNull(), "concept").when(F.col("entity").isNotNull(), "entity")
     return j.select("name", kind.alias("type"), F.coalesce("note", "concept", "entity").alias("slug")).filter("type is not null")
 
