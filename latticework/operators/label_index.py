@@ -84,16 +84,19 @@ def grams(index: LabelIndex, texts: DataFrame) -> DataFrame:
 
 def search(index: LabelIndex, texts: DataFrame, hidden: tuple[str, ...] = (), limit: int | None = 12) -> DataFrame:
     """``texts``: qid, text. ``qid``, ``id``, ``label``, ``type`` of the nodes whose label contains the text; the ``limit`` first of each by label and id, which is what a search box shows, with their ``place``; all if None."""
-    wanted = grams(index, cleaned(texts))
+    asked = cleaned(texts)
+    # a text that many ask for is looked up once
+    wanted = grams(index, asked.select(F.col("text").alias("qid"), "text").distinct())
     rows = index.read("postings", POSTINGS, index.asked(wanted.select("gram")))
     if hidden:
         rows = rows.filter(~F.col("type").isin(*hidden))
     # a label meets a short text once for each piece that begins with it: how often the row is there shows in the piece that it has most often
-    hits = rows.join(wanted.select("qid", "text", "gram"), "gram").filter(F.contains(F.lower("label"), F.col("text")))
-    per = hits.groupBy("qid", "text", "id", "label", "type", "gram").agg(F.count("*").alias("times")).groupBy("qid", "id", "label", "type").agg(F.max("times").alias("times"))
-    found = per.select("qid", "id", "label", "type", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")).drop("copy")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("label", "id"))
-    return found.withColumn("place", place).filter(F.col("place") <= limit) if limit else found
+    hits = rows.join(wanted.select("text", "gram"), "gram").filter(F.contains(F.lower("label"), F.col("text")))
+    per = hits.groupBy("text", "id", "label", "type", "gram").agg(F.count("*").alias("times")).groupBy("text", "id", "label", "type").agg(F.max("times").alias("times"))
+    found = per.select("text", "id", "label", "type", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")).drop("copy")
+    if limit:
+        found = found.withColumn("place", F.row_number().over(Window.partitionBy("text").orderBy("label", "id"))).filter(F.col("place") <= limit)
+    return asked.join(found, "text").drop("text")
 
 
 def rows_read(index: LabelIndex, texts: DataFrame) -> tuple[int, int]:

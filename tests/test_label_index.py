@@ -40,3 +40,13 @@ def test_few_rows_are_read(spark, tmp_path):
 def test_empty(spark, tmp_path):
     index = LI.built(spark.createDataFrame([], NODE), str(tmp_path / "labels"))
     assert LI.search(index, spark.createDataFrame([("q", "abc"), ("r", "")], "qid string, text string")).count() == 0
+
+
+def test_a_text_that_many_ask_for_is_looked_up_once(spark, tmp_path, monkeypatch):
+    nodes = spark.range(50).selectExpr("concat('n', id) as id", "concat('label ', id) as label", "'note' as type")
+    index, asked, grams = LI.built(nodes, str(tmp_path / "labels"), 4), [], LI.grams
+    monkeypatch.setattr(LI, "grams", lambda index, texts: (asked.append(texts.count()), grams(index, texts))[1])
+    texts = spark.range(200).selectExpr("concat('q', id) as qid", "if(id % 2 = 0, ' Label 7', 'bel 4') as text")
+    found = LI.search(index, texts, limit=3).collect()
+    assert asked == [2] and len(found) == 100 * 1 + 100 * 3
+    assert {(r.id, r.place) for r in found if r.qid == "q1"} == {("n4", 1), ("n40", 2), ("n41", 3)}
