@@ -11,8 +11,8 @@ ratios decide the rest. A ratio is compressed bytes over bytes. A document is ke
 
 A ratio below its band means repetition or poor wording, above it text that doesn't compress (encoded or random bytes). How well good text
 compresses depends on its length and on the corpus, so ``Bands.fit`` learns the limits from labelled rows: a curve of the ratio over
-the length, and quantiles of what good texts of like length deviate from it (``TAILS`` at either end, and ``MARGIN``). The sample is bounded and documented: ``PER_FIT`` good
-rows (those of least hash of the id) that aren't held out, whole texts, measured on the workers; four numbers a row reach the driver. Without
+the length, and quantiles of what good texts of like length deviate from it (``TAILS`` at either end, and ``MARGIN``). All good
+rows that aren't held out have a say, whole texts, measured on the workers; sums and counts by steps reach the driver. Without
 ``LEAST_FIT`` labelled rows the wide default limits hold.
 
 Edge cases: a null text counts as empty, has no words and is rejected by the base rules; a very long text is measured whole, in one
@@ -31,11 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, text_udf
-from .labels import labelled_ids, texts_of
+from .common import freed, fresh, stored, table, text_udf
+from .labels import known
 
-#: Labelled good rows that limits are learnt from, the fewest that will do, and rows around a length that tell its quantiles.
-PER_FIT, LEAST_FIT, NEAREST = 4000, 200, 400
+#: The fewest labelled good rows that will do, and rows around a length that tell its quantiles (a tenth of all if that is more).
+LEAST_FIT, NEAREST = 200, 400
+#: Cells of a doubling of the length, and steps of ratios and deviations, by which rows are counted.
+CELLS, STEP = 8, 0.001
 #: Share of good texts beyond the quantile at either end, room left beyond it, and more room for each doubling beyond the sample's lengths (shares of the ratio).
 TAILS, MARGIN, WIDER = 0.001, 0.01, 0.05
 
@@ -71,23 +73,43 @@ class Bands:
         if len(rows) < LEAST_FIT:
             return Bands(**settings)
         x, y = np.log2(rows[:, 0]), np.log(rows[:, 1])
-        terms = lambda v: np.stack([np.ones_like(v), 1 / v, 1 / v**2], 1)
-        w = np.linalg.lstsq(terms(x), y, rcond=None)[0]
-        rest = y - terms(x) @ w
+        terms = np.stack([np.ones_like(x), 1 / x, 1 / x**2], 1)
+        w = np.linalg.lstsq(terms, y, rcond=None)[0]
+        counted = lambda *columns: [(*map(int, k), int(n)) for k, n in zip(*np.unique(np.stack([np.floor(c) for c in columns], 1), axis=0, return_counts=True), strict=True)]
+        chunked = rows[rows[:, 3] > 0]
+        low, high = (counted(chunked[:, c] / STEP) if len(chunked) else [] for c in (2, 3))
+        return Bands.learnt(w, (x.min(), x.max()), counted(x * CELLS, (y - terms @ w) / STEP), low, high, **settings)
+
+    @staticmethod
+    def learnt(w, sizes: tuple[float, float], rest: list[tuple[int, int, int]], low: list[tuple[int, int]], high: list[tuple[int, int]], **settings) -> Bands:
+        """``w``: the curve; ``sizes``: least and most binary logarithm of a length; ``rest``: cell of the length, step of the deviation, how many texts; ``low``, ``high``: step of the chunk ratio, how many texts."""
+        least, most = sizes
+        cell, step, n = np.array(rest).T
         limits = []
         for k in range(6, 31):
-            near = rest[np.argsort(np.abs(x - k), kind="stable")[:NEAREST]]
-            # the ratio falls with the length: beyond the sample each limit follows the curve or stays, whichever is wider
-            curve_low, curve_high = (terms(np.array([max(k, x.min()), min(k, x.max())])) @ w).tolist()
-            low, high = np.quantile(near, [TAILS, 1 - TAILS])
-            slack = MARGIN + WIDER * max(0.0, k - x.max(), x.min() - k)
-            limits.append((float(2**k), float(np.exp(curve_low + low - slack)), float(np.exp(curve_high + high + slack))))
-        chunked = rows[rows[:, 3] > 0]
-        if len(chunked) >= LEAST_FIT:
-            settings["chunk_limits"] = (float(np.quantile(chunked[:, 2], TAILS) * (1 - MARGIN)), float(np.quantile(chunked[:, 3], 1 - TAILS) * (1 + MARGIN)))
+            # whole cells around the length, the nearest first, until they hold enough texts
+            away = np.abs((cell + 0.5) / CELLS - k)
+            far = np.sort(away)[np.searchsorted(np.cumsum(n[np.argsort(away, kind="stable")]), min(n.sum(), max(NEAREST, n.sum() // 10)))]
+            near = away <= far
+            # the ratio falls with the length: beyond the texts' lengths each limit follows the curve or stays, whichever is wider
+            curve_low, curve_high = (w[0] + w[1] / v + w[2] / v**2 for v in (max(k, least), min(k, most)))
+            slack = MARGIN + WIDER * max(0.0, k - most, least - k)
+            tails = outer(step[near], n[near])
+            limits.append((float(2**k), float(np.exp(curve_low + tails[0] - slack)), float(np.exp(curve_high + tails[1] + slack))))
+        if sum(m for _, m in low) >= LEAST_FIT:
+            settings["chunk_limits"] = (outer(*np.array(low).T)[0] * (1 - MARGIN), outer(*np.array(high).T)[1] * (1 + MARGIN))
         return Bands(tuple(limits), **settings)
 
 
+def outer(step: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """The quantiles of ``TAILS`` at both ends of values counted by steps, outwards to the edge of a step."""
+    order = np.argsort(step, kind="stable")
+    step, upto = step[order], np.cumsum(n[order])
+    last = int(upto[-1]) - 1
+    at = lambda i: int(step[np.searchsorted(upto, i, side="right")])
+    return at(int(TAILS * last)) * STEP, (at(last - int(TAILS * last)) + 1) * STEP
+
+
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long"
@@ -173,11 +195,27 @@ def make_sample_row(bands: Bands):
     return row
 
 
-def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", per_class: int = PER_FIT) -> Bands:
-    """Bands learnt from the documents labelled good. At most ``per_class`` rows of four numbers are collected."""
+def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality") -> Bands:
+    """Bands learnt from all documents labelled good. Each document is measured where it lies, so that the join with the labels moves no text; the driver gets sums and counts by steps, as many rows at most as there are steps."""
     run = text_udf(lambda: make_sample_row(Bands()), "size long, ratio double, low double, high double")
-    good = texts_of(docs, labelled_ids(labels, 1, per_class, id_col, label), text, id_col)
-    return Bands.fit([tuple(r[0]) for r in good.select(run("text").alias("r")).collect()])
+    measured = docs.select(F.col(id_col).alias("id"), run(F.col(text)).alias("r")).filter("id is not null and r.size >= 64")
+    good = known(labels, id_col, label).filter("y = 1").select("id").hint("merge")
+    rows = measured.join(good, "id").groupBy("id").agg(F.min("r").alias("r")).select("r.*")
+    rows = stored(rows.withColumns({"x": F.log2("size"), "y": F.log("ratio")}), "ratios")
+    # sums of decimals don't depend on the order of rows
+    sums = [F.sum(c.cast("decimal(38,15)")) for c in [F.lit(1) / F.col("x") ** i for i in range(5)] + [F.col("y") / F.col("x") ** i for i in range(3)]]
+    total, least, most, *s = rows.agg(F.count("*"), F.min("x"), F.max("x"), *sums).first()
+    if total < LEAST_FIT:
+        freed(rows)
+        return Bands()
+    p = np.array(s, float)
+    w = np.linalg.lstsq(np.array([p[i : i + 3] for i in range(3)]), p[5:], rcond=None)[0].tolist()
+    rest = F.col("y") - (F.lit(w[0]) + F.lit(w[1]) / F.col("x") + F.lit(w[2]) / F.col("x") ** 2)
+    counted = lambda some, *columns: sorted(map(tuple, some.groupBy(*(F.floor(c).alias(f"c{i}") for i, c in enumerate(columns))).count().collect()))
+    chunked = rows.filter("high > 0")
+    bands = Bands.learnt(w, (least, most), counted(rows, F.col("x") * CELLS, rest / STEP), *(counted(chunked, F.col(c) / STEP) for c in ("low", "high")))
+    freed(rows)
+    return bands
 
 
 def measure(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bands: Bands = Bands()) -> DataFrame:
