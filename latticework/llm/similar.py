@@ -7,19 +7,17 @@ If that shingle is rare it is a key of both. If it is frequent, all that they sh
 shingles lie in prefixes longer by one, and the combination of the two is a key of both. So keys are single rare shingles
 and pairs of frequent ones, and a passage that many documents share brings them together only if they share little else.
 
-1. ``sets``: size and 128-bit digest of each set, and shingles that are frequent within a batch. Equal sets are one class.
-2. ``keys``: (key, document). Within a batch a key keeps its least document as leader; the others are tied to it directly. So a hot
-   key reaches the shuffle once for each batch, and no key emits all its pairs: (leader, member) pairs are the candidates.
-3. Candidates are compared exactly by their whole sets, and connected components taken.
-4. If a leader and a member turn out in different components, or can't link by their sizes, their key may hide links between other members: all
-   documents that share any key then give their keys again, each for two bands of sizes, so that documents that may link by size share one; those
-   that share such a key with one leader form a group. Pairs of a group that lie in different components are compared by bit maps, in blocks,
-   and what may link by whole sets. After that every pair that shares a key and fits by size is in one component or was compared, so no link is lost.
+1. ``sets``: size, 64-bit digest and bit map of each set, and shingles that are frequent within a batch. Equal sets are one node.
+2. ``keys``: (key, set), packed by bucket of the key. A key of one set only goes. The others are split by bands of sizes, so that sets that may link by size share
+   a band's key; sets that share such a key with a leader, the least of a key, form the leader's group. So each pair that shares a key and fits by size lies in a group.
+3. All pairs of a group are compared: by bit maps, then exactly by whole sets those that have a partner by their maps. Large groups are cut into blocks.
+4. A pair counts in the group of its least common leader only, so ``n_links`` counts each link once; no pair leaves its task, only counts and a forest of the links,
+   from which connected components are taken.
 
-Shingles are 64-bit hashes: two different shingles are taken for one with a chance of 2^-64 for each pair of shingles compared.
+Shingles and sets are 64-bit hashes: two different ones are taken for one with a chance of 2^-64 for each pair compared.
 
 Edge cases: null and empty texts, or texts without words, have size 0 and link with nothing; with fewer than 5 words the whole
-sequence is the one shingle; a very long text is cut into shingles whole, in one worker's memory (8 bytes a shingle); rows with one id are one node, whatever their texts; a null id can link others but is no component id (a component of null
+sequence is the one shingle; a very long text is cut into shingles whole, in one worker's memory (8 bytes a shingle); rows with one id are one node of the components, whatever their texts; a null id can link others but is no component id (a component of null
 ids only has a null component_id); an empty table gives an empty result; extra columns are dropped by ``classes``, kept by ``one_of_each``.
 """
 
@@ -32,10 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
-from .common import freed, fresh, slices, stored, table, tidied
+from .common import freed, fresh, slices, stored, table, tidied, tidy
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -51,9 +48,14 @@ BROADCAST_NODES = 500_000
 HEAVY_LEAST, HEAVY_MOST = 1000, 100_000
 #: Ratio of sizes within a band, a little over 100 / PERCENT: sets that link lie in one band or in neighbours.
 BAND = 100 / PERCENT * (1 + 1e-6)
-#: Documents of a group that are compared at once, and bytes of text that are cut into shingles together.
-BLOCK = 2000
+#: Sets of a group in a block (two blocks are compared at once), and bytes of text that are cut into shingles together.
+BLOCK = 1000
 PIECE_BYTES = 8_000_000
+#: Keys in a bucket, about; rows of groups in a unit of comparison; bytes of maps, and cells of a matrix, in memory at once.
+BUCKET_KEYS, UNIT_ROWS, MAP_BYTES, CELLS = 400_000, 2000, 16_000_000, 4_000_000
+SPREAD = U(0xA0761D6478BD642F)
+#: A key, its set and the band of the set's size, as they are packed.
+PACKED = np.dtype([("key", "<u8"), ("s", "<i8"), ("band", "<i2")])
 
 
 def needed(n):
@@ -76,27 +78,32 @@ def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, lis
         yield pa.array(ids, pa.int64()), texts
 
 
+def digest(tokens: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+
+
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: document, size, digest of its set; of kind 1: shingle, documents of the batch, their least and largest size."""
+    """Rows of kind 0: document, size, digest of its set, its map; of kind 1: shingle, documents of the batch, their least and largest size."""
+    names = ["kind", "v", "n", "s", "map", "low", "high"]
     for ids, texts in in_pieces(batches):
         sets = shingle_sets(texts)
         sizes = np.array([len(s) for s in sets], np.int64)
-        digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        digests = [digest(s) if len(s) else None for s in sets]
         n = len(sets)
+        seen: set[int | None] = {None}
+        fresh_sets = [i for i, d in enumerate(digests) if not (d in seen or seen.add(d))]  # equal sets count once
+        maps: list[bytes | None] = [None] * n
+        for i in fresh_sets:
+            maps[i] = bitmap(sets[i])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(n, np.int32)), ids, pa.array(sizes), pa.array(digests, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-            names=["kind", "v", "n", "digest", "low", "high"],
+            [pa.array(np.zeros(n, np.int32)), ids, pa.array(sizes), pa.array(digests, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names
         )
         least = max(FREQUENT_LEAST, int(n * FREQUENT_SHARE))
-        if n < least:
-            continue
-        seen: set[bytes | None] = {None}
-        fresh_sets = [i for i, d in enumerate(digests) if not (d in seen or seen.add(d))]  # equal sets count once
         if len(fresh_sets) < least:
             continue
         tokens = np.concatenate([sets[i] for i in fresh_sets])
         size = np.repeat(sizes[fresh_sets], sizes[fresh_sets])
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens)
         tokens, size = tokens[order], size[order]
         first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         count = np.diff(np.append(first, len(tokens)))
@@ -105,8 +112,8 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = np.minimum.reduceat(size, first)[often], np.maximum.reduceat(size, first)[often]
             k = len(often)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(k, np.int32)), pa.array(tokens[first[often]].view(np.int64)), pa.array(count[often]), pa.nulls(k, pa.binary()), pa.array(low), pa.array(high)],
-                names=["kind", "v", "n", "digest", "low", "high"],
+                [pa.array(np.ones(k, np.int32)), pa.array(tokens[first[often]].view(np.int64)), pa.array(count[often]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(low), pa.array(high)],
+                names=names,
             )
 
 
@@ -128,55 +135,62 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nd
     return tokens[:prefix]
 
 
-def make_keys(frequent: np.ndarray, rank: np.ndarray, combine: bool):
-    """Rows (key, v). With ``combine``, a key keeps its least document of the batch; a member is tied to it by a key of their own. Without, a key goes
-    with the band of the document's size and with the next band, so that sets that fit by size and share a key share one of these."""
+def make_keys(frequent: np.ndarray, rank: np.ndarray, buckets: int):
+    """Rows (bucket, part): the keys of a batch's distinct sets, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in in_pieces(batches):
-            v = ids.to_numpy(zero_copy_only=False)
-            sets = shingle_sets(texts)
-            if combine:  # of equal sets the least document stands for all
-                by: dict[bytes, int] = {}
-                for i in np.argsort(v, kind="stable").tolist():
-                    if len(sets[i]):
-                        by.setdefault(sets[i].tobytes(), i)
-                chosen = list(by.values())
-                by = {}
-            else:
-                chosen = [i for i, s in enumerate(sets) if len(s)]
-            if not chosen:
+        for _, texts in in_pieces(batches):
+            by = {digest(s): s for s in shingle_sets(texts) if len(s)}
+            if not by:
                 continue
-            found = [keys_of(sets[i], frequent, rank) for i in chosen]
-            keys = np.concatenate(found)
-            docs = np.repeat(v[chosen], [len(k) for k in found])
-            if combine:
-                order = np.lexsort((docs, keys))
-                keys, docs = keys[order], docs[order]
-                first = np.concatenate(([True], keys[1:] != keys[:-1]))
-                leader = docs[np.flatnonzero(first)][np.cumsum(first) - 1]
-                tied = leader != docs
-                pairs = np.unique(np.stack((leader[tied], docs[tied]), 1), axis=0)
-                own = mix(mix(pairs[:, 0].astype(np.int64).view(U)) + pairs[:, 1].astype(np.int64).view(U) * U(0xA0761D6478BD642F))
-                keys = np.concatenate((keys[first], own, own))
-                docs = np.concatenate((docs[first], pairs[:, 0], pairs[:, 1]))
-            else:
-                sizes = np.array([len(sets[i]) for i in chosen])
-                band = np.repeat((np.log(sizes) / np.log(BAND)).astype(np.int64).view(U), [len(k) for k in found])
-                keys = np.concatenate([mix(keys + (band + U(k)) * U(0xA0761D6478BD642F)) for k in (1, 2)])
-                docs = np.concatenate((docs, docs))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs)], names=["key", "v"])
+            found = [keys_of(s, frequent, rank) for s in by.values()]
+            counts = [len(k) for k in found]
+            out = np.zeros(sum(counts), PACKED)
+            out["key"] = np.concatenate(found)
+            out["s"] = np.repeat(np.array(list(by), np.int64), counts)
+            sizes = np.array([len(s) for s in by.values()])
+            out["band"] = np.repeat((np.log(sizes) / np.log(BAND)).astype(np.int16), counts)
+            bucket = (mix(out["key"] + SPREAD) % U(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            out, bucket = out[order], bucket[order]
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            ends = np.append(first[1:], len(out))
+            parts = [out[x:y].tobytes() for x, y in zip(first.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(parts, pa.binary())], names=["bucket", "part"])
 
     return run
 
 
+def distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by x, then y; each pair once."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    keep = np.ones(len(x), bool)
+    keep[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[keep], y[keep]
+
+
+def leaders(t: pa.Table) -> pa.Table:
+    """A bucket of keys: (leader, s), sets that share a key of a band with others, each with the least of these."""
+    rows = np.frombuffer(b"".join(t.column("part").to_pylist()), PACKED)
+    key = np.ascontiguousarray(rows["key"])
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    rows = rows[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]]
+    key, s, band = (np.ascontiguousarray(rows[c]) for c in ("key", "s", "band"))
+    # sets whose sizes fit lie in one band or in neighbours
+    key, s = distinct_pairs(np.concatenate([mix(key + (band.astype(np.int64) + k).astype(U) * SPREAD) for k in (1, 2)]), np.concatenate((s, s)))
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    several = np.repeat(count, count) > 1
+    leader, s = distinct_pairs(np.repeat(s[first], count)[several], s[several])
+    return pa.table([pa.array(leader), pa.array(s)], names=["leader", "s"])
+
+
 def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in in_pieces(batches):
-        sets = shingle_sets(texts)
-        ends = np.cumsum([0, *(len(s) for s in sets)])
-        flat = np.concatenate(sets) if sets else np.zeros(0, U)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([ids, lists], names=["v", "tokens"])
+    for _, texts in in_pieces(batches):
+        by = {digest(s): s for s in shingle_sets(texts) if len(s)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([s.tobytes() for s in by.values()], pa.binary())], names=["s", "tokens"])
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -187,121 +201,116 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def may_link(x: bytes, y: bytes, nx: int, ny: int) -> bool:
-    """False only if the sets of these maps can't link. A bit of x that y lacks is a shingle of x that y lacks; sets that link lack few of each other's."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):  # fold the larger map: its first and second half
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
+def may_link(x, y, nx, ny):
+    """False only if the sets of these maps (or of the rows of two matrices of maps) can't link. A bit of x that y lacks is a shingle of x that y lacks; sets that link lack few of each other's."""
+    a, b = (np.frombuffer(m, U) if isinstance(m, bytes) else m for m in (x, y))
+    while a.shape[-1] > b.shape[-1]:  # fold the larger map: its first and second half
+        a = a[..., : a.shape[-1] // 2] | a[..., a.shape[-1] // 2 :]
+    while b.shape[-1] > a.shape[-1]:
+        b = b[..., : b.shape[-1] // 2] | b[..., b.shape[-1] // 2 :]
     overlap = -(-PERCENT * (nx + ny) // (100 + PERCENT))
-    both = int(np.bitwise_count(a & b).sum())
-    return int(np.bitwise_count(a).sum()) - both <= nx - overlap and int(np.bitwise_count(b).sum()) - both <= ny - overlap
-
-
-def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in in_pieces(batches):
-        sets = shingle_sets(texts)
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["v", "n", "map"])
-
+    ones = lambda m: np.bitwise_count(m).sum(-1, dtype=np.int64)
+    both = ones(a & b)
+    return (ones(a) - both <= nx - overlap) & (ones(b) - both <= ny - overlap)
 
-def possible(x: pa.Array, y: pa.Array, nx: pa.Array, ny: pa.Array) -> pa.Array:
-    return pa.array(map(may_link, x.to_pylist(), y.to_pylist(), nx.to_pylist(), ny.to_pylist()), pa.bool_())
 
+def stretches_of(*columns: np.ndarray) -> np.ndarray:
+    """Starts of the stretches of rows that are equal in these columns, and the end of all."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), len(new))
 
-def only(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The documents among ``nodes`` (n of them): broadcast if few, else by a shuffle."""
-    return docs.join(F.broadcast(nodes) if n <= BROADCAST_NODES else nodes, "v", "left_semi")
 
-
-def ends_of(pairs: DataFrame, label: str) -> tuple[DataFrame, int]:
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), label)
-    return nodes, nodes.count()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b) whose sets link. Bit maps, a sixteenth of the sets in size, rule out most of the others; the rest is compared by whole sets."""
-    maps = stored(only(docs, *ends_of(pairs, f"{label}-nodes")).mapInArrow(tidied(bitmaps), "v long, n long, map binary").distinct(), f"{label}-maps")
-    side = lambda v, n, m: maps.select(F.col("v").alias(v), F.col("n").alias(n), F.col("map").alias(m))
-    test = F.arrow_udf(possible, BooleanType())
-    left = pairs.join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").filter(test("x", "y", "nx", "ny"))
-    likely = stored(left.select("a", "b").distinct(), f"{label}-likely")
-    sets = stored(only(docs, *ends_of(likely, f"{label}-ends")).mapInArrow(tidied(token_sets), "v long, tokens array<long>").distinct(), f"{label}-sets")
-    left = likely.join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    out = both.filter(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
-    out = stored(out, f"{label}-links")
-    freed(maps, sets, likely)
-    return out
-
-
-def near(v: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[bytes], block: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs of places in different components (and blocks, if given) that may link by their maps: (i, all j), each pair once. A row of a bit matrix at a time."""
-    size = np.array([len(m) for m in maps], np.int64)
-    values, counts = np.unique(comp, return_counts=True)
-    largest = values[counts.argmax()]
-    matrix = {s: np.frombuffer(b"".join([maps[i] for i in np.flatnonzero(size == s)]), np.uint64).reshape(-1, s // 8) for s in np.unique(size).tolist()}
-    for s, a in matrix.items():
-        rows = np.flatnonzero(size == s)
-        ones_a = np.bitwise_count(a).sum(1, dtype=np.int64)
-        others = [(rows, a, ones_a)]
-        if 2 * s in matrix:
-            m = matrix[2 * s]
-            folded = m[:, : s // 8] | m[:, s // 8 :]
-            others.append((np.flatnonzero(size == 2 * s), folded, np.bitwise_count(folded).sum(1, dtype=np.int64)))
-        for cols, b, ones_b in others:
-            # from a row outside of the largest component, to the largest or to a later row
-            for k, i in enumerate(rows.tolist()):
-                if comp[i] == largest and cols is rows:
-                    continue
-                both = np.bitwise_count(b & a[k]).sum(1, dtype=np.int64)
-                overlap = -(-PERCENT * (n[i] + n[cols]) // (100 + PERCENT))
-                ok = (comp[cols] != comp[i]) & (ones_a[k] - both <= n[i] - overlap) & (ones_b - both <= n[cols] - overlap)
-                if cols is rows:
-                    ok &= (cols > i) | (comp[cols] == largest)
-                if block is not None:
-                    ok &= block[cols] != block[i]
-                if ok.any():
-                    yield i, cols[ok]
+def in_order(t: pa.Table) -> pa.Table:
+    return t.sort_by([("leader", "ascending"), ("p", "ascending"), ("q", "ascending")]).combine_chunks()
 
 
 def near_nodes(t: pa.Table) -> pa.Table:
-    """A group, or a pair of its blocks: leader, p, q, v, comp, n, map, block. Its rows that have a partner by their maps."""
-    v, comp, n, block, p, q = (t.column(c).to_numpy() for c in ("v", "comp", "n", "block", "p", "q"))
-    hit = np.zeros(len(v), bool)
-    for i, js in near(v, comp, n, t.column("map").to_pylist(), block if p[0] != q[0] else None):
-        hit[i] = True
-        hit[js] = True
-    return t.select(["leader", "p", "q", "v", "comp", "block"]).filter(pa.array(hit))
+    """A unit of groups, or of pairs of their blocks: leader, p, q, s, block, n, map. Its rows that have a partner by their maps."""
+    t = in_order(t)
+    leader, p, q, block, n = (t.column(c).to_numpy() for c in ("leader", "p", "q", "block", "n"))
+    maps = t.column("map").to_pylist()
+    size = np.array([len(m) for m in maps], np.int64)
+    place = np.zeros(len(maps), np.int64)
+    matrix = {}
+    for w in np.unique(size).tolist():
+        at = np.flatnonzero(size == w)
+        place[at] = np.arange(len(at))
+        matrix[w] = np.frombuffer(b"".join([maps[i] for i in at]), U).reshape(len(at), w // 8)
+    starts = stretches_of(leader, p, q)
+    later = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(maps)) - 1  # partners of a row: those after it in its stretch
+    hit = np.zeros(len(maps), bool)
+    part = np.cumsum(later) // CELLS
+    for k in np.unique(part).tolist():
+        rows = np.flatnonzero(part == k)
+        count = later[rows]
+        i = np.repeat(rows, count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        fits = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & ((p[i] == q[i]) | (block[i] != block[j]))
+        i, j = i[fits], j[fits]
+        code = size[i] << 32 | size[j]
+        for c in np.unique(code).tolist():
+            x, y = i[code == c], j[code == c]
+            step = max(1, MAP_BYTES // max(c >> 32, c & 0xFFFFFFFF))
+            for at in range(0, len(x), step):
+                u, v = x[at : at + step], y[at : at + step]
+                ok = may_link(matrix[c >> 32][place[u]], matrix[c & 0xFFFFFFFF][place[v]], n[u], n[v])
+                hit[u[ok]] = True
+                hit[v[ok]] = True
+    return t.select(["leader", "p", "q", "s", "block"]).filter(pa.array(hit))
+
+
+def shared(own: np.ndarray, what: np.ndarray, rows: int) -> np.ndarray:
+    """``own``: rows, ``what``: what each has, distinct for a row. How many each two rows share: products of slices of the matrix of rows and what several have."""
+    _, inverse, count = np.unique(what, return_inverse=True, return_counts=True)
+    several = count[inverse] > 1
+    column = (np.cumsum(count > 1) - 1)[inverse[several]]
+    order = np.argsort(column, kind="stable")
+    own, column = own[several][order], column[order]
+    out = np.zeros((rows, rows), np.int64)
+    step = max(1, CELLS // rows)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        lo, hi = np.searchsorted(column, (at, at + step))
+        a = np.zeros((rows, min(step, int(column[-1]) + 1 - at)), np.float32)
+        a[own[lo:hi], column[lo:hi] - at] = 1
+        out += (a @ a.T).astype(np.int64)
+    return out
 
 
 def group_links(t: pa.Table) -> pa.Table:
-    """The same rows with ``tokens`` instead of maps. Links by whole sets, as few as join what links: a pair that earlier links have joined isn't compared."""
-    v, comp, block, p, q = (t.column(c).to_numpy() for c in ("v", "comp", "block", "p", "q"))
-    column = t.column("tokens").combine_chunks()
-    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-    sets = [flat[a:b].view(U) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    n = np.array([len(s) for s in sets], np.int64)
-    root = {c: c for c in comp.tolist()}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    found = []
-    for i, js in near(v, comp, n, [bitmap(s) for s in sets], block if p[0] != q[0] else None):
-        for j in js.tolist():
-            x, y = find(int(comp[i])), find(int(comp[j]))
-            if x == y:
-                continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= PERCENT * (n[i] + n[j] - common):
-                root[max(x, y)] = min(x, y)
-                found.append((min(v[i], v[j]), max(v[i], v[j])))
-    return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    """The same rows with ``tokens``, ``copies`` and the set's ``leaders`` instead of maps. A row (s, root, links) for each that links: a set that it reaches in its group, and the documents it links
+    with, those aside that belong to a lesser common leader."""
+    t = in_order(t)
+    leader, p, q, block, s, copies = (t.column(c).to_numpy() for c in ("leader", "p", "q", "block", "s", "copies"))
+    sets = [np.frombuffer(b, U) for b in t.column("tokens").to_pylist()]
+    lists = [np.asarray(x, np.int64) for x in t.column("leaders").to_pylist()]
+    out: list[tuple[np.ndarray, ...]] = []
+    starts = stretches_of(leader, p, q).tolist()
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        m = b - a
+        n = np.array([len(x) for x in sets[a:b]], np.int64)
+        common = shared(np.repeat(np.arange(m), n), np.concatenate(sets[a:b]), m)
+        ok = 100 * common >= PERCENT * (n[:, None] + n - common)
+        np.fill_diagonal(ok, False)
+        if p[a] != q[a]:
+            ok &= block[a:b, None] != block[a:b]
+        if not ok.any():
+            continue
+        lesser = [x[x < leader[a]] for x in lists[a:b]]
+        mine = ok & (shared(np.repeat(np.arange(m), [len(x) for x in lesser]), np.concatenate(lesser), m) == 0)
+        root = np.full(m, -1)
+        for i in range(m):
+            if root[i] < 0:
+                reached = np.arange(m) == i
+                while reached.any():
+                    root[reached] = i
+                    reached = ok[reached].any(0) & (root < 0)
+        some = ok.any(1)
+        out.append((s[a:b][some], s[a:b][root[some]], (mine @ copies[a:b])[some]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["s", "root", "links"])
 
 
 def attached(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -316,32 +325,44 @@ def attached(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int)
     return done.unionByName(rest.join(facts.filter(~heavy).select(key, *names), key, "left"))
 
 
-def across(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """``groups``: leader, v, comp: all that share a key with a leader. Links between components of a group, enough to join all that link. A large group is compared in
-    blocks of about ``BLOCK`` documents, each pair of blocks a task of its own. Bit maps tell first which documents have any partner; only their sets are shuffled."""
-    nodes = stored(groups.select("v").distinct(), "group-nodes")
-    maps = stored(only(docs, nodes, nodes.count()).mapInArrow(tidied(bitmaps), "v long, n long, map binary").dropDuplicates(["v"]), "group-maps")
-    parts = groups.groupBy("leader").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-    parts = stored(parts.filter("least <> most").select("leader", "rows", "blocks"), "group-parts")
-    rows = attached(groups, parts, "leader", "rows", groups.count()).filter("blocks is not null").withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(maps, "v")
-    rows = rows.select("leader", "v", "comp", "n", "map", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    key = ["leader", "p", "q"]
-    left = stored(rows.groupBy(*key).applyInArrow(near_nodes, "leader long, p long, q long, v long, comp long, block long"), "group-left")
-    ends = stored(left.select("v").distinct(), "group-ends")
-    sets = stored(only(docs, ends, ends.count()).mapInArrow(tidied(token_sets), "v long, tokens array<long>").dropDuplicates(["v"]), "group-sets")
-    out = stored(left.join(sets, "v").groupBy(*key).applyInArrow(group_links, "a long, b long").distinct(), "group-links")
-    freed(maps, sets)
+def compared(groups: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """``groups``: leader, s: all that share a key with a leader. (s, root, links) of all that link. A large group is compared in blocks of about ``BLOCK`` sets, each pair of blocks
+    apart. Bit maps tell first which sets have any partner; only these are shuffled whole."""
+    parts = stored(groups.groupBy("leader").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).alias("blocks")), "group-parts")
+    total = groups.count()
+    rows = attached(groups, parts, "leader", "rows", total).withColumn("block", F.pmod(F.xxhash64("s"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("leader", "s", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    units = max(1, int(parts.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0] or 0) // UNIT_ROWS)
+    rows = rows.withColumn("unit", F.pmod(F.xxhash64("leader", "p", "q"), F.lit(units)))
+    rows = rows.join(sets.select("s", "n", "map"), "s")
+    left = rows.groupBy("unit").applyInArrow(tidied_table(near_nodes), "leader long, p long, q long, s long, block long")
+    left = stored(left, "group-left")
+    ends = stored(sets.select("s", "rep", "copies").join(left.select("s").distinct(), "s"), "group-ends")
+    reps = ends.select(F.col("rep").alias("v")).distinct()
+    reps = F.broadcast(reps) if ends.count() <= BROADCAST_NODES else reps
+    chosen = docs.join(reps, docs["v"].eqNullSafe(reps["v"]), "left_semi")  # sets of null ids alone come with all null ids
+    tokens = chosen.mapInArrow(tidied(token_sets), "s long, tokens binary").join(ends.select("s", "copies"), "s").dropDuplicates(["s"])
+    lists = groups.groupBy("s").agg(F.collect_list("leader").alias("leaders"))
+    facts = stored(tokens.join(lists, "s"), "group-sets")
+    whole = left.join(facts, "s").withColumn("unit", F.pmod(F.xxhash64("leader", "p", "q"), F.lit(units)))
+    out = stored(whole.groupBy("unit").applyInArrow(tidied_table(group_links), "s long, root long, links long"), "group-links")
+    freed(left, facts)
     return out
 
 
+def tidied_table(run):
+    def one(t: pa.Table) -> pa.Table:
+        out = run(t)
+        tidy()
+        return out
+
+    return one
+
+
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row per document: its id, ``n_shingles``, ``component_id``, ``n_links`` (confirmed links of its set that were needed)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    # a null id gets a place far below all others, by its text
-    node = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64(body), 2))
-    rows = docs.select(node.alias("v"), body.alias("text"))
-    found = stored(rows.mapInArrow(tidied(sets_of), "kind int, v long, n long, digest binary, low long, high long"), "sets")
+    """A row per document: its id, ``n_shingles``, ``component_id``, ``n_links`` (the other rows whose sets link with its own, copies among them)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = stored(rows.mapInArrow(tidied(sets_of), "kind int, v long, n long, s long, map binary, low long, high long"), "sets")
 
     often = found.filter("kind = 1").groupBy("v").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     often = often.filter((F.col("n") >= FREQUENT_ALL) & (F.col("high") >= SIZE_FACTOR * F.col("low")))
@@ -353,47 +374,29 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     frequent, rank = frequent[order], rank[order]
 
     sized = found.filter("kind = 0")
-    same = sized.filter("n > 0").groupBy("digest", "n").agg(F.min("v").alias("rep"), F.count("*").alias("copies"))
-    same = stored(same.select("digest", "n", "rep", "copies"), "same")
-    total = sized.count()
-    member = attached(sized.filter("n > 0").select("v", "n", "digest").distinct(), same.select("digest", "rep", F.col("copies").alias("rows")), "digest", "rows", total)
-    member = stored(member.select("v", "n", "rep"), "members")
-
-    keyed = rows.mapInArrow(tidied(make_keys(frequent, rank, True)), "key long, v long")
-    leader = F.min("v").over(Window.partitionBy("key"))
-    pairs = keyed.select("v", leader.alias("leader")).filter("v <> leader").distinct()
-    a = member.select(F.col("v").alias("leader"), F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = member.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    pairs = pairs.join(a, "leader").join(b, "v").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), fits.alias("fits")).distinct()
-    pairs = stored(pairs, "pairs")
-    links = confirmed(pairs.filter("fits").select("a", "b"), rows, "first")
-    comps = stored(components(links), "components")
-
-    # candidates that are no links, whose keys may hide others; also those that can't link by their sizes
-    at = lambda side: comps.select(F.col("v").alias(side), F.col("comp").alias(f"c{side}"))
-    apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    if apart.limit(1).count():
-        again = only(rows, *ends_of(pairs, "nodes")).mapInArrow(tidied(make_keys(frequent, rank, False)), "key long, v long").distinct()
-        again = again.join(comps, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
-        w = Window.partitionBy("key")
-        mixed = again.withColumns({"least": F.min("comp").over(w), "most": F.max("comp").over(w), "leader": F.min("v").over(w)}).filter("least <> most")
-        links = links.unionAll(across(stored(mixed.select("leader", "v", "comp").distinct(), "groups"), rows))
-        comps = stored(components(links), "components")
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    facts = same.groupBy("rep").agg(F.sum("copies").alias("rows")).join(comps.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
-    facts = stored(facts.select("rep", "rows", F.coalesce("comp", "rep").alias("comp"), "n_links"), "facts")
-    whole = attached(member.select("v", "rep"), facts, "rep", "rows", total)
-    whole = stored(whole.groupBy("v").agg(F.min("comp").alias("comp"), F.sum("n_links").alias("n_links")), "whole")
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("v")).distinct()
-    named = stored(whole.join(ids, "v").groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")), "named")
-    out = attached(sized.select("v", "n").join(whole, "v", "left"), named, "comp", "rows", total)
-    real = F.when(F.col("v") > -(1 << 61), F.col("v"))
+    total, shingles = sized.agg(F.count("*"), F.sum("n")).first()
+    # a batch gives the map of a set once
+    sets = sized.filter("n > 0").groupBy("s").agg(F.min("v").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("map", ignorenulls=True).alias("map"))
+    sets = stored(sets, "distinct")
+    buckets = max(1, (shingles or 0) * (100 - PERCENT) // 100 // BUCKET_KEYS)
+    keyed = rows.mapInArrow(tidied(make_keys(frequent, rank, buckets)), "bucket int, part binary")
+    groups = stored(keyed.groupBy("bucket").applyInArrow(tidied_table(leaders), "leader long, s long").distinct(), "groups")
+    links = compared(groups, sets, rows)
+
+    several = sized.filter("n > 0 and v is not null").groupBy("v").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least <> most")
+    one_id = sized.filter("n > 0").join(several, "v").select(F.col("s").alias("a"), F.col("least").alias("b"))
+    comps = components(links.select(F.col("s").alias("a"), F.col("root").alias("b")).unionAll(one_id)).withColumnRenamed("v", "s")
+    degree = links.groupBy("s").agg(F.sum("links").alias("links"))
+    facts = sets.select("s", "rep", "copies").join(comps, "s", "left").join(degree, "s", "left")
+    facts = facts.select("s", "rep", "copies", F.coalesce("comp", "s").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    facts = stored(facts, "facts")
+    named = stored(facts.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("rows")), "named")
+    facts = stored(attached(facts, named, "comp", "rows", total).select("s", "copies", "component_id", "n_links"), "whole")
+    out = attached(sized.select("v", "n", "s"), facts, "s", "copies", total)
     return out.select(
-        real.alias(id_col),
+        F.col("v").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("v")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 

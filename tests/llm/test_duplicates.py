@@ -302,3 +302,27 @@ def test_heavy_groups_are_joined_like_others(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "same words for all of these rows here" if i < 20 else f"row {i} has words of its own here") for i in range(40)], "doc_id long, text string")
     out = {r.doc_id: r.component_id for r in similar.classes(docs).collect()}
     assert out == {i: 0 if i < 20 else i for i in range(40)}
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    """Near copies that all link with each other, copies of a text, other groups and ids of several texts, some of them null: the number of links of each row against brute force."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=200)
+    rows = [(i, " ".join([*base[:i], "x" * (i + 1), *base[i + 1 :]])) for i in range(30)]
+    rows += [(100 + i, rows[3][1]) for i in range(4)] + [(1000 + i, t) for i, t in near_corpus(3)] + [(5, "a b c"), (7, "A b c"), (None, rows[1][1]), (8, None), (9, ""), (9, rows[0][1] + " more"), (1000, rows[2][1])]
+    sets = [shingles(t) for _, t in rows]
+    links = [sum(b != a and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+    want = sorted(((*c, n) for c, n in zip(brute_classes_in_order(rows), links, strict=True)), key=str)
+    assert max(links) >= 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block in (similar.BLOCK, 5):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        assert sorted((tuple(r) for r in similar.classes(docs).collect()), key=str) == want
+
+
+def brute_classes_in_order(rows):
+    by = {}
+    for i, n, c in brute_classes(rows):
+        by.setdefault((i, n), []).append(c)
+    return [(i, len(s), by[i, len(s)].pop()) for (i, t) in rows for s in (shingles(t),)]
