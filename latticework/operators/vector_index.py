@@ -2,9 +2,9 @@
 
 A coarse quantiser (k-means over directions) is trained on a bounded sample; every vector is indexed. A row lies in the folder of its cell with the difference from the cell's centre as one byte a dimension, the scale of
 these bytes and the length of what they lose. So a code gives the cosine within a proven error, and a cell's least closeness to its centre bounds what a query can find in it. A search reads the codes of the nearest cells, then the vectors
-of the best candidates. Its exact way takes the k-th score found so as a bar: cells whose bound is below it are not read, rows whose code and error are below it are not scored, all others are; so it gives what a full scan gives.
+of the best candidates. Codes of a cell meet the queries that ask for it in tasks of bounded size, by products of matrices; a task gives only rows that can be among a query's k. Its exact way takes the k-th score found so as a bar: cells whose bound is below it are not read, rows whose code and error are below it are not scored, all others are; so it gives what a full scan gives.
 
-New vectors are appended with the same centres; nothing is built again. Centres and bounds of cells are small tables (cells x dimensions numbers), the only thing that is broadcast beside the queries' cells, whose number is checked.
+New vectors are appended with the same centres; nothing is built again. Centres and bounds of cells are small tables (cells x dimensions numbers), the only thing that is broadcast beside candidates, whose number is checked.
 
 Edge cases: null, empty and zero vectors, and those of another length than the sample's, lie in a cell of their own, which every search reads; their score is 0 (for other lengths, what the full scan gives). Fewer than k rows: all of them.
 """
@@ -25,13 +25,15 @@ from ..storage import stored
 
 SAMPLE, ROUNDS, SEED = 20_000, 15, 1
 K, PROBES, RERANK = 10, 8, 10
-#: Rows of (query, cell) that are broadcast; more are shuffled.
+#: Candidates that are broadcast; more are shuffled.
 FEW = 200_000
+#: Rows and queries of a cell that meet in a task, about, and how many of the queries are multiplied at once.
+ROWS_MOST, ASKS_MOST, ASKS_STEP = 25_000, 4_000, 64
 #: Scores are rounded to 6 places.
 SLACK = 2e-6
 ODD = -1
-ROW = "node_type string, node_slug string, embedding array<float>, code array<tinyint>, scale double, lost double, close double, cell int"
-_ROW = pa.schema([("node_type", pa.string()), ("node_slug", pa.string()), ("embedding", pa.list_(pa.float32())), ("code", pa.list_(pa.int8())), ("scale", pa.float64()), ("lost", pa.float64()), ("close", pa.float64()), ("cell", pa.int32())])
+ROW = "node_type string, node_slug string, embedding array<float>, code array<tinyint>, scale double, lost double, close double, cell int, same long"
+_ROW = pa.schema([("node_type", pa.string()), ("node_slug", pa.string()), ("embedding", pa.list_(pa.float32())), ("code", pa.list_(pa.int8())), ("scale", pa.float64()), ("lost", pa.float64()), ("close", pa.float64()), ("cell", pa.int32()), ("same", pa.int64())])
 
 
 def directions(vectors: np.ndarray) -> np.ndarray:
@@ -56,27 +58,43 @@ def centres_of(vectors: DataFrame, cells: int, sample: int = SAMPLE) -> np.ndarr
     return c
 
 
+def matrix_of(lists: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lists with ``dims`` numbers, no null and some length, and their numbers."""
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    whole = np.flatnonzero(lengths == dims)
+    flat = lists.take(pa.array(whole)).flatten()
+    x = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(len(whole), dims)
+    if flat.null_count:
+        nulls = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(whole), dims).any(1)
+        whole, x = whole[~nulls], x[~nulls]
+    some = (x != 0).any(1)
+    return whole[some], x[some]
+
+
 def coded(centres: np.ndarray):
-    """Rows (node_type, node_slug, embedding) with their cells and codes."""
+    """Rows (node_type, node_slug, embedding, same) with their cells and codes."""
     dims = centres.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            good = [i for i, r in enumerate(rows) if r["embedding"] and len(r["embedding"]) == dims and None not in r["embedding"] and any(r["embedding"])]
-            for r in rows:
-                r |= {"code": [], "scale": 0.0, "lost": 0.0, "close": 0.0, "cell": ODD}
-            if good:
-                x = directions(np.array([rows[i]["embedding"] for i in good], float))
+            n = batch.num_rows
+            good, x = matrix_of(batch.column("embedding"), dims)
+            facts = {c: np.zeros(n) for c in ("scale", "lost", "close")}
+            cell, size, codes = np.full(n, ODD, np.int32), np.zeros(n, np.int64), np.zeros(0, np.int8)
+            if len(good):
+                x = directions(x)
                 near = x @ centres.T
-                cell = near.argmax(1)
-                rest = x - centres[cell]
+                cell[good] = near.argmax(1)
+                rest = x - centres[cell[good]]
                 scale = np.maximum(np.abs(rest).max(1), 1e-12) / 127
                 code = np.rint(rest / scale[:, None]).astype(np.int8)
-                lost = np.linalg.norm(rest - code * scale[:, None], axis=1)
-                for j, i in enumerate(good):
-                    rows[i] |= {"code": code[j].tolist(), "scale": float(scale[j]), "lost": float(lost[j]), "close": float(near[j, cell[j]]), "cell": int(cell[j])}
-            yield pa.RecordBatch.from_pylist(rows, _ROW)
+                facts["scale"][good] = scale
+                facts["lost"][good] = np.linalg.norm(rest - code * scale[:, None], axis=1)
+                facts["close"][good] = near.max(1)
+                size[good] = dims
+                codes = code.ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(codes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node_type", "node_slug", "embedding")), lists, *map(pa.array, facts.values()), pa.array(cell), batch.column("same")], schema=_ROW)
 
     return run
 
@@ -98,7 +116,7 @@ class Index:
 
     def insert(self, vectors: DataFrame) -> None:
         """Append rows (node_type, node_slug, embedding). Bounds are written first: too wide ones do no harm."""
-        rows = stored(vectors.select("node_type", "node_slug", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(coded(self.centres), ROW), "coded")
+        rows = stored(vectors.select("node_type", "node_slug", F.col("embedding").cast("array<float>").alias("embedding")).withColumn("same", F.xxhash64("embedding")).mapInArrow(coded(self.centres), ROW), "coded")
         rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("close").alias("close")).write.mode("append").parquet(f"{self.root}/cells")
         rows.hint("rebalance", "cell").write.mode("append").partitionBy("cell").parquet(f"{self.root}/rows")
 
@@ -118,69 +136,142 @@ def opened(spark: SparkSession, root: str) -> Index:
     return Index(spark, root, np.array([r.centre for r in rows]))
 
 
-PLAN = "qid string, q array<double>, cell int, base double, bound double, place int"
-_PLAN = pa.schema([("qid", pa.string()), ("q", pa.list_(pa.float64())), ("cell", pa.int32()), ("base", pa.float64()), ("bound", pa.float64()), ("place", pa.int32())])
+PLAN = "qid string, cell int, bound double, place int"
 
 
 def planned(index: Index, queries: DataFrame) -> DataFrame:
-    """A row for each query and cell that has rows: closeness to the centre, bound of a score in it, place in the order of closeness."""
+    """A row for each query and cell that has rows: bound of a score in it, place in the order of closeness."""
     cells, centres = index.cells(), index.centres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [c for c in cells if c != ODD]
-        close = np.array([cells[c][1] for c in ids])
+        ids = np.array([c for c in cells if c != ODD], np.int32)
+        close = np.array([cells[c][1] for c in ids.tolist()])
         for batch in batches:
-            for r in batch.to_pylist():
-                q = np.array([x or 0.0 for x in r["q"] or []], float)
-                fits, size = len(q) == centres.shape[1], np.linalg.norm(q)
-                q = q / size if size > 0 else q
-                base = centres[ids] @ q if fits else np.zeros(len(ids))
-                # the angle to a row is at least that to the centre less the widest one in the cell
-                angle = np.arccos(np.clip(base, -1, 1)) - np.arccos(np.clip(close, -1, 1))
-                bound = np.cos(np.maximum(angle, 0)) if fits and size > 0 else np.ones(len(ids))
-                out = [{"cell": ids[i], "base": float(base[i]), "bound": float(bound[i]), "place": p} for p, i in enumerate(np.argsort(-base, kind="stable"))]
-                if ODD in cells:
-                    out.append({"cell": ODD, "base": 0.0, "bound": 1.0, "place": -1})
-                if out:
-                    yield pa.RecordBatch.from_pylist([{"qid": r["qid"], "q": q.tolist(), **o} for o in out], _PLAN)
+            n, m = batch.num_rows, len(ids)
+            good, q = matrix_of(batch.column("q"), centres.shape[1])
+            base, bound = np.zeros((n, m)), np.ones((n, m))
+            base[good] = directions(q) @ centres[ids].T
+            # the angle to a row is at least that to the centre less the widest one in the cell
+            angle = np.arccos(np.clip(base[good], -1, 1)) - np.arccos(np.clip(close, -1, 1))
+            bound[good] = np.cos(np.maximum(angle, 0))
+            order = np.argsort(-base, axis=1, kind="stable")
+            parts = [(np.repeat(np.arange(n), m), ids[order].ravel(), np.take_along_axis(bound, order, 1).ravel(), np.tile(np.arange(m), n))]
+            if ODD in cells:
+                parts.append((np.arange(n), np.full(n, ODD), np.ones(n), np.full(n, -1)))
+            at, cell, high, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(at)), pa.array(cell, pa.int32()), pa.array(high), pa.array(place, pa.int32())], names=["qid", "cell", "bound", "place"])
 
     return queries.select("qid", F.col("q").cast("array<double>").alias("q")).mapInArrow(run, PLAN)
 
 
+FOUND = "qid string, cell int, node_type string, node_slug string, guess double, lost double"
+
+
+def meeting(centres: np.ndarray, k: int, first: int, exact: bool):
+    """Rows of a cell (with codes) and queries that ask for it (with ``bars``, scores that k rows of a type reach): for each query and type the rows that can be among its k nearest. A query without direction gives all
+    ordinary rows one score, so the first k by name; of equal vectors (by a hash of 64 bits) only the first k by name count; rows of the odd cell have no codes: ``exact`` gives all that may count, else the ``first`` by name."""
+    dims = centres.shape[1]
+
+    def run(key: tuple, rows: pa.Table, asks: pa.Table) -> pa.Table:
+        cell = key[0].as_py()
+        rows, asks = rows.combine_chunks(), asks.combine_chunks()
+        kinds, names = rows.column("node_type").to_pylist(), rows.column("node_slug").to_pylist()
+        by: dict[str, list[int]] = {}
+        for i in sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] or "")):
+            by.setdefault(kinds[i], []).append(i)
+        bars = [{b["node_type"]: b["bar"] for b in x or ()} for x in asks.column("bars").to_pylist()]
+        one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        good, q = matrix_of(one(asks.column("q")), dims)
+        plain = np.setdiff1d(np.arange(len(bars)), good)
+        lost, same = (rows.column(c).to_numpy() for c in ("lost", "same"))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def all_of(queries: list[int], some: list[int]) -> None:
+            found.append((np.repeat(np.array(queries, np.int64), len(some)), np.tile(np.array(some, np.int64), len(queries)), np.zeros(len(queries) * len(some))))
+
+        if cell != ODD and len(good):
+            q = directions(q)
+            code = one(rows.column("code")).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            near = centres[cell] + code * rows.column("scale").to_numpy()[:, None]
+        for kind, places in by.items():
+            if cell == ODD:
+                fit = set(good.tolist())
+                needs = [i for i, b in enumerate(bars) if not (exact and i in fit and b.get(kind) is not None and b[kind] > SLACK)]
+                all_of(needs, places if exact else places[:first])
+                continue
+            all_of(plain.tolist(), places[:k])
+            if not len(good):
+                continue
+            at = np.array(places)
+            order = np.argsort(same[at], kind="stable")
+            start = np.append(True, np.diff(same[at][order]) != 0)
+            at = at[np.sort(order[np.arange(len(at)) - np.flatnonzero(start)[np.cumsum(start) - 1] < k])]
+            x, off = near[at], lost[at]
+            bar = np.array([bars[i].get(kind) if bars[i].get(kind) is not None else np.nan for i in good.tolist()], float)
+            for a in range(0, len(good), ASKS_STEP):
+                guess = q[a : a + ASKS_STEP] @ x.T
+                least = bar[a : a + ASKS_STEP].copy()
+                none = np.isnan(least)
+                if none.any():
+                    least[none] = np.partition(guess[none] - off, len(at) - k, axis=1)[:, len(at) - k] if len(at) >= k else -np.inf
+                i, j = np.nonzero(guess + off >= least[:, None] - SLACK)
+                found.append((good[a + i], at[j], guess[i, j]))
+        i, j, guess = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        i, j = i.astype(np.int64), j.astype(np.int64)
+        return pa.table(
+            [asks.column("qid").take(pa.array(i)), pa.array(np.full(len(i), cell), pa.int32()), rows.column("node_type").take(pa.array(j)), rows.column("node_slug").take(pa.array(j)), pa.array(guess), pa.array(lost[j])],
+            names=["qid", "cell", "node_type", "node_slug", "guess", "lost"],
+        )
+
+    return run
+
+
 def best(rows: DataFrame, k: int, score: str) -> DataFrame:
     w = Window.partitionBy("qid", "node_type").orderBy(F.desc(score), "node_slug")
     return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
 
 
 def search(index: Index, queries: DataFrame, k: int = K, probes: int = PROBES, rerank: int = RERANK, exact: bool = False, few: int = FEW) -> DataFrame:
-    """``queries``: qid, q. For each the k nearest of each node type (qid, node_type, node_slug, score), ranked together by score (rank). ``probes`` cells are read, and ``rerank`` times k rows of each type scored by
-    their vectors; ``exact`` reads and scores beyond that what could be among the k."""
-    plan = stored(planned(index, queries.withColumn("qid", F.col("qid").cast("string"))), "plan")
-    codes = index.rows.select("node_type", "node_slug", "cell", "code", "scale", "lost")
-    dot = F.aggregate(F.zip_with("code", "q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    guess = F.when(F.size("code") > 0, F.col("base") + F.col("scale") * dot).otherwise(F.lit(0.0))
-
-    def guessed(cells: DataFrame) -> DataFrame:
-        small = cells.limit(few + 1).count() <= few
-        return codes.join(F.broadcast(cells) if small else cells, "cell").withColumn("guess", guess)
+    """``queries``: qid, q. For each the k nearest of each node type (qid, node_type, node_slug, score), ranked together by score (rank). ``probes`` cells are read, and up to ``rerank`` times k rows of each type scored by
+    their vectors, of those that can be among the k; ``exact`` reads and scores beyond that what could be among the k."""
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), "q")
+    plan = stored(planned(index, asked), "plan")
+    sizes = index.cells()
+
+    def candidates(cells: DataFrame, exact: bool) -> DataFrame:
+        """``cells``: qid, cell, bars."""
+        counts = {r[0]: r[1] for r in cells.groupBy("cell").count().collect()}  # a row for each cell
+        steps = [(c, -(-sizes[c][0] // ROWS_MOST), -(-n // ASKS_MOST)) for c, n in counts.items()]
+        steps = F.broadcast(plan.sparkSession.createDataFrame(steps, "cell int, parts int, lots int"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = index.rows.filter(F.col("cell").isin(list(counts))).select("node_type", "node_slug", "cell", "code", "scale", "lost", "same").join(steps, "cell")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("node_type", "node_slug"), "parts").cast("int")).withColumn("lot", each("lots")).drop("parts", "lots")
+        asks = cells.join(asked.select("qid", F.col("q").cast("array<double>").alias("q")), "qid").join(steps, "cell")
+        asks = asks.withColumn("lot", F.pmod(F.xxhash64("qid"), "lots").cast("int")).withColumn("part", each("parts")).drop("parts", "lots")
+        key = ["cell", "part", "lot"]
+        return rows.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(meeting(index.centres, k, rerank * k, exact), FOUND)
 
     def scored(rows: DataFrame) -> DataFrame:
-        asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("q").alias("asked"))
+        rows = stored(rows.select("qid", "cell", "node_type", "node_slug"), "candidates")
         full = index.rows.select("cell", "node_type", "node_slug", "embedding")
-        found = rows.select("qid", "cell", "node_type", "node_slug").join(full, ["cell", "node_type", "node_slug"]).join(asked, "qid")
+        found = full.join(F.broadcast(rows) if rows.count() <= few else rows, ["cell", "node_type", "node_slug"]).join(asked.withColumnRenamed("q", "asked"), "qid")
         return found.select("qid", "node_type", "node_slug", F.round(cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
 
-    near = plan.filter(F.col("place") < probes)
-    top = best(scored(best(guessed(near), rerank * k, "guess").select("qid", "cell", "node_type", "node_slug")), k, "score")
+    kind = "array<struct<node_type:string,bar:double>>"
+    near = candidates(plan.filter(F.col("place") < probes).select("qid", "cell", F.lit(None).cast(kind).alias("bars")), False)
+    # over all cells of a query again: rows that k others surely exceed aren't scored
+    sure = F.when(F.col("cell") != ODD, F.col("guess") - F.col("lost"))
+    low = Window.partitionBy("qid", "node_type").orderBy(F.desc(sure))
+    least = F.max(F.when(F.col("nth") == k, sure)).over(Window.partitionBy("qid", "node_type"))
+    near = near.withColumn("nth", F.row_number().over(low)).withColumn("least", least).filter(F.col("least").isNull() | (F.col("cell") == ODD) | (F.col("guess") + F.col("lost") >= F.col("least") - SLACK))
+    top = best(scored(best(near, rerank * k, "guess")), k, "score")
     if exact:
-        bar = stored(top.groupBy("qid", "node_type").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar")), "bars")
+        bar = stored(top.groupBy("qid", "node_type").agg(F.when(F.count("score") >= k, F.min("score")).alias("bar")), "bars")
         # a type that has given fewer than k rows so far, or none, has no bar, and then every cell is read
         n_kinds = index.rows.agg(F.count_distinct("node_type")).first()[0]
-        low = bar.groupBy("qid").agg(F.when(F.count("bar") >= n_kinds, F.min("bar")).alias("low"))
+        low = bar.groupBy("qid").agg(F.when(F.count("bar") >= n_kinds, F.min("bar")).alias("low"), F.collect_list(F.struct("node_type", "bar")).cast(kind).alias("bars"))
         wide = plan.join(low, "qid", "left").filter((F.col("place") < 0) | F.col("low").isNull() | (F.col("bound") >= F.col("low") - SLACK))
-        rows = guessed(wide.drop("low", "bound", "place")).join(bar, ["qid", "node_type"], "left")
-        odd = (F.size("code") == 0) | F.col("bar").isNull()
-        top = best(scored(rows.filter(odd | (F.col("guess") + F.col("lost") >= F.col("bar") - SLACK))), k, "score")
+        top = best(scored(candidates(wide.select("qid", "cell", "bars"), True)), k, "score")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "node_type", "node_slug")  # at most k rows for each type
     return top.select("qid", "node_type", "node_slug", "score", F.row_number().over(w).cast("long").alias("rank"))
 

@@ -79,6 +79,33 @@ def test_empty_index_and_fewer_rows_than_asked(spark, tmp_path):
     assert {r.node_slug for r in VI.search(index, q, exact=True).collect()} == {"x", "y"}
 
 
+def test_many_queries_meet_codes_by_matrices(spark, tmp_path):
+    """Copies and rows of several node types, by all ways through a search; a pair of query and code is no SQL expression."""
+    rows = grouped_vectors(1500, seed=3)
+    rows += [("concept", f"same{i:03d}", rows[5][2]) for i in range(200)] + [("entity", f"same{i:03d}", rows[5][2]) for i in range(200)]
+    index = VI.built(spark.createDataFrame(rows, ROWS), f"{tmp_path}/i", cells=20)
+    asked = {r[1]: r[2] for r in rows[::100]} | {"same": rows[5][2], "none": None, "short": [1.0], "gap": [1.0] * 15 + [None]}
+    q = spark.createDataFrame(list(asked.items()), "qid string, q array<float>")
+    for probes in (1, 30):
+        found = VI.search(index, q, k=6, probes=probes, exact=True)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.qid, []).append((r.node_type, r.node_slug))
+        for qid, query in asked.items():
+            assert sorted(got[qid]) == sorted(p[1:] for p in plain(rows, None if qid == "gap" else query, 6)), qid
+    near = VI.search(index, q, k=6, probes=3)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with(code" not in near and "CartesianProduct" not in near
+
+
+def test_rows_of_other_lengths_set_no_bar(spark, tmp_path):
+    """Rows without a score fill the k places of the cells that are read first; the bar is no score of fewer than k rows."""
+    rows = [("entity", f"a{i}", [1.0, 0.01 * i, 0.0]) for i in range(2)] + [("entity", f"b{i}", [0.5, 1.0, 0.01 * i]) for i in range(6)] + [("entity", f"c{i}", [1.0, 2.0]) for i in range(9)]
+    index = VI.built(spark.createDataFrame(rows, ROWS), f"{tmp_path}/i", cells=2)
+    q = spark.createDataFrame([("a", [1.0, 0.0, 0.0])], "qid string, q array<float>")
+    got = {r.node_slug for r in VI.search(index, q, k=5, probes=1, exact=True).collect()}
+    assert got == {"a0", "a1", "b0", "b1", "b2"}
+
+
 # ---- full text ----
 def made_docs(n, seed=2):
     r = random.Random(seed)
