@@ -9,7 +9,9 @@ and pairs of frequent ones, and a passage that many documents share brings them
 
 1. ``sets``: size, 64-bit digest and bit map of each set, and shingles that are frequent within a batch. Equal sets are one node.
 2. ``keys``: (key, set), packed by bucket of the key. A key of one set only goes. The others are split by bands of sizes, so that sets that may link by size share
-   a band's key; sets that share such a key with a leader, the least of a key, form the leader's group. So each pair that shares a key and fits by size lies in a group.
+   a band's key; sets that share such a key with a leader, the least of a key, form the leader's group. A key has to bring two sets together only if it can be the least that both have, so a set goes
+   from a band's key if no other there fits it by size and place, and a band's key goes if the shingle before it is the same in all its sets. So each pair that links lies in a group, and near
+   copies meet where they begin to agree, not at each of their keys, however many buckets there are.
 3. All pairs of a group are compared: by bit maps, then exactly by whole sets those that have a partner by their maps. Large groups are cut into blocks.
 4. A pair counts in the group of its least common leader only, so ``n_links`` counts each link once; no pair leaves its task, only counts and a forest of the links,
    from which connected components are taken.
@@ -54,8 +56,10 @@ PIECE_BYTES = 8_000_000
 #: Keys in a bucket, about; rows of groups in a unit of comparison; bytes of maps, and cells of a matrix, in memory at once.
 BUCKET_KEYS, UNIT_ROWS, MAP_BYTES, CELLS = 400_000, 2000, 16_000_000, 4_000_000
 SPREAD = U(0xA0761D6478BD642F)
-#: A key, its set and the band of the set's size, as they are packed.
-PACKED = np.dtype([("key", "<u8"), ("s", "<i8"), ("band", "<i2")])
+#: Steps of sizes within a band, and a number above all of them.
+STEPS, ABOVE = 64, 1 << 30
+#: A key, the shingle before it (0: none), its set, the set's size and the most that a partner's size can be if this is the least key of both (in steps), as they are packed.
+PACKED = np.dtype([("key", "<u8"), ("before", "<u8"), ("s", "<i8"), ("size", "<i2"), ("most", "<i2")])
 
 
 def needed(n):
@@ -117,22 +121,28 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def keys_of(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Keys of one set (sorted shingles). ``frequent``: the frequent class, sorted; ``rank``: its order by count."""
+def steps(sizes: np.ndarray) -> np.ndarray:
+    """Sizes in steps of which a band has ``STEPS``: a larger size has no lower step."""
+    return (np.log(sizes) / np.log(BAND) * STEPS).astype(np.int16)
+
+
+def keys_of(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of one set (sorted shingles), the shingle before each single one (0: none, or a combination), and how many of the set's shingles a partner lacks at least if the key is the least of both.
+    ``frequent``: the frequent class, sorted; ``rank``: its order by count."""
     n = len(tokens)
     prefix = n - needed(n) + 1
+    rare, common = tokens, tokens[:0]
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
-        if often.any():
-            rare = tokens[~often]
-            common = tokens[often][np.argsort(rank[at[often]], kind="stable")][: max(0, prefix + 1 - len(rare))]
-            singles = rare[:prefix]
-            if len(common) < 2:
-                return singles
-            i, j = np.triu_indices(len(common), 1)
-            return np.concatenate((singles, mix(mix(common[i]) + common[j] * U(0x9E3779B97F4A7C15))))
-    return tokens[:prefix]
+        rare = tokens[~often]
+        common = tokens[often][np.argsort(rank[at[often]], kind="stable")][: max(0, prefix + 1 - len(rare))]
+    singles = rare[:prefix]
+    i, j = np.triu_indices(len(common), 1)
+    keys = np.concatenate((singles, mix(mix(common[i]) + common[j] * U(0x9E3779B97F4A7C15))))
+    before = np.zeros(len(keys), U)
+    before[1 : len(singles)] = singles[:-1]
+    return keys, before, np.concatenate((np.arange(len(singles)), len(rare) + j - 1))
 
 
 def make_keys(frequent: np.ndarray, rank: np.ndarray, buckets: int):
@@ -144,12 +154,15 @@ def make_keys(frequent: np.ndarray, rank: np.ndarray, buckets: int):
             if not by:
                 continue
             found = [keys_of(s, frequent, rank) for s in by.values()]
-            counts = [len(k) for k in found]
+            counts = [len(k) for k, _, _ in found]
+            if not sum(counts):
+                continue
             out = np.zeros(sum(counts), PACKED)
-            out["key"] = np.concatenate(found)
+            out["key"], out["before"], lacks = (np.concatenate(c) for c in zip(*found, strict=True))
             out["s"] = np.repeat(np.array(list(by), np.int64), counts)
-            sizes = np.array([len(s) for s in by.values()])
-            out["band"] = np.repeat((np.log(sizes) / np.log(BAND)).astype(np.int16), counts)
+            sizes = np.repeat(np.array([len(s) for s in by.values()]), counts)
+            out["size"] = steps(sizes)
+            out["most"] = steps(np.minimum((100 + PERCENT) * (sizes - lacks) // PERCENT - sizes, 100 * sizes // PERCENT))
             bucket = (mix(out["key"] + SPREAD) % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             out, bucket = out[order], bucket[order]
@@ -170,6 +183,23 @@ def distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x[keep], y[keep]
 
 
+def least_of_others(x: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row the least of the other rows of its stretch, ``ABOVE`` if there is none. ``first``: starts of the stretches; ``at``: the stretch of each row."""
+    least = np.minimum.reduceat(x, first)[at]
+    is_least = x == least
+    alone = is_least & (np.add.reduceat(is_least.astype(np.int64), first)[at] == 1)
+    return np.where(alone, np.minimum.reduceat(np.where(is_least, ABOVE, x), first)[at], least)
+
+
+def partnered(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """False for rows whose key can't be the least that the set shares with any other set of the group: none fits by size and place, or all share the shingle before."""
+    first = stretches_of(group)[:-1]
+    at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(group))))
+    before, size, most = rows["before"], rows["size"].astype(np.int64), rows["most"].astype(np.int64)
+    differ = (np.minimum.reduceat(before, first) != np.maximum.reduceat(before, first)) | (before[first] == 0)
+    return differ[at] & (least_of_others(size, first, at) <= most) & (size <= -least_of_others(-most, first, at))
+
+
 def leaders(t: pa.Table) -> pa.Table:
     """A bucket of keys: (leader, s), sets that share a key of a band with others, each with the least of these."""
     rows = np.frombuffer(b"".join(t.column("part").to_pylist()), PACKED)
@@ -177,13 +207,24 @@ def leaders(t: pa.Table) -> pa.Table:
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     rows = rows[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]]
-    key, s, band = (np.ascontiguousarray(rows[c]) for c in ("key", "s", "band"))
+    band = rows["size"].astype(np.int64) // STEPS
     # sets whose sizes fit lie in one band or in neighbours
-    key, s = distinct_pairs(np.concatenate([mix(key + (band.astype(np.int64) + k).astype(U) * SPREAD) for k in (1, 2)]), np.concatenate((s, s)))
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(key)))
+    group = np.concatenate([mix(rows["key"] + (band + k).astype(U) * SPREAD) for k in (1, 2)])
+    rows = np.concatenate((rows, rows))
+    order = np.lexsort((rows["s"], group))
+    group, rows = group[order], rows[order]
+    keep = np.ones(len(group), bool)
+    keep[1:] = (group[1:] != group[:-1]) | (rows["s"][1:] != rows["s"][:-1])
+    for _ in range(2):  # a set may have lost its only partner
+        group, rows = group[keep], rows[keep]
+        if not len(group):
+            break
+        keep = partnered(group, rows)
+    group, s = group[keep[: len(group)]], np.ascontiguousarray(rows["s"][keep[: len(group)]])
+    starts = stretches_of(group)
+    count = np.diff(starts)
     several = np.repeat(count, count) > 1
-    leader, s = distinct_pairs(np.repeat(s[first], count)[several], s[several])
+    leader, s = distinct_pairs(np.repeat(s[starts[:-1]], count)[several], s[several])
     return pa.table([pa.array(leader), pa.array(s)], names=["leader", "s"])
 
 

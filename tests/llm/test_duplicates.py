@@ -264,6 +264,74 @@ def test_classes_against_brute_force(spark, monkeypatch):
         assert sorted((tuple(r)[:3] for r in similar.classes(docs).collect()), key=str) == brute_classes(rows)
 
 
+def groups_of(texts, frequent, buckets):
+    """The rows (leader, s) of each bucket, without Spark, and the sets by name."""
+    rank = np.arange(len(frequent))
+    parts = {}
+    for at in range(0, len(texts), 50):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts[at : at + 50]))), pa.array(texts[at : at + 50])], names=["v", "text"])
+        for out in similar.make_keys(frequent, rank, buckets)(iter([batch])):
+            for bucket, part in zip(out.column("bucket").to_pylist(), out.column("part").to_pylist(), strict=True):
+                parts.setdefault(bucket, []).append(part)
+    rows = []
+    for found in parts.values():
+        made = similar.leaders(pa.table([pa.array(found, pa.binary())], names=["part"]))
+        rows += zip(made.column("leader").to_pylist(), made.column("s").to_pylist(), strict=True)
+    return rows, {similar.digest(s): s for s in shingle_sets(texts) if len(s)}
+
+
+def test_every_link_lies_in_a_group():
+    rng = random.Random(13)
+    for seed in range(15):
+        texts = [t for _, t in near_corpus(100 + seed)]
+        for _ in range(40):  # sizes as far apart as links allow
+            base = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(5, 300))]
+            texts += [" ".join(base), " ".join(base[: rng.randint(len(base) * 7 // 10, len(base))]), " ".join(base + base[:3] + [f"u{rng.randrange(10**6)}" for _ in range(len(base) // 5)])]
+        every = np.unique(np.concatenate(shingle_sets(texts)))
+        frequent = every[np.array([rng.random() < (0, 0.3, 0.9)[seed % 3] for _ in every], bool)]
+        rows, sets = groups_of(texts, frequent, 1 + seed % 5)
+        groups = {}
+        for leader, s in rows:
+            groups.setdefault(s, set()).add(leader)
+        names, checked = sorted(sets), 0
+        for i, a in enumerate(names):
+            for b in names[:i]:
+                x, y = len(sets[a]), len(sets[b])
+                if 100 * min(x, y) >= 80 * max(x, y):
+                    k = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if 100 * k >= 80 * (x + y - k):
+                        checked += 1
+                        assert groups.get(a, set()) & groups.get(b, set())
+        assert checked > 30
+
+
+def test_near_copies_meet_at_few_of_their_keys():
+    """Two texts that share about eighty keys are no rows in each of many buckets."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(50):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base[:200], "x", *base[201:]])]
+    few, many = (len(groups_of(texts, np.zeros(0, np.uint64), n)[0]) for n in (1, 64))
+    assert few >= 100 and many <= 6 * few
+
+
+def test_sets_that_cannot_meet_first_at_a_key_make_no_group():
+    """The only shingle that two long texts share is so late in both that it can't be the first of many."""
+    rng = np.random.default_rng(15)
+    shared = np.uint64(2**63)
+    sets = [np.sort(np.concatenate((rng.integers(1, 2**63, 15, np.uint64), [shared], rng.integers(2**63 + 1, 2**64, 84, np.uint64)))) for _ in range(2)]
+    rows = np.zeros(0, similar.PACKED)
+    for s, x in enumerate(sets):
+        keys, before, lacks = similar.keys_of(x, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        assert shared in keys and lacks.tolist() == list(range(len(keys)))
+        out = np.zeros(len(keys), similar.PACKED)
+        out["key"], out["before"], out["s"] = keys, before, s
+        out["size"], out["most"] = similar.steps(np.full(len(keys), 100)), similar.steps(np.minimum(180 * (100 - lacks) // 80 - 100, 125))
+        rows = np.concatenate((rows, out))
+    assert similar.leaders(pa.table([pa.array([rows.tobytes()], pa.binary())], names=["part"])).num_rows == 0
+
+
 def test_near_copies_behind_an_early_superset(spark):
     """A long first document leads the keys of two near copies of a part of it, but can't link with them by its size."""
     rng = random.Random(9)
